@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_fst, exact, perplexity, quality, sstable, urlfilter
+from . import bpe_fst, exact, parityjoin, perplexity, quality, sstable, urlfilter
 from .shared import documents
 
 QUERIES: dict = {}
@@ -43,6 +43,11 @@ def op4_sorted_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 2)
 
 
+@_query
+def op5_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parityjoin.link_documents(documents(spark, sf_dir), parityjoin.Spec(words=3, percent=90))
+
+
 @_query
 def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
