@@ -20,6 +20,8 @@ from .shared import _conf, fresh_path, settle, write_once
 
 WHITE = " \t\n\x0b\f\r"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+# many small stores: no preallocated log files
+FALLOCATE = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LOCATOR = ["_file", "_row"]
 
@@ -47,7 +49,7 @@ def keyed_state(inbox: DataFrame, path: str) -> DataFrame:
     checkpoint = fresh_path(spark, "exact-state")
     stream = spark.readStream.schema(inbox.schema).parquet(path)
     grouped = stream.groupBy("digest").agg(F.count("*").alias("n"), _BEST)
-    with _conf(spark, PROVIDER, ROCKSDB):
+    with _conf(spark, PROVIDER, ROCKSDB), _conf(spark, FALLOCATE, "false"):
         query = grouped.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
         state = spark.read.format("statestore").load(checkpoint)
