@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_fst, exact, parityjoin, perplexity, quality, sstable, urlfilter
+from . import bpe_fst, exact, parityjoin, perplexity, quality, sstable, substring, urlfilter
 from .shared import documents
 
 QUERIES: dict = {}
@@ -48,6 +48,11 @@ def op5_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parityjoin.link_documents(documents(spark, sf_dir), parityjoin.Spec(words=3, percent=90))
 
 
+@_query
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(documents(spark, sf_dir))
+
+
 @_query
 def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
