@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_fst, exact, parityjoin, perplexity, quality, sstable, substring, urlfilter
+from . import bpe_fst, exact, packing, parityjoin, perplexity, pii, quality, sstable, substring, urlfilter
 from .shared import documents
 
 QUERIES: dict = {}
@@ -48,6 +48,11 @@ def op5_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parityjoin.link_documents(documents(spark, sf_dir), parityjoin.Spec(words=3, percent=90))
 
 
+@_query
+def op6_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @_query
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(documents(spark, sf_dir))
@@ -64,6 +69,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.report(documents(spark, sf_dir))
 
 
+@_query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
 ORACLES["op9_exact_dedup"] = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, translate(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') AS norm FROM documents
