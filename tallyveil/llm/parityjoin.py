@@ -191,6 +191,7 @@ def _several(key, node):
 
 def _sets_task(spec: Spec):
     def task(batches):
+        met: set[int] = set()  # rows of a repeated doc_id meet in one task of the join, so each set is sent once
         for batch, texts in text_slices(batches):
             g, off = shingle_sets(texts, spec)
             size, doc = np.diff(off), np.repeat(np.arange(texts.n), np.diff(off))
@@ -200,15 +201,17 @@ def _sets_task(spec: Spec):
             sketch = np.packbits(bits, axis=1).view(np.int64)
             raw = g.tobytes()
             members = [raw[a * 8 : b * 8] for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+            node, wanted = _node_ids(g, off), batch.column("node").to_numpy(zero_copy_only=False)
+            new = np.array([a == b and a not in met and not met.add(a) for a, b in zip(node.tolist(), wanted.tolist())], bool)
             yield pa.RecordBatch.from_pydict({
-                "node": _node_ids(g, off), "wanted": batch.column("node"), "size": size.astype(np.int64), "members": pa.array(members, pa.binary()),
+                "node": node, "size": size.astype(np.int64), "members": pa.array(members, pa.binary()),
                 **{f"x{j}": np.ascontiguousarray(sketch[:, j]) for j in range(SKETCH_LONGS)},
-            })
+            }).filter(pa.array(new))
 
     return task
 
 
-SETS = "node long, wanted long, size long, members binary, " + ", ".join(f"x{j} long" for j in range(SKETCH_LONGS))
+SETS = "node long, size long, members binary, " + ", ".join(f"x{j} long" for j in range(SKETCH_LONGS))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
@@ -248,8 +251,7 @@ def link_documents(docs: DataFrame, spec: Spec) -> DataFrame:
     shared = settle(dealt.mapInArrow(_shared_task, "key long, node long"), "pj-shared")
 
     wanted = settle(shared.select("node").distinct().join(first, "node").select("node", F.col("least").alias("doc_id")), "pj-wanted")
-    sets = docs.join(wanted, "doc_id").mapInArrow(_sets_task(spec), SETS).where("node = wanted").drop("wanted")
-    sets = settle(sets.dropDuplicates(["node"]), "pj-sets")
+    sets = settle(docs.join(wanted, "doc_id").mapInArrow(_sets_task(spec), SETS), "pj-sets")
 
     central = shared.groupBy("node").agg(F.count("*").alias("c"))
     hubs = settle(shared.join(central, "node").groupBy("key").agg(F.max(F.struct("c", "node")).alias("top")).select("key", F.col("top.node").alias("hub")), "pj-hubs")
