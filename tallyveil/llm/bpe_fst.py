@@ -28,18 +28,26 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def merge_by_rank(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The definition: merge the leftmost pair of lowest rank until none is left (used on short byte strings only)."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        best, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 40), i) for i in range(len(parts) - 1))
-        if best == 1 << 40:
+    none = 1 << 40
+    cost = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
+    while cost:
+        best = min(cost)
+        if best == none:
             break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        i = cost.index(best)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del cost[i]
+        if i:
+            cost[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
+        if i < len(cost):
+            cost[i] = ranks.get(parts[i] + parts[i + 1], none)
     return [ranks[p] for p in parts]
 
 
 class Transducer:
     """Deterministic on the fly: (state, byte) -> (state, tokens emitted)."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 60_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 150_000):
         self.ranks, self.most_states = ranks, most_states
         self.spell = {r: t for t, r in ranks.items()}
         self.child: dict[int, int] = {}
@@ -70,27 +78,40 @@ class Transducer:
         if known is None:
             if len(self.pairs) > 1_000_000:
                 self.pairs.clear()
-            before = self.spell[last] if last >= 0 else b""
-            known = self.pairs[key] = merge_by_rank(before + self.spell[token], self.ranks) == ([last] if last >= 0 else []) + [token]
+            if last < 0:
+                known = merge_by_rank(self.spell[token], self.ranks) == [token]
+            else:
+                both = self.spell[last] + self.spell[token]
+                whole = self.ranks.get(both)
+                known = self.fits(-1, token) and not (whole is not None and self.fits(-1, whole)) and merge_by_rank(both, self.ranks) == [last, token]
+            self.pairs[key] = known
         return known
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        found = set()
+        """Builds a transition. Guesses stay in the order of their tokens' starts, so equal sets are equal tuples."""
+        found, child, token_at, inner, pairs = [], self.child, self.token_at, self.inner, self.pairs
         for last, waiting, node in self.states[state]:
-            node = self.child.get(node << 8 | byte, -1)
-            if node < 0:
+            node = child.get(node << 8 | byte)
+            if node is None:
                 continue
-            if self.inner[node]:
-                found.add((last, waiting, node))
-            token = self.token_at[node]
-            if token >= 0 and (last < 0 or self.fits(-1, token)) and self.fits(last, token):
-                found.add((token, waiting + (token,), 0))
-        shortest = min((w for _, w, _ in found), key=len)
-        n = 0
-        while n < len(shortest) and all(w[n] == shortest[n] for _, w, _ in found):
+            if inner[node]:
+                found.append((last, waiting, node))
+            token = token_at[node]
+            if token >= 0:
+                known = pairs.get((last + 1) << 20 | token)
+                if self.fits(last, token) if known is None else known:
+                    root = token, (*waiting, token), 0
+        found.append(root)
+        n, out = 0, found[0][1]
+        for _, w, _ in found:
+            if len(w) < len(out):
+                out = w
+        for token in out:
+            if any(w[n] != token for _, w, _ in found):
+                break
             n += 1
-        out = shortest[:n]
-        key = tuple(sorted((last, w[n:], node) for last, w, node in found))
+        key = tuple((last, w[n:], node) for last, w, node in found) if n else tuple(found)
+        out = out[:n]
         to = self.ids.get(key)
         if to is None:
             to = self.ids[key] = len(self.states)
@@ -158,6 +179,7 @@ class ByteBPE:
         self.fst = Transducer(ranks)
         # white space as Unicode defines it, whatever \s means to the regex module
         self.find = regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
+        self.pack = [i.to_bytes(4, "little") for i in range(len(ranks))]
         self.cache = ChunkCache(self._encode_chunks)
         spell = [self.fst.spell[i] for i in range(len(ranks))]
         self.flat = np.frombuffer(b"".join(spell), np.uint8)
@@ -165,8 +187,14 @@ class ByteBPE:
         self.begin = np.cumsum(self.size) - self.size
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        encode, find = self.fst.encode, self.find
-        return [np.array([i for piece in find(c) for i in encode(piece.encode())], "<u4").tobytes() for c in chunks]
+        encode, find, pack = self.fst.encode, self.find, self.pack
+        out = []
+        for c in chunks:
+            ids = []
+            for piece in find(c):
+                ids += encode(piece.encode())
+            out.append(b"".join([pack[i] for i in ids]))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
