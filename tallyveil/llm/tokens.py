@@ -1,33 +1,47 @@
 """Token ids of whole texts from a public tokenizer's file, with a bounded cache of chunks.
 
-A chunk reaches from a space that follows a non-space character (or from the text's start) to the next such space.
-In both vocabularies used here a pre-token never holds a space after another kind of character, so chunks can be
-encoded alone; every different chunk goes through the tokenizer itself.
+A chunk reaches from a space that follows a non-space character (or from the text's start) to the next such space; a
+full stop or comma between a letter or digit and a space is a chunk by itself. In the vocabularies used here no
+pre-token holds a space after another kind of character, nor a letter or digit beside punctuation (but for English
+contractions, which begin with an apostrophe; the one letter whose lower case ends in a mark is left together), so chunks can be encoded alone; every different chunk goes through the
+tokenizer itself.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 
 _SPACES = re.compile(r"\s ")
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
+_STOP = re.compile(r"(?<=[^\W_\u0130])([.,])(?= )")
+BARE = "\x00"  # begins a chunk that has no space before it
 
 
 class ChunkCache:
-    """Encodes texts as the concatenation of their chunks' encodings; at most `limit` chunks are held."""
+    """Encodes texts as the concatenation of their chunks' encodings.
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 400_000):
-        self.encode_many, self.limit = encode_many, limit
+    Two generations of at most about `limit` chunks are held; what is met again moves to the younger one.
+    """
+
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 300_000, fold: bool = False):
+        """fold: the tokenizer lower-cases, so ASCII texts may be lower-cased first."""
+        self.encode_many, self.limit, self.fold = encode_many, limit, fold
         self.later: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    @staticmethod
-    def split(text: str) -> tuple[str, list[str]]:
-        """The first chunk, and the others without their leading space."""
+    def split(self, text: str) -> tuple[str, list[str]]:
+        """The first chunk, and the others without their leading space (or with BARE if they have none)."""
+        if self.fold and text.isascii():
+            text = text.lower()
+        if BARE in text:
+            first, *rest = _BEFORE_SPACE.split(text)
+            return first, [x[1:] if x[1:2] != BARE else BARE + x for x in rest]
+        text = _STOP.sub(f" {BARE}\\1", text)
         if _SPACES.search(text):
             first, *rest = _BEFORE_SPACE.split(text)
             return first, [x[1:] for x in rest]
@@ -42,9 +56,12 @@ class ChunkCache:
         for _, rest in parts:
             wanted.update(rest)
         if len(self.later) > self.limit:
-            self.later.clear()
-        missing = [x for x in wanted if x not in self.later]
-        got = self.encode_many([" " + x for x in missing] + [first for first, _ in parts])
+            self.later, self.older = {}, self.later
+        wanted -= self.later.keys()
+        known = wanted & self.older.keys()
+        self.later.update(zip(known, map(self.older.__getitem__, known)))
+        missing = list(wanted - known)
+        got = self.encode_many([x[1:] if x[:1] == BARE else " " + x for x in missing] + [first for first, _ in parts])
         self.later.update(zip(missing, got))
         get = self.later.__getitem__
         return [head + b"".join(map(get, rest)) for head, (_, rest) in zip(got[len(missing) :], parts)]
@@ -63,11 +80,12 @@ def library_encoder(path: str) -> ChunkCache:
         tokenizer.encode_special_tokens = True
         if tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are stored in 16 bits")
+        folds = '"Lowercase"' in tokenizer.to_str().partition('"model"')[0]
 
         def encode_many(chunks: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u2").tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+            return [array("H", e.ids).tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-        _loaded[path] = ChunkCache(encode_many)
+        _loaded[path] = ChunkCache(encode_many, fold=folds)
     return _loaded[path]
 
 
