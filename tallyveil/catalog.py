@@ -1,7 +1,945 @@
-"""Registered queries and their DuckDB equivalents."""
+"""Registered queries: one per operator of the blueprint, each over whole tables, with its DuckDB equivalent."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .functions import scalars as S
+from .inputs import duck, table
+from .operators import checks, encoding, estimate, joint, rows
+from .plans import reports
+from .sources import tables
+from .streaming import streams
+
 QUERIES: dict = {}
 ORACLES: dict = {}
-FLAGSHIP = "r1_histogram_report"
+FLAGSHIP = "r1_basic_rappor_report"
+TODAY = 19750
+KINDS = ["click", "error", "purchase", "signup", "view"]
+KINDS_SQL = "['click','error','purchase','signup','view']"
+
+
+def query(sql: str | None = None):
+    """Registers f(t), where t(name) gives a table, under f's name."""
+
+    def register(f: Callable):
+        def run(spark, sf_dir):
+            return f(lambda name: table(spark, sf_dir, name))
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = duck(sql)
+        return f
+
+    return register
+
+
+def r6(*names: str) -> list:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+def joined(name: str, out: str | None = None):
+    return F.array_join(F.transform(name, lambda x: x.cast("string")), ",").alias(out or name)
+
+
+def _uniform_sql(salt: str, *parts: str) -> str:
+    text = " || '|' || ".join([f"'{salt}'", *[f"CAST({p} AS VARCHAR)" for p in parts]])
+    return f"(CAST('0x' || substr(sha256({text}), 1, 13) AS BIGINT) / 4503599627370496.0)"
+
+
+# sources
+
+
+@query("SELECT obs_id, day_index, s, board FROM {obs} WHERE metric_id = 2 AND day_index BETWEEN 19725 AND 19740")
+def s1_scan_observations(t):
+    return tables.scan_observations(t("obs"), 1, 1, 2, 19725, 19740, ["obs_id", "day_index", "s", "board"])
+
+
+@query("SELECT random_id, s, i FROM {obs} WHERE obs_id % 4 <> 0")
+def s2_append_observations(t):
+    cols = ["customer_id", "project_id", "metric_id", "day_index", "random_id", "s", "i"]
+    obs = t("obs")
+    stored = obs.where("obs_id % 4 = 0").select(*cols)
+    return tables.append_observations(obs.select(*cols).unionByName(obs.where("obs_id % 3 = 0").select(*cols)), stored).select("random_id", "s", "i")
+
+
+@query("SELECT *, count(*) OVER (PARTITION BY customer_id, project_id, id) > 1 OR id = 0 AS bad_key FROM {metrics}")
+def s6_load_registry(t):
+    return tables.load_registry(t("metrics"))
+
+
+@query("SELECT customer_id, project_id, id, name FROM {metrics}")
+def s7_merge_registries(t):
+    m = t("metrics").select("customer_id", "project_id", "id", "name")
+    return tables.merge_registries([m.where("project_id = 1"), m.where("project_id != 1")])
+
+
+@query("SELECT report_id, stamp, state FROM {report_events} WHERE report_id = 7")
+def s9_read_report(t):
+    return tables.read_report(t("report_events").select("report_id", "stamp", "state"), 7)
+
+
+@query("SELECT report_id, config_id, created FROM {meta} WHERE config_id = 3 AND created >= 0 AND created < 5000")
+def s10_query_reports(t):
+    return tables.query_reports(t("meta"), 3, 0, 5000).select("report_id", "config_id", "created")
+
+
+@query("""SELECT CASE WHEN n = 0 THEN 'type,count' ELSE '"' || s || '",' || c END AS value FROM (SELECT 0 AS n, NULL AS s, NULL AS c UNION ALL SELECT 1, s, CAST(count(*) AS VARCHAR) FROM {obs} GROUP BY s)""")
+def s11_export_lines(t):
+    rows_ = t("obs").groupBy("s").agg(F.count("*").alias("n")).withColumn("_order", F.xxhash64("s"))
+    return tables.export_lines(rows_, "type,count", reports.csv_line([S.csv_string("s"), F.col("n").cast("string")]))
+
+
+@query("SELECT metric_id, count(*) AS n FROM {obs} WHERE metric_id <> 2 GROUP BY metric_id")
+def s12_delete_observations(t):
+    return tables.delete_where(t("obs"), metric_id=2).groupBy("metric_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT obs_id, s, (SELECT count(*) FROM {obs} WHERE obs_id > 100) > 50 AS has_more FROM {obs} WHERE obs_id > 100 ORDER BY obs_id LIMIT 50")
+def s13_read_page(t):
+    return tables.read_page(t("obs").select("obs_id", "s"), "obs_id", 100, 50)
+
+
+@query("SELECT least(count(*), 5000) AS n FROM {obs}")
+def s14_count_capped(t):
+    return tables.count_capped(t("obs"), 5000)
+
+
+@query("SELECT obs_id, s FROM {obs} ORDER BY obs_id LIMIT 10")
+def s14_peek(t):
+    return tables.peek(t("obs").select("obs_id", "s"), "obs_id", 10)
+
+
+# filters and checks
+
+VALUES_SQL = """SELECT obs_id, CASE WHEN obs_id % 17 = 0 THEN 99 ELSE metric_id END AS metric_id, CASE WHEN obs_id % 5 = 0 THEN '' WHEN obs_id % 19 = 0 THEN 'other' ELSE 'type' END AS part_name,
+ CASE WHEN obs_id % 7 = 0 THEN 'int' ELSE 'string' END AS kind, obs_id % 23 <> 0 AS is_set FROM {obs}"""
+REASON_SQL = f"""SELECT obs_id, reason FROM (SELECT obs_id, CASE WHEN metric_id = 99 THEN 'unknown metric' WHEN metric_id = 3 THEN 'wrong number of parts'
+ WHEN part_name NOT IN ('', 'type') THEN 'unknown part' WHEN NOT is_set THEN 'unset value' WHEN kind <> 'string' THEN 'wrong type' END AS reason FROM ({VALUES_SQL}))"""
+
+
+def _judged(t):
+    values = t("obs").selectExpr("obs_id", "CASE WHEN obs_id % 17 = 0 THEN 99 ELSE metric_id END AS metric_id", "CASE WHEN obs_id % 5 = 0 THEN '' WHEN obs_id % 19 = 0 THEN 'other' ELSE 'type' END AS part_name", "CASE WHEN obs_id % 7 = 0 THEN 'int' ELSE 'string' END AS kind", "obs_id % 23 != 0 AS is_set")
+    registry = t("obs").select("metric_id").distinct()
+    parts = registry.selectExpr("metric_id", "'type' AS part_name", "'string' AS data_type").unionByName(registry.where("metric_id = 3").selectExpr("metric_id", "'second' AS part_name", "'int' AS data_type"))
+    return checks.validate_values(values, parts)
+
+
+@query(REASON_SQL)
+def f1_validate_values(t):
+    return _judged(t).select("obs_id", "reason")
+
+
+@query("SELECT obs_id, i % 14 < 12 AS valid FROM {obs} WHERE i >= 0")
+def f2_valid_distributions(t):
+    dist = t("obs").where("i >= 0").withColumn("dist", F.create_map((F.col("i") % 14).cast("int"), F.lit(1), F.lit(-1), F.lit(0)))
+    dist = dist.withColumn("dist", F.map_filter("dist", lambda k, v: v > 0))
+    return checks.valid_distributions(dist, 10).select("obs_id", "valid")
+
+
+@query("""SELECT obs_id, encoding, kind, (encoding = 'noop') OR (encoding = 'threshold' AND kind IN ('string', 'blob')) OR (encoding = 'rappor' AND kind = 'string') OR (encoding = 'basic_rappor' AND kind IN ('string', 'int', 'index')) AS valid
+ FROM (SELECT obs_id, CASE obs_id % 4 WHEN 0 THEN 'noop' WHEN 1 THEN 'threshold' WHEN 2 THEN 'rappor' ELSE 'basic_rappor' END AS encoding, CASE idx % 5 WHEN 0 THEN 'string' WHEN 1 THEN 'int' WHEN 2 THEN 'index' WHEN 3 THEN 'double' ELSE 'blob' END AS kind FROM {obs})""")
+def f3_valid_encoding_types(t):
+    df = t("obs").selectExpr("obs_id", "CASE obs_id % 4 WHEN 0 THEN 'noop' WHEN 1 THEN 'threshold' WHEN 2 THEN 'rappor' ELSE 'basic_rappor' END AS encoding", "CASE idx % 5 WHEN 0 THEN 'string' WHEN 1 THEN 'int' WHEN 2 THEN 'index' WHEN 3 THEN 'double' ELSE 'blob' END AS kind")
+    return checks.valid_encoding_types(df)
+
+
+@query("SELECT o.obs_id, e.kind AS encoding_kind FROM {obs} o JOIN {encodings} e ON e.id = o.encoding_config_id WHERE e.kind = o.payload_kind")
+def f4_consistent_encoding(t):
+    return rows.consistent_encoding(t("obs"), t("encodings").select("customer_id", "project_id", "id", "kind")).select("obs_id", "encoding_kind")
+
+
+@query("SELECT obs_id, NULL AS board_name, 'os' || CAST(obs_id % 2 AS VARCHAR) AS os FROM {obs}")
+def f5_project_profile(t):
+    df = t("obs").select("obs_id", F.col("board").alias("board_name"), F.concat(F.lit("os"), (F.col("obs_id") % 2).cast("string")).alias("os"))
+    return rows.project_profile(df, ["os"])
+
+
+@query("SELECT obs_id, CASE WHEN obs_id % 3 = 0 THEN 'env' ELSE board END AS board FROM {obs}")
+def f6_merge_profile(t):
+    df = t("obs").select("obs_id", "board", F.when(F.col("obs_id") % 3 == 0, "env").when(F.col("obs_id") % 3 == 1, "").alias("env_board"))
+    return rows.merge_profile(df, ["board"])
+
+
+@query("SELECT obs_id, day_index FROM {obs} WHERE day_index BETWEEN 19730 AND 19735")
+def f7_day_range(t):
+    return rows.day_range(t("obs"), 19730, 19735).select("obs_id", "day_index")
+
+
+@query("SELECT day_index, count(*) AS n FROM {obs} WHERE day_index BETWEEN 19743 AND 19749 GROUP BY day_index")
+def f8_relative_day_range(t):
+    return rows.relative_day_range(t("obs"), TODAY, -7, -1).groupBy("day_index").agg(F.count("*").alias("n"))
+
+
+@query("SELECT a.obs_id, a.value AS type, b.value AS amount FROM {tall} a JOIN {tall} b USING (obs_id) WHERE a.part_name = 'type' AND a.kind = 'string' AND b.part_name = 'amount' AND b.encoding = 'noop'")
+def f9_raw_dump(t):
+    return rows.raw_dump(t("tall"), {"type": "string", "amount": "int"})
+
+
+@query("SELECT idx, label, n AS count_estimate FROM (SELECT idx, count(*) * (idx % 2) AS n FROM {obs} GROUP BY idx) LEFT JOIN {labels_dim} USING (idx) WHERE NOT (label IS NULL AND n < 1e-4)")
+def f10_suppress_empty(t):
+    df = t("obs").groupBy("idx").agg((F.count("*") * (F.col("idx") % 2)).alias("count_estimate")).withColumn("kind", F.lit("index"))
+    return rows.suppress_empty(rows.with_labels(df, t("labels_dim"))).select("idx", "label", "count_estimate")
+
+
+@query("SELECT obs_id, lower(trim(s)) AS s FROM {obs}")
+def f11_strip_identifiers(t):
+    return rows.strip_identifiers(t("obs").select("obs_id", "client_id", "s"), ["client_id"], ["s"])
+
+
+@query(f"SELECT obs_id FROM {{obs}} WHERE {_uniform_sql('drop', 'obs_id')} >= 0.3")
+def f12_drop_observations(t):
+    return rows.drop_observations(t("obs"), 0.3, "drop").select("obs_id")
+
+
+@query("SELECT doc_id FROM documents WHERE octet_length(encode(text)) + 33 <= 1000")
+def f13_limit_size(t):
+    return rows.limit_observation_size(t("documents"), "text", 32, 1000).select("doc_id")
+
+
+@query("SELECT CASE WHEN s IN ('click', 'view') THEN s ELSE 'unknown' END AS route, count(*) AS n FROM {obs} GROUP BY 1")
+def f14_route_backend(t):
+    routes = rows.route_backend(t("obs").withColumn("backend", F.col("s")), ["click", "view"])
+    out = None
+    for name, df in routes.items():
+        part = df.groupBy().agg(F.count("*").alias("n")).select(F.lit(name).alias("route"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT obs_id FROM {obs} WHERE obs_id % 6 <> 0 AND obs_id % 5 <> 0")
+def f15_drop_blank_reports(t):
+    df = t("obs").select("obs_id", F.when(F.col("obs_id") % 6 != 0, F.col("s")).alias("v1"), F.when(F.col("obs_id") % 5 != 0, F.col("board")).otherwise("").alias("v2"))
+    return rows.drop_blank_reports(df, "v1", "v2").select("obs_id")
+
+
+@query("SELECT o.obs_id FROM {obs} o JOIN (SELECT id, min(max_build_level) AS l FROM {metrics} GROUP BY id) m ON m.id = o.metric_id WHERE build_level <= l")
+def f16_filter_build_level(t):
+    levels = t("metrics").groupBy("id").agg(F.min("max_build_level").alias("max_build_level"))
+    return rows.filter_build_level(t("obs"), levels).select("obs_id")
+
+
+@query("SELECT customer_id, project_id, id, count(*) AS n FROM {metrics} GROUP BY ALL HAVING count(*) > 1 OR id = 0")
+def v1_duplicate_ids(t):
+    return checks.duplicate_ids(t("metrics"))
+
+
+@query("SELECT id FROM {reports} r WHERE NOT EXISTS (FROM {metrics} m WHERE m.customer_id = r.customer_id AND m.project_id = r.project_id AND m.id = r.metric_id)")
+def v2_dangling_reports(t):
+    return checks.dangling_reports(t("reports"), t("metrics")).select("id")
+
+
+@query("""SELECT v.id, CASE WHEN data_type IS NULL THEN 'no such part' WHEN has_labels AND data_type <> 'index' THEN 'labels on a part that is no index' WHEN has_candidates AND data_type <> 'string' THEN 'candidates on a part that is no string' END AS reason
+ FROM (SELECT id, metric_id % 20 AS metric_id, id % 2 = 0 AS has_labels, id % 3 = 0 AS has_candidates FROM {reports}) v LEFT JOIN (SELECT metric_id, min(data_type) AS data_type FROM {parts} WHERE metric_id < 15 GROUP BY 1) p USING (metric_id) WHERE reason IS NOT NULL""")
+def v3_invalid_variables(t):
+    variables = t("reports").selectExpr("id", "metric_id % 20 AS metric_id", "'part' AS part_name", "id % 2 = 0 AS has_labels", "id % 3 = 0 AS has_candidates")
+    parts = t("parts").where("metric_id < 15").groupBy("metric_id").agg(F.min("data_type").alias("data_type")).withColumn("part_name", F.lit("part"))
+    return checks.invalid_variables(variables, parts).select("id", "reason")
+
+
+@query("SELECT r.id, 'arch' AS missing FROM {reports} r JOIN {metrics} m ON m.customer_id = r.customer_id AND m.project_id = r.project_id AND m.id = r.metric_id WHERE r.id % 2 = 0")
+def v4_invalid_profile_fields(t):
+    asked = t("reports").withColumn("profile_fields", F.when(F.col("id") % 2 == 0, F.array(F.lit("os"), F.lit("arch"))).otherwise(F.array(F.lit("os"))))
+    supplied = t("metrics").withColumn("profile_fields", F.array(F.lit("os"), F.lit("board_name")))
+    return checks.invalid_profile_fields(asked, supplied).select("id", F.array_join("missing", ",").alias("missing"))
+
+
+@query("""SELECT name, CASE WHEN expires_after = '' THEN 'error: missing' WHEN e IS NULL THEN 'error: malformed' WHEN e > DATE '2025-01-10' THEN 'error: more than a year away' WHEN e <= DATE '2024-01-10' THEN 'warning: expired' WHEN e <= DATE '2024-04-10' THEN 'warning: expires soon' END AS problem
+ FROM (SELECT *, TRY_CAST(replace(expires_after, '/', '-') AS DATE) AS e FROM {metrics}) WHERE project_id >= 100 AND problem IS NOT NULL""")
+def v5_expired_metrics(t):
+    return checks.expired_metrics(t("metrics"), "2024-01-10").select("name", "problem")
+
+
+@query(r"SELECT p_partkey, part_name FROM {parts} WHERE NOT regexp_full_match(part_name, '[a-zA-Z][_a-zA-Z0-9\- ]+')")
+def v6_invalid_part_names(t):
+    return checks.invalid_part_names(t("parts")).select("p_partkey", "part_name")
+
+
+@query("SELECT id FROM {encodings} WHERE p < 0 OR p > 1 OR q < 0 OR q > 1 OR p = q OR f <> 0 OR k <= 1 OR k > 1024 OR bit_count(k) <> 1 OR h < 1 OR h > 8 OR h >= k OR m < 1 OR m > 1024")
+def v7_invalid_rappor(t):
+    return checks.invalid_rappor(t("encodings")).select("id")
+
+
+@query("""SELECT id FROM {encodings} WHERE (value_kind = 'string' AND len(list_distinct(string_split(names, ','))) < 3) OR (value_kind = 'int' AND (last <= first OR last - first + 1 >= 1024)) OR (value_kind = 'index' AND (num_categories < 1 OR num_categories > 1023))""")
+def v8_invalid_basic_rappor(t):
+    df = t("encodings").drop("kind").withColumnRenamed("value_kind", "kind").withColumn("categories", F.split("names", ","))
+    return checks.invalid_basic_rappor(df).select("id")
+
+
+@query("SELECT id, threshold FROM {encodings} WHERE threshold < 2 OR threshold >= 1000000")
+def v9_invalid_threshold(t):
+    return checks.invalid_threshold(t("encodings")).select("id", "threshold")
+
+
+@query("""SELECT id, CASE WHEN n_variables < 1 THEN 'no variable' WHEN report_type = 'HISTOGRAM' AND n_variables <> 1 THEN 'a histogram has one variable' WHEN report_type = 'JOINT' AND n_variables <> 2 THEN 'a joint report has two variables'
+ WHEN finalization_days > 20 THEN 'more than 20 finalization days' WHEN has_export AND NOT (has_serialization AND has_location) THEN 'incomplete export' END AS reason FROM {reports} WHERE reason IS NOT NULL""")
+def v10_invalid_report_shape(t):
+    return checks.invalid_report_shape(t("reports")).select("id", "reason")
+
+
+# joins
+
+
+@query("SELECT obs_id, e.id IS NOT NULL AS found FROM {obs} o LEFT JOIN (SELECT id FROM {encodings} WHERE id < 3) e ON e.id = o.encoding_config_id")
+def j1_with_encoding(t):
+    e = t("encodings").where("id < 3").select("customer_id", "project_id", "id", "kind")
+    good = rows.with_encoding(t("obs"), e).select("obs_id", F.lit(True).alias("found"))
+    return good.unionByName(rows.without_encoding(t("obs"), e).select("obs_id", F.lit(False).alias("found")))
+
+
+@query("SELECT r.id AS report_id, m.name AS metric_name, CAST(r.id % 3 AS VARCHAR) AS part_name FROM {reports} r JOIN {metrics} m ON m.customer_id = r.customer_id AND m.project_id = r.project_id AND m.id = r.metric_id")
+def j2_with_report(t):
+    variables = t("reports").select(F.col("id").alias("report_id"), F.lit(0).alias("position"), (F.col("id") % 3).cast("string").alias("part_name"))
+    return rows.with_report(t("reports"), t("metrics"), variables).select("report_id", "metric_name", "part_name")
+
+
+@query("SELECT idx, label, count(*) AS n FROM {obs} LEFT JOIN {labels_dim} USING (idx) GROUP BY ALL")
+def j3_with_labels(t):
+    return rows.with_labels(t("obs").groupBy("idx").agg(F.count("*").alias("n")), t("labels_dim"))
+
+
+def _bloom_sql(value: str, cohort: str, k: int, h: int) -> str:
+    return "list_distinct([" + ", ".join(f"CAST('0x' || substr(sha256({value} || CAST({cohort} AS VARCHAR)), {4 * i + 1}, 4) AS BIGINT) % {k}" for i in range(h)) + "])"
+
+
+@query(f"SELECT candidate, cohort, bit, cohort * 16 + 15 - bit AS row FROM (SELECT candidate, cohort, unnest({_bloom_sql('candidate', 'cohort', 16, 2)}) AS bit FROM (SELECT DISTINCT p_name AS candidate FROM part), (SELECT unnest(range(4)) AS cohort))")
+def j4_candidate_matrix(t):
+    return rows.candidate_matrix(t("part").select(F.col("p_name").alias("candidate")).distinct(), 16, 2, 4)
+
+
+@query("""SELECT s, round(e - a, 6) AS off, round(e - 1.96 * 2, 6) AS low, round(e + 1.96 * 2, 6) AS high FROM (SELECT s, count(*) + 1.5 AS e FROM {obs} GROUP BY s) LEFT JOIN (SELECT s, count(*) AS c FROM {obs} WHERE s <> 'view' GROUP BY s) USING (s), LATERAL (SELECT coalesce(c, 0) AS a)""")
+def j5_compare_with_actual(t):
+    est = t("obs").groupBy("s").agg((F.count("*") + 1.5).alias("estimate")).withColumn("std_error", F.lit(2.0))
+    actual = t("obs").where("s != 'view'").groupBy("s").agg(F.count("*").alias("actual"))
+    out = rows.compare_with_actual(est, actual, "s").withColumn("off", F.col("estimate") - F.col("actual"))
+    return out.select("s", *r6("off", "low", "high"))
+
+
+DUE_SQL = f"""SELECT c.config_id, d AS day FROM {{configs}} c, LATERAL (SELECT unnest(range({TODAY} - greatest(30, finalization_days), {TODAY} + 1)) AS d)
+ LEFT JOIN (SELECT config_id, day, bool_or(state = 'IN_PROGRESS') AS running, bool_or(state = 'COMPLETED') AS done FROM {{history}} WHERE NOT one_off GROUP BY ALL) h ON h.config_id = c.config_id AND h.day = d
+ WHERE NOT coalesce(running, false) AND (d >= {TODAY} - finalization_days OR NOT coalesce(done, false))"""
+
+
+@query(DUE_SQL)
+def j6_due_reports(t):
+    return reports.due_daily_reports(t("configs"), t("history"), TODAY)
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN q < 5 THEN 0 WHEN q >= 45 THEN 5 ELSE (q - 5) // 10 + 1 END AS bucket FROM (SELECT *, CAST(l_quantity AS BIGINT) AS q FROM lineitem)")
+def j7_bucketize(t):
+    return t("lineitem").select("l_orderkey", "l_linenumber", S.linear_bucket(F.col("l_quantity").cast("long"), 5, 4, 10).alias("bucket"))
+
+
+@query("SELECT a.report_id AS joint_id, b.position AS sequence, b.report_id AS marginal_id FROM {meta} a JOIN {meta} b USING (request_id) WHERE a.report_type = 'JOINT' AND b.report_type = 'HISTOGRAM'")
+def j8_associated_reports(t):
+    return rows.associated_reports(t("meta").withColumnRenamed("position", "sequence")).select("joint_id", "sequence", "marginal_id")
+
+
+@query("SELECT r AS row, r // 5 AS cohort, r % 5 AS category FROM (SELECT unnest(range(5 * (SELECT count(DISTINCT board) FROM {obs}))) AS r)")
+def j9_categorical_map(t):
+    m = t("obs").select("board").distinct().count()
+    return rows.categorical_map(t("obs").groupBy().agg(F.count("*")), 5, m)
+
+
+# encodings
+
+
+@query("SELECT obs_id, s AS value FROM {obs}")
+def e1_encode_noop(t):
+    return encoding.encode_noop(t("obs"), "s").select("obs_id", "value")
+
+
+def _bits_sql(k: int, index: str, p: float, q: float, salt: str) -> str:
+    return f"array_to_string(list_filter(range({k}), lambda j: {_uniform_sql(salt, 'obs_id', 'j')} < CASE WHEN {index} THEN {q} ELSE {p} END), ',')"
+
+
+@query(f"SELECT obs_id, {_bits_sql(5, f'j = list_position({KINDS_SQL}, s) - 1', 0.2, 0.8, 'basic')} AS set_bits FROM {{obs}}")
+def e2_basic_rappor(t):
+    return encoding.encode_basic_rappor(t("obs"), "s", KINDS, 0.2, 0.8, "basic").select("obs_id", joined("set_bits"))
+
+
+def _cohort_sql(m: int, span: int, salt: str) -> str:
+    draw = f"CAST('0x' || substr(sha256('{salt}|' || CAST(client_id AS VARCHAR) || '|' || CAST(a AS VARCHAR)), 1, 13) AS BIGINT) % {span}"
+    return f"list_filter(list_transform(range(64), lambda a: {draw}), lambda v: v < {m})[1]"
+
+
+@query(f"SELECT DISTINCT client_id, {_cohort_sql(50, 64, 'cohort')} AS cohort FROM {{obs}}")
+def e3_assign_cohort(t):
+    return t("obs").select("client_id").distinct().withColumn("cohort", encoding.assign_cohort("client_id", 50, "cohort"))
+
+
+@query(f"SELECT p_partkey, array_to_string(list_sort({_bloom_sql('p_name', '3', 32, 2)}), ',') AS bits FROM part")
+def e4_bloom_bits(t):
+    return t("part").select("p_partkey", encoding.bloom_bits("p_name", F.lit(3), 32, 2).alias("b")).select("p_partkey", F.sort_array("b").alias("b")).select("p_partkey", joined("b", "bits"))
+
+
+@query(f"SELECT obs_id, cohort, {_bits_sql(16, 'list_contains(bloom, j)', 0.1, 0.9, 'rappor')} AS set_bits FROM (SELECT *, {_bloom_sql('s', 'cohort', 16, 2)} AS bloom FROM (SELECT *, {_cohort_sql(8, 8, 'rappor')} AS cohort FROM {{obs}}))")
+def e5_encode_rappor(t):
+    return encoding.encode_rappor(t("obs"), "s", "client_id", 16, 2, 8, 0.1, 0.9, "rappor").select("obs_id", "cohort", joined("set_bits"))
+
+
+@query("SELECT s, day_index AS epoch, count(*) AS n, count(DISTINCT client_id) AS points FROM {obs} WHERE metric_id = 1 GROUP BY ALL")
+def e6_encode_threshold(t):
+    coded = encoding.encode_threshold(t("obs").where("metric_id = 1"), "s", "client_id", 5, S.DAY, "master")
+    # one ciphertext a value and epoch, one point a client
+    return coded.groupBy("epoch", "ciphertext").agg(F.min("s").alias("s"), F.count("*").alias("n"), F.count_distinct("point_x", "point_y").alias("points")).select("s", F.col("epoch").cast("long").alias("epoch"), "n", "points")
+
+
+@query(f"SELECT obs_id, client_id % 8 AS cohort, array_to_string(list_transform(range(15, -1, -1), lambda j: CASE WHEN list_contains({_bloom_sql('s', '(client_id % 8)', 16, 2)}, j) THEN '1' ELSE '0' END), '') AS bits1 FROM {{obs}}")
+def e7_legacy_cohort(t):
+    return encoding.encode_legacy_cohort(t("obs"), "client_id", 8, {"s": "bits1"}, 16, 2).select("obs_id", "cohort", "bits1")
+
+
+@query(f"SELECT obs_id, 0 AS cohort, {_bits_sql(8, 'j = i', 0.25, 0.75, 'hot')} AS set_bits FROM {{obs}} WHERE i BETWEEN 0 AND 7")
+def e8_one_hot(t):
+    return encoding.encode_one_hot(t("obs"), "i", 8, 0.25, 0.75, "hot").select("obs_id", "cohort", joined("set_bits"))
+
+
+@query(f"""SELECT obs_id, 'basic_rappor' AS encoding, {_bits_sql(5, f'j = list_position({KINDS_SQL}, s) - 1', 0.2, 0.8, 'basic')} AS payload FROM {{obs}} WHERE metric_id = 1
+ UNION ALL SELECT obs_id, 'noop', s FROM {{obs}} WHERE metric_id = 2 UNION ALL SELECT obs_id, 'one_hot', {_bits_sql(8, 'j = i', 0.25, 0.75, 'hot')} FROM {{obs}} WHERE metric_id = 3 AND i BETWEEN 0 AND 7""")
+def e9_encode(t):
+    obs = t("obs")
+    basic = encoding.encode_basic_rappor(obs.where("metric_id = 1"), "s", KINDS, 0.2, 0.8, "basic").select("obs_id", F.lit("basic_rappor").alias("encoding"), joined("set_bits", "payload"))
+    plain = encoding.encode_noop(obs.where("metric_id = 2"), "s").select("obs_id", F.lit("noop").alias("encoding"), F.col("value").alias("payload"))
+    hot = encoding.encode_one_hot(obs.where("metric_id = 3"), "i", 8, 0.25, 0.75, "hot").select("obs_id", F.lit("one_hot").alias("encoding"), joined("set_bits", "payload"))
+    return basic.unionByName(plain).unionByName(hot)
+
+
+# estimators
+
+
+@query("SELECT s, count(*) AS count_estimate, 0.0::DOUBLE AS std_error FROM {obs} GROUP BY s")
+def a1_histogram(t):
+    return estimate.histogram(t("obs"), "s")
+
+
+@query("SELECT CASE WHEN q < 5 THEN 0 WHEN q >= 45 THEN 5 ELSE (q - 5) // 10 + 1 END AS bucket, count(*) AS n FROM (SELECT CAST(l_quantity AS BIGINT) AS q FROM lineitem) GROUP BY 1")
+def a2_int_buckets(t):
+    return estimate.histogram_int_buckets(t("lineitem"), S.linear_bucket(F.col("l_quantity").cast("long"), 5, 4, 10))
+
+
+@query("SELECT i % 14 AS bucket, sum(1 + obs_id % 3) AS n FROM {obs} WHERE i % 14 < 12 GROUP BY 1")
+def a3_merge_distributions(t):
+    dist = t("obs").withColumn("dist", F.create_map((F.col("i") % 14).cast("int"), 1 + F.col("obs_id") % 3))
+    return estimate.merge_distributions(dist, 10)
+
+
+BITS_SQL = f"SELECT obs_id, metric_id, board, list_filter(range(5), lambda j: {_uniform_sql('basic', 'obs_id', 'j')} < CASE WHEN j = list_position({KINDS_SQL}, s) - 1 THEN 0.8 ELSE 0.2 END) AS b FROM {{obs}}"
+COUNTS_SQL = f"SELECT bit, n, (SELECT count(*) FROM ({BITS_SQL}) WHERE list_contains(b, bit)) AS y FROM (SELECT count(*) AS n FROM {{obs}}), (SELECT unnest(range(5)) AS bit)"
+EST_SQL = "(y - 0.2 * n) / (0.8 - 0.2) AS e, sqrt(y * (1 - 0.2 - 0.8) + n * (0.2 * 0.8)) / abs(0.8 - 0.2) AS se"
+
+
+def _basic(t):
+    return encoding.encode_basic_rappor(t("obs"), "s", KINDS, 0.2, 0.8, "basic")
+
+
+@query(COUNTS_SQL)
+def a4_bit_counts(t):
+    return estimate.bit_counts(_basic(t), 5)
+
+
+@query(f"SELECT bit, round(e, 6) AS count_estimate, round(se, 6) AS std_error FROM (SELECT bit, {EST_SQL} FROM ({COUNTS_SQL}))")
+def a5_basic_rappor_estimate(t):
+    return estimate.basic_rappor_estimate(estimate.bit_counts(_basic(t), 5), 0.2, 0.8).select("bit", *r6("count_estimate", "std_error"))
+
+
+def _bloom(t):
+    return encoding.encode_rappor(t("obs"), "s", "client_id", 16, 2, 8, 0.1, 0.9, "rappor")
+
+
+CELLS_SQL = f"""SELECT cohort, bit, n, coalesce(y, 0) AS y FROM (SELECT cohort, count(*) AS n FROM (SELECT {_cohort_sql(8, 8, 'rappor')} AS cohort FROM {{obs}}) GROUP BY 1) CROSS JOIN (SELECT unnest(range(16)) AS bit)
+ LEFT JOIN (SELECT cohort, bit, count(*) AS y FROM (SELECT cohort, unnest(list_filter(range(16), lambda j: {_uniform_sql('rappor', 'obs_id', 'j')} < CASE WHEN list_contains(bloom, j) THEN 0.9 ELSE 0.1 END)) AS bit
+ FROM (SELECT *, {_bloom_sql('s', 'cohort', 16, 2)} AS bloom FROM (SELECT *, {_cohort_sql(8, 8, 'rappor')} AS cohort FROM {{obs}}))) GROUP BY ALL) USING (cohort, bit)"""
+
+
+@query(CELLS_SQL)
+def a6_cohort_bit_counts(t):
+    return estimate.cohort_bit_counts(_bloom(t), 16, 8)
+
+
+@query(f"SELECT cohort, bit, round((y - 0.1 * n) / (0.9 - 0.1), 6) AS count_estimate, round(sqrt(y * (1 - 0.1 - 0.9) + n * (0.1 * 0.9)) / abs(0.9 - 0.1), 6) AS std_error FROM ({CELLS_SQL})")
+def a7_cohort_bit_estimates(t):
+    return estimate.basic_rappor_estimate(estimate.cohort_bit_counts(_bloom(t), 16, 8), 0.1, 0.9).select("cohort", "bit", *r6("count_estimate", "std_error"))
+
+
+@query(f"SELECT cohort * 16 + 15 - bit AS row, round((y - 0.1 * n) / (0.9 - 0.1) / n, 6) AS ratio FROM ({CELLS_SQL})")
+def a8_bit_count_ratios(t):
+    return estimate.bit_count_ratios(estimate.basic_rappor_estimate(estimate.cohort_bit_counts(_bloom(t), 16, 8), 0.1, 0.9), 16).select("row", *r6("ratio"))
+
+
+@query()
+def a9_rappor_estimate(t):
+    candidates = t("obs").select(F.col("s").alias("candidate")).distinct()
+    return estimate.rappor_estimate(_bloom(t), candidates, 16, 2, 8, 0.1, 0.9)
+
+
+THRESHOLD_SQL = "SELECT s AS plaintext, sum(n) AS total, count(*) AS epochs FROM (SELECT s, day_index, count(*) AS n FROM {obs} GROUP BY ALL HAVING count(DISTINCT client_id) >= 20) GROUP BY s"
+
+
+@query(THRESHOLD_SQL)
+def a10_threshold_decrypt(t):
+    coded = encoding.encode_threshold(t("obs").withColumn("metric_id", F.lit(1)), "s", "client_id", 20, S.DAY, "master")
+    return encoding.threshold_decrypt(coded, 20)
+
+
+@query("SELECT s, sum(1) AS conflicts FROM (SELECT s, client_id FROM {obs} WHERE day_index = 19725 GROUP BY ALL HAVING count(DISTINCT obs_id % 7 = 0) > 1) GROUP BY s")
+def a11_threshold_errors(t):
+    obs = t("obs").where("day_index = 19725")
+    coded = obs.select(F.lit(0).alias("epoch"), F.col("s").alias("ciphertext"), F.col("client_id").alias("point_x"), (F.col("obs_id") % 7 == 0).cast("string").alias("point_y"))
+    return encoding.threshold_errors(coded).select(F.col("ciphertext").alias("s"), "conflicts")
+
+
+@query("SELECT board, s, count(*) AS count_estimate, 0.0::DOUBLE AS std_error FROM {obs} GROUP BY ALL")
+def a12_histogram_by_profile(t):
+    return estimate.histogram(t("obs"), "s", ["board"])
+
+
+@query("SELECT board, min(encoding_config_id) AS lo, max(encoding_config_id) AS hi FROM {obs} WHERE encoding_config_id = 1 OR board = 'board2' GROUP BY board HAVING min(encoding_config_id) <> max(encoding_config_id)")
+def a13_heterogeneous_groups(t):
+    return estimate.heterogeneous_groups(t("obs").where("encoding_config_id = 1 OR board = 'board2'"), ["board"])
+
+
+@query(f"SELECT cohort, count(*) AS total, {', '.join(f'sum(CASE WHEN list_contains(b, {j}) THEN 1 ELSE 0 END) AS bit{j}' for j in range(4))} FROM (SELECT client_id % 8 AS cohort, {_bloom_sql('s', '(client_id % 8)', 4, 2)} AS b FROM {{obs}}) GROUP BY cohort")
+def a14_sum_bits(t):
+    coded = encoding.encode_legacy_cohort(t("obs"), "client_id", 8, {"s": "bits"}, 4, 2)
+    return estimate.sum_bits(coded, 4)
+
+
+@query("SELECT h AS hour, count(event_id) AS n FROM (SELECT unnest(range(24)) AS h) LEFT JOIN events ON hour(ts) = h GROUP BY h")
+def a15_usage_by_hour(t):
+    return estimate.usage_by_hour(t("events"), "ts")
+
+
+@query("SELECT url, count(*) AS n FROM pages GROUP BY url")
+def a15_usage_by_url(t):
+    return estimate.usage_by(t("pages"), "url")
+
+
+@query("SELECT board, count(*) AS n, round(avg(d), 6) AS mean FROM {obs} GROUP BY board")
+def a16_usage_and_mean(t):
+    return estimate.usage_and_mean(t("obs"), "board", "d").select("board", "n", *r6("mean"))
+
+
+def _pair_table(t):
+    obs = encoding.encode_basic_rappor(t("obs"), "s", KINDS, 0.2, 0.8, "v1").withColumnRenamed("set_bits", "bits1").drop("category")
+    obs = obs.withColumn("b4", F.col("idx") % 4).withColumn("bits2", encoding.noisy_bits(F.col("b4"), 4, 0.2, 0.8, "v2", "obs_id"))
+    import numpy as np
+
+    return joint.report_likelihoods(joint.report_patterns(obs, "bits1", "bits2", 5, 4), np.eye(5), np.eye(4), 0.2, 0.8)
+
+
+@query()
+def a17_report_likelihoods(t):
+    return _pair_table(t).select("weight", F.round(F.aggregate("c", F.lit(0.0), lambda a, x: a + x), 9).alias("total_likelihood"))
+
+
+@query(f"SELECT cohort, bit, round(greatest(0.0, least(1.0, (y - 0.05 * n) / (n * (1 - 0.25)))), 6) AS probability FROM ({CELLS_SQL})")
+def a18_other_probabilities(t):
+    counts = estimate.cohort_bit_counts(_bloom(t), 16, 8)
+    known = counts.select("cohort", "bit", (F.col("n") * 0.05).alias("expected"), F.lit(0.25).alias("share"))
+    return estimate.other_probabilities(counts, known, 0.1, 0.9).select("cohort", "bit", *r6("probability"))
+
+
+NAMES4 = ["0", "1", "2", "3"]
+
+
+@query()
+def a19_joint_em(t):
+    grid = joint.joint_em(_pair_table(t), 5, 4, 25, 1e-4)
+    return joint.as_rows(t("region").sparkSession, grid, KINDS, NAMES4)
+
+
+@query()
+def a20_joint_variance(t):
+    table_ = _pair_table(t).cache()
+    grid = joint.joint_em(table_, 5, 4, 5, 1e-3)
+    errors, _ = joint.joint_variance(table_, grid)
+    return joint.as_rows(t("region").sparkSession, errors, KINDS, NAMES4).withColumnRenamed("proportion", "std_error")
+
+
+@query()
+def a21_independence_test(t):
+    table_ = _pair_table(t).cache()
+    grid = joint.joint_em(table_, 5, 4, 5, 1e-3)
+    statistic, p_value = joint.independence_test(grid, joint.joint_variance(table_, grid)[1])
+    return t("region").sparkSession.createDataFrame([(statistic, p_value)], "statistic double, p_value double")
+
+
+@query("SELECT s AS v1, round(sum(r * n) / sum(n), 6) AS mean FROM (SELECT s, idx % 4 AS r, count(*) AS n FROM {obs} GROUP BY ALL) WHERE s <> 'view' GROUP BY s")
+def a22_mean_by_candidate(t):
+    fit = t("obs").groupBy(F.when(F.col("s") == "view", "Other").otherwise(F.col("s")).alias("v1"), (F.col("idx") % 4).alias("v2")).agg(F.count("*").alias("proportion"))
+    return estimate.mean_by_candidate(fit).select("v1", *r6("mean"))
+
+
+@query("SELECT floor({u} * 0)::BIGINT AS zero, s, CAST(round(n - 2.0 * sign({u} - 0.5) * ln(greatest(1 - 2 * abs({u} - 0.5), 1e-15))) AS BIGINT) AS released FROM (SELECT s, count(*) AS n FROM {obs} GROUP BY s)".replace("{u}", _uniform_sql("laplace", "s")))
+def a23_laplace_release(t):
+    report = t("obs").groupBy("s").agg(F.count("*").alias("n"))
+    return estimate.laplace_release(report, "n", 2.0, "laplace", "s").select(F.lit(0).cast("long").alias("zero"), "s", "released")
+
+
+@query("""WITH c AS (SELECT DISTINCT 12 + day_index % 9 AS n, least(12 + day_index % 9, count(*) % 13) AS y FROM {obs} GROUP BY day_index),
+ g AS (SELECT n, y, v, sum(exp(lgamma(v+1)-lgamma(j+1)-lgamma(v-j+1) + j*ln(0.75) + (v-j)*ln(0.25) + lgamma(n-v+1)-lgamma(y-j+1)-lgamma(n-v-y+j+1) + (y-j)*ln(0.25) + (n-v-y+j)*ln(0.75))) AS l
+ FROM c, LATERAL (SELECT unnest(range(n + 1)) AS v), LATERAL (SELECT unnest(range(greatest(0, y - (n - v)), least(v, y) + 1)) AS j) GROUP BY ALL)
+SELECT n, y, arg_max(v, l) AS estimate FROM g GROUP BY ALL""")
+def a24_mle_counts(t):
+    counts = t("obs").groupBy("day_index").agg(F.count("*").alias("c")).select((12 + F.col("day_index") % 9).alias("n"), F.least(12 + F.col("day_index") % 9, F.col("c") % 13).alias("y"))
+    return estimate.mle_counts(counts, 0.25, 0.75, 40)
+
+
+@query("SELECT metric_id, day_index, board, count(*) AS n FROM {obs} GROUP BY ALL")
+def a25_batch_sizes(t):
+    return estimate.batch_sizes(t("obs"), ["metric_id", "day_index", "board"])
+
+
+@query(f"SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n FROM ({REASON_SQL}) GROUP BY 1")
+def a26_quality_counters(t):
+    return estimate.quality_counters(_judged(t))
+
+
+@query("SELECT s, v2, count(*) AS proportion FROM (SELECT s, 'board' || (idx % 4) AS v2 FROM {obs}) GROUP BY ALL")
+def a27_flatten_joint(t):
+    wide = t("obs").groupBy("s").pivot("board", ["board0", "board1", "board2", "board3"]).count()
+    return estimate.flatten_joint(wide, "s").where("proportion IS NOT NULL")
+
+
+# epochs, chunks, order
+
+
+@query("SELECT obs_id, day_index AS d, (day_index + 4) // 7 AS w, (year(ts) - 1970) * 12 + month(ts) - 1 AS m FROM {obs}")
+def w1_epoch_index(t):
+    return t("obs").select("obs_id", *[S.epoch_index("day_index", e).cast("long").alias(e[0].lower()) for e in (S.DAY, S.WEEK, S.MONTH)])
+
+
+@query("SELECT obs_id, CAST(floor((row_number() OVER (PARTITION BY metric_id, day_index ORDER BY sha256('chunk|' || obs_id), obs_id) - 1) / 20) AS BIGINT) AS chunk FROM {obs}")
+def w2_chunk(t):
+    return rows.chunk(t("obs"), ["metric_id", "day_index"], "obs_id", 20, "chunk").select("obs_id", "chunk")
+
+
+@query("SELECT obs_id, CAST(floor(coalesce(sum(length(s) + 10) OVER (PARTITION BY client_id ORDER BY obs_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 100) AS BIGINT) AS envelope FROM {obs}")
+def w3_pack_batches(t):
+    return rows.pack_batches(t("obs"), ["client_id"], "obs_id", F.length("s") + 10, 100).select("obs_id", "envelope")
+
+
+@query("SELECT s, day_index, obs_id FROM {obs} QUALIFY row_number() OVER (PARTITION BY s, day_index ORDER BY obs_id) <= 3")
+def w4_first_points(t):
+    return rows.first_points(t("obs").select("s", "day_index", "obs_id"), ["s", "day_index"], "obs_id", 3)
+
+
+@query("SELECT obs_id, s, i, kind, CASE kind WHEN 'string' THEN 1 WHEN 'int' THEN 2 ELSE 3 END AS kind_rank FROM (SELECT obs_id, CASE WHEN k = 'string' THEN s END AS s, CASE WHEN k = 'int' THEN i END AS i, k AS kind FROM (SELECT *, CASE obs_id % 3 WHEN 0 THEN 'string' WHEN 1 THEN 'int' ELSE 'index' END AS k FROM {obs}))")
+def t1_sort_report(t):
+    df = t("obs").withColumn("kind", F.expr("CASE obs_id % 3 WHEN 0 THEN 'string' WHEN 1 THEN 'int' ELSE 'index' END"))
+    df = df.withColumn("s", F.expr("CASE WHEN kind = 'string' THEN s END")).withColumn("i", F.expr("CASE WHEN kind = 'int' THEN i END"))
+    return rows.sort_report(df).select("obs_id", "s", "i", "kind", "kind_rank")
+
+
+@query("SELECT p_name, count(*) AS n FROM part GROUP BY p_name ORDER BY n DESC, p_name LIMIT 50")
+def t2_top_k(t):
+    return rows.top_k(t("part"), "p_name", 50)
+
+
+@query("SELECT s, count(*) AS n FROM {obs} GROUP BY s")
+def t3_order_for_display(t):
+    return rows.order_for_display(estimate.usage_by(t("obs"), "s"), "n", "s")
+
+
+@query("SELECT obs_id, sha256('perm|' || obs_id) AS shuffle_key FROM {obs}")
+def t4_shuffle_rows(t):
+    return rows.shuffle_rows(t("obs").select("obs_id"), "perm", "obs_id")
+
+
+@query("SELECT i, n, (SELECT count(DISTINCT i) FROM {obs}) > 25 AS truncated FROM (SELECT i, count(*) AS n FROM {obs} GROUP BY i) ORDER BY i LIMIT 25")
+def t5_cap_distinct(t):
+    return rows.cap_distinct(estimate.usage_by(t("obs"), "i"), "i", 25)
+
+
+@query("SELECT obs_id, s FROM {obs} ORDER BY sha256('sample|' || obs_id), obs_id LIMIT 500")
+def t6_sample_reports(t):
+    return rows.sample_reports(t("obs").select("obs_id", "s"), 500, "sample", "obs_id")
+
+
+@query("SELECT s, count(*) AS n FROM (SELECT s FROM {obs} UNION ALL SELECT s FROM {obs} WHERE metric_id = 1) GROUP BY s")
+def u1_merge_batches(t):
+    obs = t("obs").select("s", "metric_id")
+    return rows.merge_batches(obs, obs.where("metric_id = 1")).groupBy("s").agg(F.count("*").alias("n"))
+
+
+@query("SELECT s, n, 'left' AS side FROM (SELECT s, count(*) AS n FROM {obs} GROUP BY s) WHERE s IN ('view', 'click') UNION ALL SELECT s, n - 1, 'right' FROM (SELECT s, count(*) AS n FROM {obs} GROUP BY s) WHERE s = 'click'")
+def u2_diff_results(t):
+    a = estimate.usage_by(t("obs"), "s")
+    b = a.where("s != 'view'").withColumn("n", F.when(F.col("s") == "click", F.col("n") - 1).otherwise(F.col("n")))
+    return rows.diff_results(a, b)
+
+
+@query("SELECT obs_id, s FROM {obs}")
+def u3_dedupe(t):
+    obs = t("obs").select("obs_id", "s")
+    return rows.dedupe(obs.unionByName(obs.where("obs_id % 2 = 0")), ["obs_id"])
+
+
+# scalars
+
+
+@query("SELECT event_id, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS utc, date_diff('day', DATE '1970-01-01', CAST(ts - INTERVAL 8 HOUR AS DATE)) AS pacific FROM events")
+def c1_day_index(t):
+    return t("events").select("event_id", S.day_index("ts").alias("utc"), S.day_index("ts", "-08:00").alias("pacific"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date, DAYOF(o_orderdate) AS day FROM orders")
+def c2_day_and_date(t):
+    day = S.date_to_day(F.to_date("o_orderdate"))
+    return t("orders").select("o_orderkey", S.day_to_date(day).cast("string").alias("date"), day.alias("day"))
+
+
+@query("SELECT o_orderkey, w AS week, strftime(DATE '1970-01-01' + CAST(greatest(w * 7 - 4, 0) AS INTEGER), '%Y-%m-%d') AS begins FROM (SELECT o_orderkey, (DAYOF(o_orderdate) + 4) // 7 AS w FROM orders)")
+def c3_week(t):
+    week = S.week_index(S.date_to_day(F.to_date("o_orderdate")))
+    return t("orders").select("o_orderkey", week.alias("week"), S.week_to_date(week).cast("string").alias("begins"))
+
+
+@query("SELECT o_orderkey, (year(o_orderdate) - 1970) * 12 + month(o_orderdate) - 1 AS month, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS begins FROM orders")
+def c4_month(t):
+    month = S.month_index(S.date_to_day(F.to_date("o_orderdate")))
+    return t("orders").select("o_orderkey", month.alias("month"), S.month_to_date(month).cast("string").alias("begins"))
+
+
+@query("SELECT obs_id, day_index * 86400 AS midnight FROM {obs}")
+def c5_midnight_utc(t):
+    return t("obs").select("obs_id", S.midnight_utc("day_index").alias("midnight"))
+
+
+@query("SELECT obs_id, CASE WHEN i < 10 THEN 0 WHEN i >= 40 THEN 4 ELSE (i - 10) // 10 + 1 END AS bucket FROM {obs}")
+def c6_linear_bucket(t):
+    return t("obs").select("obs_id", S.linear_bucket("i", 10, 3, 10).alias("bucket"))
+
+
+@query("SELECT obs_id, CASE WHEN i < 0 THEN 0 WHEN i < 2 THEN 1 WHEN i < 4 THEN 2 WHEN i < 8 THEN 3 WHEN i < 16 THEN 4 ELSE 5 END AS bucket FROM {obs}")
+def c7_exponential_bucket(t):
+    return t("obs").select("obs_id", S.exponential_bucket("i", 0, 4, 2, 2).alias("bucket"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size <= 1 THEN 1 ELSE CAST(pow(2, ceil(log2(p_size))) AS BIGINT) END AS p2 FROM part")
+def c8_next_pow2(t):
+    return t("part").select("p_partkey", S.next_pow2("p_size").alias("p2"))
+
+
+@query("SELECT p_partkey, array_to_string(list_filter(range(16), lambda j: (p_partkey >> j) & 1 = 1), ',') AS bits FROM part")
+def c9_bits_of(t):
+    data = t("part").select("p_partkey", F.unhex(F.lpad(F.hex("p_partkey"), 4, "0")).alias("data"))
+    return data.select("p_partkey", joined_column(S.bits_of("data", 16)).alias("bits"))
+
+
+def joined_column(c):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+@query()
+def c10_csv_string(t):
+    return t("documents").select("doc_id", S.csv_string("text").alias("field"))
+
+
+@query("SELECT url, regexp_replace(substr(url, 1, 128), '[^A-Za-z0-9]', '_', 'g') AS header FROM pages")
+def c11_csv_header(t):
+    return t("pages").select("url", S.csv_header("url").alias("header"))
+
+
+@query("SELECT event_id, CASE WHEN x = '0.000' THEN '0' ELSE x END AS shown FROM (SELECT event_id, printf('%.3f', value) AS x FROM events)")
+def c12_format_float(t):
+    return t("events").select("event_id", S.format_float("value").alias("shown"))
+
+
+@query("SELECT event_id, greatest(0.0, value - 20) AS clipped FROM events")
+def c13_clip_count(t):
+    return t("events").select("event_id", S.clip_count(F.col("value") - 20).alias("clipped"))
+
+
+def _kinds(t):
+    return t("obs").withColumn("kind", F.expr("CASE obs_id % 4 WHEN 0 THEN 'string' WHEN 1 THEN 'int' WHEN 2 THEN 'index' ELSE 'blob' END")).withColumn("b", F.encode("s", "UTF-8"))
+
+
+@query("""SELECT obs_id, CASE obs_id % 4 WHEN 0 THEN '"' || s || '"' WHEN 1 THEN CAST(i AS VARCHAR) WHEN 2 THEN coalesce('"' || label || '"', '"<index ' || idx || '>"') ELSE base64(unhex(sha256(s))) END AS value FROM {obs} LEFT JOIN {labels_dim} USING (idx)""")
+def c14_value_to_string(t):
+    return rows.with_labels(_kinds(t), t("labels_dim")).select("obs_id", S.value_to_string().alias("value"))
+
+
+@query("""SELECT obs_id, CASE obs_id % 4 WHEN 0 THEN s WHEN 1 THEN CAST(i AS VARCHAR) WHEN 2 THEN coalesce(label, '<index ' || idx || '>') ELSE '[blob]' END AS value FROM {obs} LEFT JOIN {labels_dim} USING (idx)""")
+def c15_display_value(t):
+    return rows.with_labels(_kinds(t), t("labels_dim")).select("obs_id", S.display_value().alias("value"))
+
+
+@query("SELECT obs_id, year(ts) || '-' || month(ts) || '-' || day(ts) AS date, strftime(ts, '%Y%m%d') AS suffix FROM {obs}")
+def c16_date_strings(t):
+    return t("obs").select("obs_id", S.date_string("day_index").alias("date"), S.date_suffix("day_index").alias("suffix"))
+
+
+@query("""SELECT obs_id, '1_1_' || metric_id || '/' || name || '.csv' AS path FROM (SELECT *, 'report_1_1_' || metric_id || '_' || strftime(ts, '%Y%m%d') || CASE WHEN obs_id % 2 = 0 THEN '_' || strftime(ts + INTERVAL 6 DAY, '%Y%m%d') ELSE '' END AS name FROM {obs})""")
+def c17_export_paths(t):
+    last = F.when(F.col("obs_id") % 2 == 0, F.col("day_index") + 6).otherwise(F.col("day_index"))
+    named = t("obs").withColumn("last", last).withColumn("name", S.export_name("customer_id", "project_id", "metric_id", "day_index", "last"))
+    return named.select("obs_id", S.export_path("customer_id", "project_id", "metric_id", "name").alias("path"))
+
+
+@query("SELECT obs_id, array_to_string(list_filter([CASE WHEN obs_id % 2 = 0 THEN 'board:' || board END, CASE WHEN obs_id % 3 = 0 THEN 's:' || s END], lambda x: x IS NOT NULL), ',') AS profile FROM {obs}")
+def c18_profile_strings(t):
+    df = t("obs").select("obs_id", F.when(F.col("obs_id") % 2 == 0, F.col("board")).alias("board"), F.when(F.col("obs_id") % 3 == 0, F.col("s")).otherwise("").alias("s"))
+    return df.select("obs_id", F.array_join(S.profile_strings("board", "s"), ",").alias("profile"))
+
+
+@query("SELECT event_id, round(greatest(0, value - 1.96 * 3), 6) AS low, round(greatest(0, value + 1.96 * 3), 6) AS high FROM events")
+def c19_confidence_interval(t):
+    low, high = S.confidence_interval("value", F.lit(3.0), clip=True)
+    return t("events").select("event_id", low.alias("low"), high.alias("high")).select("event_id", *r6("low", "high"))
+
+
+@query(f"SELECT event_id, {_uniform_sql('u', 'event_id', '7')} AS u FROM events")
+def c20_keyed_uniform(t):
+    return t("events").select("event_id", S.keyed_uniform("u", "event_id", F.lit(7)).alias("u"))
+
+
+@query("SELECT obs_id, client_id % 8 AS cohort, array_to_string(string_split(reverse(right('0000000' || bin(idx), 7)), ''), ',') AS bits FROM {obs}")
+def c21_fold_cohort(t):
+    return t("obs").select("obs_id", S.fold_cohort("client_id", 8).alias("cohort"), joined_column(S.bit_array(F.lpad(F.bin("idx"), 7, "0"))).alias("bits"))
+
+
+# reports
+
+
+@query("SELECT s AS value, count(*) AS count_estimate, 0.0::DOUBLE AS std_error FROM {obs} WHERE day_index BETWEEN 19725 AND 19740 GROUP BY s")
+def r1_noop_report(t):
+    return reports.histogram_report(t("obs"), "noop", {"value": "s"}, 19725, 19740)
+
+
+@query(f"SELECT {KINDS_SQL}[bit + 1] AS value, round(e, 6) AS count_estimate, round(se, 6) AS std_error FROM (SELECT bit, {EST_SQL} FROM ({COUNTS_SQL}))")
+def r1_basic_rappor_report(t):
+    """Day range, one-hot encoding with keyed noise, bit counts, estimates and standard errors."""
+    cfg = {"categories": KINDS, "p": 0.2, "q": 0.8}
+    return reports.histogram_report(_basic(t), "basic_rappor", cfg, 0, 1_000_000).select("value", *r6("count_estimate", "std_error"))
+
+
+@query("SELECT plaintext AS value, total AS count_estimate, 0.0::DOUBLE AS std_error FROM (" + THRESHOLD_SQL + ")")
+def r1_threshold_report(t):
+    coded = encoding.encode_threshold(t("obs").withColumn("metric_id", F.lit(1)), "s", "client_id", 20, S.DAY, "master")
+    return reports.histogram_report(coded, "threshold", {"threshold": 20}, 0, 1_000_000)
+
+
+@query("SELECT s AS v1, board AS v2, count(*) AS n FROM {obs} GROUP BY ALL")
+def r2_joint_counts(t):
+    return reports.joint_counts(t("obs").select(F.col("s").alias("v1"), F.col("board").alias("v2")), "v1", "v2")
+
+
+@query()
+def r2_joint_report(t):
+    grid = joint.joint_em(_pair_table(t), 5, 4, 15, 1e-4)
+    return joint.as_rows(t("region").sparkSession, grid * t("obs").count(), KINDS, NAMES4).withColumnRenamed("proportion", "count_estimate")
+
+
+@query("SELECT a.obs_id, a.value AS type, b.value AS amount, o.board FROM {tall} a JOIN {tall} b USING (obs_id) JOIN {obs} o USING (obs_id) WHERE a.part_name = 'type' AND a.kind = 'string' AND b.part_name = 'amount' AND b.encoding = 'noop'")
+def r3_raw_dump_report(t):
+    return rows.raw_dump(t("tall"), {"type": "string", "amount": "int"}).join(t("obs").select("obs_id", "board"), "obs_id")
+
+
+@query("SELECT 0 AS variable, s AS value, count(*) AS n FROM {obs} GROUP BY s UNION ALL SELECT 1, board, count(*) FROM {obs} GROUP BY board")
+def r4_marginal_reports(t):
+    return reports.marginal_reports(reports.joint_counts(t("obs").select(F.col("s").alias("v1"), F.col("board").alias("v2")), "v1", "v2"))
+
+
+@query("""SELECT year(d) || '-' || month(d) || '-' || day(d) AS date, coalesce('"' || label || '"', '"<index ' || idx || '>"') AS value, CASE WHEN n <= 0 THEN '0' ELSE printf('%.3f', n) END AS count, '1.500' AS err
+ FROM (SELECT CAST(ts AS DATE) AS d, idx, count(*) - 5.0::DOUBLE AS n FROM {obs} GROUP BY ALL) LEFT JOIN {labels_dim} USING (idx) WHERE NOT (label IS NULL AND abs(n) < 1e-4)""")
+def r5_finished_report(t):
+    report = t("obs").groupBy("day_index", "idx").agg((F.count("*") - 5.0).alias("count_estimate"))
+    report = report.withColumns({"kind": F.lit("index"), "std_error": F.lit(1.5), "s": F.lit(None).cast("string"), "i": F.lit(None).cast("long"), "d": F.lit(None).cast("double"), "b": F.lit(None).cast("binary")})
+    return reports.finished_report(report, t("labels_dim"))
+
+
+@query(DUE_SQL)
+def r6_due_daily_reports(t):
+    return reports.due_daily_reports(t("configs"), t("history"), TODAY)
+
+
+@query(f"""SELECT config_id, e AS epoch FROM {{configs}}, (SELECT unnest(range(({TODAY} + 4) // 7 - 8, ({TODAY} + 4) // 7)) AS e)
+ WHERE (config_id, e) NOT IN (SELECT (config_id, (day + 4) // 7) FROM {{history}} WHERE NOT one_off AND state IN ('COMPLETED', 'IN_PROGRESS'))""")
+def r7_due_weekly_reports(t):
+    return reports.due_epoch_reports(t("configs"), t("history"), TODAY, S.WEEK, 8)
+
+
+@query("""SELECT a.obs_id, '"' || a.value || '",' || b.value AS line FROM {tall} a JOIN {tall} b USING (obs_id) WHERE a.part_name = 'type' AND a.kind = 'string' AND b.part_name = 'amount' AND b.encoding = 'noop'""")
+def r8_raw_dump_rendered(t):
+    dump = rows.raw_dump(t("tall"), {"type": "string", "amount": "int"})
+    return dump.select("obs_id", reports.csv_line([S.csv_string("type"), F.col("amount")]).alias("line"))
+
+
+@query("SELECT report_id, min(stamp) AS created, arg_max(state, stamp) AS state, max(stamp) AS updated FROM {report_events} GROUP BY report_id")
+def r9_report_metadata(t):
+    return reports.report_metadata(t("report_events"))
+
+
+@query("SELECT report_id, count(*) AS n_messages, arg_max(message, stamp) AS last_message FROM {report_events} WHERE message IS NOT NULL GROUP BY report_id")
+def r9_report_errors(t):
+    return reports.report_errors(t("report_events"))
+
+
+@query("SELECT p_name, count(*) AS n FROM part GROUP BY p_name HAVING count(*) >= 5")
+def r10_popular_values(t):
+    return reports.popular_values(t("part"), "p_name", 5)
+
+
+# streams
+
+
+@query("SELECT random_id, s FROM {obs}")
+def st1_stream_dedupe(t):
+    obs = t("obs").select("random_id", "ts", "s")
+    twice = obs.unionByName(obs.where("random_id % 3 = 0"))
+    return streams.drain(streams.stream_dedupe(streams.as_stream(twice, "st1"))).select("random_id", "s")
+
+
+RELEASE_SQL = f"""SELECT obs_id, CASE WHEN count(*) OVER (PARTITION BY metric_id, board, day_index) >= 30 THEN 'release' WHEN {TODAY} - day_index > 15 THEN 'dispose' ELSE 'hold' END AS action FROM {{obs}}"""
+
+
+@query(RELEASE_SQL)
+def st2_threshold_release(t):
+    buffer = t("obs").withColumn("arrival_day", F.col("day_index"))
+    return rows.threshold_release(buffer, ["metric_id", "board", "day_index"], 30, 15, TODAY).select("obs_id", "action")
+
+
+@query("SELECT k, obs_id FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM (SELECT board || s AS k, obs_id FROM {obs})) WHERE n >= 30")
+def st2_threshold_release_stream(t):
+    obs = t("obs").select(F.concat("board", "s").alias("k"), "obs_id", "day_index")
+    return streams.drain(streams.threshold_release_stream(streams.as_stream(obs.coalesce(1), "st2"), "k", "obs_id", "day_index", 30, 1000))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS period, s, count(*) AS n FROM {obs} GROUP BY ALL")
+def st4_counter_stream(t):
+    return streams.drain(streams.counter_stream(streams.as_stream(t("obs").select("ts", "s"), "st4"), "1 hour", "s", late="60 days"), "update", ["period", "s"])
+
+
+@query("SELECT metric_id, obs_id FROM {obs} QUALIFY row_number() OVER (PARTITION BY metric_id ORDER BY " + _uniform_sql("res", "obs_id") + ", obs_id) <= 20")
+def st5_reservoir_sample(t):
+    return streams.reservoir(t("obs"), 20, ["metric_id"], "obs_id", "res").select("metric_id", "obs_id")
+
+
+@query("SELECT metric_id, obs_id FROM {obs} QUALIFY row_number() OVER (PARTITION BY metric_id ORDER BY " + _uniform_sql("res", "obs_id") + ", obs_id) <= 20")
+def st5_reservoir_stream(t):
+    return streams.drain(streams.reservoir_stream(streams.as_stream(t("obs").select("metric_id", "obs_id").coalesce(1), "st5"), 20, "metric_id", "obs_id", "res"), "update")
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS period, s, count(*) AS n, round(sum(d), 4) AS total, round(avg(d), 6) AS mean FROM {obs} GROUP BY ALL")
+def st6_event_log(t):
+    out = streams.drain(streams.event_log(streams.as_stream(t("obs").select("ts", "s", "d"), "st6"), "1 day", "s", "d", late="60 days"), "update", ["period", "s"])
+    return out.select("period", "s", "n", F.round("total", 4).alias("total"), *r6("mean"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, s, count(*) AS n FROM {obs} GROUP BY ALL")
+def st7_finalization_window(t):
+    return streams.drain(streams.finalization_window(streams.as_stream(t("obs").select("ts", "s"), "st7"), 60, "s"), "update", ["day", "s"])
+
+
+@query("SELECT client_id AS envelope_id, CASE WHEN client_id % 4 = 0 THEN 'env' ELSE board END AS board, metric_id, obs_id, 19750 AS arrival_day FROM {obs}")
+def st8_receive(t):
+    batches = t("obs").groupBy("client_id", "board", "metric_id").agg(F.collect_list("obs_id").alias("observations"))
+    envelopes = batches.groupBy(F.col("client_id").alias("envelope_id")).agg(F.collect_list(F.struct("board", "metric_id", "observations")).alias("batches"))
+    envelopes = envelopes.withColumn("env_board", F.when(F.col("envelope_id") % 4 == 0, "env").otherwise(""))
+    return rows.receive(envelopes, TODAY)
