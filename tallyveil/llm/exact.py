@@ -13,7 +13,7 @@ exactly one of several equal rows stays. Null text counts as empty.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import _conf, fresh_path, settle, write_once
@@ -40,7 +40,8 @@ def _digested(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.length(text).alias("points"), F.translate(text, WHITE, "").alias("norm"), *LOCATOR).withColumn("digest", F.unhex(F.sha2("norm", 256)))
 
 
-_BEST = F.max(F.struct("points", F.expr("~doc_id").alias("order_id"), *LOCATOR, "doc_id")).alias("best")
+def _best() -> Column:
+    return F.max(F.struct("points", F.expr("~doc_id").alias("order_id"), *LOCATOR, "doc_id")).alias("best")
 
 
 def keyed_state(inbox: DataFrame, path: str) -> DataFrame:
@@ -48,7 +49,7 @@ def keyed_state(inbox: DataFrame, path: str) -> DataFrame:
     spark = inbox.sparkSession
     checkpoint = fresh_path(spark, "exact-state")
     stream = spark.readStream.schema(inbox.schema).parquet(path)
-    grouped = stream.groupBy("digest").agg(F.count("*").alias("n"), _BEST)
+    grouped = stream.groupBy("digest").agg(F.count("*").alias("n"), _best())
     with _conf(spark, PROVIDER, ROCKSDB), _conf(spark, FALLOCATE, "false"):
         query = grouped.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
@@ -70,13 +71,13 @@ def group_equal(rows: DataFrame) -> DataFrame:
     hits = _digested(rows).join(several, "digest").withColumn("keeper", F.expr("_file = best._file AND _row = best._row"))
     hits = settle(hits.drop("best"), "exact-hits")
     keepers = settle(hits.where("keeper").select("digest", F.col("norm").alias("keeper_norm")), "exact-keepers")
-    clashing = settle(hits.join(keepers, "digest").where("norm != keeper_norm").select("digest").distinct(), "exact-clashes")
+    clashing = settle(hits.join(keepers, "digest").where("norm != keeper_norm").select("digest"), "exact-clashes").distinct()
     alone = inbox.join(groups, "digest")
     if clashing.isEmpty():
         found = alone
     else:
         apart = hits.join(clashing, "digest", "left_semi")
-        by_bytes = apart.groupBy("digest", "norm").agg(F.count("*").alias("n"), _BEST)
+        by_bytes = apart.groupBy("digest", "norm").agg(F.count("*").alias("n"), _best())
         again = apart.join(by_bytes, ["digest", "norm"]).select(*alone.columns)
         found = alone.join(clashing, "digest", "left_anti").unionByName(again)
     return found.select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"), F.expr("_file = best._file AND _row = best._row").alias("kept"), "digest", *LOCATOR)
