@@ -70,12 +70,19 @@ class Rolling:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])
 
 
-class Texts:
+class Raw:
     """A run of whole texts: their UTF-8 bytes and where each begins."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.off = data, offsets
         self.n = len(offsets) - 1
+
+
+class Texts(Raw):
+    """Raw texts with their words."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        super().__init__(data, offsets)
         white = WHITE[data]
         self.dark = ~white
         start = self.dark.copy()
@@ -145,7 +152,7 @@ def later_copies(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20, form: type[Raw] = Texts) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """Runs of rows with about `limit` bytes of text each (a longer text is a run of its own); null counts as empty."""
     for batch in batches:
         text = batch.column(column)
@@ -162,5 +169,5 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
         while row < n:
             to = int(np.searchsorted(off, off[row] + limit, "right")) - 1
             to = min(n, max(row + 1, to))
-            yield batch.slice(row, to - row), Texts(raw[off[row] : off[to]], off[row : to + 1] - off[row])
+            yield batch.slice(row, to - row), form(raw[off[row] : off[to]], off[row : to + 1] - off[row])
             row = to

@@ -17,7 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .tokens import ChunkCache, row_slices
+from .arrowtext import Raw, text_slices
+from .tokens import ChunkCache
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -180,7 +181,7 @@ class ByteBPE:
         # white space as Unicode defines it, whatever \s means to the regex module
         self.find = regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
         self.pack = [i.to_bytes(4, "little") for i in range(len(ranks))]
-        self.cache = ChunkCache(self._encode_chunks)
+        self.cache = ChunkCache(self._encode_chunks, "<u4")
         spell = [self.fst.spell[i] for i in range(len(ranks))]
         self.flat = np.frombuffer(b"".join(spell), np.uint8)
         self.size = np.fromiter(map(len, spell), np.int64, len(spell))
@@ -196,10 +197,6 @@ class ByteBPE:
             out.append(b"".join([pack[i] for i in ids]))
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        return self.cache.encode(texts)
-
     def raw(self, ids: np.ndarray) -> bytes:
         size = self.size[ids]
         ends = np.cumsum(size)
@@ -229,8 +226,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def task(batches):
         bpe = load(path, pattern)
-        for batch, texts in row_slices(batches):
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": pa.array(bpe.encode(texts), pa.binary())})
+        for batch, texts in text_slices(batches, form=Raw):
+            ids, at = bpe.cache.encode(texts)
+            rows = [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": pa.array(rows, pa.binary())})
 
     return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, ids binary")
 
@@ -252,13 +251,14 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def task(batches):
         bpe = load(path, pattern)
-        for batch, texts in row_slices(batches):
+        for batch, texts in text_slices(batches, form=Raw):
             n, ids_sha, text_sha = [], [], []
-            for ids in bpe.encode(texts):
-                sha = hashlib.sha256()
-                for part in bpe.decode(np.frombuffer(ids, "<u4")):
+            every, at = bpe.cache.encode(texts)
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                ids, sha = every[a:b], hashlib.sha256()
+                for part in bpe.decode(ids):
                     sha.update(part.encode())
-                n.append(len(ids) // 4)
+                n.append(len(ids))
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(sha.hexdigest())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": ids_sha, "decoded_sha256": text_sha})

@@ -27,7 +27,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import fresh_path, settle, write_once
-from .tokens import library_encoder, row_slices
+from .arrowtext import Raw, text_slices
+from .tokens import encoded_rows, library_encoder
 
 MAGIC = b"TVSST1\0\0"
 FOOTER = struct.Struct("<QQQQQQQ8s")
@@ -162,11 +163,10 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> Non
 
     def task(batches):
         encoder, writer = library_encoder(tokenizer), ShardWriter()
-        end = np.array([end_id], "<u2").tobytes()
-        for batch, texts in row_slices(batches):
+        for batch, texts in text_slices(batches, form=Raw):
             out = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts)):
-                segment = writer.add(key_of(doc_id), ids + end)
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded_rows(*encoder.encode(texts), end_id)):
+                segment = writer.add(key_of(doc_id), ids)
                 if segment is not None:
                     out.append(segment)
             if out:

@@ -3,23 +3,42 @@
 A chunk reaches from a space that follows a non-space character (or from the text's start) to the next such space; a
 full stop or comma between a letter or digit and a space is a chunk by itself. In the vocabularies used here no
 pre-token holds a space after another kind of character, nor a letter or digit beside punctuation (but for English
-contractions, which begin with an apostrophe; the one letter whose lower case ends in a mark is left together), so chunks can be encoded alone; every different chunk goes through the
-tokenizer itself.
+contractions, which begin with an apostrophe), so chunks can be encoded alone. Where that can't be told from a few
+bytes, chunks stay together. Every different chunk goes through the tokenizer itself; numpy finds the different
+chunks of a slice and puts their ids back in order.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
+import numpy as np
 
-_SPACES = re.compile(r"\s ")
-_BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
-_STOP = re.compile(r"(?<=[^\W_\u0130])([.,])(?= )")
-BARE = "\x00"  # begins a chunk that has no space before it
+from .arrowtext import BYTES_A, LOWER, U64, Raw, Rolling
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[*range(9, 14), *range(0x1C, 0x21)]] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[c for c in range(128) if chr(c).isalnum()]] = True
+
+
+def chunk_starts(texts: Raw) -> np.ndarray:
+    """Byte positions at which chunks begin."""
+    d = texts.data
+    back = [np.concatenate([np.zeros(j, np.uint8), d[: len(d) - j]]) if len(d) >= j else np.zeros(len(d), np.uint8) for j in range(1, 5)]
+    one, two, three, four = back
+    # a character of several bytes counts if its lead byte begins no kind of space
+    wide = (one >= 0x80) & (((two >= 0xC3) & (two < 0xE0)) | ((two < 0xC0) & (two >= 0x80) & (((three >= 0xE4) & (three < 0xF0)) | ((three < 0xC0) & (three >= 0x80) & (four >= 0xF0)))))
+    cut = (d == 0x20) & (((one < 0x80) & ~_SPACE[one]) | wide)
+    before_space = np.zeros(len(d), bool)
+    before_space[:-1] = d[1:] == 0x20
+    before_space[texts.off[1:][texts.off[1:] > texts.off[:-1]] - 1] = False
+    letter = _ALNUM[one] | ((two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7))
+    cut |= ((d == 0x2E) | (d == 0x2C)) & before_space & letter
+    cut[texts.off[:-1][texts.off[:-1] < texts.off[1:]]] = True
+    return np.flatnonzero(cut)
 
 
 class ChunkCache:
@@ -28,50 +47,57 @@ class ChunkCache:
     Two generations of at most about `limit` chunks are held; what is met again moves to the younger one.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 300_000, fold: bool = False):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], dtype: str, limit: int = 300_000, fold: bool = False):
         """fold: the tokenizer lower-cases, so ASCII texts may be lower-cased first."""
-        self.encode_many, self.limit, self.fold = encode_many, limit, fold
-        self.later: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def split(self, text: str) -> tuple[str, list[str]]:
-        """The first chunk, and the others without their leading space (or with BARE if they have none)."""
-        if self.fold and text.isascii():
-            text = text.lower()
-        if BARE in text:
-            first, *rest = _BEFORE_SPACE.split(text)
-            return first, [x[1:] if x[1:2] != BARE else BARE + x for x in rest]
-        text = _STOP.sub(f" {BARE}\\1", text)
-        if _SPACES.search(text):
-            first, *rest = _BEFORE_SPACE.split(text)
-            return first, [x[1:] for x in rest]
-        first, *rest = text.split(" ")
-        if not first and rest:  # the text begins with a space
-            first, rest = " " + rest[0], rest[1:]
-        return first, rest
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self.split(t) for t in texts]
-        wanted: set[str] = set()
-        for _, rest in parts:
-            wanted.update(rest)
+        self.encode_many, self.dtype, self.limit, self.fold = encode_many, np.dtype(dtype), limit, fold
+        self.later: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def lookup(self, chunks: list[bytes]) -> list[bytes]:
         if len(self.later) > self.limit:
             self.later, self.older = {}, self.later
-        wanted -= self.later.keys()
-        known = wanted & self.older.keys()
-        self.later.update(zip(known, map(self.older.__getitem__, known)))
-        missing = list(wanted - known)
-        got = self.encode_many([x[1:] if x[:1] == BARE else " " + x for x in missing] + [first for first, _ in parts])
-        self.later.update(zip(missing, got))
-        get = self.later.__getitem__
-        return [head + b"".join(map(get, rest)) for head, (_, rest) in zip(got[len(missing) :], parts)]
+        later, older = self.later, self.older
+        missing = [c for c in chunks if c not in later]
+        if missing:
+            new = [c for c in missing if c not in older]
+            later.update((c, older[c]) for c in missing if c in older)
+            later.update(zip(new, self.encode_many([c.decode() for c in new])))
+        return [later[c] for c in chunks]
+
+    def encode(self, texts: Raw) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text's begin (and the last one's end)."""
+        if self.fold:
+            high = np.concatenate([[0], np.cumsum(texts.data >= 0x80)])
+            plain = np.repeat(high[texts.off[1:]] == high[texts.off[:-1]], np.diff(texts.off))
+            texts = Raw(np.where(plain, LOWER[texts.data], texts.data), texts.off)
+        start = chunk_starts(texts)
+        if not len(start):
+            return np.zeros(0, self.dtype), np.zeros(texts.n + 1, np.int64)
+        end = np.append(start[1:], len(texts.data))
+        key = Rolling(BYTES_A[texts.data]).spans(start, end) + (end - start).astype(U64)
+        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        raw = texts.data.tobytes()
+        found = self.lookup([raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())])
+        flat = np.frombuffer(b"".join(found), self.dtype)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        begin = np.cumsum(size) - size
+        count = size[inverse]
+        done = np.concatenate([[0], np.cumsum(count)])
+        ids = flat[np.repeat(begin[inverse] - done[:-1], count) + np.arange(done[-1])]
+        return ids, done[np.searchsorted(start, texts.off)]
+
+    def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
+        data = [t.encode() for t in texts]
+        off = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
+        ids, at = self.encode(Raw(np.frombuffer(b"".join(data), np.uint8), off))
+        return [ids[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
 _loaded: dict[str, ChunkCache] = {}
 
 
 def library_encoder(path: str) -> ChunkCache:
-    """Little-endian unsigned 16-bit ids by the tokenizers library; strings of special tokens in a text are ordinary text."""
+    """Unsigned 16-bit ids by the tokenizers library; strings of special tokens in a text are ordinary text."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -85,20 +111,11 @@ def library_encoder(path: str) -> ChunkCache:
         def encode_many(chunks: list[str]) -> list[bytes]:
             return [array("H", e.ids).tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-        _loaded[path] = ChunkCache(encode_many, fold=folds)
+        _loaded[path] = ChunkCache(encode_many, "<u2", fold=folds)
     return _loaded[path]
 
 
-def row_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Runs of rows of about `limit` bytes of text, with the texts (null: empty)."""
-    for batch in batches:
-        row, held, texts = 0, 0, []
-        for i, t in enumerate(batch.column(column)):
-            t = t.as_py() or ""
-            if texts and held + len(t) > limit:
-                yield batch.slice(row, i - row), texts
-                row, held, texts = i, 0, []
-            texts.append(t)
-            held += len(t)
-        if texts:
-            yield batch.slice(row), texts
+def encoded_rows(ids: np.ndarray, at: np.ndarray, end_id: int) -> list[bytes]:
+    """Each text's ids as bytes, with end_id last."""
+    end, raw, width = np.array([end_id], ids.dtype).tobytes(), ids.tobytes(), ids.dtype.itemsize
+    return [raw[a * width : b * width] + end for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
