@@ -32,6 +32,8 @@ from .components import connected
 from .shared import discard, settle
 
 SKETCH_LONGS = 8
+SKETCH = [f"x{j}" for j in range(SKETCH_LONGS)]
+BROADCAST_ROWS = 500_000
 FLUSH_ROWS = 1_500_000
 BLOCK = 256
 
@@ -189,29 +191,41 @@ def _several(key, node):
     return pa.RecordBatch.from_pydict({"key": key[keep], "node": node[keep]})
 
 
+def _sketches(texts: Texts, g: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
+    """Columns x0, x1, ... of each set's parity bits."""
+    bits = np.zeros((texts.n, 64 * SKETCH_LONGS), np.uint8)
+    place = (mix(g + U64(5)) % U64(64 * SKETCH_LONGS)).astype(np.int64)
+    np.bitwise_xor.at(bits.reshape(-1), np.repeat(np.arange(texts.n), np.diff(off)) * 64 * SKETCH_LONGS + place, 1)
+    longs = np.packbits(bits, axis=1).view(np.int64)
+    return {x: np.ascontiguousarray(longs[:, j]) for j, x in enumerate(SKETCH)}
+
+
 def _sets_task(spec: Spec):
     def task(batches):
-        met: set[int] = set()  # rows of a repeated doc_id meet in one task of the join, so each set is sent once
         for batch, texts in text_slices(batches):
             g, off = shingle_sets(texts, spec)
-            size, doc = np.diff(off), np.repeat(np.arange(texts.n), np.diff(off))
-            bits = np.zeros((texts.n, 64 * SKETCH_LONGS), np.uint8)
-            place = (mix(g + U64(5)) % U64(64 * SKETCH_LONGS)).astype(np.int64)
-            np.bitwise_xor.at(bits.reshape(-1), doc * 64 * SKETCH_LONGS + place, 1)
-            sketch = np.packbits(bits, axis=1).view(np.int64)
             raw = g.tobytes()
             members = [raw[a * 8 : b * 8] for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
             node, wanted = _node_ids(g, off), batch.column("node").to_numpy(zero_copy_only=False)
-            new = np.array([a == b and a not in met and not met.add(a) for a, b in zip(node.tolist(), wanted.tolist())], bool)
-            yield pa.RecordBatch.from_pydict({
-                "node": node, "size": size.astype(np.int64), "members": pa.array(members, pa.binary()),
-                **{f"x{j}": np.ascontiguousarray(sketch[:, j]) for j in range(SKETCH_LONGS)},
-            }).filter(pa.array(new))
+            yield pa.RecordBatch.from_pydict({"node": node, "members": pa.array(members, pa.binary())}).filter(pa.array(node == wanted))
 
     return task
 
 
-SETS = "node long, size long, members binary, " + ", ".join(f"x{j} long" for j in range(SKETCH_LONGS))
+def _sets(docs: DataFrame, pairs: DataFrame, first: DataFrame, spec: Spec) -> DataFrame:
+    """(node, members) of the nodes in pairs."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = settle(nodes.join(first, "node").select("node", F.col("least").alias("doc_id")), "pj-wanted")
+    if wanted.count() <= BROADCAST_ROWS:  # else both sides are dealt by doc_id
+        wanted = F.broadcast(wanted)
+    return settle(docs.join(wanted, "doc_id").mapInArrow(_sets_task(spec), "node long, members binary").dropDuplicates(["node"]), "pj-sets")
+
+
+def _possible(spec: Spec, one: str, two: str) -> str:
+    """SQL: sizes and bit sketches (with prefixes one and two) allow the similarity."""
+    apart = " + ".join(f"bit_count({one}{x} ^ {two}{x})" for x in SKETCH)
+    less = f"least({one}size, {two}size)"
+    return f"{spec.percent} * greatest({one}size, {two}size) <= 100 * {less} AND {spec.percent} * ({apart}) <= {100 - spec.percent} * {less}"
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
@@ -241,39 +255,37 @@ def link_documents(docs: DataFrame, spec: Spec) -> DataFrame:
     def name_task(batches):
         for batch, texts in text_slices(batches):
             g, off = shingle_sets(texts, spec)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_shingles": np.diff(off).astype(np.int64), "node": _node_ids(g, off)})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_shingles": np.diff(off).astype(np.int64), "node": _node_ids(g, off), **_sketches(texts, g, off)})
 
-    named = settle(docs.mapInArrow(name_task, "doc_id long, n_shingles long, node long"), "pj-named")
-    first = settle(named.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least")), "pj-first")
+    named = settle(docs.mapInArrow(name_task, "doc_id long, n_shingles long, node long, " + ", ".join(f"{x} long" for x in SKETCH)), "pj-named")
+    first = named.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("size"), *[F.max(x).alias(x) for x in SKETCH])
+    first = settle(first, "pj-first")
 
     rows = docs.mapInArrow(_rows_task(spec), "key long, node long, known boolean")
     dealt = rows.repartition(F.when(F.col("known"), F.xxhash64("key", "node")).otherwise(F.col("key"))).sortWithinPartitions("key", "node")
     shared = settle(dealt.mapInArrow(_shared_task, "key long, node long"), "pj-shared")
 
-    wanted = settle(shared.select("node").distinct().join(first, "node").select("node", F.col("least").alias("doc_id")), "pj-wanted")
-    sets = settle(docs.join(wanted, "doc_id").mapInArrow(_sets_task(spec), SETS), "pj-sets")
-
     central = shared.groupBy("node").agg(F.count("*").alias("c"))
     hubs = settle(shared.join(central, "node").groupBy("key").agg(F.max(F.struct("c", "node")).alias("top")).select("key", F.col("top.node").alias("hub")), "pj-hubs")
     pairs = settle(shared.join(hubs, "key").where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pj-pairs")
-    links = settle(_verify(pairs, sets, spec), "pj-links")
+    side = lambda c: first.select(F.col("node").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("size", *SKETCH)])
+    pairs = settle(pairs.join(side("a"), "a").join(side("b"), "b").where(_possible(spec, "a_", "b_")).select("a", "b"), "pj-possible")
+    links = settle(_verify(pairs, _sets(docs, pairs, first, spec), spec), "pj-links")
     comp = settle(connected(links), "pj-comp")
 
     rooted = settle(shared.join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "pj-rooted")
     open_keys = settle(rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "pj-open")
-    sketch = [f"x{j}" for j in range(SKETCH_LONGS)]
-    rest = settle(rooted.join(open_keys, "key").join(sets.select("node", "size", *sketch), "node"), "pj-rest")
-    left = rest.select("key", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), *[F.col(c).alias(f"l_{c}") for c in ("node", "root", "size", *sketch)])
+    rest = settle(rooted.join(open_keys, "key").join(first.select("node", "size", *SKETCH), "node"), "pj-rest")
+    left = rest.select("key", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), *[F.col(c).alias(f"l_{c}") for c in ("node", "root", "size", *SKETCH)])
     right = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks")
-    apart = " + ".join(f"bit_count(l_{x} ^ {x})" for x in sketch)
-    near = f"l_root < root AND {spec.percent} * greatest(l_size, size) <= 100 * least(l_size, size) AND {spec.percent} * ({apart}) <= {100 - spec.percent} * least(l_size, size)"
-    more = left.join(right, ["key", "block"]).where(near).select(F.col("l_node").alias("a"), F.col("node").alias("b")).distinct()
-    more = settle(_verify(settle(more, "pj-pairs"), sets, spec), "pj-links")
+    more = left.join(right, ["key", "block"]).where(f"l_root < root AND {_possible(spec, 'l_', '')}").select(F.col("l_node").alias("a"), F.col("node").alias("b")).distinct()
+    more = settle(more.join(pairs, ["a", "b"], "left_anti"), "pj-possible")
     if not more.isEmpty():
+        more = settle(_verify(more, _sets(docs, more, first, spec), spec), "pj-links")
         comp = settle(connected(links.unionByName(more)), "pj-comp")
 
     named_nodes = first.join(comp, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     smallest = settle(named_nodes.groupBy("root").agg(F.min("least").alias("component_id")), "pj-smallest")
     of_node = settle(named_nodes.join(smallest, "root").select("node", "component_id"), "pj-of")
-    discard(rest, rooted, shared, sets, hubs, pairs)
+    discard(rest, rooted, shared, hubs, pairs)
     return named.join(of_node, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
