@@ -67,6 +67,40 @@ def s2_append_observations(t):
     return tables.append_observations(obs.select(*cols).unionByName(obs.where("obs_id % 3 = 0").select(*cols)), stored).select("random_id", "s", "i")
 
 
+@query("SELECT client_id::INTEGER AS user_id, s AS name, board AS city, hour(ts)::INTEGER AS hour, (i % 11)::INTEGER AS rating, 'q, ' || s AS help_query, 'http://x/' || obs_id AS url FROM {obs}")
+def s3_entries_round_trip(t):
+    obs = t("obs")
+    entries = obs.selectExpr("CAST(client_id AS INT) AS user_id", "s AS name", "board AS city", "hour(ts) AS hour", "CAST(i % 11 AS INT) AS rating", "concat('q, ', s) AS help_query", "concat('http://x/', obs_id) AS url")
+    path = streams.shared_path(obs.sparkSession, "entries")
+    tables.write_entries(entries, path)
+    return tables.read_entries(obs.sparkSession, path)
+
+
+@query("SELECT k, CAST(h AS INTEGER) AS h, m, CAST(p AS DOUBLE) AS p, CAST(q AS DOUBLE) AS q, CAST(f AS DOUBLE) AS f FROM (SELECT * FROM {encodings} WHERE id % 2 = 0)")
+def s4_rappor_params(t):
+    rows_ = t("encodings").where("id % 2 = 0").select("k", "h", "m", F.col("p").cast("double").alias("p"), F.col("q").cast("double").alias("q"), F.col("f").cast("double").alias("f"))
+    path = streams.shared_path(rows_.sparkSession, "params")
+    rows_.write.csv(path, header=True)
+    return tables.read_rappor_params(rows_.sparkSession, path)
+
+
+@query("SELECT DISTINCT p_name AS candidate FROM part")
+def s5_candidates(t):
+    names = t("part").select("p_name").distinct()
+    path = streams.shared_path(names.sparkSession, "candidates")
+    names.write.text(path)
+    return tables.read_candidates(names.sparkSession, path)
+
+
+@query("SELECT stamp, report_id FROM {report_events} WHERE report_id % 2 = 0 AND report_id % 3 = 0")
+def s8_store_report(t):
+    events = t("report_events").select("report_id", "stamp")
+    meta = events.select("report_id").distinct().selectExpr("report_id", "report_id % 2 = 0 AS in_store", "CASE WHEN report_id % 3 = 0 THEN 'IN_PROGRESS' ELSE 'COMPLETED' END AS state", "'HISTOGRAM' AS report_type")
+    path = streams.shared_path(events.sparkSession, "reports")
+    tables.store_report(events.withColumn("report_id", F.col("report_id")), meta, path)
+    return events.sparkSession.read.schema("stamp long, report_id long").parquet(path)
+
+
 @query("SELECT *, count(*) OVER (PARTITION BY customer_id, project_id, id) > 1 OR id = 0 AS bad_key FROM {metrics}")
 def s6_load_registry(t):
     return tables.load_registry(t("metrics"))

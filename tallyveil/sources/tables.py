@@ -79,7 +79,7 @@ def load_registry(table: DataFrame) -> DataFrame:
 def store_report(rows: DataFrame, meta: DataFrame, path: str) -> DataFrame:
     """Rows of reports that are in progress, kept in store and no raw dumps, written by report; returns what was written."""
     allowed = meta.where("in_store AND state = 'IN_PROGRESS' AND report_type != 'RAW_DUMP'").select("report_id")
-    kept = rows.join(allowed, "report_id", "left_semi")
+    kept = rows.join(allowed, "report_id", "left_semi").repartition("report_id")
     kept.write.mode("append").partitionBy("report_id").parquet(path)
     return kept
 
