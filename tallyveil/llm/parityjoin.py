@@ -200,6 +200,35 @@ def _sketches(texts: Texts, g: np.ndarray, off: np.ndarray) -> dict[str, np.ndar
     return {x: np.ascontiguousarray(longs[:, j]) for j, x in enumerate(SKETCH)}
 
 
+def _wide(g: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """Each set's parity bits in a sketch of the least power of two (64 at least) that is no less than its size."""
+    place, out = mix(g + U64(9)), []
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
+        bits = 1 << max(6, (b - a - 1).bit_length())
+        odd = np.bincount((place[a:b] & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).tobytes())
+    return out
+
+
+def _near(pairs: DataFrame, first: DataFrame, spec: Spec) -> DataFrame:
+    """The pairs whose wide sketches allow the similarity. The longer sketch is folded onto the shorter one's length."""
+
+    def task(batches):
+        for batch in batches:
+            keep = []
+            sizes = np.minimum(batch.column("sa").to_numpy(zero_copy_only=False), batch.column("sb").to_numpy(zero_copy_only=False)).tolist()
+            for x, y, size in zip(batch.column("wa"), batch.column("wb"), sizes):
+                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+                if len(x) > len(y):
+                    x, y = y, x
+                y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+                keep.append(spec.percent * int(np.bitwise_count(x ^ y).sum()) <= (100 - spec.percent) * size)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
+
+    side = lambda c: first.select(F.col("node").alias(c), F.col("wide").alias(f"w{c}"), F.col("size").alias(f"s{c}"))
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(task, "a long, b long")
+
+
 def _sets_task(spec: Spec):
     def task(batches):
         for batch, texts in text_slices(batches):
@@ -255,10 +284,10 @@ def link_documents(docs: DataFrame, spec: Spec) -> DataFrame:
     def name_task(batches):
         for batch, texts in text_slices(batches):
             g, off = shingle_sets(texts, spec)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_shingles": np.diff(off).astype(np.int64), "node": _node_ids(g, off), **_sketches(texts, g, off)})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_shingles": np.diff(off).astype(np.int64), "node": _node_ids(g, off), "wide": pa.array(_wide(g, off), pa.binary()), **_sketches(texts, g, off)})
 
-    named = settle(docs.mapInArrow(name_task, "doc_id long, n_shingles long, node long, " + ", ".join(f"{x} long" for x in SKETCH)), "pj-named")
-    first = named.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("size"), *[F.max(x).alias(x) for x in SKETCH])
+    named = settle(docs.mapInArrow(name_task, "doc_id long, n_shingles long, node long, wide binary, " + ", ".join(f"{x} long" for x in SKETCH)), "pj-named")
+    first = named.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("size"), F.max("wide").alias("wide"), *[F.max(x).alias(x) for x in SKETCH])
     first = settle(first, "pj-first")
 
     rows = docs.mapInArrow(_rows_task(spec), "key long, node long, known boolean")
@@ -270,6 +299,7 @@ def link_documents(docs: DataFrame, spec: Spec) -> DataFrame:
     pairs = settle(shared.join(hubs, "key").where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pj-pairs")
     side = lambda c: first.select(F.col("node").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("size", *SKETCH)])
     pairs = settle(pairs.join(side("a"), "a").join(side("b"), "b").where(_possible(spec, "a_", "b_")).select("a", "b"), "pj-possible")
+    pairs = settle(_near(pairs, first, spec), "pj-near")
     links = settle(_verify(pairs, _sets(docs, pairs, first, spec), spec), "pj-links")
     comp = settle(connected(links), "pj-comp")
 
@@ -280,6 +310,7 @@ def link_documents(docs: DataFrame, spec: Spec) -> DataFrame:
     right = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks")
     more = left.join(right, ["key", "block"]).where(f"l_root < root AND {_possible(spec, 'l_', '')}").select(F.col("l_node").alias("a"), F.col("node").alias("b")).distinct()
     more = settle(more.join(pairs, ["a", "b"], "left_anti"), "pj-possible")
+    more = settle(_near(more, first, spec), "pj-near")
     if not more.isEmpty():
         more = settle(_verify(more, _sets(docs, more, first, spec), spec), "pj-links")
         comp = settle(connected(links.unionByName(more)), "pj-comp")
@@ -288,4 +319,4 @@ def link_documents(docs: DataFrame, spec: Spec) -> DataFrame:
     smallest = settle(named_nodes.groupBy("root").agg(F.min("least").alias("component_id")), "pj-smallest")
     of_node = settle(named_nodes.join(smallest, "root").select("node", "component_id"), "pj-of")
     discard(rest, rooted, shared, hubs, pairs)
-    return named.join(of_node, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return named.select("doc_id", "n_shingles", "node").join(of_node, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
