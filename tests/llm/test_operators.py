@@ -186,6 +186,30 @@ def test_bm25_prefers_the_like_document():
     assert scores[2] > scores[1] == 0
 
 
+def test_bm25_scores_all_terms_of_a_seed():
+    rng = np.random.default_rng(3)
+    docs = [np.concatenate([np.arange(40), np.repeat(np.arange(900, 908), 9)]), np.arange(40), np.arange(500, 540), *(rng.integers(100, 900, 60) for _ in range(30))]
+    docs, idf = [d.astype("<u2") for d in docs], rng.uniform(1, 2, packing.TERMS).astype(np.float32)
+    want = [sum(idf[t] * (c := (d == t).sum()) * (packing.K1 + 1) / (c + packing.K1 * (1 - packing.B + packing.B * len(d) / 50)) for t in set(docs[0].tolist())) for d in docs]
+    got = packing.Shard(docs, idf, 50.0).scores(0)
+    assert np.allclose(got, want, rtol=1e-4) and got[1] > got[2] == 0  # docs 0 and 1 share none of the heaviest terms of 0
+
+
+def test_packing_finds_neighbours_of_other_parts(spark):
+    rng = np.random.default_rng(5)
+    words = [[f"{chr(97 + t)}{chr(97 + i)}{chr(100 + t)}q{i}" for i in range(20)] for t in range(12)]
+    topic = {i: i % 12 for i in range(480)}
+    rows = [(i, " ".join(rng.choice(words[t], 60))) for i, t in topic.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(6, "doc_id")
+    got = packing.pack_documents(docs, P.path("byte_bpe_50k.json"), window=2048, shard_tokens=30_000).collect()
+    assert len({r.sequence_id >> 32 for r in got}) > 1
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r.sequence_id, {}).setdefault(topic[r.doc_id], []).append(r.length)
+    most = sum(max(map(sum, s.values())) for s in sequences.values())
+    assert most > 0.8 * sum(r.length for r in got)
+
+
 def test_substring_equals_brute_force(docs, empty):
     got, seen = by_id(substring.digests(docs)), set()
     for i, t in sorted(ROWS, key=lambda r: r[0]):
