@@ -24,7 +24,7 @@ from .arrowtext import BYTES_A, SYMBOL, U64, Rolling, Texts, later_copies, mix,
 from .shared import settle
 
 ORDER = 5
-BEGIN, END = "\x02", "\x03"
+BEGIN, END = "\t", " "  # no word has white space
 FLUSH_WORDS = 200_000
 _A = 0xD6E8FEB86659FD93
 
@@ -40,6 +40,12 @@ def _padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return cp, np.flatnonzero(cp != ord(BEGIN))
 
 
+def _strings(gram: np.ndarray) -> list[str]:
+    """The grams with the NULs at their ends, which numpy drops."""
+    text = gram.tobytes().decode("utf-32-le")
+    return [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
+
+
 def _tails(cp: np.ndarray, at: np.ndarray, most: int):
     """Unmixed hashes of the 0, 1, ... most characters that end at each place."""
     h, a = np.zeros(len(at), U64), 1
@@ -79,7 +85,7 @@ def _count_task(batches):
         text = np.ascontiguousarray(wide).view(f"<U{ORDER}")[:, 0]
         gram, inverse = np.unique(text, return_inverse=True)
         c = np.bincount(inverse, weights=weight, minlength=len(gram)).astype(np.int64)
-        return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(gram), pa.string()), "gram": pa.array(gram.tolist(), pa.string()), "c": c})
+        return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(gram), pa.string()), "gram": pa.array(_strings(gram), pa.string()), "c": c})
 
     for batch, texts in text_slices(batches):
         langs = np.array([x or "" for x in batch.column("lang").to_pylist()], object)

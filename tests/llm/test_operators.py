@@ -62,6 +62,16 @@ def test_perplexity_counts(docs, empty):
     assert perplexity.quality_rules(empty).count() == 0
 
 
+def test_perplexity_control_characters_in_words(spark):
+    odd = ["a\x02b\x03c", "\x03", "\x02\x02", "x\x00\x00", "plain"]
+    texts = [f"{w} " * 60 for w in odd] + [t for _, t in ROWS[5:11]]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    grams_ = {r.gram: r.c for r in perplexity.count_grams(docs).collect()}
+    assert all(len(g) == perplexity.ORDER for g in grams_) and sum(grams_.values()) == sum(len(w) + 1 for t in texts for w in WORD.findall(t))
+    got = by_id(perplexity.quality_rules(docs))
+    assert all(0 < got[i].log_perplexity < 20 for i in range(len(odd)))
+
+
 def test_kneser_ney_sums_to_one(spark):
     counts = spark.createDataFrame([("en", g, c) for g, c in (("\x02\x02\x02\x02a", 5), ("\x02\x02\x02\x02b", 1), ("\x02\x02\x02aa", 2), ("\x02\x02\x02ab", 2), ("\x02\x02\x02a\x03", 1), ("\x02\x02\x02b\x03", 1))], "lang string, gram string, c long")
     probs, _ = perplexity.kneser_ney(counts)
