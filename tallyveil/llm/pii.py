@@ -23,7 +23,7 @@ from .shared import settle
 
 BASE = ("email", "ip", "card", "phone")
 LOCAL, LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
-EMAIL = rf"(?:(?<!{LOCAL})|\G){LOCAL}++@{LABEL}++(?:\.{LABEL}++){{1,400}}+"
+EMAIL = rf"(?:(?<!{LOCAL})|\G){LOCAL}++@{LABEL}++(?:\.{LABEL}++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 RUN = r"[0-9][0-9\x20-]*[0-9]"
@@ -33,7 +33,7 @@ OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 GAZETTEER = ("account", "call", "card", "contact", "email", "fax", "iban", "key", "mail", "mobile", "passport", "password", "phone", "secret", "ssn", "tel", "token")
 
 FORMS = {
-    "credential": (r"(?:password|passwd|token|secret|api_key)\x20?[=:]\x20?\"?[A-Za-z0-9_-]{8,128}\"?", "contains(text, '=') OR contains(text, ':')"),
+    "credential": (r"(?:password|passwd|token|secret|api_key)\x20?[=:]\x20?\"?[A-Za-z0-9_-]{8,}+\"?", "contains(text, '=') OR contains(text, ':')"),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])", "true"),
     "local_phone": (r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[-.\x20][0-9]{2,4}[-.\x20][0-9]{4}(?![0-9A-Za-z])", "true"),
     "masked_email": (r"[A-Za-z0-9._%+-]{1,64}+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,63}\x20?(?:\.|[\[(](?:dot|DOT)[\])])\x20?[A-Za-z]{2,24}", "contains(text, '(at)') OR contains(text, '[at]') OR contains(text, '(AT)') OR contains(text, '[AT]')"),

@@ -295,6 +295,16 @@ def test_pii_base_spans_and_mask(docs, empty):
     assert pii.report(empty).count() == 0
 
 
+def test_pii_spans_of_any_length(spark):
+    long_domain, secret = "x@" + ".".join(["ab"] * 20_000), "k3Y_" * 200
+    texts = [f"see {long_domain} end", *(f"the password = {secret[: 40 + 80 * i]} end" for i in range(9))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(pii.find_spans(docs))
+    assert [tuple(x) for x in got[0].email] == base_spans(texts[0])["email"] == [(4, 4 + len(long_domain))]
+    for i, t in list(enumerate(texts))[1:]:
+        assert [(x.s, x.e) for x in got[i].candidates if x.kind == "credential"] == [(4, len(t) - 4)]
+
+
 def test_em_finds_the_reliable_labeler():
     patterns = [((1, 1, None, 1, 1), 80), ((0, 0, None, 0, 0), 80), ((1, 0, None, 1, 1), 10), ((0, 1, None, 0, 0), 10)]
     post, rates = pii.reliabilities(patterns)
