@@ -2,9 +2,10 @@
 
 Model: modified Kneser-Ney over the characters of words, order 5, one for each language. Every word of every text is
 counted, padded with begin and end marks; Spark sums the 5-gram counts, derives the continuation counts of the lower
-orders, the discounts from the counts of counts, and interpolated probabilities and backoff weights. They are stored
-in two arrays sorted by key, a hash of (language, order, characters) folded to ``bits`` bits, so that the broadcast
-holds at most 2^bits entries each whatever the input; counting itself is not folded.
+orders, the discounts from the counts of counts, and interpolated probabilities and backoff weights. The model stays a
+table with a row an n-gram, keyed by 64 bits of (language, order, characters), and grows with the corpus. Documents are
+dealt into chunks by a hash; each chunk's different 5-grams get their log-probabilities by a shuffle join. Every text
+scored is counted, so its 5-grams are all in the model and no lower order is looked up.
 
 A text's score is the mean log-probability of its characters. Bands are per language: quartiles of the
 log-perplexity of texts with at least 50 words, widened by ``reach`` interquartile ranges; a text outside is rejected.
@@ -56,8 +57,8 @@ def _tails(cp: np.ndarray, at: np.ndarray, most: int):
         yield h
 
 
-def gram_keys(grams_: list[str], langs: list[str], orders: list[int], bits: int) -> np.ndarray:
-    """Folded keys of grams, each with the seed of its language and order."""
+def gram_keys(grams_: list[str], langs: list[str], orders: list[int]) -> np.ndarray:
+    """64-bit keys of grams, each with the seed of its language and order."""
     seed_of: dict[tuple[str, int], int] = {}
     seeds = np.array([seed_of.get(k) or seed_of.setdefault(k, _seed(*k)) for k in zip(langs, orders)], U64)
     size = np.fromiter(map(len, grams_), np.int64, len(grams_))
@@ -68,7 +69,15 @@ def gram_keys(grams_: list[str], langs: list[str], orders: list[int], bits: int)
         of = np.flatnonzero(size == n)
         *_, h = _tails(cp, end[of] - 1, n)
         out[of] = h
-    return mix(out + seeds) >> U64(64 - bits)
+    return mix(out + seeds)
+
+
+def word_keys(words: list[bytes], lang: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the 5-grams of the padded words one after another, and where each word's begin."""
+    cp, at = _padded(words)
+    *_, h = _tails(cp, at, ORDER)
+    ends = np.flatnonzero(cp[at] == ord(END))
+    return mix(h + U64(_seed(lang, ORDER))), np.concatenate([[0], ends + 1])
 
 
 def _count_task(batches):
@@ -135,61 +144,22 @@ def kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return probs, context.selectExpr("lang", "n", "ctx AS gram", "CASE WHEN n = 1 THEN ln(b / types) ELSE ln(b) END AS logb")
 
 
-def _store(table: DataFrame, value: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and values; colliding keys keep the larger value. At most 2^bits entries reach the driver."""
+def keyed(probs: DataFrame) -> DataFrame:
+    """(k, logp): the log-probability of each 5-gram by its key."""
 
-    def keyed(batches):
+    def task(batches):
         for b in batches:
             d = b.to_pydict()
-            keys = gram_keys(d["gram"], d["lang"], d["n"], bits) if d["n"] else np.zeros(0, U64)
-            yield pa.RecordBatch.from_pydict({"k": pa.array(keys.astype(np.int64)), "v": pa.array(d[value], pa.float64())})
+            keys = gram_keys(d["gram"], d["lang"], d["n"]) if d["n"] else np.zeros(0, U64)
+            yield pa.RecordBatch.from_pydict({"k": pa.array(keys.view(np.int64)), "logp": pa.array(d["logp"], pa.float64())})
 
-    small = table.mapInArrow(keyed, "k long, v double").groupBy("k").agg(F.max("v").cast("float").alias("v")).toArrow()
-    k, v = small["k"].to_numpy(), small["v"].to_numpy()
-    order = np.argsort(k)
-    return k[order].astype(np.uint32), v[order].astype(np.float32)
-
-
-def _find(store, keys):
-    k, v = store
-    if not len(k):
-        return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
-    at = np.minimum(np.searchsorted(k, keys.astype(np.uint32)), len(k) - 1)
-    return k[at] == keys, v[at]
-
-
-class Model:
-    """Sorted hash arrays of log-probabilities and backoff weights."""
-
-    def __init__(self, probs, backoffs, bits: int):
-        self.probs, self.backoffs, self.bits = probs, backoffs, bits
-
-    def score_words(self, words: list[bytes], lang: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probability and number of predicted characters of each word."""
-        cp, at = _padded(words)
-        seeds = [U64(_seed(lang, n)) for n in range(ORDER + 1)]
-        fold = U64(64 - self.bits)
-        gram = list(_tails(cp, at, ORDER))
-        context = list(_tails(cp, at - 1, ORDER - 1))
-        total, unseen = np.zeros(len(at)), np.ones(len(at), bool)
-        for n in range(ORDER, 0, -1):
-            hit, logp = _find(self.probs, mix(gram[n] + seeds[n]) >> fold)
-            total += np.where(unseen & hit, logp, 0)
-            unseen &= ~hit
-            if not unseen.any():
-                break
-            seen, logb = _find(self.backoffs, mix(context[n - 1] + seeds[n]) >> fold)
-            total += np.where(unseen & seen, logb, 0)
-        ends = np.flatnonzero(cp[at] == ord(END))
-        sums = np.concatenate([[0.0], np.cumsum(total)])
-        stops = np.concatenate([[0], ends + 1])
-        return sums[stops[1:]] - sums[stops[:-1]], np.diff(stops)
+    return probs.where(F.col("n") == ORDER).mapInArrow(task, "k long, logp double")
 
 
-def train(docs: DataFrame, bits: int = 23) -> Model:
-    """Count all documents and build the bounded model."""
-    probs, backoffs = kneser_ney(settle(count_grams(docs), "kn-counts"))
-    return Model(_store(probs, "logp", bits), _store(backoffs, "logb", bits), bits)
+def train(docs: DataFrame) -> DataFrame:
+    """Count all documents and build the model."""
+    probs, _ = kneser_ney(settle(count_grams(docs), "kn-counts"))
+    return settle(keyed(probs), "kn-model")
 
 
 def base_counts(texts: Texts) -> dict[str, np.ndarray]:
@@ -220,49 +190,69 @@ def base_counts(texts: Texts) -> dict[str, np.ndarray]:
 
 
 SCORE_SCHEMA = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
-CACHE_WORDS = 400_000
+CHUNK_BYTES = 16 << 20
 
 
-def _scorer(shared):
-    def task(batches):
-        model = shared.value
-        cache: dict[str, dict[int, tuple[float, int]]] = {}
-        for batch, texts in text_slices(batches):
-            langs = np.array([x or "" for x in batch.column("lang").to_pylist()], object)
-            logp, chars = np.zeros(texts.n), np.zeros(texts.n)
-            hashes = texts.word_hashes()
-            for lang in set(langs.tolist()):
-                mine = np.flatnonzero((langs == lang)[texts.word_doc])
-                if not len(mine):
-                    continue
-                known = cache.setdefault(lang, {})
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                u, first, inverse = np.unique(hashes[mine], return_index=True, return_inverse=True)
-                keys = u.tolist()
-                new = [i for i, k in enumerate(keys) if k not in known]
-                if new:
-                    s, m = model.score_words(texts.words(mine[first[new]]), lang)
-                    known.update(zip((keys[i] for i in new), zip(s.tolist(), m.tolist())))
-                both = np.array([known[k] for k in keys])
-                logp += np.bincount(texts.word_doc[mine], weights=both[inverse, 0], minlength=texts.n)
-                chars += np.bincount(texts.word_doc[mine], weights=both[inverse, 1], minlength=texts.n)
-            lp = np.where(chars > 0, -logp / np.maximum(chars, 1), np.nan)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), **base_counts(texts), "log_perplexity": pa.array(lp, from_pandas=True)})
-
-    return task
-
-
-def quality_rules(docs: DataFrame, bits: int = 23, reach: float = 4.0) -> DataFrame:
+def _words_of(batch, texts: Texts):
+    """(lang, places of the words in that language, different words, index of each place's word)."""
+    langs = np.array([x or "" for x in batch.column("lang").to_pylist()], object)
+    hashes = texts.word_hashes()
+    for lang in sorted(set(langs.tolist())):
+        mine = np.flatnonzero((langs == lang)[texts.word_doc])
+        if len(mine):
+            _, first, inverse = np.unique(hashes[mine], return_index=True, return_inverse=True)
+            yield lang, mine, texts.words(mine[first]), inverse
+
+
+def _lookup_task(batches):
+    """Rows (chunk, k): the different 5-grams of each chunk; all rows of a chunk are in one task."""
+    held: dict[int, np.ndarray] = {}
+    for whole in batches:
+        chunks = whole.column("chunk").to_numpy()
+        for chunk in np.unique(chunks).tolist():
+            some = whole.filter(pa.array(chunks == chunk))
+            found = [word_keys(words, lang)[0] for batch, texts in text_slices([some]) for lang, _, words, _ in _words_of(batch, texts)]
+            held[chunk] = np.unique(np.concatenate([held.get(chunk, np.zeros(0, U64)), *found]))
+    for chunk, k in held.items():
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(len(k), chunk, np.int64)), "k": pa.array(k.view(np.int64))})
+
+
+def _score_chunk(docs: pa.Table, model: pa.Table) -> pa.Table:
+    k, v = model["k"].to_numpy().view(U64), model["logp"].to_numpy()
+    order = np.argsort(k)
+    k, v = k[order], v[order]
+    out = []
+    for batch, texts in text_slices(docs.to_batches()):
+        logp, chars = np.zeros(texts.n), np.zeros(texts.n)
+        for lang, mine, words, inverse in _words_of(batch, texts):
+            keys, stops = word_keys(words, lang)
+            at = np.searchsorted(k, keys)
+            sums = np.concatenate([[0.0], np.cumsum(v[at])])
+            logp += np.bincount(texts.word_doc[mine], weights=(sums[stops[1:]] - sums[stops[:-1]])[inverse], minlength=texts.n)
+            chars += np.bincount(texts.word_doc[mine], weights=np.diff(stops)[inverse], minlength=texts.n)
+        lp = np.where(chars > 0, -logp / np.maximum(chars, 1), np.nan)
+        out.append(pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), **base_counts(texts), "log_perplexity": pa.array(lp, from_pandas=True)}))
+    return pa.Table.from_batches(out)
+
+
+def score(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """Base counts and log_perplexity of each document; the model has all of their 5-grams."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = size // CHUNK_BYTES + 1
+    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))).repartition(n, "chunk")
+    wanted = dealt.mapInArrow(_lookup_task, "chunk long, k long")
+    found = wanted.join(model, "k").select("chunk", "k", "logp")
+    return dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_score_chunk, SCORE_SCHEMA)
+
+
+def quality_rules(docs: DataFrame, reach: float = 4.0) -> DataFrame:
     """One row per document with base counts, log_perplexity, band and verdict.
 
     Null or wordless text: zero counts, null log_perplexity, base_failed. Null language: a language of its own.
     A language whose texts all have fewer than 50 words has no band, and the base rules alone decide.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text", "lang")
-    shared = spark.sparkContext.broadcast(train(docs, bits))
-    scores = settle(docs.mapInArrow(_scorer(shared), SCORE_SCHEMA), "kn-scores").withColumn("lang", F.coalesce("lang", F.lit("")))
+    scores = settle(score(docs, train(docs)), "kn-scores").withColumn("lang", F.coalesce("lang", F.lit("")))
     quart = scores.where("n_words >= 50").groupBy("lang").agg(F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000).alias("q"))
     band = quart.selectExpr("lang", "q[0] - greatest(q[1] - q[0], 0.02D * q[1]) * {r} AS lower_band".format(r=reach), "q[1] + greatest(q[1] - q[0], 0.02D * q[1]) * {r} AS upper_band".format(r=reach))
     band = settle(band, "kn-bands")

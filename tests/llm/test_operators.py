@@ -72,6 +72,19 @@ def test_perplexity_control_characters_in_words(spark):
     assert all(0 < got[i].log_perplexity < 20 for i in range(len(odd)))
 
 
+def test_perplexity_keeps_each_gram_its_own_probability(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id % 2 = 0").select("doc_id", "text", "lang")
+    probs, _ = perplexity.kneser_ney(perplexity.count_grams(docs))
+    logp = {(r.lang, r.gram): r.logp for r in probs.where(F.col("n") == perplexity.ORDER).collect()}
+    model = perplexity.train(docs)
+    assert model.count() == model.select("k").distinct().count() == len(logp)
+    got = by_id(perplexity.score(docs, model))
+    for r in docs.collect():
+        padded = [perplexity.BEGIN * 4 + w + perplexity.END for w in WORD.findall(r.text or "")]
+        each = [logp[r.lang or "", p[i : i + 5]] for p in padded for i in range(len(p) - 4)]
+        assert got[r.doc_id].log_perplexity == (pytest.approx(-sum(each) / len(each)) if each else None)
+
+
 def test_kneser_ney_sums_to_one(spark):
     counts = spark.createDataFrame([("en", g, c) for g, c in (("\x02\x02\x02\x02a", 5), ("\x02\x02\x02\x02b", 1), ("\x02\x02\x02aa", 2), ("\x02\x02\x02ab", 2), ("\x02\x02\x02a\x03", 1), ("\x02\x02\x02b\x03", 1))], "lang string, gram string, c long")
     probs, _ = perplexity.kneser_ney(counts)
