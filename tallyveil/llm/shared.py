@@ -9,6 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"  # rows hold whole texts, so Python's batches are cut by bytes
+BATCH_BYTES = 4 << 20
 _local: dict[str, str] = {}
 
 
@@ -42,7 +44,7 @@ def _conf(spark: SparkSession, key: str, value: str):
 
 def write_once(df: DataFrame, path: str, fmt: str = "parquet", **options) -> None:
     """Write df and let its shuffle files go as soon as the write has ended."""
-    with _conf(df.sparkSession, CLEANUP, "true"):
+    with _conf(df.sparkSession, CLEANUP, "true"), _conf(df.sparkSession, BATCH, str(BATCH_BYTES)):
         df.write.format(fmt).options(**options).save(path)
 
 

@@ -1,11 +1,15 @@
 """Token ids of whole texts from a public tokenizer's file, with a bounded cache of chunks.
 
-A chunk reaches from a space that follows a non-space character (or from the text's start) to the next such space; a
-full stop or comma between a letter or digit and a space is a chunk by itself. In the vocabularies used here no
-pre-token holds a space after another kind of character, nor a letter or digit beside punctuation (but for English
-contractions, which begin with an apostrophe), so chunks can be encoded alone. Where that can't be told from a few
-bytes, chunks stay together. Every different chunk goes through the tokenizer itself; numpy finds the different
-chunks of a slice and puts their ids back in order.
+A chunk begins at a text's start and at places that no pre-token of the vocabularies used here spans:
+
+* a space that follows a character other than white space;
+* between an ASCII letter or digit (or, before a mark, a Latin-1 letter) and an ASCII mark other than the apostrophe,
+  whose contractions reach over it;
+* around a single line feed between two characters other than white space.
+
+Where that can't be told from a few bytes, chunks stay together. Chunks can therefore be encoded alone. A chunk of one
+word of ASCII or Latin-1 letters is one pre-token, and goes to the tokenizer's own merge model; every other chunk
+goes through the whole tokenizer. numpy finds the different chunks of a slice and puts their ids back in order.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from __future__ import annotations
 import os
 from array import array
 from collections.abc import Callable
+from itertools import accumulate
 
 import numpy as np
 
@@ -22,47 +27,90 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[*range(9, 14), *range(0x1C, 0x21)]] = True
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[c for c in range(128) if chr(c).isalnum()]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'"]] = True
+_SOLID = np.zeros(256, bool)  # lead bytes of characters that are no white space
+_SOLID[[*(c for c in range(0x80) if not _SPACE[c]), *range(0xC3, 0xE0), *range(0xE4, 0xF8)]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[c for c in range(128) if chr(c).isalpha()]] = True
+KEPT_CHUNKS = 100_000
+KEPT_BYTES = 64  # longer chunks are encoded each time
+
+
+def _before(d: np.ndarray, j: int) -> np.ndarray:
+    """The byte j places earlier, 0 where there is none."""
+    return np.concatenate([np.zeros(min(j, len(d)), np.uint8), d[: max(0, len(d) - j)]])
 
 
 def chunk_starts(texts: Raw) -> np.ndarray:
     """Byte positions at which chunks begin."""
     d = texts.data
-    back = [np.concatenate([np.zeros(j, np.uint8), d[: len(d) - j]]) if len(d) >= j else np.zeros(len(d), np.uint8) for j in range(1, 5)]
-    one, two, three, four = back
+    one, two, three, four = (_before(d, j) for j in range(1, 5))
     # a character of several bytes counts if its lead byte begins no kind of space
     wide = (one >= 0x80) & (((two >= 0xC3) & (two < 0xE0)) | ((two < 0xC0) & (two >= 0x80) & (((three >= 0xE4) & (three < 0xF0)) | ((three < 0xC0) & (three >= 0x80) & (four >= 0xF0)))))
-    cut = (d == 0x20) & (((one < 0x80) & ~_SPACE[one]) | wide)
-    before_space = np.zeros(len(d), bool)
-    before_space[:-1] = d[1:] == 0x20
-    before_space[texts.off[1:][texts.off[1:] > texts.off[:-1]] - 1] = False
+    solid = ((one < 0x80) & ~_SPACE[one]) | wide
+    cut = (d == 0x20) & solid
+    mark = _MARK[d]
     letter = _ALNUM[one] | ((two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7))
-    cut |= ((d == 0x2E) | (d == 0x2C)) & before_space & letter
+    cut |= (mark & letter) | (_MARK[one] & _ALNUM[d])
+    feed = np.zeros(len(d), bool)
+    feed[:-1] = (d[:-1] == 10) & solid[:-1] & _SOLID[d[1:]]
+    feed[texts.off[:-1][texts.off[:-1] < texts.off[1:]]] = False
+    feed[texts.off[1:][texts.off[1:] > texts.off[:-1]] - 1] = False
+    cut |= feed
+    cut[1:] |= feed[:-1]
     cut[texts.off[:-1][texts.off[:-1] < texts.off[1:]]] = True
     return np.flatnonzero(cut)
 
 
+def words(texts: Raw, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which chunks are a word of ASCII and Latin-1 letters, a space before it or not."""
+    d = texts.data
+    after = np.append(d[1:], np.uint8(0))
+    lead = (d == 0xC3) & (after >= 0x80) & (after < 0xC0) & (after != 0x97) & (after != 0xB7)
+    other = ~(_LETTER[d] | lead)
+    other[1:] &= ~lead[:-1]
+    count = np.concatenate([[0], np.cumsum(other)])
+    body = start + (d[start] == 0x20)
+    return (body < end) & (count[end] == count[body])
+
+
 class ChunkCache:
     """Encodes texts as the concatenation of their chunks' encodings.
 
-    Two generations of at most about `limit` chunks are held; what is met again moves to the younger one.
+    Two generations of at most about `limit` short chunks each are held, by 64-bit hashes; what is met again moves to
+    the younger one.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], dtype: str, limit: int = 300_000, fold: bool = False):
-        """fold: the tokenizer lower-cases, so ASCII texts may be lower-cased first."""
+    def __init__(self, encode_many: Callable[[list[bytes], np.ndarray], list[bytes]], dtype: str, limit: int = KEPT_CHUNKS, fold: bool = False):
+        """encode_many takes chunks and which of them are words. fold: the tokenizer lower-cases, so ASCII texts may be lower-cased first."""
         self.encode_many, self.dtype, self.limit, self.fold = encode_many, np.dtype(dtype), limit, fold
-        self.later: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.later: dict[int, bytes] = {}
+        self.older: dict[int, bytes] = {}
 
-    def lookup(self, chunks: list[bytes]) -> list[bytes]:
+    def lookup(self, texts: Raw, key: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+        """Ids of the different chunks of texts that begin and end there."""
         if len(self.later) > self.limit:
             self.later, self.older = {}, self.later
-        later, older = self.later, self.older
-        missing = [c for c in chunks if c not in later]
-        if missing:
-            new = [c for c in missing if c not in older]
-            later.update((c, older[c]) for c in missing if c in older)
-            later.update(zip(new, self.encode_many([c.decode() for c in new])))
-        return [later[c] for c in chunks]
+        later, older, keys = self.later, self.older, key.tolist()
+        found = list(map(later.get, keys))
+        at = [i for i, x in enumerate(found) if x is None]
+        new = []
+        for i in at:
+            x = older.get(keys[i])
+            if x is None:
+                new.append(i)
+            else:
+                found[i] = later[keys[i]] = x
+        if new:
+            first, last, raw = start[new], end[new], texts.data.tobytes()
+            chunks = [raw[a:b] for a, b in zip(first.tolist(), last.tolist())]
+            short = (last - first <= KEPT_BYTES).tolist()
+            for i, x, keep in zip(new, self.encode_many(chunks, words(texts, first, last)), short):
+                found[i] = x
+                if keep:
+                    later[keys[i]] = x
+        return found
 
     def encode(self, texts: Raw) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's begin (and the last one's end)."""
@@ -75,9 +123,8 @@ class ChunkCache:
             return np.zeros(0, self.dtype), np.zeros(texts.n + 1, np.int64)
         end = np.append(start[1:], len(texts.data))
         key = Rolling(BYTES_A[texts.data]).spans(start, end) + (end - start).astype(U64)
-        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        raw = texts.data.tobytes()
-        found = self.lookup([raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())])
+        key, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        found = self.lookup(texts, key, start[first], end[first])
         flat = np.frombuffer(b"".join(found), self.dtype)
         size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
         begin = np.cumsum(size) - size
@@ -93,6 +140,13 @@ class ChunkCache:
         return [ids[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
+def _byte_characters() -> dict[int, int]:
+    """Latin-1 character of a byte -> the printable character that stands for it in byte-level vocabularies."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + n for n, b in enumerate(rest)}
+
+
 _loaded: dict[str, ChunkCache] = {}
 
 
@@ -106,10 +160,29 @@ def library_encoder(path: str) -> ChunkCache:
         tokenizer.encode_special_tokens = True
         if tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are stored in 16 bits")
-        folds = '"Lowercase"' in tokenizer.to_str().partition('"model"')[0]
-
-        def encode_many(chunks: list[str]) -> list[bytes]:
-            return [array("H", e.ids).tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        settings, characters = tokenizer.to_str().partition('"model"')[0], _byte_characters()
+        folds, spaces, merge = '"Lowercase"' in settings, '"Removed"' not in settings, tokenizer.model.tokenize
+        gap = chr(characters[10])  # no word holds a line feed
+
+        def encode_words(chunks: list[bytes]) -> list[bytes]:
+            text = b"\n".join(chunks)
+            if folds:
+                text = text.decode().lower().encode()
+            if not spaces:
+                text = text.replace(b" ", b"")
+            tokens = list(map(merge, text.decode("latin-1").translate(characters).split(gap)))
+            raw = array("H", [t.id for word in tokens for t in word]).tobytes()
+            end = list(accumulate(2 * len(word) for word in tokens))
+            return [raw[a:b] for a, b in zip([0, *end], end)]
+
+        def encode_many(chunks: list[bytes], plain: np.ndarray) -> list[bytes]:
+            out: list[bytes] = [b""] * len(chunks)
+            some, rest = np.flatnonzero(plain).tolist(), np.flatnonzero(~plain).tolist()
+            for i, x in zip(some, encode_words([chunks[i] for i in some]) if some else ()):
+                out[i] = x
+            for i, e in zip(rest, tokenizer.encode_batch_fast([chunks[i].decode() for i in rest], add_special_tokens=False)):
+                out[i] = array("H", e.ids).tobytes()
+            return out
 
         _loaded[path] = ChunkCache(encode_many, "<u2", fold=folds)
     return _loaded[path]
