@@ -141,11 +141,51 @@ def test_sorted_shards_round_trip(spark, docs, empty):
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(want[i]), zlib.crc32(np.array(want[i], "<u4").tobytes()))
         start += len(want[i])
     sstable.write_shards(docs, path, 2, where)
-    found = by_id(sstable.lookup(spark, where, [1, 9, 13, 999, -5]))
-    assert {i: np.frombuffer(r.ids, "<u2").tolist() for i, r in found.items()} == {i: want[i] for i in (1, 9, 13)}
+    table = sstable.Table(spark, where)
+    assert all(table.get(i).tolist() == want[i] for i in want) and table.get(999) is table.get(-5) is table.get(None) is None
+    assert {i: np.frombuffer(r.ids, "<u2").tolist() for i, r in by_id(sstable.read_shards(spark, where)).items()} == want
     assert sstable.digests(empty, path, 2).count() == 0
 
 
+def test_sorted_shards_read_one_block_a_lookup(spark, monkeypatch):
+    from tallyveil.llm.shared import fresh_path
+
+    monkeypatch.setattr(sstable, "LEAST_SHARD", 1 << 16)
+    monkeypatch.setattr(sstable, "BLOCK_BYTES", 1 << 12)
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(-300, 600, 3)] + [(None, "none"), (None, "none"), (9, "nine")]
+    where = fresh_path(spark, "t-sst")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sstable.write_shards(docs, P.path("word_bpe_49k.json"), 2, where)
+    table = sstable.Table(spark, where)
+    size = sum(f.getLen() for f in table.files)
+    assert len(table.files) > 1
+    for i in (-300, -3, 9, 597, None):
+        assert table.get(i) is not None
+    assert table.get(10) is table.get(598) is table.get(-301) is None
+    shards = [table._shard(i) for i in range(len(table.files))]
+    assert all(a.greatest < b.least for a, b in zip(shards, shards[1:])) and sum(s.docs for s in shards) == len(rows)
+    table.reads.clear()
+    fresh = sstable.Table(spark, where)
+    fresh.get(300)
+    assert sum(fresh.reads) < size / 3 and len(fresh.reads) <= 3 + len(table.files).bit_length() + 1
+    got = sstable.digests(docs, P.path("word_bpe_49k.json"), 2).collect()
+    assert len(got) == len(rows) and sorted(r.start for r in got)[0] == 0 and sum(r.n_tokens for r in got) == max(r.start + r.n_tokens for r in got)
+
+
+def test_chunks_encode_as_whole_texts():
+    from tokenizers import Tokenizer
+
+    from tallyveil.llm.tokens import library_encoder
+
+    rng, odd = np.random.default_rng(4), [*"aZ\u00e9 \u00f1\u00dc'.,;$&*09_\n\n\t\r", "  ", "\u0301", "\u0130", "\xa0", "\u2003", "\u3000", "\u200b", "\u4e2d", "\U0001f600", "'s", "'LL", "\x00", "\x1c", "\x85", "\xaa", "\xd7", "\u0153", "\u03a3", "\ud55c", "\u1100", "\u1161", "\u0661", "<|endoftext|>"]
+    texts = ["".join(rng.choice(odd, rng.integers(0, 30))) for _ in range(4000)] + [t or "" for _, t in ROWS]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        tokenizer = Tokenizer.from_file(P.path(name))
+        tokenizer.encode_special_tokens = True
+        want = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in library_encoder(P.path(name)).encode_texts(texts)] == want
+
+
 @pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
 def test_parity_join_equals_brute_force(spark, docs, empty, k, percent):
     rng = np.random.default_rng(1)
