@@ -34,7 +34,7 @@ from .shared import discard, settle
 SKETCH_LONGS = 8
 SKETCH = [f"x{j}" for j in range(SKETCH_LONGS)]
 BROADCAST_ROWS = 500_000
-FLUSH_ROWS = 1_500_000
+FLUSH_ROWS = 500_000
 BLOCK = 256
 
 
