@@ -273,20 +273,16 @@ def _verify(pairs: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(task, "a long, b long")
 
 
-def link_documents(docs: DataFrame, spec: Spec) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs.
-
-    component_id is the smallest doc_id reachable by links. Null and wordless texts have no shingles and only
-    themselves; rows with equal sets are one node, whatever their doc_ids; a null doc_id is never the smallest.
-    """
-    docs = docs.select("doc_id", "text")
+def _linked(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, digest, n_shingles, node) of docs(doc_id, text), and (node, root) of the nodes with shingles."""
 
     def name_task(batches):
         for batch, texts in text_slices(batches):
             g, off = shingle_sets(texts, spec)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_shingles": np.diff(off).astype(np.int64), "node": _node_ids(g, off), "wide": pa.array(_wide(g, off), pa.binary()), **_sketches(texts, g, off)})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "digest": batch.column("digest"), "n_shingles": np.diff(off).astype(np.int64), "node": _node_ids(g, off), "wide": pa.array(_wide(g, off), pa.binary()), **_sketches(texts, g, off)})
 
-    named = settle(docs.mapInArrow(name_task, "doc_id long, n_shingles long, node long, wide binary, " + ", ".join(f"{x} long" for x in SKETCH)), "pj-named")
+    digested = docs.withColumn("digest", F.xxhash64("text"))
+    named = settle(digested.mapInArrow(name_task, "doc_id long, digest long, n_shingles long, node long, wide binary, " + ", ".join(f"{x} long" for x in SKETCH)), "pj-named")
     first = named.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("size"), F.max("wide").alias("wide"), *[F.max(x).alias(x) for x in SKETCH])
     first = settle(first, "pj-first")
 
@@ -315,8 +311,38 @@ def link_documents(docs: DataFrame, spec: Spec) -> DataFrame:
         more = settle(_verify(more, _sets(docs, more, first, spec), spec), "pj-links")
         comp = settle(connected(links.unionByName(more)), "pj-comp")
 
-    named_nodes = first.join(comp, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    smallest = settle(named_nodes.groupBy("root").agg(F.min("least").alias("component_id")), "pj-smallest")
-    of_node = settle(named_nodes.join(smallest, "root").select("node", "component_id"), "pj-of")
+    of_node = settle(first.join(comp, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "pj-of")
     discard(rest, rooted, shared, hubs, pairs)
+    return named, of_node
+
+
+def link_documents(docs: DataFrame, spec: Spec) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs.
+
+    component_id is the smallest doc_id reachable by links. Null and wordless texts have no shingles and only
+    themselves; rows with equal sets are one node, whatever their doc_ids; a null doc_id is never the smallest.
+    """
+    named, of_node = _linked(docs.select("doc_id", "text"), spec)
+    smallest = of_node.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_node = settle(of_node.join(smallest, "root").select("node", "component_id"), "pj-of")
     return named.select("doc_id", "n_shingles", "node").join(of_node, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def drop_near(docs: DataFrame, spec: Spec) -> DataFrame:
+    """One row of each group of linked rows: the one of smallest doc_id (null last), then least digest of its text.
+
+    Rows are told apart by doc_id and the text's digest, so that rows sharing a doc_id are judged each by itself; of
+    rows alike in both, one stays. Rows without shingles all stay.
+    """
+    named, of_node = _linked(docs.select("doc_id", "text"), spec)
+    rows = settle(named.where("n_shingles > 0").join(of_node, "node").groupBy("root", "doc_id", "digest").agg(F.count("*").alias("n")), "pj-rows")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
+    best = rows.groupBy("root").agg(F.min(order).alias("best"))
+    judged = settle(rows.join(best, "root").select("doc_id", "digest", (order != F.col("best")).alias("gone"), "n"), "pj-judged")
+    same = lambda other: docs["doc_id"].eqNullSafe(other["doc_id"]) & (F.xxhash64(docs["text"]) == other["digest"])
+    gone, twice = judged.where("gone"), judged.where("NOT gone AND n > 1")
+    kept = docs.join(gone, same(gone), "left_anti")
+    if twice.isEmpty():
+        return kept
+    once = docs.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, same(twice), "left_anti").unionByName(once)

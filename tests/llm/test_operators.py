@@ -221,6 +221,16 @@ def test_parity_join_equals_brute_force(spark, docs, empty, k, percent):
     assert parityjoin.link_documents(empty, spec).count() == 0
 
 
+def test_near_copies_are_dropped_by_row(spark, docs, empty):
+    spec = parityjoin.Spec(5, 80)
+    rows = [(1, PROSE, "a"), (2, NEAR, "b"), (2, "an unrelated text of more than a few words", "c"), (3, PROSE, "d"), (3, PROSE, "d"), (None, PROSE, "e"), (4, None, "f"), (4, "", "g"), (5, "two words", "h"), (None, "two words", "i"), (None, "alone here", "j")]
+    got = parityjoin.drop_near(spark.createDataFrame(rows, "doc_id long, text string, node string"), spec)
+    assert got.columns == ["doc_id", "text", "node"] and sorted(r.node for r in got.collect()) == ["a", "c", "f", "g", "h", "j"]
+    twice = spark.createDataFrame([(7, PROSE, "a"), (7, PROSE, "b"), (8, "other words in this one", "c")], "doc_id long, text string, root string")
+    assert sorted(r.doc_id for r in parityjoin.drop_near(twice, spec).collect()) == [7, 8]
+    assert parityjoin.drop_near(empty, spec).count() == 0
+
+
 def test_packing_covers_every_token_once(docs, empty):
     from tokenizers import Tokenizer
 
