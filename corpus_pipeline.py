@@ -23,10 +23,8 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group linked by five-word shingles at a similarity of 0.8 or more."""
-    grouped = parityjoin.link_documents(docs, parityjoin.Spec(words=5, percent=80))
-    gone = settle(grouped.where("component_id != doc_id").select("doc_id").distinct(), "near-gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group linked by five-word shingles at a similarity of 0.8 or more."""
+    return parityjoin.drop_near(docs, parityjoin.Spec(words=5, percent=80))
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
