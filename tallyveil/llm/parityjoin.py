@@ -7,8 +7,11 @@ difference of the sets has members, so a segment-wise or bit-wise distance above
 Size bands: band i holds sets of l(i) to l(i+1)-1 members, l(i+2) > (l(i+1)-1)/t, so two sets of similarity t lie in
 the same or in adjacent bands. Joins run once per band, over it and the next; there the symmetric difference is at most
 k = (l(i+1)-1)(1-t)/t. With s = k + m segments at least m agree (pigeonhole), so a set may leave out up to m - 1 of
-its segments: those with fewer than two members, which say little. A set with more of those leaves none out. Sets of
-a band with k = 0 must be equal.
+its segments: those without members, then those whose key more than HOT sets have (as a passage shared by many
+documents makes them). A set with too many of the former leaves none out; one with too many of both leaves out the
+former only. Each choice goes by what the segment holds and the three are nested, so of the m segments in which a
+linked pair agrees, one that the set with more choices keeps is kept by both. m - 1 is a quarter of k. Sets of a band
+with k = 0 must be equal.
 
 Rows (segment key, set) that share a key are candidates. Map tasks merge rows of the same key first, so a key that a
 third of all documents share sends one row a task. Inside a key no pairs are listed: every set is verified against the
@@ -20,7 +23,6 @@ out before sets are verified exactly. Equal sets are one node from the start.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,8 @@ from .shared import discard, settle
 
 SKETCH_LONGS = 8
 SKETCH = [f"x{j}" for j in range(SKETCH_LONGS)]
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
+HOT = 32
 FLUSH_ROWS = 500_000
 BLOCK = 256
 
@@ -58,12 +61,7 @@ class Spec:
         out = []
         for low, high in zip(edge, edge[1:]):
             k = self.most_apart(high - 1)
-            s = k + 1
-            for trial in range(k + 1, 2 * k + 2):
-                few = trial * exp(-low / trial) * (1 + low / trial)
-                if trial - k - 1 >= few + 2 * sqrt(few):
-                    s = trial
-                    break
+            s = k + 1 + k // 4
             out.append((low, k, s))
         return out
 
@@ -93,12 +91,15 @@ def _node_ids(g: np.ndarray, off: np.ndarray) -> np.ndarray:
     return mix(sums[off[1:]] - sums[off[:-1]] + np.diff(off).astype(U64)).view(np.int64)
 
 
-def _segment_rows(g: np.ndarray, off: np.ndarray, node: np.ndarray, bands, lows) -> tuple[np.ndarray, np.ndarray]:
-    """(key, node) rows of the sets, at their own band and the one below."""
+def _segment_rows(g: np.ndarray, off: np.ndarray, node: np.ndarray, bands, lows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, node, info) rows of the sets, at their own band and the one below.
+
+    info is 4 * (1 + how many more segments the set may leave out in this band, -1 if it leaves none out) + 2 * (band below).
+    """
     size = np.diff(off)
     own = np.searchsorted(lows, size, "right") - 1
     doc = np.repeat(np.arange(len(size)), size)
-    keys, nodes = [], []
+    keys, nodes, infos = [], [], []
     k_of, s_of = np.array([b[1] for b in bands]), np.array([b[2] for b in bands])
     for down in (0, 1):
         band = own - down
@@ -114,35 +115,37 @@ def _segment_rows(g: np.ndarray, off: np.ndarray, node: np.ndarray, bands, lows)
         value, count = np.zeros(total, U64), np.bincount(slot, minlength=total)
         np.bitwise_xor.at(value, slot, mix(spread))
         of = np.repeat(np.arange(len(size)), s)
-        low = count < 2
-        spare = s - k_of[np.maximum(band, 0)] - 1
-        keep = ~low | (np.bincount(of[low], minlength=len(size)) > spare)[of]
+        low = count < 1
+        spare = s - k_of[np.maximum(band, 0)] - 1 - np.bincount(of[low], minlength=len(size))
+        keep = ~low | (spare < 0)[of]
         within = np.arange(total) - base[of]
         place = mix((band[of].astype(U64) << U64(32)) + within.astype(U64) + U64(1))
         keys.append(mix(value ^ place)[keep])
         nodes.append(node[of[keep]])
-    return np.concatenate(keys).view(np.int64), np.concatenate(nodes)
+        infos.append((4 * (1 + np.maximum(spare, -1)) + 2 * down).astype(np.int32)[of[keep]])
+    return np.concatenate(keys).view(np.int64), np.concatenate(nodes), np.concatenate(infos)
 
 
-def _merge(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-    """One open row per key; keys met with several nodes also give a settled row for each of these."""
+def _merge(key: np.ndarray, node: np.ndarray, info: np.ndarray) -> pa.RecordBatch:
+    """One open row per key; keys met with several nodes also give a settled row (info odd) for each of these."""
     order = np.lexsort((node, key))
-    key, node = key[order], node[order]
+    key, node, info = key[order], node[order], info[order]
     new_key = np.ones(len(key), bool)
     new_key[1:] = key[1:] != key[:-1]
     new = new_key.copy()
     new[1:] |= node[1:] != node[:-1]
-    key, node, new_key = key[new], node[new], new_key[new]
+    key, node, info, new_key = key[new], node[new], info[new], new_key[new]
     first = np.flatnonzero(new_key)
-    several = np.repeat(np.diff(np.append(first, len(key))) > 1, np.diff(np.append(first, len(key))))
-    k, n = np.concatenate([key[first], key[several]]), np.concatenate([node[first], node[several]])
-    return pa.RecordBatch.from_pydict({"key": k, "node": n, "known": pa.array(np.arange(len(k)) >= len(first))})
+    runs = np.diff(np.append(first, len(key)))
+    several = np.repeat(runs > 1, runs)
+    columns = (np.concatenate([x[first], y[several]]) for x, y in ((key, key), (node, node), (info, info + 1)))
+    return pa.RecordBatch.from_pydict(dict(zip(("key", "node", "info"), columns)))
 
 
 def _rows_task(spec: Spec):
     def task(batches):
         most, bands, lows, held, n = 0, [], None, [], 0
-        for _, texts in text_slices(batches):
+        for _, texts in text_slices(batches, limit=1 << 20):
             g, off = shingle_sets(texts, spec)
             largest = int(np.diff(off).max(initial=0))
             if largest > most:
@@ -166,29 +169,43 @@ def _shared_task(batches):
     """Of rows sorted by key: those whose key has several nodes, and those known to be so."""
     held = None
     for batch in batches:
-        key, node, known = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "known"))
+        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "info")]
+        known = rows[2] & 1 == 1
         if known.any():
-            yield pa.RecordBatch.from_pydict({"key": key[known], "node": node[known]})
-        key, node = key[~known], node[~known]
+            yield _rows(*(x[known] for x in rows))
+        rows = [x[~known] for x in rows]
         if held is not None:
-            key, node = np.concatenate([held[0], key]), np.concatenate([held[1], node])
-        if not len(key):
+            rows = [np.concatenate(x) for x in zip(held, rows)]
+        if not len(rows[0]):
             continue
-        last = np.searchsorted(key, key[-1])
-        held = key[last:], node[last:]
-        yield _several(key[:last], node[:last])
+        last = np.searchsorted(rows[0], rows[0][-1])
+        held = [x[last:] for x in rows]
+        yield _several(*(x[:last] for x in rows))
     if held is not None:
         yield _several(*held)
 
 
-def _several(key, node):
+def _rows(key, node, info) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"key": key, "node": node, "down": info >> 1 & 1, "spare": (info >> 2) - 1})
+
+
+def _several(key, node, info) -> pa.RecordBatch:
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
     runs = np.diff(np.append(first, len(key)))
     differ = np.zeros(len(first), bool)
     if len(first):
         differ = np.maximum.reduceat(node, first) != np.minimum.reduceat(node, first)
     keep = np.repeat(differ, runs)
-    return pa.RecordBatch.from_pydict({"key": key[keep], "node": node[keep]})
+    return _rows(key[keep], node[keep], info[keep])
+
+
+def _without_hot(shared: DataFrame) -> DataFrame:
+    """(key, node) rows but for those of hot keys that their set may leave out."""
+    hot = settle(shared.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key", F.lit(True).alias("hot")), "pj-hot")
+    marked = shared.join(hot, "key", "left")
+    light = marked.where("hot").groupBy("node", "down").agg(F.count("*").alias("h"), F.max("spare").alias("spare")).where("h <= spare").select("node", "down", F.lit(True).alias("light"))
+    light = settle(light, "pj-light")
+    return marked.join(light, ["node", "down"], "left").where("hot IS NULL OR light IS NULL").select("key", "node")
 
 
 def _sketches(texts: Texts, g: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
@@ -286,9 +303,10 @@ def _linked(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
     first = named.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("size"), F.max("wide").alias("wide"), *[F.max(x).alias(x) for x in SKETCH])
     first = settle(first, "pj-first")
 
-    rows = docs.mapInArrow(_rows_task(spec), "key long, node long, known boolean")
-    dealt = rows.repartition(F.when(F.col("known"), F.xxhash64("key", "node")).otherwise(F.col("key"))).sortWithinPartitions("key", "node")
-    shared = settle(dealt.mapInArrow(_shared_task, "key long, node long"), "pj-shared")
+    rows = docs.mapInArrow(_rows_task(spec), "key long, node long, info int")
+    dealt = rows.repartition(F.when(F.expr("info % 2 = 1"), F.xxhash64("key", "node")).otherwise(F.col("key"))).sortWithinPartitions("key", "node")
+    several = settle(dealt.mapInArrow(_shared_task, "key long, node long, down int, spare int").groupBy("key", "node").agg(F.max("down").alias("down"), F.max("spare").alias("spare")), "pj-several")
+    shared = settle(_without_hot(several), "pj-shared")
 
     central = shared.groupBy("node").agg(F.count("*").alias("c"))
     hubs = settle(shared.join(central, "node").groupBy("key").agg(F.max(F.struct("c", "node")).alias("top")).select("key", F.col("top.node").alias("hub")), "pj-hubs")
@@ -312,7 +330,7 @@ def _linked(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
         comp = settle(connected(links.unionByName(more)), "pj-comp")
 
     of_node = settle(first.join(comp, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "pj-of")
-    discard(rest, rooted, shared, hubs, pairs)
+    discard(rest, rooted, several, shared, hubs, pairs)
     return named, of_node
 
 
