@@ -190,7 +190,7 @@ def base_counts(texts: Texts) -> dict[str, np.ndarray]:
 
 
 SCORE_SCHEMA = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 64 << 20
 
 
 def _words_of(batch, texts: Texts):
@@ -214,7 +214,7 @@ def _lookup_task(batches):
             found = [word_keys(words, lang)[0] for batch, texts in text_slices([some]) for lang, _, words, _ in _words_of(batch, texts)]
             held[chunk] = np.unique(np.concatenate([held.get(chunk, np.zeros(0, U64)), *found]))
     for chunk, k in held.items():
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(len(k), chunk, np.int64)), "k": pa.array(k.view(np.int64))})
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(len(k), chunk, np.int32)), "k": pa.array(k.view(np.int64))})
 
 
 def _score_chunk(docs: pa.Table, model: pa.Table) -> pa.Table:
@@ -239,9 +239,9 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
     """Base counts and log_perplexity of each document; the model has all of their 5-grams."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = size // CHUNK_BYTES + 1
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))).repartition(n, "chunk")
-    wanted = dealt.mapInArrow(_lookup_task, "chunk long, k long")
-    found = wanted.join(model, "k").select("chunk", "k", "logp")
+    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "chunk")
+    wanted = dealt.mapInArrow(_lookup_task, "chunk int, k long")
+    found = wanted.join(model, "k").select("chunk", "k", F.col("logp").cast("float").alias("logp"))
     return dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_score_chunk, SCORE_SCHEMA)
 
 
