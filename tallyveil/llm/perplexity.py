@@ -218,7 +218,7 @@ def _lookup_task(batches):
 
 
 def _score_chunk(docs: pa.Table, model: pa.Table) -> pa.Table:
-    k, v = model["k"].to_numpy().view(U64), model["logp"].to_numpy()
+    k, v = model["k"].to_numpy().view(U64), model["logp"].to_numpy().astype(np.float64)
     order = np.argsort(k)
     k, v = k[order], v[order]
     out = []
