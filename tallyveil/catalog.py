@@ -76,9 +76,9 @@ def s3_entries_round_trip(t):
     return tables.read_entries(obs.sparkSession, path)
 
 
-@query("SELECT k, CAST(h AS INTEGER) AS h, m, CAST(p AS DOUBLE) AS p, CAST(q AS DOUBLE) AS q, CAST(f AS DOUBLE) AS f FROM (SELECT * FROM {encodings} WHERE id % 2 = 0)")
+@query("SELECT k, CAST(h AS INTEGER) AS h, m, CAST(p AS DOUBLE) AS p, CAST(q AS DOUBLE) AS q, CAST(f AS DOUBLE) AS f FROM {encodings}")
 def s4_rappor_params(t):
-    rows_ = t("encodings").where("id % 2 = 0").select("k", "h", "m", F.col("p").cast("double").alias("p"), F.col("q").cast("double").alias("q"), F.col("f").cast("double").alias("f"))
+    rows_ = t("encodings").select("k", "h", "m", F.col("p").cast("double").alias("p"), F.col("q").cast("double").alias("q"), F.col("f").cast("double").alias("f"))
     path = streams.shared_path(rows_.sparkSession, "params")
     rows_.write.csv(path, header=True)
     return tables.read_rappor_params(rows_.sparkSession, path)
@@ -150,16 +150,19 @@ def s14_peek(t):
 
 # filters and checks
 
-VALUES_SQL = """SELECT obs_id, CASE WHEN obs_id % 17 = 0 THEN 99 ELSE metric_id END AS metric_id, CASE WHEN obs_id % 5 = 0 THEN '' WHEN obs_id % 19 = 0 THEN 'other' ELSE 'type' END AS part_name,
+VALUES_SQL = """SELECT obs_id, CASE WHEN obs_id % 4 = 3 THEN 2 ELSE 1 END AS customer_id, CASE WHEN obs_id % 17 = 0 THEN 99 ELSE metric_id END AS metric_id, CASE WHEN obs_id % 5 = 0 THEN '' WHEN obs_id % 19 = 0 THEN 'other' ELSE 'type' END AS part_name,
  CASE WHEN obs_id % 7 = 0 THEN 'int' ELSE 'string' END AS kind, obs_id % 23 <> 0 AS is_set FROM {obs}"""
-REASON_SQL = f"""SELECT obs_id, reason FROM (SELECT obs_id, CASE WHEN metric_id = 99 THEN 'unknown metric' WHEN metric_id = 3 THEN 'wrong number of parts'
- WHEN part_name NOT IN ('', 'type') THEN 'unknown part' WHEN NOT is_set THEN 'unset value' WHEN kind <> 'string' THEN 'wrong type' END AS reason FROM ({VALUES_SQL}))"""
+REASON_SQL = f"""SELECT obs_id, reason FROM (SELECT obs_id, CASE WHEN metric_id = 99 THEN 'unknown metric' WHEN metric_id = 3 AND customer_id = 1 THEN 'wrong number of parts'
+ WHEN part_name NOT IN ('', 'type') THEN 'unknown part' WHEN NOT is_set THEN 'unset value' WHEN kind <> CASE customer_id WHEN 1 THEN 'string' ELSE 'int' END THEN 'wrong type' END AS reason FROM ({VALUES_SQL}))"""
 
 
 def _judged(t):
-    values = t("obs").selectExpr("obs_id", "CASE WHEN obs_id % 17 = 0 THEN 99 ELSE metric_id END AS metric_id", "CASE WHEN obs_id % 5 = 0 THEN '' WHEN obs_id % 19 = 0 THEN 'other' ELSE 'type' END AS part_name", "CASE WHEN obs_id % 7 = 0 THEN 'int' ELSE 'string' END AS kind", "obs_id % 23 != 0 AS is_set")
-    registry = t("obs").select("metric_id").distinct()
-    parts = registry.selectExpr("metric_id", "'type' AS part_name", "'string' AS data_type").unionByName(registry.where("metric_id = 3").selectExpr("metric_id", "'second' AS part_name", "'int' AS data_type"))
+    # customers 1 and 2 have metrics of the same ids with other parts
+    values = t("obs").selectExpr("obs_id", "CAST(CASE WHEN obs_id % 4 = 3 THEN 2 ELSE 1 END AS BIGINT) AS customer_id", "project_id", "CASE WHEN obs_id % 17 = 0 THEN 99 ELSE metric_id END AS metric_id", "CASE WHEN obs_id % 5 = 0 THEN '' WHEN obs_id % 19 = 0 THEN 'other' ELSE 'type' END AS part_name", "CASE WHEN obs_id % 7 = 0 THEN 'int' ELSE 'string' END AS kind", "obs_id % 23 != 0 AS is_set")
+    registry = t("obs").select("customer_id", "project_id", "metric_id").distinct()
+    key = ["customer_id", "project_id", "metric_id"]
+    parts = registry.selectExpr(*key, "'type' AS part_name", "'string' AS data_type").unionByName(registry.where("metric_id = 3").selectExpr(*key, "'second' AS part_name", "'int' AS data_type"))
+    parts = parts.unionByName(registry.selectExpr("customer_id + 1 AS customer_id", "project_id", "metric_id", "'type' AS part_name", "'int' AS data_type"))
     return checks.validate_values(values, parts)
 
 
@@ -251,10 +254,10 @@ def f15_drop_blank_reports(t):
     return rows.drop_blank_reports(df, "v1", "v2").select("obs_id")
 
 
-@query("SELECT o.obs_id FROM {obs} o JOIN (SELECT id, min(max_build_level) AS l FROM {metrics} GROUP BY id) m ON m.id = o.metric_id WHERE build_level <= l")
+@query("SELECT o.obs_id FROM {obs} o JOIN {metrics} m ON m.customer_id = 1 + obs_id % 5 AND m.project_id = 1 + 100 * (obs_id % 2) AND m.id = obs_id % 20 WHERE build_level <= max_build_level")
 def f16_filter_build_level(t):
-    levels = t("metrics").groupBy("id").agg(F.min("max_build_level").alias("max_build_level"))
-    return rows.filter_build_level(t("obs"), levels).select("obs_id")
+    obs = t("obs").selectExpr("obs_id", "build_level", "1 + obs_id % 5 AS customer_id", "1 + 100 * (obs_id % 2) AS project_id", "obs_id % 20 AS metric_id")
+    return rows.filter_build_level(obs, t("metrics")).select("obs_id")
 
 
 @query("SELECT customer_id, project_id, id, count(*) AS n FROM {metrics} GROUP BY ALL HAVING count(*) > 1 OR id = 0")
@@ -268,10 +271,12 @@ def v2_dangling_reports(t):
 
 
 @query("""SELECT v.id, CASE WHEN data_type IS NULL THEN 'no such part' WHEN has_labels AND data_type <> 'index' THEN 'labels on a part that is no index' WHEN has_candidates AND data_type <> 'string' THEN 'candidates on a part that is no string' END AS reason
- FROM (SELECT id, metric_id % 20 AS metric_id, id % 2 = 0 AS has_labels, id % 3 = 0 AS has_candidates FROM {reports}) v LEFT JOIN (SELECT metric_id, min(data_type) AS data_type FROM {parts} WHERE metric_id < 15 GROUP BY 1) p USING (metric_id) WHERE reason IS NOT NULL""")
+ FROM (SELECT id, customer_id, project_id, metric_id % 20 AS metric_id, CASE WHEN id % 7 = 0 THEN 'other' ELSE 'part' END AS part_name, id % 2 = 0 AS has_labels, id % 3 = 0 AS has_candidates FROM {reports}) v
+ LEFT JOIN (SELECT 1 + p_size % 5 AS customer_id, 1 + 100 * (p_size % 2) AS project_id, p_partkey % 20 AS metric_id, 'part' AS part_name, min(CASE p_size % 3 WHEN 0 THEN 'string' WHEN 1 THEN 'int' ELSE 'index' END) AS data_type FROM part GROUP BY ALL) p USING (customer_id, project_id, metric_id, part_name) WHERE reason IS NOT NULL""")
 def v3_invalid_variables(t):
-    variables = t("reports").selectExpr("id", "metric_id % 20 AS metric_id", "'part' AS part_name", "id % 2 = 0 AS has_labels", "id % 3 = 0 AS has_candidates")
-    parts = t("parts").where("metric_id < 15").groupBy("metric_id").agg(F.min("data_type").alias("data_type")).withColumn("part_name", F.lit("part"))
+    variables = t("reports").selectExpr("id", "customer_id", "project_id", "metric_id % 20 AS metric_id", "CASE WHEN id % 7 = 0 THEN 'other' ELSE 'part' END AS part_name", "id % 2 = 0 AS has_labels", "id % 3 = 0 AS has_candidates")
+    parts = t("part").selectExpr("1 + p_size % 5 AS customer_id", "1 + 100 * (p_size % 2) AS project_id", "p_partkey % 20 AS metric_id", "'part' AS part_name", "CASE p_size % 3 WHEN 0 THEN 'string' WHEN 1 THEN 'int' ELSE 'index' END AS data_type")
+    parts = parts.groupBy("customer_id", "project_id", "metric_id", "part_name").agg(F.min("data_type").alias("data_type"))
     return checks.invalid_variables(variables, parts).select("id", "reason")
 
 
@@ -387,8 +392,13 @@ def e1_encode_noop(t):
     return encoding.encode_noop(t("obs"), "s").select("obs_id", "value")
 
 
+def _draw_sql(salt: str) -> str:
+    """Bit j's draw: a quarter of the digest of obs_id and j // 4."""
+    return f"(CAST('0x' || substr(sha256('{salt}|' || CAST(obs_id AS VARCHAR) || '|' || CAST(j // 4 AS VARCHAR)), 13 * (j % 4) + 1, 13) AS BIGINT) / 4503599627370496.0)"
+
+
 def _bits_sql(k: int, index: str, p: float, q: float, salt: str) -> str:
-    return f"array_to_string(list_filter(range({k}), lambda j: {_uniform_sql(salt, 'obs_id', 'j')} < CASE WHEN {index} THEN {q} ELSE {p} END), ',')"
+    return f"array_to_string(list_filter(range({k}), lambda j: {_draw_sql(salt)} < CASE WHEN {index} THEN {q} ELSE {p} END), ',')"
 
 
 @query(f"SELECT obs_id, {_bits_sql(5, f'j = list_position({KINDS_SQL}, s) - 1', 0.2, 0.8, 'basic')} AS set_bits FROM {{obs}}")
@@ -416,11 +426,11 @@ def e5_encode_rappor(t):
     return encoding.encode_rappor(t("obs"), "s", "client_id", 16, 2, 8, 0.1, 0.9, "rappor").select("obs_id", "cohort", joined("set_bits"))
 
 
-@query("SELECT s, day_index AS epoch, count(*) AS n, count(DISTINCT client_id) AS points FROM {obs} WHERE metric_id = 1 GROUP BY ALL")
+@query("SELECT metric_id, s, day_index AS epoch, count(*) AS n, count(DISTINCT client_id) AS points FROM {obs} GROUP BY ALL")
 def e6_encode_threshold(t):
-    coded = encoding.encode_threshold(t("obs").where("metric_id = 1"), "s", "client_id", 5, S.DAY, "master")
+    coded = encoding.encode_threshold(t("obs"), "s", "client_id", 5, S.DAY, "master")
     # one ciphertext a value and epoch, one point a client
-    return coded.groupBy("epoch", "ciphertext").agg(F.min("s").alias("s"), F.count("*").alias("n"), F.count_distinct("point_x", "point_y").alias("points")).select("s", F.col("epoch").cast("long").alias("epoch"), "n", "points")
+    return coded.groupBy("metric_id", "epoch", "ciphertext").agg(F.min("s").alias("s"), F.count("*").alias("n"), F.count_distinct("point_x", "point_y").alias("points")).select("metric_id", "s", F.col("epoch").cast("long").alias("epoch"), "n", "points")
 
 
 @query(f"SELECT obs_id, client_id % 8 AS cohort, array_to_string(list_transform(range(15, -1, -1), lambda j: CASE WHEN list_contains({_bloom_sql('s', '(client_id % 8)', 16, 2)}, j) THEN '1' ELSE '0' END), '') AS bits1 FROM {{obs}}")
@@ -462,7 +472,7 @@ def a3_merge_distributions(t):
     return estimate.merge_distributions(dist, 10)
 
 
-BITS_SQL = f"SELECT obs_id, metric_id, board, list_filter(range(5), lambda j: {_uniform_sql('basic', 'obs_id', 'j')} < CASE WHEN j = list_position({KINDS_SQL}, s) - 1 THEN 0.8 ELSE 0.2 END) AS b FROM {{obs}}"
+BITS_SQL = f"SELECT obs_id, metric_id, board, list_filter(range(5), lambda j: {_draw_sql('basic')} < CASE WHEN j = list_position({KINDS_SQL}, s) - 1 THEN 0.8 ELSE 0.2 END) AS b FROM {{obs}}"
 COUNTS_SQL = f"SELECT bit, n, (SELECT count(*) FROM ({BITS_SQL}) WHERE list_contains(b, bit)) AS y FROM (SELECT count(*) AS n FROM {{obs}}), (SELECT unnest(range(5)) AS bit)"
 EST_SQL = "(y - 0.2 * n) / (0.8 - 0.2) AS e, sqrt(y * (1 - 0.2 - 0.8) + n * (0.2 * 0.8)) / abs(0.8 - 0.2) AS se"
 
@@ -486,7 +496,7 @@ def _bloom(t):
 
 
 CELLS_SQL = f"""SELECT cohort, bit, n, coalesce(y, 0) AS y FROM (SELECT cohort, count(*) AS n FROM (SELECT {_cohort_sql(8, 8, 'rappor')} AS cohort FROM {{obs}}) GROUP BY 1) CROSS JOIN (SELECT unnest(range(16)) AS bit)
- LEFT JOIN (SELECT cohort, bit, count(*) AS y FROM (SELECT cohort, unnest(list_filter(range(16), lambda j: {_uniform_sql('rappor', 'obs_id', 'j')} < CASE WHEN list_contains(bloom, j) THEN 0.9 ELSE 0.1 END)) AS bit
+ LEFT JOIN (SELECT cohort, bit, count(*) AS y FROM (SELECT cohort, unnest(list_filter(range(16), lambda j: {_draw_sql('rappor')} < CASE WHEN list_contains(bloom, j) THEN 0.9 ELSE 0.1 END)) AS bit
  FROM (SELECT *, {_bloom_sql('s', 'cohort', 16, 2)} AS bloom FROM (SELECT *, {_cohort_sql(8, 8, 'rappor')} AS cohort FROM {{obs}}))) GROUP BY ALL) USING (cohort, bit)"""
 
 
@@ -520,11 +530,10 @@ def a10_threshold_decrypt(t):
     return encoding.threshold_decrypt(coded, 20)
 
 
-@query("SELECT s, sum(1) AS conflicts FROM (SELECT s, client_id FROM {obs} WHERE day_index = 19725 GROUP BY ALL HAVING count(DISTINCT obs_id % 7 = 0) > 1) GROUP BY s")
+@query("SELECT epoch, s, count(*) AS conflicts FROM (SELECT day_index AS epoch, s, client_id FROM {obs} GROUP BY ALL HAVING count(DISTINCT obs_id % 7 = 0) > 1) GROUP BY ALL")
 def a11_threshold_errors(t):
-    obs = t("obs").where("day_index = 19725")
-    coded = obs.select(F.lit(0).alias("epoch"), F.col("s").alias("ciphertext"), F.col("client_id").alias("point_x"), (F.col("obs_id") % 7 == 0).cast("string").alias("point_y"))
-    return encoding.threshold_errors(coded).select(F.col("ciphertext").alias("s"), "conflicts")
+    coded = t("obs").select(F.col("day_index").alias("epoch"), F.col("s").alias("ciphertext"), F.col("client_id").alias("point_x"), (F.col("obs_id") % 7 == 0).cast("string").alias("point_y"))
+    return encoding.threshold_errors(coded).select("epoch", F.col("ciphertext").alias("s"), "conflicts")
 
 
 @query("SELECT board, s, count(*) AS count_estimate, 0.0::DOUBLE AS std_error FROM {obs} GROUP BY ALL")
@@ -532,9 +541,10 @@ def a12_histogram_by_profile(t):
     return estimate.histogram(t("obs"), "s", ["board"])
 
 
-@query("SELECT board, min(encoding_config_id) AS lo, max(encoding_config_id) AS hi FROM {obs} WHERE encoding_config_id = 1 OR board = 'board2' GROUP BY board HAVING min(encoding_config_id) <> max(encoding_config_id)")
+@query("SELECT board, min(e) AS lo, max(e) AS hi FROM (SELECT board, CASE WHEN board = 'board2' THEN encoding_config_id ELSE 1 END AS e FROM {obs}) GROUP BY board HAVING min(e) <> max(e)")
 def a13_heterogeneous_groups(t):
-    return estimate.heterogeneous_groups(t("obs").where("encoding_config_id = 1 OR board = 'board2'"), ["board"])
+    obs = t("obs").selectExpr("board", "CASE WHEN board = 'board2' THEN encoding_config_id ELSE 1 END AS encoding_config_id")
+    return estimate.heterogeneous_groups(obs, ["board"])
 
 
 @query(f"SELECT cohort, count(*) AS total, {', '.join(f'sum(CASE WHEN list_contains(b, {j}) THEN 1 ELSE 0 END) AS bit{j}' for j in range(4))} FROM (SELECT client_id % 8 AS cohort, {_bloom_sql('s', '(client_id % 8)', 4, 2)} AS b FROM {{obs}}) GROUP BY cohort")
@@ -583,23 +593,25 @@ NAMES4 = ["0", "1", "2", "3"]
 
 @query()
 def a19_joint_em(t):
-    grid = joint.joint_em(_pair_table(t), 5, 4, 25, 1e-4)
+    grid = joint.joint_em(_pair_table(t), 5, 4)
     return joint.as_rows(t("region").sparkSession, grid, KINDS, NAMES4)
 
 
 @query()
 def a20_joint_variance(t):
     table_ = _pair_table(t).cache()
-    grid = joint.joint_em(table_, 5, 4, 5, 1e-3)
+    grid = joint.joint_em(table_, 5, 4)
     errors, _ = joint.joint_variance(table_, grid)
+    table_.unpersist()
     return joint.as_rows(t("region").sparkSession, errors, KINDS, NAMES4).withColumnRenamed("proportion", "std_error")
 
 
 @query()
 def a21_independence_test(t):
     table_ = _pair_table(t).cache()
-    grid = joint.joint_em(table_, 5, 4, 5, 1e-3)
+    grid = joint.joint_em(table_, 5, 4)
     statistic, p_value = joint.independence_test(grid, joint.joint_variance(table_, grid)[1])
+    table_.unpersist()
     return t("region").sparkSession.createDataFrame([(statistic, p_value)], "statistic double, p_value double")
 
 
@@ -653,7 +665,10 @@ def w2_chunk(t):
     return rows.chunk(t("obs"), ["metric_id", "day_index"], "obs_id", 20, "chunk").select("obs_id", "chunk")
 
 
-@query("SELECT obs_id, CAST(floor(coalesce(sum(length(s) + 10) OVER (PARTITION BY client_id ORDER BY obs_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 100) AS BIGINT) AS envelope FROM {obs}")
+@query("""WITH RECURSIVE r AS (SELECT client_id, obs_id, length(s) + 10 AS b, row_number() OVER (PARTITION BY client_id ORDER BY obs_id) AS n FROM {obs}),
+ g AS (SELECT client_id, obs_id, n, b AS used, 0 AS envelope FROM r WHERE n = 1
+ UNION ALL SELECT r.client_id, r.obs_id, r.n, CASE WHEN used + b > 100 THEN b ELSE used + b END, envelope + CASE WHEN used + b > 100 THEN 1 ELSE 0 END FROM g JOIN r ON r.client_id = g.client_id AND r.n = g.n + 1)
+SELECT obs_id, CAST(envelope AS BIGINT) AS envelope FROM g""")
 def w3_pack_batches(t):
     return rows.pack_batches(t("obs"), ["client_id"], "obs_id", F.length("s") + 10, 100).select("obs_id", "envelope")
 
@@ -866,7 +881,7 @@ def r2_joint_counts(t):
 
 @query()
 def r2_joint_report(t):
-    grid = joint.joint_em(_pair_table(t), 5, 4, 15, 1e-4)
+    grid = joint.joint_em(_pair_table(t), 5, 4)
     return joint.as_rows(t("region").sparkSession, grid * t("obs").count(), KINDS, NAMES4).withColumnRenamed("proportion", "count_estimate")
 
 
@@ -939,10 +954,10 @@ def st2_threshold_release(t):
     return rows.threshold_release(buffer, ["metric_id", "board", "day_index"], 30, 15, TODAY).select("obs_id", "action")
 
 
-@query("SELECT k, obs_id FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM (SELECT board || s AS k, obs_id FROM {obs})) WHERE n >= 30")
+@query("SELECT k, obs_id FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM (SELECT board || s AS k, obs_id FROM {obs})) WHERE n >= 2")
 def st2_threshold_release_stream(t):
     obs = t("obs").select(F.concat("board", "s").alias("k"), "obs_id", "day_index")
-    return streams.drain(streams.threshold_release_stream(streams.as_stream(obs.coalesce(1), "st2"), "k", "obs_id", "day_index", 30, 1000))
+    return streams.drain(streams.threshold_release_stream(streams.as_stream(obs.repartition(6), "st2", 2), "k", "obs_id", "day_index", 2, 1000, TODAY))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS period, s, count(*) AS n FROM {obs} GROUP BY ALL")
@@ -957,7 +972,7 @@ def st5_reservoir_sample(t):
 
 @query("SELECT metric_id, obs_id FROM {obs} QUALIFY row_number() OVER (PARTITION BY metric_id ORDER BY " + _uniform_sql("res", "obs_id") + ", obs_id) <= 20")
 def st5_reservoir_stream(t):
-    return streams.drain(streams.reservoir_stream(streams.as_stream(t("obs").select("metric_id", "obs_id").coalesce(1), "st5"), 20, "metric_id", "obs_id", "res"), "update")
+    return streams.drain(streams.reservoir_stream(streams.as_stream(t("obs").select("metric_id", "obs_id").repartition(6), "st5", 2), 20, "metric_id", "obs_id", "res"), "update", ["metric_id"], several=True)
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS period, s, count(*) AS n, round(sum(d), 4) AS total, round(avg(d), 6) AS mean FROM {obs} GROUP BY ALL")
@@ -973,7 +988,8 @@ def st7_finalization_window(t):
 
 @query("SELECT client_id AS envelope_id, CASE WHEN client_id % 4 = 0 THEN 'env' ELSE board END AS board, metric_id, obs_id, 19750 AS arrival_day FROM {obs}")
 def st8_receive(t):
-    batches = t("obs").groupBy("client_id", "board", "metric_id").agg(F.collect_list("obs_id").alias("observations"))
-    envelopes = batches.groupBy(F.col("client_id").alias("envelope_id")).agg(F.collect_list(F.struct("board", "metric_id", "observations")).alias("batches"))
+    # an envelope holds at most 100 observations: those of a client with ids in one run of 100
+    batches = t("obs").groupBy("client_id", F.floor(F.col("obs_id") / 100).alias("run"), "board", "metric_id").agg(F.collect_list("obs_id").alias("observations"))
+    envelopes = batches.groupBy(F.col("client_id").alias("envelope_id"), "run").agg(F.collect_list(F.struct("board", "metric_id", "observations")).alias("batches"))
     envelopes = envelopes.withColumn("env_board", F.when(F.col("envelope_id") % 4 == 0, "env").otherwise(""))
     return rows.receive(envelopes, TODAY)

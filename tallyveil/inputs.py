@@ -31,7 +31,7 @@ TABLES = {
         CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority END AS message FROM {orders}""",
     "meta": """SELECT c_custkey AS report_id, CAST((c_custkey - c_custkey % 3) / 3 AS BIGINT) AS request_id, c_custkey % 3 AS position, CASE WHEN c_custkey % 3 = 2 THEN 'JOINT' ELSE 'HISTOGRAM' END AS report_type,
         c_nationkey AS config_id, c_acctbal AS created FROM {customer}""",
-    "history": """SELECT o_custkey % 50 AS config_id, 19740 + o_orderkey % 60 AS day, CASE o_orderstatus WHEN 'O' THEN 'IN_PROGRESS' WHEN 'F' THEN 'COMPLETED' ELSE 'TERMINATED' END AS state, o_orderkey % 7 = 0 AS one_off FROM {orders} WHERE o_orderkey % 5 = 0""",
+    "history": """SELECT o_custkey % 50 AS config_id, 19740 + o_orderkey % 60 AS day, CASE WHEN o_orderkey % 5 <> 0 THEN 'TERMINATED' WHEN o_orderstatus = 'O' THEN 'IN_PROGRESS' WHEN o_orderstatus = 'F' THEN 'COMPLETED' ELSE 'TERMINATED' END AS state, o_orderkey % 7 = 0 AS one_off FROM {orders}""",
     "configs": "SELECT DISTINCT o_custkey % 50 AS config_id, o_custkey % 50 % 21 AS finalization_days FROM {orders}",
     "labels_dim": "SELECT CAST(n_nationkey * 5 AS BIGINT) AS idx, n_name AS label FROM {nation}",
 }

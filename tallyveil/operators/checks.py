@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 ENCODABLE = {"threshold": ("string", "blob"), "rappor": ("string",), "basic_rappor": ("string", "int", "index"), "noop": ("string", "int", "index", "double", "blob", "dist")}
 KEY = ["customer_id", "project_id", "id"]
+METRIC = ["customer_id", "project_id", "metric_id"]
 
 
 def validate_values(values: DataFrame, parts: DataFrame) -> DataFrame:
-    """values(obs_id, metric_id, part_name, kind, is_set) with a reason, null where good.
+    """values(obs_id, customer_id, project_id, metric_id, part_name, kind, is_set) with a reason, null where good.
 
-    An empty part name means the metric's only part.
+    Parts are found by customer, project and metric. An empty part name means the metric's only part.
     """
-    of_metric = parts.groupBy("metric_id").agg(F.count("*").alias("n_parts"), F.min("part_name").alias("only_part"))
+    of_metric = parts.groupBy(*METRIC).agg(F.count("*").alias("n_parts"), F.min("part_name").alias("only_part"))
     sent = values.groupBy("obs_id").agg(F.count("*").alias("n_sent"))
-    rows = values.join(F.broadcast(of_metric), "metric_id", "left").join(sent, "obs_id")
+    rows = values.join(of_metric, METRIC, "left").join(sent, "obs_id")
     rows = rows.withColumn("part_name", F.when((F.col("part_name") == "") & (F.col("n_parts") == 1), F.col("only_part")).otherwise(F.col("part_name")))
-    rows = rows.join(F.broadcast(parts.select("metric_id", "part_name", "data_type")), ["metric_id", "part_name"], "left")
+    rows = rows.join(parts.select(*METRIC, "part_name", "data_type"), [*METRIC, "part_name"], "left")
     reason = (
         F.when(F.col("n_parts").isNull(), "unknown metric")
         .when(F.col("n_sent") != F.col("n_parts"), "wrong number of parts")
@@ -26,7 +27,7 @@ def validate_values(values: DataFrame, parts: DataFrame) -> DataFrame:
         .when(~F.col("is_set"), "unset value")
         .when(F.col("kind") != F.col("data_type"), "wrong type")
     )
-    return rows.select("obs_id", "metric_id", "part_name", "kind", reason.alias("reason"))
+    return rows.select("obs_id", *METRIC, "part_name", "kind", reason.alias("reason"))
 
 
 def valid_distributions(df: DataFrame, n_buckets: int | None) -> DataFrame:
@@ -52,7 +53,7 @@ def dangling_reports(reports: DataFrame, metrics: DataFrame) -> DataFrame:
 
 
 def invalid_variables(variables: DataFrame, parts: DataFrame) -> DataFrame:
-    rows = variables.join(parts.select("metric_id", "part_name", "data_type"), ["metric_id", "part_name"], "left")
+    rows = variables.join(parts.select(*METRIC, "part_name", "data_type"), [*METRIC, "part_name"], "left")
     reason = (
         F.when(F.col("data_type").isNull(), "no such part")
         .when(F.col("has_labels") & (F.col("data_type") != "index"), "labels on a part that is no index")

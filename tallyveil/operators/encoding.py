@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
+from math import ceil
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import epoch_index, keyed_uniform
+from ..functions.scalars import epoch_index
 
 PRIME = 2**127 - 1
 
@@ -19,27 +20,45 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row, whatever filters and projections later use it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def encode_noop(df: DataFrame, value: str) -> DataFrame:
     return df.withColumn("value", F.col(value)).withColumn("payload_kind", F.lit("noop"))
 
 
 def noisy_bits(index: Column, k: int, p: float, q: float, salt: str, key: str) -> Column:
     """Places of set bits: the index's bit stays set with probability q, any other becomes set with probability p."""
-    draw = lambda j: keyed_uniform(salt, key, j) < F.when(j == index, q).otherwise(p)
-    return F.filter(F.sequence(F.lit(0), F.lit(k - 1)), draw)
+    return _drawn(k, lambda j: j == index, p, q, salt, key)
+
+
+def _below(share: float) -> str:
+    """Hex digits h such that 13 random ones are less with probability share."""
+    n = ceil(share * 2**52)
+    return "" if n <= 0 else "g" if n >= 2**52 else f"{n:013x}"
+
+
+def _drawn(k: int, is_set, p: float, q: float, salt: str, key: str) -> Column:
+    """Places j in 0..k-1 whose draw is below q where is_set(j), else below p. Each digest gives four draws."""
+    digest = lambda d: F.sha2(F.concat_ws("|", F.lit(salt), F.col(key).cast("string"), d.cast("string")), 256)
+    digests = F.transform(F.sequence(F.lit(0), F.lit((k - 1) // 4)), digest)
+    quarter = lambda of, j: F.substring(F.get(of, F.floor(j / 4).cast("int")), 13 * (j % 4) + 1, F.lit(13))
+    return let(digests, lambda of: F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: quarter(of, j) < F.when(is_set(j), _below(q)).otherwise(_below(p))))
 
 
 def encode_basic_rappor(df: DataFrame, value: str, categories: list[str], p: float, q: float, salt: str, key: str = "obs_id") -> DataFrame:
     """set_bits of each row; values that are no category are left out."""
     index = F.array_position(F.array(*map(F.lit, categories)), F.col(value).cast("string")).cast("int") - 1
     rows = df.withColumn("category", index).where("category >= 0")
-    return rows.withColumn("set_bits", noisy_bits(F.col("category"), len(categories), p, q, salt, key))
+    return once(rows, "set_bits", noisy_bits(F.col("category"), len(categories), p, q, salt, key))
 
 
 def encode_one_hot(df: DataFrame, value: str, n: int, p: float, q: float, salt: str, key: str = "obs_id") -> DataFrame:
     """Value j is bit j; cohort 0."""
     rows = df.where(F.col(value).between(0, n - 1)).withColumn("cohort", F.lit(0))
-    return rows.withColumn("set_bits", noisy_bits(F.col(value), n, p, q, salt, key))
+    return once(rows, "set_bits", noisy_bits(F.col(value), n, p, q, salt, key))
 
 
 def assign_cohort(client: str, m: int, salt: str) -> Column:
@@ -61,13 +80,11 @@ def bloom_bits(value: str, cohort: Column, k: int, h: int) -> Column:
 
 
 def encode_rappor(df: DataFrame, value: str, client: str, k: int, h: int, m: int, p: float, q: float, salt: str, key: str = "obs_id") -> DataFrame:
-    places = F.sequence(F.lit(0), F.lit(k - 1))
-
     def noisy(bloom: Column) -> Column:
-        return F.filter(places, lambda j: keyed_uniform(salt, key, j) < F.when(F.array_contains(bloom, j), q).otherwise(p))
+        return _drawn(k, lambda j: F.array_contains(bloom, j), p, q, salt, key)
 
     coded = let(assign_cohort(client, m, salt), lambda c: F.struct(c.alias("cohort"), let(bloom_bits(value, c, k, h), noisy).alias("set_bits")))
-    return df.withColumn("_coded", coded).select("*", "_coded.cohort", "_coded.set_bits").drop("_coded")
+    return df.select("*", F.inline(F.array(coded)))
 
 
 def encode_legacy_cohort(df: DataFrame, client: str, m: int, values: dict[str, str], k: int, h: int) -> DataFrame:

@@ -31,9 +31,11 @@ def merge_distributions(dists: DataFrame, n_buckets: int) -> DataFrame:
 def bit_counts(df: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
     """(group, bit, y, n) for all k bits: how many observations have the bit, of how many.
 
-    Only set bits are exploded, with a mark -1 for each observation, so that one partial aggregate gives y and n.
+    Only set bits are exploded, with a mark -1 for each observation, so that one partial aggregate gives y and n. Rows
+    with a bit outside 0..k-1, or without bits at all (null), are left out; `bit_errors` counts them.
     """
     by = by or []
+    df = df.where(F.forall("set_bits", lambda b: (b >= 0) & (b < k)))
     marked = df.select(*by, F.explode(F.concat(F.array(F.lit(-1)), "set_bits")).alias("bit"))
     tally = marked.groupBy(*by, "bit").agg(F.count("*").alias("c"))
     counts = tally.groupBy(*by).agg(F.max(F.when(F.col("bit") == -1, F.col("c"))).alias("n"), F.map_from_entries(F.collect_list(F.struct("bit", "c"))).alias("of"))
@@ -47,10 +49,19 @@ def basic_rappor_estimate(counts: DataFrame, p: float, q: float) -> DataFrame:
     return counts.withColumn("count_estimate", est).withColumn("std_error", err)
 
 
+def _good_cohort(k: int, m: int):
+    return F.coalesce(F.col("cohort").between(0, m - 1) & F.forall("set_bits", lambda b: (b >= 0) & (b < k)), F.lit(False))
+
+
 def cohort_bit_counts(df: DataFrame, k: int, m: int) -> DataFrame:
     """(cohort, bit, y, n); rows of a cohort outside 0..m-1 or of a bit outside 0..k-1 are left out as errors."""
-    good = df.where(F.col("cohort").between(0, m - 1) & F.forall("set_bits", lambda b: (b >= 0) & (b < k)))
-    return bit_counts(good, k, ["cohort"])
+    return bit_counts(df.where(_good_cohort(k, m)), k, ["cohort"])
+
+
+def bit_errors(df: DataFrame, k: int, m: int | None = None) -> DataFrame:
+    """One row (n, errors): observations, and those that bit counting leaves out (bit or, with m, cohort out of range)."""
+    good = _good_cohort(k, m) if m is not None else F.coalesce(F.forall("set_bits", lambda b: (b >= 0) & (b < k)), F.lit(False))
+    return df.agg(F.count("*").alias("n"), F.sum(F.when(good, 0).otherwise(1)).alias("errors"))
 
 
 def bit_count_ratios(estimates: DataFrame, k: int) -> DataFrame:
@@ -58,10 +69,11 @@ def bit_count_ratios(estimates: DataFrame, k: int) -> DataFrame:
     return estimates.where("n > 0").select((F.col("cohort") * k + (k - 1 - F.col("bit"))).alias("row"), (F.col("count_estimate") / F.col("n")).alias("ratio"))
 
 
-def rappor_estimate(obs: DataFrame, candidates: DataFrame, k: int, h: int, m: int, p: float, q: float) -> DataFrame:
+def rappor_estimate(obs: DataFrame, candidates: DataFrame, k: int, h: int, m: int, p: float, q: float, max_iterations: int = 10_000) -> DataFrame:
     """(candidate, count_estimate): elastic net of bit ratios on the candidates' bits, times the number of observations.
 
-    The candidates are a report's configured list, which the driver holds as the model's vocabulary.
+    The candidates are a report's configured list, which the driver holds as the model's vocabulary. A fit that has not
+    converged after max_iterations is an error.
     """
     ratios = bit_count_ratios(basic_rappor_estimate(cohort_bit_counts(obs, k, m), p, q), k)
     matrix = candidate_matrix(candidates, k, h, m).groupBy("row").agg(F.collect_set("candidate").alias("names"))
@@ -69,7 +81,9 @@ def rappor_estimate(obs: DataFrame, candidates: DataFrame, k: int, h: int, m: in
     system = ratios.join(matrix, "row", "left").select(F.col("ratio").alias("label"), F.coalesce("names", F.array().cast("array<string>")).alias("names"))
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="names", outputCol="features").setBinary(True).transform(system)
     l1, l2 = 0.5 / (k * m), 1e-3 / (k * m)
-    fit = LinearRegression(fitIntercept=False, standardization=False, regParam=l1 + l2, elasticNetParam=l1 / (l1 + l2), maxIter=200, tol=1e-6, solver="l-bfgs").fit(vectors.select("features", "label"))
+    fit = LinearRegression(fitIntercept=False, standardization=False, regParam=l1 + l2, elasticNetParam=l1 / (l1 + l2), maxIter=max_iterations, tol=1e-6, solver="l-bfgs").fit(vectors.select("features", "label"))
+    if fit.summary.totalIterations >= max_iterations:
+        raise ArithmeticError(f"no convergence after {max_iterations} iterations")
     n = obs.count()
     rows = [(c, float(w) * n) for c, w in zip(vocabulary, fit.coefficients)]
     return obs.sparkSession.createDataFrame(rows, "candidate string, count_estimate double")
@@ -117,12 +131,13 @@ def laplace_release(report: DataFrame, count: str, scale: float, salt: str, key:
 def mle_counts(counts: DataFrame, p: float, q: float, most: int = 1000) -> DataFrame:
     """For each (n, y), the integer in 0..n under which y ones are likeliest: Binom(v, q) + Binom(n - v, p) = y.
 
-    Every n must be at most `most`, the size of the table of log factorials.
+    `most` is the size of the table of log factorials; a larger n is an error.
     """
+    n = F.when(F.col("n") <= most, F.col("n")).otherwise(F.raise_error(F.lit(f"n is above {most}")).cast("long"))
     logs = F.array(*[F.lit(lgamma(i + 1)) for i in range(most + 1)])
     choose = lambda a, b: F.get(logs, a) - F.get(logs, b) - F.get(logs, a - b)
     logp = lambda a, b, r: choose(a, b) + b * F.log(F.lit(r)) + (a - b) * F.log(F.lit(1 - r))
-    rows = counts.select("n", "y").distinct().select("n", "y", F.explode(F.sequence(F.lit(0), F.col("n").cast("int"))).alias("v"))
+    rows = counts.select(n.alias("n"), "y").distinct().select("n", "y", F.explode(F.sequence(F.lit(0), F.col("n").cast("int"))).alias("v"))
     low, high = F.greatest(F.lit(0), F.col("y") - (F.col("n") - F.col("v"))).cast("int"), F.least("v", "y").cast("int")
     terms = rows.where(low <= high).select("n", "y", "v", F.explode(F.sequence(low, high)).alias("j"))
     likelihood = terms.groupBy("n", "y", "v").agg(F.sum(F.exp(logp(F.col("v").cast("int"), F.col("j"), q) + logp((F.col("n") - F.col("v")).cast("int"), (F.col("y") - F.col("j")).cast("int"), p))).alias("l"))

@@ -41,6 +41,7 @@ def joint_em(table: DataFrame, n1: int, n2: int, iterations: int = 1000, epsilon
     """n1 x n2 proportions. Each step sums normalised products per partition; only the grid reaches the driver."""
     states = n1 * n2
     current = np.full(states, 1 / states)
+    own = not table.is_cached
     table = table.cache()
     try:
         for _ in range(iterations):
@@ -63,7 +64,8 @@ def joint_em(table: DataFrame, n1: int, n2: int, iterations: int = 1000, epsilon
             if change < epsilon:
                 break
     finally:
-        table.unpersist()
+        if own:
+            table.unpersist()
     return current.reshape(n1, n2)
 
 

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.scalars import keyed_uniform
 
 PROFILE = ("os", "arch", "board_name", "product_name", "build_level")
 KIND_RANK = ("string", "int", "index", "blob")
-SMALL_ROWS = 100_000
-
-
-def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `most` rows; else Spark shuffles both sides."""
-    return F.broadcast(df) if len(df.limit(most + 1).select(F.lit(1)).take(most + 1)) <= most else df
+METRIC = ["customer_id", "project_id", "metric_id"]
 
 
 def consistent_encoding(obs: DataFrame, encodings: DataFrame) -> DataFrame:
@@ -26,12 +23,12 @@ def consistent_encoding(obs: DataFrame, encodings: DataFrame) -> DataFrame:
 
 def with_encoding(obs: DataFrame, encodings: DataFrame) -> DataFrame:
     of = encodings.select("customer_id", "project_id", F.col("id").alias("encoding_config_id"), F.col("kind").alias("encoding_kind"), *[c for c in encodings.columns if c not in ("customer_id", "project_id", "id", "kind")])
-    return obs.join(small(of), ["customer_id", "project_id", "encoding_config_id"])
+    return obs.join(of, ["customer_id", "project_id", "encoding_config_id"])
 
 
 def without_encoding(obs: DataFrame, encodings: DataFrame) -> DataFrame:
     of = encodings.select("customer_id", "project_id", F.col("id").alias("encoding_config_id"))
-    return obs.join(small(of), ["customer_id", "project_id", "encoding_config_id"], "left_anti")
+    return obs.join(of, ["customer_id", "project_id", "encoding_config_id"], "left_anti")
 
 
 def project_profile(df: DataFrame, fields: list[str]) -> DataFrame:
@@ -49,8 +46,14 @@ def day_range(df: DataFrame, first: int, last: int) -> DataFrame:
     return df.where(F.col("day_index").between(first, last))
 
 
-def relative_day_range(df: DataFrame, today: int, first_offset: int, last_offset: int) -> DataFrame:
-    return day_range(df, today + first_offset, today + last_offset)
+def relative_day_range(df: DataFrame, today: int | None, first_offset: int, last_offset: int, zone: str = "UTC", all_days: bool = False) -> DataFrame:
+    """Days by their distance from today; today None: the current day of the zone. all_days: no limit."""
+    if all_days:
+        return df
+    now = F.lit(today) if today is not None else F.unix_date(F.to_date(F.from_utc_timestamp(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), zone)))
+    if first_offset > last_offset:
+        raise ValueError("first day after last day")
+    return df.where(F.col("day_index").between(now + first_offset, now + last_offset))
 
 
 def raw_dump(tall: DataFrame, types: dict[str, str]) -> DataFrame:
@@ -86,13 +89,15 @@ def route_backend(df: DataFrame, known: list[str]) -> dict[str, DataFrame]:
     return routes | {"unknown": df.where(~F.coalesce(F.col("backend").isin(known), F.lit(False)))}
 
 
-def drop_blank_reports(df: DataFrame, v1: str, v2: str) -> DataFrame:
-    return df.where((F.coalesce(v1, F.lit("")) != "") & (F.coalesce(v2, F.lit("")) != ""))
+def drop_blank_reports(df: DataFrame, v1: str, v2: str, strict: bool = False) -> DataFrame:
+    """Rows with both variables; strict: a row without one fails the query when it is read."""
+    full = (F.coalesce(v1, F.lit("")) != "") & (F.coalesce(v2, F.lit("")) != "")
+    return df.where(F.when(full, True).otherwise(F.raise_error(F.lit("a report has a blank variable")).cast("boolean") if strict else F.lit(False)))
 
 
 def filter_build_level(obs: DataFrame, metrics: DataFrame) -> DataFrame:
-    of = metrics.select(F.col("id").alias("metric_id"), "max_build_level")
-    return obs.join(small(of), "metric_id").where("build_level <= max_build_level").drop("max_build_level")
+    of = metrics.select("customer_id", "project_id", F.col("id").alias("metric_id"), "max_build_level")
+    return obs.join(of, METRIC).where("build_level <= max_build_level").drop("max_build_level")
 
 
 # lookups
@@ -106,7 +111,7 @@ def with_report(reports: DataFrame, metrics: DataFrame, variables: DataFrame) ->
 
 
 def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    return rows.join(small(labels), "idx", "left")
+    return rows.join(labels, "idx", "left")
 
 
 def candidate_matrix(candidates: DataFrame, k: int, h: int, m: int) -> DataFrame:
@@ -185,15 +190,48 @@ def sample_reports(df: DataFrame, n: int, salt: str, key: str) -> DataFrame:
 
 
 def chunk(df: DataFrame, keys: list[str], order: str, n: int, salt: str) -> DataFrame:
-    """Numbers rows inside a metadata key in keyed-hash order and cuts chunks of at most n."""
-    w = W.partitionBy(*keys).orderBy(F.sha2(F.concat_ws("|", F.lit(salt), F.col(order).cast("string")), 256), order)
-    return df.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / n).cast("int"))
+    """Numbers rows inside a metadata key in keyed-hash order and cuts chunks of at most n.
 
-
-def pack_batches(df: DataFrame, keys: list[str], order: str, size: Column, most: int) -> DataFrame:
-    """Envelope number by the running size before a row: an envelope passes most bytes by at most one row."""
-    w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return df.withColumn("bytes", size).withColumn("envelope", F.floor(F.coalesce(F.sum("bytes").over(w), F.lit(0)) / most).cast("int"))
+    Rows are numbered inside 256 ranges of the hash, to which the counts of the ranges before are added, so that a key
+    with very many rows is no single task's.
+    """
+    digest = F.sha2(F.concat_ws("|", F.lit(salt), F.col(order).cast("string")), 256)
+    rows = df.withColumn("_h", digest).withColumn("_r", F.substring("_h", 1, 2))
+    sizes = rows.groupBy(*keys, "_r").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(W.partitionBy(*keys).orderBy("_r")) - F.col("_n")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_r").alias("_r2"), "_before")
+    place = F.row_number().over(W.partitionBy(*keys, "_r").orderBy("_h", order)) - 1
+    same = F.col("_r") == F.col("_r2")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.withColumn("_place", place).join(before, same).withColumn("chunk", F.floor((F.col("_place") + F.col("_before")) / n).cast("int")).select(*df.columns, "chunk")
+
+
+def pack_batches(df: DataFrame, keys: list[str], order: str, size: Column, most: int, slice_envelopes: int = 10_000) -> DataFrame:
+    """Adds bytes and envelope: rows of a key in order, each envelope as full as most bytes allow; larger rows go.
+
+    A key with more than slice_envelopes envelopes' bytes is dealt by a hash of order into slices that are packed
+    apart; envelope is slice * 2^32 + number.
+    """
+    rows = df.withColumn("bytes", size.cast("long")).where(F.col("bytes") <= most)
+    sizes = rows.groupBy(*keys).agg(F.greatest(F.ceil(F.sum("bytes") / (most * slice_envelopes)), F.lit(1)).alias("_slices"))
+    dealt = rows.join(sizes, keys).withColumn("_slice", F.pmod(F.xxhash64(order), F.col("_slices"))).drop("_slices")
+    group = [*keys, "_slice"]
+
+    def task(batches):
+        last, used, number = None, 0, 0
+        for b in batches:
+            out = []
+            for g, n in zip(zip(*(b.column(k).to_pylist() for k in group)), b.column("bytes").to_pylist()):
+                if g != last:
+                    last, used, number = g, 0, 0
+                if used + n > most:
+                    used, number = 0, number + 1
+                used += n
+                out.append(g[-1] << 32 | number)
+            yield b.append_column("envelope", pa.array(out, pa.int64()))
+
+    packed = dealt.repartition(*group).sortWithinPartitions(*group, order)
+    return packed.mapInArrow(task, StructType([*packed.schema.fields, StructField("envelope", LongType())])).drop("_slice")
 
 
 def first_points(df: DataFrame, group: list[str], x: str, t: int) -> DataFrame:
@@ -207,7 +245,7 @@ def threshold_release(buffer: DataFrame, keys: list[str], threshold: int, dispos
     """
     sizes = buffer.groupBy(*keys).agg(F.count("*").alias("buffered"))
     action = F.when(F.col("buffered") >= threshold, "release").when(F.lit(today) - F.col("arrival_day") > disposal_days, "dispose").otherwise("hold")
-    return buffer.join(small(sizes), keys).withColumn("action", action)
+    return buffer.join(sizes, keys).withColumn("action", action)
 
 
 def receive(envelopes: DataFrame, arrival_day: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 import pandas as pd
@@ -25,11 +26,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def as_stream(table: DataFrame, name: str) -> DataFrame:
+def as_stream(table: DataFrame, name: str, files_a_batch: int | None = None) -> DataFrame:
     """A file stream over a table, which is written to a shared folder first."""
     path = shared_path(table.sparkSession, name)
     table.write.parquet(path)
-    return table.sparkSession.readStream.schema(table.schema).parquet(path)
+    options = {} if files_a_batch is None else {"maxFilesPerTrigger": files_a_batch}
+    return table.sparkSession.readStream.schema(table.schema).options(**options).parquet(path)
 
 
 def dispatch_trigger(hours: float | None) -> dict:
@@ -37,8 +39,11 @@ def dispatch_trigger(hours: float | None) -> dict:
     return {"availableNow": True} if hours is None else {"processingTime": f"{int(hours * 3600)} seconds"}
 
 
-def drain(stream: DataFrame, mode: str = "append", key: list[str] | None = None) -> DataFrame:
-    """Run the stream over all that is there; the sink as a table. In update mode the last row of each key counts."""
+def drain(stream: DataFrame, mode: str = "append", key: list[str] | None = None, several: bool = False) -> DataFrame:
+    """Run the stream over all that is there; the sink as a table.
+
+    In update mode the last row of each key counts or, with several, all rows of the key's last batch.
+    """
     spark = stream.sparkSession
     out, checkpoint = shared_path(spark, "stream-out"), shared_path(spark, "stream-state")
 
@@ -49,6 +54,9 @@ def drain(stream: DataFrame, mode: str = "append", key: list[str] | None = None)
     query.awaitTermination()
     schema = StructType([*stream.schema.fields, StructField("_batch", LongType())])
     rows = spark.read.schema(schema).parquet(f"{out}/batch=*")
+    if mode == "update" and key and several:
+        last = rows.groupBy(*key).agg(F.max("_batch").alias("_batch"))
+        return rows.join(last, [*key, "_batch"], "left_semi").select(*stream.columns)
     if mode == "update" and key:
         rest = [c for c in stream.columns if c not in key]
         rows = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(*key, "_r.*")
@@ -76,29 +84,38 @@ def finalization_window(obs: DataFrame, days: int, by: str, ts: str = "ts") -> D
     return obs.withWatermark(ts, f"{days} days").groupBy(F.window(ts, "1 day").alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), by, "n")
 
 
-def threshold_release_stream(obs: DataFrame, key: str, value: str, day: str, threshold: int, disposal_days: int) -> DataFrame:
-    """Buffers ids per key until there are `threshold`; then releases all. Older ones than disposal_days go.
+def threshold_release_stream(obs: DataFrame, key: str, value: str, day: str, threshold: int, disposal_days: int, today: int | None = None, expire_idle: bool = False) -> DataFrame:
+    """Buffers ids per key until there are `threshold`; then releases all.
 
-    State holds fewer than `threshold` ids a key between batches.
+    Ids that arrived more than disposal_days before the dispatch day (today; None: the day of the batch) go. With
+    expire_idle, so do those of a key that gets nothing new for that long; that takes a trigger of fixed intervals, since
+    Spark keeps an availableNow run with such timeouts alive for ever. State and task hold fewer than `threshold` ids a key: once the
+    threshold is reached, frames go out as they come.
     """
+    patience = disposal_days * 86_400_000
 
     def step(k: tuple, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         ids, days = (list(x) for x in state.get) if state.exists else ([], [])
+        released = False
         for pdf in frames:
             ids += pdf[value].tolist()
             days += pdf[day].tolist()
-        if len(ids) >= threshold:
-            out, ids, days = ids, [], []
-        else:
-            now = max(days, default=0)
-            kept = [(i, d) for i, d in zip(ids, days) if now - d <= disposal_days]
-            out, ids, days = [], [i for i, _ in kept], [d for _, d in kept]
-        state.update((ids, days))
-        yield pd.DataFrame({key: [k[0]] * len(out), value: out})
+            if released or len(ids) >= threshold:
+                released = True
+                yield pd.DataFrame({key: [k[0]] * len(ids), value: ids})
+                ids, days = [], []
+        now = int(time.time() // 86_400) if today is None else today
+        kept = [(i, d) for i, d in zip(ids, days) if now - d <= disposal_days]
+        state.update(([i for i, _ in kept], [d for _, d in kept]))
+        if expire_idle:
+            state.setTimeoutDuration(patience)
 
     kinds = dict(obs.dtypes)
     rows = obs.select(key, value, day)
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {value} {kinds[value]}", f"ids array<{kinds[value]}>, days array<{kinds[day]}>", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {value} {kinds[value]}", f"ids array<{kinds[value]}>, days array<{kinds[day]}>", "append", GroupStateTimeout.ProcessingTimeTimeout if expire_idle else GroupStateTimeout.NoTimeout)
 
 
 def reservoir(events: DataFrame, n: int, by: list[str], key: str, salt: str) -> DataFrame:
@@ -111,11 +128,9 @@ def reservoir_stream(events: DataFrame, n: int, by: str, key: str, salt: str) ->
     """Stream form: state keeps the n least hashes of a group; each batch gives the group's sample so far."""
 
     def step(k: tuple, frames, state: GroupState):
-        us, ids = (list(x) for x in state.get) if state.exists else ([], [])
+        best = list(zip(*state.get)) if state.exists else []
         for pdf in frames:
-            us += pdf["_u"].tolist()
-            ids += pdf[key].tolist()
-        best = sorted(zip(us, ids))[:n]
+            best = sorted([*best, *zip(pdf["_u"].tolist(), pdf[key].tolist())])[:n]
         state.update(([u for u, _ in best], [i for _, i in best]))
         yield pd.DataFrame({by: [k[0]] * len(best), key: [i for _, i in best]})
 
