@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyveil.functions import scalars as S
-from tallyveil.operators import encoding, estimate, joint, rows
+from tallyveil.operators import checks, encoding, estimate, joint, rows
 from tallyveil.streaming import streams
 
 
@@ -77,3 +77,59 @@ def test_stream_release_equals_batch(spark):
     got = streams.drain(streams.threshold_release_stream(streams.as_stream(obs, "t"), "k", "obs_id", "day", 50, 4))
     assert got.where("k = 'b'").count() == 0
     assert {r.obs_id for r in got.collect()} <= set(range(70))
+
+
+def test_envelopes_keep_their_cap(spark):
+    sizes = [60, 60, 30, 10, 101, 100, 1]
+    df = spark.createDataFrame([(k, i, n) for k in ("a", "b") for i, n in enumerate(sizes)], "k string, i long, n long")
+    got = {(r.k, r.i): r.envelope for r in rows.pack_batches(df, ["k"], "i", F.col("n"), 100).collect()}
+    assert [got.get(("a", i)) for i in range(7)] == [0, 1, 1, 1, None, 2, 3] and len(got) == 12
+    hot = spark.range(1000).select(F.lit("hot").alias("k"), F.col("id").alias("i"), (F.col("id") % 40 + 1).alias("n"))
+    full = rows.pack_batches(hot, ["k"], "i", F.col("n"), 100, slice_envelopes=10).groupBy("envelope").agg(F.sum("n").alias("n"), F.count("*").alias("c")).collect()
+    assert sum(r.c for r in full) == 1000 and max(r.n for r in full) <= 100
+    assert len({r.envelope >> 32 for r in full}) > 1
+
+
+def test_metrics_are_found_by_customer_and_project(spark):
+    metrics = spark.createDataFrame([(1, 1, 7, 0), (2, 1, 7, 3)], "customer_id long, project_id long, id long, max_build_level int")
+    obs = spark.createDataFrame([(1, 1, 1, 7, 2), (2, 2, 1, 7, 2)], "obs_id long, customer_id long, project_id long, metric_id long, build_level int")
+    assert [r.obs_id for r in rows.filter_build_level(obs, metrics).collect()] == [2]
+    parts = spark.createDataFrame([(1, 1, 7, "p", "string"), (2, 1, 7, "p", "int"), (2, 1, 7, "q", "int")], "customer_id long, project_id long, metric_id long, part_name string, data_type string")
+    values = obs.selectExpr("obs_id", "customer_id", "project_id", "metric_id", "'p' AS part_name", "'string' AS kind", "true AS is_set")
+    assert {r.obs_id: r.reason for r in checks.validate_values(values, parts).collect()} == {1: None, 2: "wrong number of parts"}
+    variables = obs.selectExpr("obs_id", "customer_id", "project_id", "metric_id", "'q' AS part_name", "false AS has_labels", "true AS has_candidates")
+    assert {r.obs_id: r.reason for r in checks.invalid_variables(variables, parts).collect()} == {1: "no such part", 2: "candidates on a part that is no string"}
+
+
+def test_reservoir_over_several_batches(spark):
+    events = spark.range(300).select((F.col("id") % 2).alias("g"), F.col("id").alias("e")).repartition(6)
+    got = streams.drain(streams.reservoir_stream(streams.as_stream(events, "t", 2), 5, "g", "e", "salt"), "update", ["g"], several=True).collect()
+    want = streams.reservoir(events, 5, ["g"], "e", "salt").collect()
+    assert sorted((r.g, r.e) for r in got) == sorted((r.g, r.e) for r in want) and len(got) == 10
+
+
+def test_release_over_several_batches(spark):
+    obs = spark.range(100).select(F.when(F.col("id") < 70, "a").otherwise("b").alias("k"), F.col("id").alias("obs_id"), F.lit(3).alias("day")).repartition(6)
+    stream = streams.as_stream(obs, "t", 1)
+    old = streams.drain(streams.threshold_release_stream(stream, "k", "obs_id", "day", 71, 4, today=8))
+    assert old.count() == 0
+    kept = streams.drain(streams.threshold_release_stream(stream, "k", "obs_id", "day", 60, 4, today=7)).collect()
+    assert {r.k for r in kept} == {"a"} and len({r.obs_id for r in kept}) == len(kept) >= 60
+
+
+def test_bad_rows_are_errors(spark):
+    bits = spark.createDataFrame([(0, [1]), (0, [9]), (5, [1]), (None, None)], "cohort int, set_bits array<int>")
+    assert tuple(estimate.bit_errors(bits, 4, 2).first()) == (4, 3) and tuple(estimate.bit_errors(bits, 4).first()) == (4, 2)
+    assert {r.n for r in estimate.bit_counts(bits, 4).collect()} == {2}
+    with pytest.raises(Exception, match="n is above 10"):
+        estimate.mle_counts(spark.createDataFrame([(11, 3)], "n long, y long"), 0.25, 0.75, 10).collect()
+    pairs = spark.createDataFrame([("a", "b"), ("", "b")], "v1 string, v2 string")
+    assert rows.drop_blank_reports(pairs, "v1", "v2").count() == 1
+    with pytest.raises(Exception, match="blank"):
+        rows.drop_blank_reports(pairs, "v1", "v2", strict=True).collect()
+
+
+def test_chunks_of_a_hot_key(spark):
+    df = spark.range(2000).select(F.when(F.col("id") % 10 > 0, "hot").alias("k"), F.col("id").alias("i"))
+    sizes = [tuple(r) for r in rows.chunk(df, ["k"], "i", 100, "s").groupBy("k", "chunk").count().collect()]
+    assert len(sizes) == 20 and all(n == 100 for *_, n in sizes)
