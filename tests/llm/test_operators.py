@@ -186,8 +186,9 @@ def test_chunks_encode_as_whole_texts():
         assert [x.tolist() for x in library_encoder(P.path(name)).encode_texts(texts)] == want
 
 
-@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
-def test_parity_join_equals_brute_force(spark, docs, empty, k, percent):
+@pytest.mark.parametrize(("k", "percent", "hot"), [(3, 90, 32), (5, 80, 32), (5, 80, 2)])
+def test_parity_join_equals_brute_force(spark, docs, empty, monkeypatch, k, percent, hot):
+    monkeypatch.setattr(parityjoin, "HOT", hot)
     rng = np.random.default_rng(1)
     base = [" ".join(rng.choice(400, 120).astype(str)) for _ in range(3)]
     more = []
