@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import _conf, fresh_path, settle, write_once
+from .shared import _conf, fresh_path, settle, unused, write_once
 
 WHITE = " \t\n\x0b\f\r"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -26,9 +26,9 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 LOCATOR = ["_file", "_row"]
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """docs with the file and row that hold each of its rows; what isn't read from files is written to files first."""
-    where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+def located(docs: DataFrame, names: list[str] = LOCATOR) -> DataFrame:
+    """docs with the file and row (in columns of these names) of each of its rows; what isn't read from files is written to files first."""
+    where = [F.col("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1])]
     try:
         return docs.select("*", *where)
     except AnalysisException:
@@ -88,7 +88,9 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    rows = located(docs)
-    gone = group_equal(rows).where("NOT kept").select(*LOCATOR)
-    return rows.join(gone, LOCATOR, "left_anti").select(*docs.columns)
+    """The rows of docs that stay, with all their columns, whatever these are called."""
+    names = unused(docs, *LOCATOR)
+    rows = located(docs, names)
+    plain = rows.select("doc_id", "text", *[F.col(n).alias(c) for n, c in zip(names, LOCATOR)])
+    gone = group_equal(plain).where("NOT kept").select(*[F.col(c).alias(n) for n, c in zip(names, LOCATOR)])
+    return rows.join(gone, names, "left_anti").select(*docs.columns)

@@ -335,8 +335,11 @@ def test_exact_groups_and_repeated_rows(spark, docs, empty):
     assert exact.report(empty).count() == 0
 
 
+def luhn(d):
+    return sum(int(c) if k % 2 == 0 else (2 * int(c) - 9 if c > "4" else 2 * int(c)) for k, c in enumerate(reversed(d))) % 10 == 0
+
+
 def base_spans(t):
-    luhn = lambda d: sum(int(c) if k % 2 == 0 else (2 * int(c) - 9 if c > "4" else 2 * int(c)) for k, c in enumerate(reversed(d))) % 10 == 0
     digits = lambda m: re.sub("[^0-9]", "", m[0])
     return {
         "email": [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)],
@@ -375,6 +378,62 @@ def test_em_finds_the_reliable_labeler():
     assert post[0] > 0.9 and post[1] < 0.1 and rates[0][1] > rates[1][1]
 
 
+def test_em_recovers_planted_reliabilities():
+    rng = np.random.default_rng(5)
+    truth = rng.random(20_000) < 0.6
+    right = (0.95, 0.9, 0.8, 0.75, 0.65, 0.7)
+    votes = [tuple(int(t == (u < r)) if s else None for u, r, s in zip(us, right, ss)) for t, us, ss in zip(truth, rng.random((20_000, 6)), rng.random((20_000, 6)) < 0.8)]
+    patterns = list(zip(*np.unique([str(v) for v in votes], return_counts=True)))
+    counted = [(eval(v), int(n)) for v, n in patterns]
+    post, rates = pii.reliabilities(counted)
+    for rate, r in zip(rates, right):
+        assert abs(rate[1] - r) < 0.03 and abs(1 - rate[0] - r) < 0.03
+    of = dict(zip((v for v, _ in counted), post))
+    assert np.mean([(of[v] > 0.5) == t for v, t in zip(votes, truth)]) > 0.9
+
+
+def test_pii_rejects_decoys(spark):
+    rng = np.random.default_rng(7)
+    number = lambda good: next(d for d in iter(lambda: "4" + "".join(map(str, rng.integers(0, 10, 15))), "") if luhn(d) == good)
+    secret = lambda: "".join(rng.choice(list("0123456789abcdef"), 40))
+    texts = [f'so token = "{secret()}" here' for _ in range(60)] + [f"about {number(False)} of them" for _ in range(60)]
+    cards = [f"my card {number(True)} {number(True)} now" for _ in range(20)]  # two in one run: no base span
+    docs = spark.createDataFrame(list(enumerate(texts + cards)), "doc_id long, text string")
+    got = by_id(pii.report(docs))
+    assert all(got[i].spans == "credential:3:53" for i in range(60))
+    assert all(got[i].spans == "" and got[i].n_spans == 0 for i in range(60, 120))
+    assert all(got[i].spans == "number:8:24,number:25:41" and got[i].n_card == 0 for i in range(120, 140))
+    masked = by_id(pii.mask(docs))
+    assert masked[130].text == "my card [NUMBER] [NUMBER] now" and masked[70].text == texts[70] and masked[5].text == "so [CREDENTIAL] here"
+
+
+def test_iban_check(spark):
+    rows = spark.createDataFrame([("DE89370400440532013000",), ("GB82WEST12345698765432",), ("DE89370400440532013001",), ("FR1420041010050500013M02606",)], "m string")
+    assert [r[0] for r in rows.select(pii.iban_ok(F.col("m"))).collect()] == [True, True, False, True]
+
+
+def test_row_filters_with_null_ids_repeats_and_clashing_columns(spark):
+    """Columns named as the stages' own ones come back as they were; null doc_ids and repeated rows are rows."""
+    rows = [(None, "mail a@b.cd", "f"), (None, "mail a@b.cd", "f"), (1, None, "g"), (1, "mail x@y.zz", None), (2, "", "h")]
+    docs = spark.createDataFrame([(i, t, v, 7, v, v) for i, t, v in rows], "doc_id long, text string, _file string, _row int, _at string, _spans string")
+    masked = pii.mask(docs)
+    assert masked.columns == docs.columns
+    assert sorted(map(str, masked.collect())) == sorted(str(r).replace("a@b.cd", "[EMAIL]").replace("x@y.zz", "[EMAIL]") for r in docs.collect())
+    kept = exact.drop_copies(docs)
+    assert kept.columns == docs.columns
+    # the empty text equals the null one; the smaller doc_id stays
+    assert sorted([(str(r.doc_id), r.text, r._file, r._row) for r in kept.collect()], key=str) == sorted([("None", "mail a@b.cd", "f", 7), ("1", None, "g", 7), ("1", "mail x@y.zz", None, 7)], key=str)
+
+
+def test_stages_of_empty_tables(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    none = spark.read.parquet(f"{sf}/documents.parquet").where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, sf).count() == 0, name
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     import corpus_pipeline
 
