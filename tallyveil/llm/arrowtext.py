@@ -5,6 +5,7 @@ Words are maximal runs of bytes other than ASCII space and 0x09-0x0D; every whol
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -152,8 +153,17 @@ def later_copies(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out
 
 
+def give_back() -> None:
+    """Return memory that this worker has freed to the system: workers live on between tasks, next to each other."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20, form: type[Raw] = Texts) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """Runs of rows with about `limit` bytes of text each (a longer text is a run of its own); null counts as empty."""
+    give_back()
     for batch in batches:
         text = batch.column(column)
         if text.null_count:
@@ -171,3 +181,5 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             to = min(n, max(row + 1, to))
             yield batch.slice(row, to - row), form(raw[off[row] : off[to]], off[row : to + 1] - off[row])
             row = to
+        del batch, text, offsets, data, off, raw
+    give_back()

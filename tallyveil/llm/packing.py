@@ -20,8 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, settle
-from .arrowtext import U64, Raw, mix, text_slices
+from .shared import discard, fetched, settle
+from .arrowtext import U64, Raw, give_back, mix, text_slices
 from .tokens import encoded_rows, library_encoder
 
 TERMS = 1 << 16
@@ -56,7 +56,7 @@ def corpus_statistics(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"term": np.append(at, [-1, -2]), "n": np.append(df[at], [n, total])})
 
-    got = tokens.select("ids").mapInArrow(task, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    got = fetched(tokens.select("ids").mapInArrow(task, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")))
     found = dict(zip(got["term"].to_pylist(), got["n"].to_pylist()))
     n, total = found.pop(-1, 0), found.pop(-2, 0)
     df = np.zeros(TERMS, np.int64)
@@ -100,7 +100,7 @@ def centres(tokens: DataFrame, idf: np.ndarray, n: int, cells: int, rounds: int
 
     share = min(1.0, SAMPLE * cells / max(n, 1))
     some = tokens.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    got = sorted(some.mapInArrow(task, "v binary").toArrow()["v"].to_pylist())
+    got = sorted(fetched(some.mapInArrow(task, "v binary"))["v"].to_pylist())
     v = np.frombuffer(b"".join(got), np.float32).reshape(-1, SKETCH)
     if len(v) <= cells:
         c = v.copy() if len(v) else np.zeros((1, SKETCH), np.float32)
@@ -241,8 +241,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int
                     yield flush(ids[:cut], held[:cut])
                     ids, held = ids[cut:], held[cut:]
                     n = sum(map(len, held))
+                    give_back()
         if held:
             yield flush(ids, held)
+        ids, held = [], []
+        give_back()
 
     ordered = like.repartitionByRange(shards, "cell", "near", "doc_id").sortWithinPartitions("cell", "near", "doc_id", "ids")
     pieces = settle(ordered.drop("cell", "near").mapInArrow(task, PIECES), "pack-pieces")

@@ -39,6 +39,7 @@ BROADCAST_ROWS = 100_000
 HOT = 32
 FLUSH_ROWS = 500_000
 BLOCK = 256
+SLICE = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -145,7 +146,7 @@ def _merge(key: np.ndarray, node: np.ndarray, info: np.ndarray) -> pa.RecordBatc
 def _rows_task(spec: Spec):
     def task(batches):
         most, bands, lows, held, n = 0, [], None, [], 0
-        for _, texts in text_slices(batches, limit=1 << 20):
+        for _, texts in text_slices(batches, limit=SLICE):
             g, off = shingle_sets(texts, spec)
             largest = int(np.diff(off).max(initial=0))
             if largest > most:
@@ -248,7 +249,7 @@ def _near(pairs: DataFrame, first: DataFrame, spec: Spec) -> DataFrame:
 
 def _sets_task(spec: Spec):
     def task(batches):
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, limit=SLICE):
             g, off = shingle_sets(texts, spec)
             raw = g.tobytes()
             members = [raw[a * 8 : b * 8] for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
@@ -294,7 +295,7 @@ def _linked(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, digest, n_shingles, node) of docs(doc_id, text), and (node, root) of the nodes with shingles."""
 
     def name_task(batches):
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, limit=SLICE):
             g, off = shingle_sets(texts, spec)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "digest": batch.column("digest"), "n_shingles": np.diff(off).astype(np.int64), "node": _node_ids(g, off), "wide": pa.array(_wide(g, off), pa.binary()), **_sketches(texts, g, off)})
 

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from .arrowtext import SYMBOL, Texts, text_slices
 from .perplexity import base_counts
+from .shared import fetched
 
+SLICE = 1 << 19
 FEATURES = ("log_bytes", "log_words", "word_bytes", "white", "upper", "digit", "punct", "symbol", "bang", "high", "lines", "dup_lines", "repeat3", "repeat1", "short_words", "long_words", "capital_words", "stop_words", "pipes", "upper_words")
 
 
@@ -150,7 +152,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[np
             flat = pa.array(statistics(texts).ravel())
             yield pa.RecordBatch.from_pydict({"x": pa.FixedSizeListArray.from_arrays(flat, len(FEATURES)).cast(pa.list_(pa.float64())), "y": batch.column("_label"), "d": batch.column("doc_id")})
 
-    got = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").mapInArrow(task, "x array<double>, y int, d long").toArrow()
+    got = fetched(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").mapInArrow(task, "x array<double>, y int, d long"))
     order = np.argsort(got["d"].to_numpy(), kind="stable")
     x = np.array(got["x"].to_pylist(), float).reshape(-1, len(FEATURES))[order]
     return x, got["y"].to_numpy()[order].astype(float)
@@ -161,7 +163,7 @@ def score_documents(docs: DataFrame, trees: Trees, threshold: float = 0.3) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def task(batches):
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, limit=SLICE):
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": shared.value.score(statistics(texts))})
 
     scored = docs.select("doc_id", "text").mapInArrow(task, "doc_id long, score double")
@@ -177,7 +179,7 @@ def keep_good(docs: DataFrame, trees: Trees, threshold: float = 0.3) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def task(batches):
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, limit=SLICE):
             yield batch.filter(pa.array(shared.value.score(statistics(texts)) >= threshold))
 
     return docs.mapInArrow(task, docs.schema)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -56,6 +57,12 @@ def settle(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fetched(df: DataFrame) -> pa.Table:
+    """The rows of a bounded result; Python's batches below it are cut by bytes."""
+    with _conf(df.sparkSession, BATCH, str(BATCH_BYTES)):
+        return df.toArrow()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the folders of settled tables that nothing reads any more."""
     for df in tables:
