@@ -187,12 +187,12 @@ class ByteBPE:
         self.size = np.fromiter(map(len, spell), np.int64, len(spell))
         self.begin = np.cumsum(self.size) - self.size
 
-    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+    def _encode_chunks(self, chunks: list[bytes], plain: np.ndarray) -> list[bytes]:
         encode, find, pack = self.fst.encode, self.find, self.pack
         out = []
         for c in chunks:
             ids = []
-            for piece in find(c):
+            for piece in find(c.decode()):
                 ids += encode(piece.encode())
             out.append(b"".join([pack[i] for i in ids]))
         return out
