@@ -42,13 +42,19 @@ def _before(d: np.ndarray, j: int) -> np.ndarray:
     return np.concatenate([np.zeros(min(j, len(d)), np.uint8), d[: max(0, len(d) - j)]])
 
 
-def chunk_starts(texts: Raw) -> np.ndarray:
-    """Byte positions at which chunks begin."""
-    d = texts.data
+def after_solid(d: np.ndarray) -> np.ndarray:
+    """For each byte, whether the character before it surely is no white space."""
     one, two, three, four = (_before(d, j) for j in range(1, 5))
     # a character of several bytes counts if its lead byte begins no kind of space
     wide = (one >= 0x80) & (((two >= 0xC3) & (two < 0xE0)) | ((two < 0xC0) & (two >= 0x80) & (((three >= 0xE4) & (three < 0xF0)) | ((three < 0xC0) & (three >= 0x80) & (four >= 0xF0)))))
-    solid = ((one < 0x80) & ~_SPACE[one]) | wide
+    return ((one < 0x80) & ~_SPACE[one]) | wide
+
+
+def chunk_starts(texts: Raw) -> np.ndarray:
+    """Byte positions at which chunks begin."""
+    d = texts.data
+    one, two = _before(d, 1), _before(d, 2)
+    solid = after_solid(d)
     cut = (d == 0x20) & solid
     mark = _MARK[d]
     letter = _ALNUM[one] | ((two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7))
@@ -140,7 +146,7 @@ class ChunkCache:
         return [ids[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
-def _byte_characters() -> dict[int, int]:
+def byte_characters() -> dict[int, int]:
     """Latin-1 character of a byte -> the printable character that stands for it in byte-level vocabularies."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in printable]
@@ -160,7 +166,7 @@ def library_encoder(path: str) -> ChunkCache:
         tokenizer.encode_special_tokens = True
         if tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are stored in 16 bits")
-        settings, characters = tokenizer.to_str().partition('"model"')[0], _byte_characters()
+        settings, characters = tokenizer.to_str().partition('"model"')[0], byte_characters()
         folds, spaces, merge = '"Lowercase"' in settings, '"Removed"' not in settings, tokenizer.model.tokenize
         gap = chr(characters[10])  # no word holds a line feed
 
