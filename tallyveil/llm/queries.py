@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, bpe_fst, exact, packing, parityjoin, perplexity, pii, quality, sstable, substring, urlfilter
+from . import alignment, bpe_fst, exact, packing, parityjoin, perplexity, pii, quality, sstable, substring, urlfilter, variants
 from .shared import documents
 
 QUERIES: dict = {}
@@ -74,6 +74,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir))
 
 
+@_query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(documents(spark, sf_dir))
+
+
 @_query
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
