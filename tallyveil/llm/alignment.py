@@ -1,7 +1,7 @@
 """Alignment of two tokenizers over a corpus: groups of tokens that end together, and corpus-wide counts of linked ids.
 
-Both tokenizers end a token before a space that follows a solid character, so texts fall into chunks there and each
-different chunk is aligned once: within a chunk, every stretch between neighbouring token ends is one link.
+Texts are encoded once, by cached chunks, and their ids kept as a table: encoding costs ten times an alignment. Ids and
+the tokens' sizes give an alignment without the text: every stretch of bytes between neighbouring token ends is a link.
 
 1. First pass: every task sums the links of its documents by id pair and writes them by bucket of the pair's hash.
 2. The distinct pairs of each bucket get a minimal perfect hash; keys stay beside it, so every lookup is verified.
@@ -16,24 +16,26 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import BYTES_A, U64, Raw, Rolling, mix, text_slices
+from .arrowtext import U64, Raw, give_back, mix, text_slices
 from .shared import fetched, settle
-from .tokens import ChunkCache, after_solid, byte_characters, library_encoder
+from .tokens import ChunkCache, byte_characters, library_encoder, space_starts
 
 BUCKETS = 256
 FAN = 16
 FLUSH_PAIRS = 1_000_000
 BROADCAST_PAIRS = 1_000_000  # 12 bytes and under half a byte of hash each
 CHUNK_BYTES = 64 << 20
+SLICE_TOKENS = 300_000
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -88,106 +90,148 @@ class PerfectHash:
         return cls(np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, "<u8", -1, 8 + 8 * n))
 
 
-class Aligner:
-    """Aligns chunks of texts by a byte-level tokenizer (A) and a piece tokenizer (B)."""
+class Vocabularies:
+    """A byte-level tokenizer (A) and a piece tokenizer (B): encoders of whole texts, and the bytes of their tokens."""
 
     def __init__(self, path_a: str, path_b: str):
         from sentencepiece import SentencePieceProcessor
 
-        self.a, self.b = library_encoder(path_a), SentencePieceProcessor(model_file=path_b)
+        self.a, pieces = library_encoder(path_a), SentencePieceProcessor(model_file=path_b)
         back = {chr(c): b for b, c in byte_characters().items()}
         with open(path_a, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
-        self.bytes_a = {i: bytes(back.get(c, 0) for c in token) for token, i in vocab.items()}
-        n = self.b.get_piece_size()
+        n = pieces.get_piece_size()
         if n > 1 << 16:
             raise ValueError("ids are packed in 16 bits")
-        pieces = [self.b.id_to_piece(i) for i in range(n)]
-        if any("▁" in p.lstrip("▁") for p in pieces):
+        names = [pieces.id_to_piece(i) for i in range(n)]
+        if any("▁" in p.lstrip("▁") for p in names):
             raise ValueError("a piece spans the start of a word, so words can't be encoded alone")
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.space = [self.b.piece_to_id("▁")]
-        self.cache = ChunkCache(self.align_many, "<u4")
-
-    def align_many(self, chunks: list[bytes], _words) -> list[bytes]:
-        """For each chunk: numbers of A tokens, B tokens, groups and links, then the linked pairs, then the groups' text.
-
-        A chunk whose joined tokens differ from it gets zeros.
-        """
-        out = [bytes(16)] * len(chunks)
-        off = np.concatenate([[0], np.cumsum([len(c) for c in chunks])]).astype(np.int64)
-        ids, at = self.a.encode(Raw(np.frombuffer(b"".join(chunks), np.uint8), off))
-        ids, at = ids.tolist(), at.tolist()
-        # the tokenizer puts the first space back, but for an empty text
-        mine = [x or self.space for x in self.b.encode([c[1:].decode() for c in chunks], num_threads=1)]
-        theirs, ta, tb, good = [ids[i:j] for i, j in zip(at, at[1:])], self.bytes_a, self.bytes_b, []
-        for i, (c, x, y) in enumerate(zip(chunks, theirs, mine)):
-            if b"".join([ta[k] for k in x]) == c == b"".join([tb[k] for k in y]):
-                good.append(i)
-        if not good:
-            return out
-        flat_a, flat_b = list(chain.from_iterable(theirs[i] for i in good)), list(chain.from_iterable(mine[i] for i in good))
-        end_a, end_b = np.cumsum([len(ta[k]) for k in flat_a]), np.cumsum([len(tb[k]) for k in flat_b])
-        stops, both = np.union1d(end_a, end_b), np.intersect1d(end_a, end_b)
-        pairs = np.array(flat_a, np.uint32)[np.searchsorted(end_a, stops)] << np.uint32(16) | np.array(flat_b, np.uint32)[np.searchsorted(end_b, stops)]
-        ends = np.cumsum([len(chunks[i]) for i in good])
-        links, groups, na, nb = (np.diff(np.searchsorted(x, ends, "right"), prepend=0) for x in (stops, both, end_a, end_b))
-        text_a, text_b = list(map(str, flat_a)), list(map(str, flat_b))
-        cut_a, cut_b = ([0, *np.searchsorted(x, both, "right").tolist()] for x in (end_a, end_b))
-        text = [",".join(text_a[i:j]) + "|" + ",".join(text_b[k:m]) for i, j, k, m in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])]
-        head, raw = np.stack([na, nb, groups, links], 1).astype("<u4").tobytes(), pairs.astype("<u4").tobytes()
-        at_link, at_group = np.cumsum(links).tolist(), np.cumsum(groups).tolist()
-        for n, (i, a, b, c, d) in enumerate(zip(good, [0, *at_link], at_link, [0, *at_group], at_group)):
-            out[i] = head[16 * n : 16 * n + 16] + raw[4 * a : 4 * b] + ";".join(text[c:d]).encode()
-        return out
+        self.bytes_a = self._table({i: bytes(back.get(c, 0) for c in token) for token, i in vocab.items()})
+        self.bytes_b = self._table({i: bytes([int(p[3:5], 16)]) if pieces.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)})
+        space = [pieces.piece_to_id("▁")]
+
+        def encode_many(chunks: list[bytes], _words) -> list[bytes]:
+            # the tokenizer puts the first space back, but for an empty text
+            return [array("H", x or space).tobytes() for x in pieces.encode([c[1:].decode() for c in chunks], num_threads=1)]
 
+        self.b = ChunkCache(encode_many, "<u2", starts=space_starts)
 
-_loaded: dict[tuple[str, str], Aligner] = {}
+    @staticmethod
+    def _table(tokens: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens' sizes, where each begins, and their bytes one after another."""
+        names = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        size = np.fromiter(map(len, names), np.int64, len(names))
+        return size, np.cumsum(size) - size, np.frombuffer(b"".join(names), np.uint8)
+
+    def encode(self, texts: Raw) -> tuple[list[bytes], list[bytes]]:
+        """Both tokenizers' ids of each text with a space before it; none for a text that is not given back by both."""
+        full = texts.off[:-1] < texts.off[1:]
+        spaced = Raw(np.insert(texts.data, texts.off[:-1][full], 0x20), texts.off + np.concatenate([[0], np.cumsum(full)]))
+        whole, out = full, []
+        for cache, (size, begin, raw) in ((self.a, self.bytes_a), (self.b, self.bytes_b)):
+            ids, at = cache.encode(spaced)
+            n = size[ids]
+            end = np.concatenate([[0], np.cumsum(n)])
+            fits = np.diff(end[at]) == np.diff(spaced.off)
+            some = np.flatnonzero(np.repeat(fits, np.diff(at)))  # tokens of texts that have as many bytes
+            m = n[some]
+            joined = raw[np.repeat(begin[ids[some]] - np.cumsum(m) + m, m) + np.arange(m.sum())]
+            differs = np.zeros(len(spaced.data) + 1, np.int64)
+            of_fit = np.repeat(fits, np.diff(spaced.off))
+            differs[1:][of_fit] = joined != spaced.data[of_fit]
+            differs = np.cumsum(differs)
+            whole = whole & fits & (differs[spaced.off[1:]] == differs[spaced.off[:-1]])
+            out.append((ids.astype("<u2").tobytes(), at.tolist()))
+        return tuple([raw[2 * i : 2 * j] if ok else b"" for ok, i, j in zip(whole.tolist(), at, at[1:])] for raw, at in out)
 
 
-def aligner(path_a: str, path_b: str) -> Aligner:
-    return _loaded.get((path_a, path_b)) or _loaded.setdefault((path_a, path_b), Aligner(path_a, path_b))
+_loaded: dict[tuple[str, str], Vocabularies] = {}
 
 
-class Aligned:
-    """A run of texts, each with a space before it, as occurrences of its different chunks."""
+def vocabularies(path_a: str, path_b: str) -> Vocabularies:
+    return _loaded.get((path_a, path_b)) or _loaded.setdefault((path_a, path_b), Vocabularies(path_a, path_b))
 
-    def __init__(self, texts: Raw, by: Aligner):
-        full = texts.off[:-1] < texts.off[1:]
-        data = np.insert(texts.data, texts.off[:-1][full], 0x20)
-        off = texts.off + np.concatenate([[0], np.cumsum(full)])
-        cut = (data == 0x20) & after_solid(data)
-        cut[off[:-1][full]] = True
-        start = np.flatnonzero(cut)
-        end = np.append(start[1:], len(data))
-        key = Rolling(BYTES_A[data]).spans(start, end) + (end - start).astype(U64)
-        key, first, self.chunk = np.unique(key, return_index=True, return_inverse=True)
-        self.found = by.cache.lookup(Raw(data, off), key, start[first], end[first])
-        self.head = np.frombuffer(b"".join([x[:16] for x in self.found]), "<u4").reshape(-1, 4).astype(np.int64)
-        self.at = np.searchsorted(start, off)
-        failed = np.concatenate([[0], np.cumsum(self.head[self.chunk, 0] == 0)])
-        self.whole = full & (failed[self.at[1:]] == failed[self.at[:-1]])  # texts that both tokenizers give back
-        self.pairs = np.frombuffer(b"".join([x[16 : 16 + 4 * n] for x, n in zip(self.found, self.head[:, 3].tolist())]), "<u4")
-
-    def weights(self) -> np.ndarray:
-        """How often each different chunk occurs in whole texts."""
-        return np.bincount(self.chunk[np.repeat(self.whole, np.diff(self.at))], minlength=len(self.found))
-
-    def sums(self, per_chunk: np.ndarray) -> np.ndarray:
-        """Each text's sum of a value of its chunks; 0 for texts that are not whole."""
-        total = np.concatenate([[0], np.cumsum(per_chunk[self.chunk])])
-        return np.where(self.whole, total[self.at[1:]] - total[self.at[:-1]], 0)
-
-    def by_chunk(self, per_link: np.ndarray) -> np.ndarray:
-        """Each different chunk's sum of a value of its links."""
-        stop = np.cumsum(self.head[:, 3])
-        total = np.concatenate([[0], np.cumsum(per_link)])
-        return total[stop] - total[stop - self.head[:, 3]]
+
+def _digits() -> tuple[np.ndarray, np.ndarray]:
+    text = [b"%d" % i for i in range(1 << 16)]
+    return np.frombuffer(b"".join(t.ljust(5) for t in text), np.uint8).reshape(-1, 5), np.fromiter(map(len, text), np.int64, len(text))
+
+
+DIGITS, N_DIGITS = _digits()
+
+
+class Aligned:
+    """A run of texts' ids, aligned: every stretch of bytes between neighbouring token ends is a link."""
+
+    def __init__(self, batch: pa.RecordBatch, by: Vocabularies):
+        raw = [batch.column(c).to_pylist() for c in ("a", "b")]
+        self.a, self.b = (np.frombuffer(b"".join(x), "<u2") for x in raw)
+        self.at_a, self.at_b = (np.concatenate([[0], np.cumsum([len(x) // 2 for x in side])]).astype(np.int64) for side in raw)
+        self.n_a, self.n_b = np.diff(self.at_a), np.diff(self.at_b)
+        end_a, end_b = np.cumsum(by.bytes_a[0][self.a]), np.cumsum(by.bytes_b[0][self.b])
+        ends = np.concatenate([[0], end_a])[self.at_a]  # of texts; the same for both
+        mark = np.zeros(int(ends[-1]) + 1, np.uint8)
+        mark[end_a] = 1
+        mark[end_b] |= 2
+        stops = np.flatnonzero(mark)
+        kind = mark[stops]
+        self.ends_a, self.ends_b, self.ends_both = (kind & 1).astype(bool), kind >= 2, kind == 3
+        self.of_a, self.of_b = (np.cumsum(x) - x for x in (self.ends_a, self.ends_b))  # the link's tokens
+        self.pairs = self.a[self.of_a].astype(np.uint32) << np.uint32(16) | self.b[self.of_b]
+        self.at = np.searchsorted(stops, ends, "right")
+        self.n_links, self.n_groups = np.diff(self.at), self.sums(self.ends_both)
+
+    def sums(self, per_link: np.ndarray) -> np.ndarray:
+        """Each text's sum over its links."""
+        total = np.concatenate([[0], np.cumsum(per_link, dtype=np.int64)])
+        return total[self.at[1:]] - total[self.at[:-1]]
 
     def digests(self) -> list[str]:
-        text = [x[16 + 4 * n :] for x, n in zip(self.found, self.head[:, 3].tolist())]
-        chunk, at = self.chunk.tolist(), self.at.tolist()
-        return [hashlib.sha256(b";".join([text[k] for k in chunk[i:j]])).hexdigest() if ok else "" for ok, i, j in zip(self.whole.tolist(), at, at[1:])]
+        """Groups as text, A ids before B ids, all texts written by numpy at once; the checksum of each text's part."""
+        group = np.cumsum(self.ends_both) - self.ends_both
+        group_a, group_b = group[self.ends_a], group[self.ends_b]
+        n = int(self.ends_both.sum())
+        in_a, in_b = np.bincount(group_a, minlength=n), np.bincount(group_b, minlength=n)
+        before = np.cumsum(in_a + in_b) - in_a - in_b
+        # places of tokens when each group has its A ids first
+        slot_a = np.arange(len(self.a)) + (before - (np.cumsum(in_a) - in_a))[group_a]
+        slot_b = np.arange(len(self.b)) + (before + in_a - (np.cumsum(in_b) - in_b))[group_b]
+        ids, after = np.empty(len(self.a) + len(self.b), np.int64), np.full(len(self.a) + len(self.b), ord(","), np.uint8)
+        ids[slot_a], ids[slot_b] = self.a, self.b
+        after[before + in_a - 1], after[before + in_a + in_b - 1] = ord("|"), ord(";")
+        size = N_DIGITS[ids]
+        stop = np.cumsum(size + 1)
+        out, begin = np.empty(int(stop[-1]) if len(stop) else 0, np.uint8), stop - size - 1
+        for d in range(5):
+            some = np.flatnonzero(size > d) if d else slice(None)
+            out[begin[some] + d] = DIGITS[ids[some], d]
+        out[stop - 1] = after
+        cut, raw = np.concatenate([[0], stop])[self.at_a + self.at_b].tolist(), memoryview(out)
+        return [hashlib.sha256(raw[i : j - 1]).hexdigest() if j > i else "" for i, j in zip(cut, cut[1:])]
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with about SLICE_TOKENS ids."""
+    give_back()
+    for batch in batches:
+        size = np.cumsum(pa.compute.binary_length(batch.column("a")).to_numpy())
+        row = 0
+        while row < batch.num_rows:
+            done = int(size[row - 1]) if row else 0
+            to = max(row + 1, int(np.searchsorted(size, done + 2 * SLICE_TOKENS, "right")))
+            yield batch.slice(row, to - row)
+            row = to
+    give_back()
+
+
+def _encode(path_a: str, path_b: str) -> Callable:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = vocabularies(path_a, path_b)
+        for batch, texts in text_slices(batches, form=Raw):
+            a, b = by.encode(texts)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return task
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,11 +253,11 @@ def _count(path_a: str, path_b: str) -> Callable:
         return pa.RecordBatch.from_pydict({"bucket": pa.array(mine, pa.int32()), "part": pa.array([part] * len(mine), pa.int32()), "keys": pa.array([keys[c].astype("<u4").tobytes() for c in cut], pa.binary()), "counts": pa.array([counts[c].astype("<i8").tobytes() for c in cut], pa.binary())})
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by, keys, counts, loose = aligner(path_a, path_b), np.zeros(0, np.uint32), np.zeros(0, np.int64), []
-        for _, texts in text_slices(batches, form=Raw):
-            some = Aligned(texts, by)
-            weight = np.repeat(some.weights(), some.head[:, 3])
-            loose.append(_summed(some.pairs[weight > 0], weight[weight > 0]))
+        by, keys, counts, loose = vocabularies(path_a, path_b), np.zeros(0, np.uint32), np.zeros(0, np.int64), []
+        for batch in slices(batches):
+            pairs = np.sort(Aligned(batch, by).pairs)
+            first = np.flatnonzero(np.diff(pairs, prepend=~pairs[:1]))
+            loose.append((pairs[first], np.diff(np.append(first, len(pairs)))))
             if sum(len(k) for k, _ in loose) > FLUSH_PAIRS:
                 keys, counts = _summed(np.concatenate([keys, *(k for k, _ in loose)]), np.concatenate([counts, *(c for _, c in loose)]))
                 loose = []
@@ -282,9 +326,9 @@ def _tree(rows: DataFrame, parts: int, merge: Callable, column: str) -> DataFram
             return rows.drop("part")
 
 
-def count_pairs(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+def count_pairs(tokens: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """(bucket, hash, keys, counts): a row a bucket with the corpus-wide count of each linked pair, in the hash's order."""
-    sums = settle(docs.select("text").mapInArrow(_count(path_a, path_b), "bucket int, part int, keys binary, counts binary"), "align-sums")
+    sums = settle(tokens.select("a", "b").mapInArrow(_count(path_a, path_b), "bucket int, part int, keys binary, counts binary"), "align-sums")
     parts = (sums.agg(F.max("part")).first()[0] or 0) + 1
     model = settle(_tree(sums.select("bucket", "part", "keys"), parts, _union, "keys").mapInArrow(_hashed, "bucket int, hash binary, keys binary"), "align-hashes")
     groups = -(-parts // FAN)
@@ -312,77 +356,70 @@ def highest(pairs: DataFrame) -> np.ndarray:
 
 
 def _result(batch: pa.RecordBatch, some: Aligned, counts: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
-    """counts: of each link of the different chunks."""
-    top = best[some.pairs & np.uint32(0xFFFF)] == counts
-    columns = {n: some.sums(some.head[:, i]) for i, n in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
-    columns |= {"n_best": some.sums(some.by_chunk(top)), "count_sum": some.sums(some.by_chunk(counts))}
-    return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), **{k: pa.array(v.astype(np.int64)) for k, v in columns.items()}, "groups_sha256": pa.array(some.digests(), pa.string())})
+    """counts: of each link."""
+    columns = {"n_a": some.n_a, "n_b": some.n_b, "n_groups": some.n_groups, "n_links": some.n_links}
+    columns |= {"n_best": some.sums(best[some.b[some.of_b]] == counts), "count_sum": some.sums(counts)}
+    return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **{k: pa.array(v, pa.int64()) for k, v in columns.items()}, "groups_sha256": pa.array(some.digests(), pa.string())})
 
 
 def _counts_of(pairs: np.ndarray, tables: dict) -> np.ndarray:
-    """Counts of pairs by the buckets' hashes. A pair that occurs only in texts that aren't whole has none, and gets 0."""
-    out = np.zeros(len(pairs), np.int64)
-    bucket = bucket_of(pairs)
+    """Counts of pairs by the buckets' hashes; each different pair is looked up once."""
+    keys = np.sort(pairs)
+    keys = keys[np.flatnonzero(np.diff(keys, prepend=~keys[:1]))]
+    out, bucket = np.empty(len(keys), np.int64), bucket_of(keys)
     order = np.argsort(bucket, kind="stable")
-    stop = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-    for b, (found, placed, counts) in tables.items():
+    stop = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=BUCKETS))])
+    for b in np.flatnonzero(np.diff(stop)).tolist():
         mine = order[stop[b] : stop[b + 1]]
-        if len(mine):
-            at = found.index(pairs[mine])
-            there = (at >= 0) & (placed[at] == pairs[mine])
-            out[mine[there]] = counts[at[there]]
-    return out
+        found, placed, counts = tables[b]
+        out[mine] = counts[verified(found, placed, keys[mine])]
+    return out[np.searchsorted(keys, pairs)]
 
 
-def _align_whole(docs: DataFrame, table: DataFrame, best: np.ndarray, path_a: str, path_b: str) -> DataFrame:
+def _align_whole(tokens: DataFrame, table: DataFrame, best: np.ndarray, path_a: str, path_b: str) -> DataFrame:
     """The second pass where the table of pairs is small enough to be sent to every executor."""
-    sc = docs.sparkSession.sparkContext
+    sc = tokens.sparkSession.sparkContext
     sent = sc.broadcast(([tuple(r.values()) for r in fetched(table.select("bucket", "hash", "keys", "counts")).to_pylist()], best))
     by_task: dict = {}
 
     def task(batches):
         rows, best = sent.value
         tables = by_task.get(0) or by_task.setdefault(0, {b: (PerfectHash.loads(h), np.frombuffer(k, "<u4"), np.frombuffer(c, "<i8")) for b, h, k, c in rows})
-        by = aligner(path_a, path_b)
-        for batch, texts in text_slices(batches, form=Raw):
-            some = Aligned(texts, by)
+        by = vocabularies(path_a, path_b)
+        for batch in slices(batches):
+            some = Aligned(batch, by)
             yield _result(batch, some, _counts_of(some.pairs, tables), best)
 
-    return docs.mapInArrow(task, SCHEMA)
+    return tokens.mapInArrow(task, SCHEMA)
 
 
-def _align_by_join(docs: DataFrame, pairs: DataFrame, best: np.ndarray, path_a: str, path_b: str) -> DataFrame:
+def _align_by_join(tokens: DataFrame, pairs: DataFrame, best: np.ndarray, path_a: str, path_b: str) -> DataFrame:
     """The second pass for any number of pairs: documents are dealt into chunks, and each gets its own pairs' counts."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = tokens.agg(F.sum(F.octet_length("a"))).first()[0] or 0
     n = size // CHUNK_BYTES + 1
     # equal rows are dealt apart, too
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(n)).cast("int")).repartition(n, "chunk")
+    dealt = tokens.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "a", F.monotonically_increasing_id()), F.lit(n)).cast("int")).repartition(n, "chunk")
 
     def wanted(batches):
-        by = aligner(path_a, path_b)
+        by = vocabularies(path_a, path_b)
         held: dict[int, np.ndarray] = {}
         for whole in batches:
             chunks = whole.column("chunk").to_numpy()
             for chunk in np.unique(chunks).tolist():
-                for _, texts in text_slices([whole.filter(pa.array(chunks == chunk))], form=Raw):
-                    held[chunk] = np.union1d(held.get(chunk, np.zeros(0, np.uint32)), Aligned(texts, by).pairs)
+                for batch in slices([whole.filter(pa.array(chunks == chunk))]):
+                    held[chunk] = np.union1d(held.get(chunk, np.zeros(0, np.uint32)), Aligned(batch, by).pairs)
         for chunk, k in held.items():
             yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(len(k), chunk, np.int32)), "pair": pa.array(k.astype(np.int64))})
 
     def score(docs: pa.Table, found: pa.Table) -> pa.Table:
-        keys, counts = found["pair"].to_numpy().astype(np.uint32), found["c"].to_numpy()
+        keys, counts, by = found["pair"].to_numpy().astype(np.uint32), found["c"].to_numpy(), vocabularies(path_a, path_b)
         hashed = PerfectHash.build(keys)
-        at, by, out = hashed.index(keys), aligner(path_a, path_b), []
-        placed, dense = np.empty_like(keys), np.empty_like(counts)
+        placed, dense, at = np.empty_like(keys), np.empty_like(counts), hashed.index(keys)
         placed[at], dense[at] = keys, counts
-        for batch, texts in text_slices(docs.to_batches(), form=Raw):
-            some = Aligned(texts, by)
-            at = hashed.index(some.pairs)
-            there = at >= 0
-            there[there] = placed[at[there]] == some.pairs[there]
-            c = np.zeros(len(at), np.int64)
-            c[there] = dense[at[there]]
-            out.append(_result(batch, some, c, best))
+        out = []
+        for batch in slices(docs.select(["doc_id", "a", "b"]).to_batches()):
+            some = Aligned(batch, by)
+            out.append(_result(batch, some, dense[verified(hashed, placed, some.pairs)], best))
         return pa.Table.from_batches(out)
 
     found = dealt.mapInArrow(wanted, "chunk int, pair long").join(pairs, "pair").select("chunk", "pair", "c")
@@ -395,11 +432,11 @@ def align(docs: DataFrame, path_a: str, path_b: str, broadcast_pairs: int = BROA
     Texts that are null, empty, or not given back byte for byte by both tokenizers have no tokens: zeros and ''.
     Columns but ``doc_id`` and ``text`` are not read; null and repeated doc_ids are rows like any other.
     """
-    docs = docs.select("doc_id", "text")
-    table = count_pairs(docs, path_a, path_b)
+    tokens = settle(docs.select("doc_id", "text").mapInArrow(_encode(path_a, path_b), "doc_id long, a binary, b binary"), "align-tokens")
+    table = count_pairs(tokens, path_a, path_b)
     pairs = table.select("keys", "counts").mapInArrow(_listed, "pair long, c long")
     best = highest(pairs)
     n = table.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
     if n // 4 <= broadcast_pairs:
-        return _align_whole(docs, table, best, path_a, path_b)
-    return _align_by_join(docs, pairs, best, path_a, path_b)
+        return _align_whole(tokens, table, best, path_a, path_b)
+    return _align_by_join(tokens, pairs, best, path_a, path_b)

@@ -69,6 +69,13 @@ def chunk_starts(texts: Raw) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def space_starts(texts: Raw) -> np.ndarray:
+    """Byte positions at which texts begin, or a space follows a character other than white space."""
+    cut = (texts.data == 0x20) & after_solid(texts.data)
+    cut[texts.off[:-1][texts.off[:-1] < texts.off[1:]]] = True
+    return np.flatnonzero(cut)
+
+
 def words(texts: Raw, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Which chunks are a word of ASCII and Latin-1 letters, a space before it or not."""
     d = texts.data
@@ -88,9 +95,9 @@ class ChunkCache:
     the younger one.
     """
 
-    def __init__(self, encode_many: Callable[[list[bytes], np.ndarray], list[bytes]], dtype: str, limit: int = KEPT_CHUNKS, fold: bool = False):
+    def __init__(self, encode_many: Callable[[list[bytes], np.ndarray], list[bytes]], dtype: str, limit: int = KEPT_CHUNKS, fold: bool = False, starts: Callable[[Raw], np.ndarray] = chunk_starts):
         """encode_many takes chunks and which of them are words. fold: the tokenizer lower-cases, so ASCII texts may be lower-cased first."""
-        self.encode_many, self.dtype, self.limit, self.fold = encode_many, np.dtype(dtype), limit, fold
+        self.encode_many, self.dtype, self.limit, self.fold, self.starts = encode_many, np.dtype(dtype), limit, fold, starts
         self.later: dict[int, bytes] = {}
         self.older: dict[int, bytes] = {}
 
@@ -124,7 +131,7 @@ class ChunkCache:
             high = np.concatenate([[0], np.cumsum(texts.data >= 0x80)])
             plain = np.repeat(high[texts.off[1:]] == high[texts.off[:-1]], np.diff(texts.off))
             texts = Raw(np.where(plain, LOWER[texts.data], texts.data), texts.off)
-        start = chunk_starts(texts)
+        start = self.starts(texts)
         if not len(start):
             return np.zeros(0, self.dtype), np.zeros(texts.n + 1, np.int64)
         end = np.append(start[1:], len(texts.data))
