@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, bpe_fst, exact, packing, parityjoin, perplexity, pii, quality, sstable, substring, urlfilter, variants
-from .shared import documents
+from . import alignment, bpe_fst, editwalk, exact, packing, parityjoin, perplexity, pii, quality, sstable, substring, urlfilter, variants
+from .shared import documents, settle
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -79,6 +79,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group_variants(documents(spark, sf_dir))
 
 
+@_query
+def op12_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editwalk.near_classes(settle(editwalk.fingerprint_documents(documents(spark, sf_dir)), "walk-prints"))
+
+
 @_query
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
