@@ -125,7 +125,7 @@ def kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
         levels[n] = levels[n + 1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("c"))
     every = settle(reduce(DataFrame.unionByName, (t.select("lang", F.lit(n).alias("n"), "gram", "c", F.expr(f"substring(gram, 1, {n - 1})").alias("ctx")) for n, t in levels.items())), "kn-levels")
     of = [F.sum(F.when(F.col("c") == k, 1).otherwise(0)).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
-    y = "n1 / (n1 + 2 * n2)"
+    y = "n1 / nullif(n1 + 2 * n2, 0)"  # null where a language has no gram of count 1 or 2: 0.5 below
     discount = every.groupBy("lang", "n").agg(*of, F.count("*").alias("types")).selectExpr(
         "lang", "n", "types",
         *(f"least({k}D, greatest(0.1D, coalesce({k} - {k + 1} * ({y}) * n{k + 1} / nullif(n{k}, 0), 0.5D))) AS d{k}" for k in (1, 2, 3)),

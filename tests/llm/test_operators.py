@@ -451,3 +451,17 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert len({re.sub(r"[\x20\x09-\x0D]", "", t or "") for t in kept.values()}) == len(kept)
     pieces = corpus_pipeline.STAGES[-1][1](spark, current, sf)
     assert pieces.groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("n")).where("n != doc_tokens").count() == 0
+
+
+def test_perplexity_of_rare_languages_and_repeated_rows(spark):
+    """A language of one row, one of one word, and equal rows only: no counts of one or two at some order."""
+    rows = [(1, "na na na na na na", "xx"), (2, "x", "one"), (3, None, None), (4, PROSE, "en")] + [(10 + i, "abc abc abd " * 40, "de") for i in range(3)]
+    for part in (rows, rows[:1], rows[1:2], rows[4:]):
+        got = by_id(perplexity.quality_rules(spark.createDataFrame(part, "doc_id long, text string, lang string")))
+        assert len(got) == len(part) and all((r.log_perplexity is None) == (r.n_words == 0) for r in got.values())
+
+
+def test_masked_email_of_any_length(spark):
+    text = "write to " + "a" * 100 + " (at) " + "b" * 80 + " (dot) " + "c" * 40 + " please"
+    masked = pii.mask(spark.createDataFrame([(1, text)] + [(i, f"ask user{i} (at) mail{i} (dot) com now") for i in range(2, 30)], "doc_id long, text string")).where("doc_id = 1").first().text
+    assert "aaa" not in masked and "bbb" not in masked and "ccc" not in masked and "write to " in masked and " please" in masked
