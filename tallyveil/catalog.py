@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as S
 from .inputs import duck, table
-from .operators import checks, encoding, estimate, joint, rows
-from .plans import reports
+from .operators import checks, encoding, estimate, joint, registry, rows
+from .plans import compiled, joint_report, reports
 from .sources import tables
 from .streaming import streams
 
@@ -443,14 +443,44 @@ def e8_one_hot(t):
     return encoding.encode_one_hot(t("obs"), "i", 8, 0.25, 0.75, "hot").select("obs_id", "cohort", joined("set_bits"))
 
 
-@query(f"""SELECT obs_id, 'basic_rappor' AS encoding, {_bits_sql(5, f'j = list_position({KINDS_SQL}, s) - 1', 0.2, 0.8, 'basic')} AS payload FROM {{obs}} WHERE metric_id = 1
- UNION ALL SELECT obs_id, 'noop', s FROM {{obs}} WHERE metric_id = 2 UNION ALL SELECT obs_id, 'one_hot', {_bits_sql(8, 'j = i', 0.25, 0.75, 'hot')} FROM {{obs}} WHERE metric_id = 3 AND i BETWEEN 0 AND 7""")
+def _hex_sql(*parts: str) -> str:
+    return f"CAST('0x' || substr(sha256(concat_ws('|', {', '.join(parts)})), {{}}, {{}}) AS BIGINT)"
+
+
+_KEY_SQL = "CAST(obs_id AS VARCHAR) || '|' || part_name"
+_REG_DRAW = f"({_hex_sql("'reg'", _KEY_SQL, 'CAST(j // 4 AS VARCHAR)').format('13 * (j % 4) + 1', 13)} / 4503599627370496.0)"
+_REG_BITS = f"list_filter(range(n), lambda j: {_REG_DRAW} < CASE WHEN CASE WHEN payload_kind = 'rappor' THEN list_contains(bloom, j) ELSE j = place END THEN q ELSE p END)"
+_REG_COHORT = f"list_filter(list_transform(range(64), lambda a: {_hex_sql("'reg'", 'CAST(client_id AS VARCHAR)', 'CAST(a AS VARCHAR)').format(1, 13)} % CAST(pow(2, ceil(log2(m))) AS BIGINT)), lambda v: v < m)[1]"
+REG_CTE = f"""WITH j AS (SELECT v.* EXCLUDE (part_name), mt.time_zone_policy, mt.profile_fields, mt.backend, mt.id IS NOT NULL AS known, mp.n_parts, CASE WHEN v.part_name = '' AND mp.n_parts = 1 THEN mp.only_part ELSE v.part_name END AS part_name,
+ count(*) OVER (PARTITION BY v.obs_id) AS n_sent FROM {{reg_values}} v LEFT JOIN {{reg_metrics}} mt ON mt.id = v.metric_id
+ LEFT JOIN (SELECT metric_id, count(*) AS n_parts, min(part_name) AS only_part FROM {{reg_parts}} GROUP BY metric_id) mp ON mp.metric_id = v.metric_id),
+r AS (SELECT j.*, pt.data_type, en.kind AS payload_kind, en.k, en.h, en.m, en.p, en.q, en.threshold, en.epoch_type, en.categories,
+ CASE time_zone_policy WHEN 'UTC' THEN CAST(ts AS DATE) WHEN 'LOCAL' THEN CAST(ts + CASE zone WHEN '+05:00' THEN INTERVAL 5 HOUR ELSE INTERVAL '-8' HOUR END AS DATE) END AS day,
+ coalesce(len(en.categories), en.last - en.first + 1, en.num_categories) AS nc, CASE WHEN en.categories IS NOT NULL THEN list_position(en.categories, s) - 1 WHEN en.first IS NOT NULL THEN i - en.first ELSE idx END AS place
+ FROM j LEFT JOIN {{reg_parts}} pt ON pt.metric_id = j.metric_id AND pt.part_name = j.part_name LEFT JOIN {{reg_encodings}} en ON en.id = j.encoding_config_id),
+w AS (SELECT *, CASE WHEN NOT known THEN 'unknown metric' WHEN n_sent <> coalesce(n_parts, 0) THEN 'wrong number of parts' WHEN day IS NULL THEN 'no day by the time zone policy' WHEN backend NOT IN ('LEGACY', 'V1') THEN 'unknown backend'
+ WHEN data_type IS NULL THEN 'unknown part' WHEN CASE kind WHEN 'string' THEN s IS NULL WHEN 'int' THEN i IS NULL ELSE idx IS NULL END THEN 'unset value' WHEN kind <> data_type THEN 'wrong type' WHEN payload_kind IS NULL THEN 'unknown encoding'
+ WHEN payload_kind IN ('rappor', 'threshold') AND kind <> 'string' THEN 'type not for this encoding' WHEN payload_kind = 'basic_rappor' AND (place IS NULL OR place < 0 OR place >= nc) THEN 'no such category' END AS own FROM r),
+g AS (SELECT *, min(own) OVER (PARTITION BY obs_id) AS reason, CASE WHEN payload_kind = 'rappor' THEN k ELSE nc END AS n, CASE WHEN payload_kind = 'rappor' THEN {_REG_COHORT} END AS cohort FROM w),
+b AS (SELECT *, list_transform(range(2), lambda x: CAST('0x' || substr(sha256(s || cohort), CAST(4 * x + 1 AS INT), 4) AS BIGINT) % k) AS bloom,
+ CASE epoch_type WHEN 'DAY' THEN date_diff('day', DATE '1970-01-01', day) WHEN 'WEEK' THEN (date_diff('day', DATE '1970-01-01', day) + 4) // 7 ELSE (year(day) - 1970) * 12 + month(day) - 1 END AS ep FROM g),
+z AS (SELECT *, substr(sha256(concat_ws('|', 'reg', '1', '1', metric_id, part_name, ep, threshold, 's:' || s)), 1, 30) AS secret FROM b)"""
+REG_SQL = REG_CTE + f"""
+SELECT obs_id, part_name, encoding_config_id, date_diff('day', DATE '1970-01-01', day) AS day_index, CASE WHEN list_contains(profile_fields, 'os') THEN os END AS os, CASE WHEN list_contains(profile_fields, 'board_name') THEN board_name END AS board_name,
+ CASE WHEN reason IS NULL THEN substr(sha256(concat_ws('|', 'reg', 'id', '1', '1', metric_id, obs_id)), 1, 16) END AS random_id, CASE WHEN reason IS NULL THEN payload_kind END AS payload_kind, reason,
+ CASE WHEN reason IS NULL THEN CASE payload_kind WHEN 'noop' THEN coalesce(s, CAST(i AS VARCHAR), CAST(idx AS VARCHAR)) WHEN 'basic_rappor' THEN array_to_string({_REG_BITS}, ',') WHEN 'rappor' THEN cohort || ':' || array_to_string({_REG_BITS}, ',')
+ ELSE ep || ':' || substr(sha256('client|' || client_id || '|' || secret), 1, 30) END END AS payload FROM z"""
+
+
+def _coded(t):
+    return registry.encode(t("reg_values"), t("reg_metrics"), t("reg_parts"), t("reg_encodings"), "reg")
+
+
+@query(REG_SQL)
 def e9_encode(t):
-    obs = t("obs")
-    basic = encoding.encode_basic_rappor(obs.where("metric_id = 1"), "s", KINDS, 0.2, 0.8, "basic").select("obs_id", F.lit("basic_rappor").alias("encoding"), joined("set_bits", "payload"))
-    plain = encoding.encode_noop(obs.where("metric_id = 2"), "s").select("obs_id", F.lit("noop").alias("encoding"), F.col("value").alias("payload"))
-    hot = encoding.encode_one_hot(obs.where("metric_id = 3"), "i", 8, 0.25, 0.75, "hot").select("obs_id", F.lit("one_hot").alias("encoding"), joined("set_bits", "payload"))
-    return basic.unionByName(plain).unionByName(hot)
+    payload = F.coalesce(F.when(F.col("payload_kind") == "noop", F.coalesce("s", F.col("i").cast("string"), F.col("idx").cast("string"))), F.concat_ws(":", "epoch", "point_x"))
+    bits = F.concat_ws(":", "cohort", joined_column(F.col("set_bits")))
+    return _coded(t).select("obs_id", "part_name", "encoding_config_id", "day_index", "os", "board_name", "random_id", "payload_kind", "reason", F.when(F.col("payload_kind").isin("basic_rappor", "rappor"), bits).when(F.col("reason").isNull(), payload).alias("payload"))
 
 
 # estimators
@@ -568,24 +598,57 @@ def a16_usage_and_mean(t):
     return estimate.usage_and_mean(t("obs"), "board", "d").select("board", "n", *r6("mean"))
 
 
-def _pair_table(t):
+def _pair(t):
+    """A string's kind in five categories, and an index in four: both as noisy bits."""
     obs = encoding.encode_basic_rappor(t("obs"), "s", KINDS, 0.2, 0.8, "v1").withColumnRenamed("set_bits", "bits1").drop("category")
-    obs = obs.withColumn("b4", F.col("idx") % 4).withColumn("bits2", encoding.noisy_bits(F.col("b4"), 4, 0.2, 0.8, "v2", "obs_id"))
-    import numpy as np
+    return obs.withColumn("b4", F.col("idx") % 4).withColumn("bits2", encoding.noisy_bits(F.col("b4"), 4, 0.2, 0.8, "v2", "obs_id"))
 
-    return joint.report_likelihoods(joint.report_patterns(obs, "bits1", "bits2", 5, 4), np.eye(5), np.eye(4), 0.2, 0.8)
 
+def _pair_table(t):
+    return joint.report_likelihoods(joint.report_patterns(_pair(t), "bits1", "bits2"), joint.index_variable(KINDS, 0.2, 0.8), joint.index_variable(NAMES4, 0.2, 0.8))
 
-@query()
+
+_KNOWN = ["click", "error", "purchase"]  # candidates; signup and view are Other
+_OTHER_SQL = f"""cells AS (SELECT cohort, bit, y, n FROM ({CELLS_SQL})), marg AS (SELECT * FROM (VALUES ('click', 0.25), ('error', 0.125), ('purchase', 0.2)) v(candidate, proportion)),
+ kn AS (SELECT candidate, ceil(proportion * (SELECT sum(n) FROM cells WHERE bit = 0) / 8) AS known FROM marg),
+ mat AS (SELECT DISTINCT candidate, cohort, CAST('0x' || substr(sha256(candidate || cohort), CAST(4 * x + 1 AS INT), 4) AS BIGINT) % 16 AS bit FROM marg, (SELECT unnest(range(8)) AS cohort), (SELECT unnest(range(2)) AS x)),
+ own AS (SELECT cohort, bit, sum(known) AS own FROM mat JOIN kn USING (candidate) GROUP BY ALL),
+ lft AS (SELECT cohort, bit, greatest(0, y - (((SELECT sum(known) FROM kn) - coalesce(own, 0)) * 0.1 + coalesce(own, 0) * 0.9)) AS ones, greatest(0, n - (SELECT sum(known) FROM kn)) AS rest FROM cells LEFT JOIN own USING (cohort, bit)),
+ oth AS (SELECT cohort, bit, CASE WHEN rest > 0 THEN least(1.0, ones / rest) WHEN ones > 0 THEN 1.0 ELSE 0.0 END AS probability FROM lft)"""
+
+
+def _other(t):
+    spark = t("region").sparkSession
+    marginal = spark.createDataFrame([("click", 0.25), ("error", 0.125), ("purchase", 0.2)], "candidate string, proportion double")
+    return estimate.other_probabilities(estimate.cohort_bit_counts(_bloom(t), 16, 8), rows.candidate_matrix(marginal.select("candidate"), 16, 2, 8), marginal, 8, 0.1, 0.9)
+
+
+_RAPPOR_PAIR_SQL = f"""SELECT cohort, list_filter(range(16), lambda j: {_draw_sql('rappor')} < CASE WHEN list_contains(bloom, j) THEN 0.9 ELSE 0.1 END) AS bits1, list_filter(range(4), lambda j: {_draw_sql('v2')} < CASE WHEN j = idx % 4 THEN 0.8 ELSE 0.2 END) AS bits2
+ FROM (SELECT *, {_bloom_sql('s', 'cohort', 16, 2)} AS bloom FROM (SELECT *, {_cohort_sql(8, 8, 'rappor')} AS cohort FROM {{obs}}))"""
+
+
+@query(f"""WITH {_OTHER_SQL}, rep AS (SELECT *, row_number() OVER () AS id FROM (SELECT cohort, bits1, bits2, count(*) AS weight FROM ({_RAPPOR_PAIR_SQL}) GROUP BY ALL)), mb AS (SELECT candidate, cohort, list(bit) AS own FROM mat GROUP BY ALL),
+ one AS (SELECT id, sum(ln(CASE WHEN list_contains(bits1, j) = list_contains(own, j) THEN 0.9 ELSE 0.1 END)) AS lg FROM (SELECT *, unnest(range(16)) AS j FROM rep JOIN mb USING (cohort)) GROUP BY id, candidate
+  UNION ALL SELECT id, sum(ln(CASE WHEN list_contains(bits1, bit) THEN greatest(1e-12, least(1 - 1e-12, probability)) ELSE 1 - greatest(1e-12, least(1 - 1e-12, probability)) END)) FROM rep JOIN oth USING (cohort) GROUP BY id),
+ two AS (SELECT id, sum(ln(CASE WHEN list_contains(bits2, j) = (j = c) THEN 0.8 ELSE 0.2 END)) AS lg FROM (SELECT *, unnest(range(4)) AS j FROM (SELECT *, unnest(range(4)) AS c FROM rep)) GROUP BY id, c)
+ SELECT weight, round(log1, 6) AS log1, round(log2, 6) AS log2 FROM rep JOIN (SELECT id, ln(sum(exp(lg))) AS log1 FROM one GROUP BY id) USING (id) JOIN (SELECT id, ln(sum(exp(lg))) AS log2 FROM two GROUP BY id) USING (id)""")
 def a17_report_likelihoods(t):
-    return _pair_table(t).select("weight", F.round(F.aggregate("c", F.lit(0.0), lambda a, x: a + x), 9).alias("total_likelihood"))
+    """Likelihoods of three known strings and Other by cohort, and of an index."""
+    spark = t("region").sparkSession
+    import numpy as np
+
+    other = np.zeros((8, 16))
+    for r in _other(t).collect():
+        other[r.cohort, r.bit] = r.probability
+    strings = joint.string_variable(spark, _KNOWN, 16, 2, 8, 0.1, 0.9, other)
+    pair = _bloom(t).withColumn("b4", F.col("idx") % 4).withColumn("bits2", encoding.noisy_bits(F.col("b4"), 4, 0.2, 0.8, "v2", "obs_id"))
+    table_ = joint.report_likelihoods(joint.report_patterns(pair, "set_bits", "bits2", "cohort"), strings, joint.index_variable(NAMES4, 0.2, 0.8))
+    return table_.select("weight", *[F.round(F.log(F.aggregate(f"c{n}", F.lit(0.0), lambda a, x: a + x)) + F.col(f"top{n}"), 6).alias(f"log{n}") for n in (1, 2)])
 
 
-@query(f"SELECT cohort, bit, round(greatest(0.0, least(1.0, (y - 0.05 * n) / (n * (1 - 0.25)))), 6) AS probability FROM ({CELLS_SQL})")
+@query(f"WITH {_OTHER_SQL} SELECT cohort, bit, round(probability, 6) AS probability FROM oth")
 def a18_other_probabilities(t):
-    counts = estimate.cohort_bit_counts(_bloom(t), 16, 8)
-    known = counts.select("cohort", "bit", (F.col("n") * 0.05).alias("expected"), F.lit(0.25).alias("share"))
-    return estimate.other_probabilities(counts, known, 0.1, 0.9).select("cohort", "bit", *r6("probability"))
+    return _other(t).select("cohort", "bit", *r6("probability"))
 
 
 NAMES4 = ["0", "1", "2", "3"]
@@ -593,14 +656,14 @@ NAMES4 = ["0", "1", "2", "3"]
 
 @query()
 def a19_joint_em(t):
-    grid = joint.joint_em(_pair_table(t), 5, 4)
+    grid = joint.joint_em(_pair_table(t), 5, 4).grid
     return joint.as_rows(t("region").sparkSession, grid, KINDS, NAMES4)
 
 
 @query()
 def a20_joint_variance(t):
     table_ = _pair_table(t).cache()
-    grid = joint.joint_em(table_, 5, 4)
+    grid = joint.joint_em(table_, 5, 4).grid
     errors, _ = joint.joint_variance(table_, grid)
     table_.unpersist()
     return joint.as_rows(t("region").sparkSession, errors, KINDS, NAMES4).withColumnRenamed("proportion", "std_error")
@@ -609,7 +672,7 @@ def a20_joint_variance(t):
 @query()
 def a21_independence_test(t):
     table_ = _pair_table(t).cache()
-    grid = joint.joint_em(table_, 5, 4)
+    grid = joint.joint_em(table_, 5, 4).grid
     statistic, p_value = joint.independence_test(grid, joint.joint_variance(table_, grid)[1])
     table_.unpersist()
     return t("region").sparkSession.createDataFrame([(statistic, p_value)], "statistic double, p_value double")
@@ -874,6 +937,57 @@ def r1_threshold_report(t):
     return reports.histogram_report(coded, "threshold", {"threshold": 20}, 0, 1_000_000)
 
 
+def _compiled_sql(which: str) -> str:
+    """All reports but those of string RAPPOR with candidates that share bits: counts, buckets, bits, thresholds and statuses."""
+    group = "report_id, os, board_name"
+    estimate = "(y - p * n) / (q - p) AS e, sqrt(y * (1 - p - q) + n * (p * q)) / abs(q - p) AS se"
+    return REG_CTE + f""", o AS (SELECT rp.report_id, CASE WHEN list_contains(report_fields, 'os') AND list_contains(profile_fields, 'os') THEN os END AS os, CASE WHEN list_contains(report_fields, 'board_name') AND list_contains(profile_fields, 'board_name') THEN board_name END AS board_name,
+ z.* EXCLUDE (os, board_name), bk.bucket_kind FROM z JOIN {{reg_reports}} rp USING (metric_id, part_name) JOIN {{reg_buckets}} bk USING (metric_id, part_name) WHERE reason IS NULL AND date_diff('day', DATE '1970-01-01', day) BETWEEN first_day AND last_day AND ({which})),
+mixed AS (SELECT report_id, min([lo, hi]) AS ids FROM (SELECT report_id, min(encoding_config_id) AS lo, max(encoding_config_id) AS hi FROM o GROUP BY {group}) WHERE lo <> hi GROUP BY report_id),
+bits AS (SELECT *, {_REG_BITS} AS set_bits FROM o WHERE payload_kind IN ('basic_rappor', 'rappor')),
+basic AS (SELECT g.*, en.categories, en.first, en.p, en.q, (SELECT count(*) FROM bits b WHERE b.report_id = g.report_id AND b.os IS NOT DISTINCT FROM g.os AND b.board_name IS NOT DISTINCT FROM g.board_name AND list_contains(b.set_bits, g.bit)) AS y
+ FROM (SELECT *, unnest(range(nb)) AS bit FROM (SELECT {group}, encoding_config_id, count(*) AS n, any_value(nc) AS nb FROM bits WHERE payload_kind = 'basic_rappor' GROUP BY ALL)) g JOIN {{reg_encodings}} en ON en.id = g.encoding_config_id),
+thr AS (SELECT {group}, s, count(*) AS n FROM (SELECT *, count(DISTINCT client_id) OVER (PARTITION BY {group}, ep, s) AS c FROM o WHERE payload_kind = 'threshold') WHERE c >= threshold GROUP BY ALL),
+rap AS (SELECT {group}, candidate, greatest(0, abs(pull) - rws * 0.5 / (k * m)) * sign(pull) / (ones + rws * 1e-3 / (k * m)) * n_all + 0.0 AS e FROM (
+ SELECT {group}, candidate, any_value(k) AS k, any_value(m) AS m, any_value(n_all) AS n_all, any_value(k * cohorts) AS rws, count(*) AS ones, sum((y - p * n) / (q - p) / n) AS pull FROM (
+ SELECT c.*, ca.candidate, (SELECT count(*) FROM bits b WHERE b.report_id = c.report_id AND b.board_name IS NOT DISTINCT FROM c.board_name AND b.cohort = c.cohort AND list_contains(b.set_bits, ca.bit)) AS y FROM
+ (SELECT {group}, cohort, count(*) AS n, any_value(k) AS k, any_value(m) AS m, any_value(p) AS p, any_value(q) AS q, sum(count(*)) OVER (PARTITION BY {group}) AS n_all, count(*) OVER (PARTITION BY {group}) AS cohorts FROM bits WHERE payload_kind = 'rappor' GROUP BY {group}, cohort) c
+ JOIN (SELECT DISTINCT rc.report_id, candidate, cohort, CAST('0x' || substr(sha256(candidate || cohort), CAST(4 * x + 1 AS INT), 4) AS BIGINT) % 512 AS bit FROM {{reg_candidates}} rc, (SELECT unnest(range(2)) AS x), (SELECT unnest(range(2)) AS cohort)) ca ON ca.report_id = c.report_id AND ca.cohort = c.cohort) GROUP BY {group}, candidate)),
+good AS (SELECT {group}, s, i, idx, count(*)::DOUBLE AS e, 0.0::DOUBLE AS se FROM o WHERE payload_kind = 'noop' AND bucket_kind IS NULL GROUP BY ALL
+ UNION ALL SELECT {group}, NULL, NULL, CASE WHEN i < 1 THEN 0 WHEN i >= 9 THEN 5 ELSE (i - 1) // 2 + 1 END, count(*), 0 FROM o WHERE bucket_kind IS NOT NULL GROUP BY ALL
+ UNION ALL SELECT {group}, categories[bit + 1], first + bit, CASE WHEN categories IS NULL AND first IS NULL THEN bit END, e, se FROM (SELECT *, {estimate} FROM basic)
+ UNION ALL SELECT {group}, s, NULL, NULL, n, 0 FROM thr UNION ALL SELECT {group}, candidate, NULL, NULL, e, 0 FROM rap)
+SELECT {group}, s, i, idx, label, round(e, 6) AS count_estimate, round(se, 6) AS std_error, 'OK' AS status, NULL::VARCHAR AS message FROM good LEFT JOIN {{reg_labels}} USING (report_id, idx) WHERE report_id NOT IN (SELECT report_id FROM mixed)
+UNION ALL SELECT report_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'UNIMPLEMENTED', 'encodings ' || ids[1] || ' and ' || ids[2] || ' in one group' FROM mixed
+UNION ALL SELECT DISTINCT report_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'INVALID_ARGUMENT', 'no candidates' FROM o WHERE payload_kind = 'rappor' AND report_id NOT IN (SELECT report_id FROM {{reg_candidates}})"""
+
+
+def _compiled(t, which: str):
+    """The observations are stored by kind of payload first, as clients' observations are; a report's estimators read their own."""
+    spark = t("region").sparkSession
+    stored = streams.shared_path(spark, "observations")
+    coded = _coded(t)
+    coded.where("reason IS NULL").write.partitionBy("payload_kind").parquet(stored)
+    obs = spark.read.schema(coded.schema).parquet(stored)
+    out = compiled.histogram_reports(obs, t("reg_reports").where(which), t("reg_buckets"), t("reg_encodings"), t("reg_labels"), t("reg_candidates"))
+    return out.select("report_id", "os", "board_name", "s", "i", "idx", "label", *r6("count_estimate", "std_error"), "status", "message")
+
+
+REPORTS_OF = {"noop": "report_id IN (11, 51, 63)", "buckets": "report_id = 42", "basic_rappor": "report_id IN (21, 22, 33, 61, 62)", "threshold": "report_id = 41", "string_rappor": "report_id = 31", "mixed": "report_id > 0"}
+
+
+def _compiled_query(kind: str):
+    def run(t):
+        return _compiled(t, REPORTS_OF[kind])
+
+    run.__name__ = f"r1_compiled_{kind}"
+    query(_compiled_sql(REPORTS_OF[kind].replace("report_id", "rp.report_id")))(run)
+
+
+for _kind in REPORTS_OF:
+    _compiled_query(_kind)
+
+
 @query("SELECT s AS v1, board AS v2, count(*) AS n FROM {obs} GROUP BY ALL")
 def r2_joint_counts(t):
     return reports.joint_counts(t("obs").select(F.col("s").alias("v1"), F.col("board").alias("v2")), "v1", "v2")
@@ -881,8 +995,16 @@ def r2_joint_counts(t):
 
 @query()
 def r2_joint_report(t):
-    grid = joint.joint_em(_pair_table(t), 5, 4)
-    return joint.as_rows(t("region").sparkSession, grid * t("obs").count(), KINDS, NAMES4).withColumnRenamed("proportion", "count_estimate")
+    """A string under cohorts, of which three values are known, with an index."""
+    pair = _bloom(t).withColumn("b4", F.col("idx") % 4).withColumn("bits2", encoding.noisy_bits(F.col("b4"), 4, 0.2, 0.8, "v2", "obs_id"))
+    string = joint_report.Part("string", bits="set_bits", cohort="cohort", names=tuple(_KNOWN), k=16, h=2, m=8, p=0.1, q=0.9)
+    return joint_report.joint_report(pair, string, joint_report.Part("index", bits="bits2", names=tuple(NAMES4), p=0.2, q=0.8), 200, 1e-5)
+
+
+@query("SELECT s AS v1, board AS v2, count(*)::DOUBLE AS count_estimate, 0.0::DOUBLE AS std_error, round(count(*) / (SELECT count(*) FROM {obs}), 9) AS proportion FROM {obs} GROUP BY ALL")
+def r2_joint_report_unencoded(t):
+    found = joint_report.joint_report(t("obs"), joint_report.Part("noop", value="s"), joint_report.Part("noop", value="board"))
+    return found.select("v1", "v2", "count_estimate", "std_error", F.round("proportion", 9).alias("proportion"))
 
 
 @query("SELECT a.obs_id, a.value AS type, b.value AS amount, o.board FROM {tall} a JOIN {tall} b USING (obs_id) JOIN {obs} o USING (obs_id) WHERE a.part_name = 'type' AND a.kind = 'string' AND b.part_name = 'amount' AND b.encoding = 'noop'")

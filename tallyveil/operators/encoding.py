@@ -8,11 +8,14 @@ from math import ceil
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from ..functions.scalars import epoch_index
+from ..functions.scalars import epoch_index, next_pow2
 
 PRIME = 2**127 - 1
+MOST_POINTS = 2000
 
 
 def let(value: Column, body) -> Column:
@@ -34,18 +37,29 @@ def noisy_bits(index: Column, k: int, p: float, q: float, salt: str, key: str) -
     return _drawn(k, lambda j: j == index, p, q, salt, key)
 
 
-def _below(share: float) -> str:
+def _below(share: float | Column) -> str | Column:
     """Hex digits h such that 13 random ones are less with probability share."""
+    if isinstance(share, Column):
+        n = F.ceil(share * float(2**52))
+        return F.when(n <= 0, "").when(n >= 2**52, "g").otherwise(F.lpad(F.lower(F.hex(n)), 13, "0"))
     n = ceil(share * 2**52)
     return "" if n <= 0 else "g" if n >= 2**52 else f"{n:013x}"
 
 
-def _drawn(k: int, is_set, p: float, q: float, salt: str, key: str) -> Column:
-    """Places j in 0..k-1 whose draw is below q where is_set(j), else below p. Each digest gives four draws."""
-    digest = lambda d: F.sha2(F.concat_ws("|", F.lit(salt), F.col(key).cast("string"), d.cast("string")), 256)
-    digests = F.transform(F.sequence(F.lit(0), F.lit((k - 1) // 4)), digest)
+def _number(x: int | Column) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def _drawn(k: int | Column, is_set, p: float | Column, q: float | Column, salt: str, key: str | Column) -> Column:
+    """Places j in 0..k-1 whose draw is below q where is_set(j), else below p. Each digest gives four draws.
+
+    Parameters may be columns: then each row has its own.
+    """
+    of_row, last = F.col(key) if isinstance(key, str) else key, _number(k) - 1
+    digest = lambda d: F.sha2(F.concat_ws("|", F.lit(salt), of_row.cast("string"), d.cast("string")), 256)
+    digests = F.transform(F.sequence(F.lit(0), F.floor(last / 4).cast("int")), digest)
     quarter = lambda of, j: F.substring(F.get(of, F.floor(j / 4).cast("int")), 13 * (j % 4) + 1, F.lit(13))
-    return let(digests, lambda of: F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: quarter(of, j) < F.when(is_set(j), _below(q)).otherwise(_below(p))))
+    return let(digests, lambda of: F.filter(F.sequence(F.lit(0), last), lambda j: quarter(of, j) < F.when(is_set(j), _below(q)).otherwise(_below(p))))
 
 
 def encode_basic_rappor(df: DataFrame, value: str, categories: list[str], p: float, q: float, salt: str, key: str = "obs_id") -> DataFrame:
@@ -61,9 +75,9 @@ def encode_one_hot(df: DataFrame, value: str, n: int, p: float, q: float, salt:
     return once(rows, "set_bits", noisy_bits(F.col(value), n, p, q, salt, key))
 
 
-def assign_cohort(client: str, m: int, salt: str) -> Column:
+def assign_cohort(client: str, m: int | Column, salt: str) -> Column:
     """Uniform in [0, m): draws from the next power of two until one is below m."""
-    span = 1 << max(m - 1, 0).bit_length()
+    span = next_pow2(m) if isinstance(m, Column) else 1 << max(m - 1, 0).bit_length()
 
     def draw(found: Column, attempt: Column) -> Column:
         text = F.concat_ws("|", F.lit(salt), F.col(client).cast("string"), attempt.cast("string"))
@@ -73,9 +87,12 @@ def assign_cohort(client: str, m: int, salt: str) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(None).cast("long"), draw).cast("int")
 
 
-def bloom_bits(value: str, cohort: Column, k: int, h: int) -> Column:
+def bloom_bits(value: str, cohort: Column, k: int | Column, h: int | Column) -> Column:
     """Different bit places of a value in a cohort: two digest bytes a hash, modulo k."""
     digest = F.sha2(F.concat(F.col(value), cohort.cast("string")), 256)
+    if isinstance(h, Column):
+        place = lambda of: F.transform(F.sequence(F.lit(0), h - 1), lambda i: (F.conv(F.substring(of, 4 * i + 1, F.lit(4)), 16, 10).cast("long") % k).cast("int"))
+        return F.array_distinct(let(digest, place))
     return F.array_distinct(F.array(*[(F.conv(F.substring(digest, 4 * i + 1, 4), 16, 10).cast("long") % k).cast("int") for i in range(h)]))
 
 
@@ -126,6 +143,11 @@ def interpolate_at_zero(points: list[tuple[int, int]]) -> int:
     return total
 
 
+@F.pandas_udf(StringType())
+def _secret(xs: pd.Series, ys: pd.Series) -> pd.Series:
+    return pd.Series([f"{interpolate_at_zero([(int(a, 16), int(b, 16)) for a, b in zip(x, y)]):030x}" for x, y in zip(xs, ys)], dtype=object)
+
+
 def cipher_key(secret: Column) -> Column:
     return F.unhex(F.sha2(F.concat(F.lit("key|"), secret), 256))
 
@@ -148,34 +170,53 @@ def encode_threshold(df: DataFrame, value: str, client: str, threshold: int, epo
     return rows.withColumn("ciphertext", F.hex(sealed)).withColumn("point_y", point_y("_secret", "point_x")).drop("_secret")
 
 
-def threshold_groups(obs: DataFrame) -> DataFrame:
-    """(epoch, ciphertext): rows, different points, and conflicting points (one x with several y)."""
-    points = obs.groupBy("epoch", "ciphertext", "point_x").agg(F.count("*").alias("n"), F.min("point_y").alias("point_y"), F.max("point_y").alias("_y"))
-    return points.groupBy("epoch", "ciphertext").agg(F.sum("n").alias("n"), F.count("*").alias("points"), F.sum(F.when(F.col("point_y") != F.col("_y"), 1).otherwise(0)).alias("conflicts"))
+def threshold_groups(obs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, epoch, ciphertext): rows, different points, and conflicting points (one x with several y)."""
+    group = [*by, "epoch", "ciphertext"]
+    points = obs.groupBy(*group, "point_x").agg(F.count("*").alias("n"), F.min("point_y").alias("point_y"), F.max("point_y").alias("_y"))
+    return points.groupBy(*group).agg(F.sum("n").alias("n"), F.count("*").alias("points"), F.sum(F.when(F.col("point_y") != F.col("_y"), 1).otherwise(0)).alias("conflicts"))
 
 
-def threshold_errors(obs: DataFrame) -> DataFrame:
-    return threshold_groups(obs).where("conflicts > 0").select("epoch", "ciphertext", "conflicts")
+def _same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which nulls are equal; b's other columns are kept in an inner join."""
+    names = {k: f"_b{i}" for i, k in enumerate(keys)}
+    b, on = b.withColumnsRenamed(names), F.lit(True)
+    for k, other in names.items():
+        on &= F.col(k).eqNullSafe(F.col(other))
+    return a.join(b, on, how).drop(*names.values())
 
 
-def threshold_decrypt(obs: DataFrame, threshold: int) -> DataFrame:
-    """(plaintext, total, epochs) of values that at least `threshold` clients sent in an epoch.
+def threshold_outcomes(obs: DataFrame, threshold: int | str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, epoch, ciphertext, n, points, outcome, plaintext) of every group of equal ciphertexts.
 
-    Groups are counted first; then at most `threshold` points of each group that qualifies are interpolated.
+    outcome: below (fewer than `threshold` points), conflict (one x with several y), unauthentic (the key that the
+    points give doesn't open the ciphertext), ok. threshold may name a column of by. Groups are counted first; then at
+    most `threshold` points of each group that qualifies are interpolated.
     """
-    if threshold > 2000:
-        raise ValueError("interpolation is quadratic in the threshold; 2000 is the most")
-    ready = threshold_groups(obs).where(f"points >= {threshold} AND conflicts = 0")
-    points = obs.join(ready.select("epoch", "ciphertext"), ["epoch", "ciphertext"], "left_semi").groupBy("epoch", "ciphertext", "point_x").agg(F.min("point_y").alias("point_y"))
-    from .rows import first_points
+    least = F.col(threshold) if isinstance(threshold, str) else F.lit(threshold)
+    if isinstance(threshold, int) and threshold > MOST_POINTS:
+        raise ValueError(f"interpolation is quadratic in the threshold; {MOST_POINTS} is the most")
+    group = [*by, "epoch", "ciphertext"]
+    groups = threshold_groups(obs, by)
+    first = F.when(F.col("conflicts") > 0, "conflict").when(F.col("points") < least, "below")
+    groups = groups.withColumn("outcome", first)
+    ready = groups.where("outcome IS NULL").select(*group)
+    points = _same(obs, ready, group, "left_semi").groupBy(*group, "point_x").agg(F.min("point_y").alias("point_y"))
+    few = points.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy("point_x"))).where(F.col("_n") <= F.least(least, F.lit(MOST_POINTS)))
+    gathered = few.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("point_x", "point_y"))).alias("p"))
+    opened = gathered.select(*group, _secret("p.point_x", "p.point_y").alias("_secret"))
+    opened = opened.withColumn("plaintext", F.expr("decode(try_aes_decrypt(unhex(ciphertext), unhex(sha2(concat('key|', _secret), 256)), 'GCM', 'DEFAULT'), 'UTF-8')")).drop("_secret")
+    tried = _same(groups.where("outcome IS NULL"), opened, group).withColumn("outcome", F.when(F.col("plaintext").isNotNull(), "ok").otherwise("unauthentic"))
+    columns = [*group, "n", "points", "outcome", "plaintext"]
+    return tried.select(*columns).unionByName(groups.where("outcome IS NOT NULL").withColumn("plaintext", F.lit(None).cast("string")).select(*columns))
 
-    few = first_points(points, ["epoch", "ciphertext"], "point_x", threshold)
 
-    @F.pandas_udf("string")
-    def secret(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([f"{interpolate_at_zero([(int(a, 16), int(b, 16)) for a, b in zip(x, y)]):030x}" for x, y in zip(xs, ys)])
+def threshold_errors(obs: DataFrame) -> DataFrame:
+    """Groups with conflicting points, without any decryption; `threshold_outcomes` also tells failed authentications."""
+    return threshold_groups(obs).where("conflicts > 0").select("epoch", "ciphertext", "conflicts")
+
 
-    gathered = few.groupBy("epoch", "ciphertext").agg(F.sort_array(F.collect_list(F.struct("point_x", "point_y"))).alias("p"))
-    opened = gathered.withColumn("secret", secret("p.point_x", "p.point_y")).join(ready, ["epoch", "ciphertext"])
-    plain = opened.withColumn("plaintext", F.expr("decode(try_aes_decrypt(unhex(ciphertext), unhex(sha2(concat('key|', secret), 256)), 'GCM', 'DEFAULT'), 'UTF-8')"))
-    return plain.where("plaintext IS NOT NULL").groupBy("plaintext").agg(F.sum("n").alias("total"), F.count("*").alias("epochs"))
+def threshold_decrypt(obs: DataFrame, threshold: int | str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, plaintext, total, epochs) of values that at least `threshold` clients sent in an epoch."""
+    plain = threshold_outcomes(obs, threshold, by).where("outcome = 'ok'")
+    return plain.groupBy(*by, "plaintext").agg(F.sum("n").alias("total"), F.count("*").alias("epochs"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyveil.functions import scalars as S
 from tallyveil.operators import checks, encoding, estimate, joint, rows
+from tallyveil.plans import compiled, joint_report
 from tallyveil.streaming import streams
 
 
@@ -57,12 +58,61 @@ def test_release_needs_the_threshold(spark, threshold):
 
 
 def test_joint_em_recovers_independence(spark):
-    patterns = spark.createDataFrame([("10", "10", 360), ("10", "01", 240), ("01", "10", 240), ("01", "01", 160)], "b1 string, b2 string, weight long")
-    table = joint.report_likelihoods(patterns, np.eye(2), np.eye(2), 0.1, 0.9)
-    grid = joint.joint_em(table, 2, 2, 60, 1e-5)
-    _, info = joint.joint_variance(table, grid)
-    statistic, p = joint.independence_test(grid, info)
-    assert abs(grid.sum() - 1) < 1e-9 and statistic < 0.5 and p > 0.4
+    patterns = spark.createDataFrame([(0, [0], 0, [0], 360), (0, [0], 0, [1], 240), (0, [1], 0, [0], 240), (0, [1], 0, [1], 160)], "cohort1 int, bits1 array<int>, cohort2 int, bits2 array<int>, weight long")
+    v = joint.index_variable(["a", "b"], 0.1, 0.9)
+    table = joint.report_likelihoods(patterns, v, v)
+    fit = joint.joint_em(table, 2, 2, 60, 1e-5)
+    _, info = joint.joint_variance(table, fit.grid)
+    statistic, p = joint.independence_test(fit.grid, info)
+    assert abs(fit.grid.sum() - 1) < 1e-9 and statistic < 0.5 and p > 0.4 and fit.converged
+
+
+def test_likelihoods_equal_products_over_all_bits(spark):
+    """Cohorts with bits of their own, Other by cohort, and a boolean."""
+    other = np.random.default_rng(1).random((3, 12))
+    v = joint.string_variable(spark, ["x", "y", "zz"], 12, 2, 3, 0.2, 0.7, other)
+    reports = [(c, sorted({(7 * c + i) % 12, (5 * i) % 12, 3}), 0, [0] if i % 2 else []) for c in range(3) for i in range(9)]
+    reports = [r for n, r in enumerate(reports) if r not in reports[:n]]
+    df = spark.createDataFrame(reports + reports[:4], "c1 int, set_bits array<int>, c2 int, flag array<int>")
+    table = joint.report_likelihoods(joint.report_patterns(df, "set_bits", "flag", "c1"), v, joint.boolean_variable(0.2, 0.7)).collect()
+    got = sorted((int(r.weight), *(round(float(np.exp(r.top1) * x), 12) for x in r.c1), *(round(float(np.exp(r.top2) * x), 12) for x in r.c2)) for r in table)
+    want = []
+    for n, (c, bits, _, flag) in enumerate(reports):
+        own = [set(v.places[c, j][v.places[c, j] < 12]) for j in range(3)]
+        chance = [np.prod([(0.7 if b in o else 0.2) if b in bits else (0.3 if b in o else 0.8) for b in range(12)]) for o in own]
+        chance.append(np.prod([other[c, b] if b in bits else 1 - other[c, b] for b in range(12)]))
+        want.append((2 if n < 4 else 1, *(round(float(x), 12) for x in chance), *((0.7, 0.2) if flag else (0.3, 0.8))))
+    assert got == [tuple(x) for x in sorted(want)] or np.allclose(got, sorted(want))
+
+
+def test_sums_over_many_tasks(spark):
+    """More tasks than are merged at once, and an information matrix of several blocks."""
+    patterns = spark.createDataFrame([(0, [i % 3], 0, [(i // 3) % 2], 1 + i % 5) for i in range(400)], "cohort1 int, bits1 array<int>, cohort2 int, bits2 array<int>, weight long")
+    table = joint.report_likelihoods(patterns.repartition(70), joint.index_variable(list("abc"), 0.2, 0.8), joint.index_variable(list("de"), 0.2, 0.8)).cache()
+    one = table.coalesce(1).cache()
+    grid = joint.joint_em(one, 3, 2, 5).grid
+    assert np.allclose(joint.joint_em(table, 3, 2, 5).grid, grid)
+    rows = one.collect()
+    c = np.array([np.outer(r.c1, r.c2).ravel() for r in rows])
+    v = c / (c @ grid.ravel())[:, None]
+    dense = (v * np.array([r.weight for r in rows])[:, None]).T @ v
+    assert np.allclose(joint.joint_variance(table, grid)[1], dense)
+
+
+def test_planted_joint_of_strings_and_indices(spark):
+    """Strings follow the index; one string is no candidate."""
+    values = F.array(*map(F.lit, ["apple", "banana", "cherry", "unlisted"]))
+    obs = spark.range(12_000).select(F.col("id").alias("obs_id"), F.col("id").alias("client"), (F.col("id") % 3).cast("int").alias("i"))
+    obs = obs.withColumn("v", F.get(values, F.when(F.col("obs_id") % 10 < 7, F.col("i")).when(F.col("obs_id") % 10 == 7, 3).otherwise((F.col("i") + 1) % 3)))
+    coded = encoding.encode_rappor(obs, "v", "client", 32, 2, 4, 0.1, 0.9, "t").withColumn("bits2", encoding.noisy_bits(F.col("i"), 3, 0.1, 0.9, "u", "obs_id"))
+    string = joint_report.Part("string", bits="set_bits", cohort="cohort", names=("apple", "banana", "cherry", "durian"), k=32, h=2, m=4, p=0.1, q=0.9)
+    got = {(r.v1, r.v2): r for r in joint_report.joint_report(coded, string, joint_report.Part("index", bits="bits2", names=("0", "1", "2"), p=0.1, q=0.9)).collect()}
+    assert len(got) == 15 and all(r.converged for r in got.values())
+    actual = {(r.v, str(r.i)): r.n for r in obs.groupBy("v", "i").agg(F.count("*").alias("n")).collect()}
+    for name in ("apple", "banana", "cherry"):
+        for i in "012":
+            assert abs(got[name, i].count_estimate - actual.get((name, i), 0)) < 450
+    assert abs(sum(got["Other", i].count_estimate for i in "012") - 1200) < 1000  # the penalty takes from known strings
 
 
 def test_elastic_net_finds_the_frequent_candidate(spark):
@@ -133,3 +183,48 @@ def test_chunks_of_a_hot_key(spark):
     df = spark.range(2000).select(F.when(F.col("id") % 10 > 0, "hot").alias("k"), F.col("id").alias("i"))
     sizes = [tuple(r) for r in rows.chunk(df, ["k"], "i", 100, "s").groupBy("k", "chunk").count().collect()]
     assert len(sizes) == 20 and all(n == 100 for *_, n in sizes)
+
+
+def test_grouped_elastic_net_equals_the_general_solver(spark):
+    """Two groups in one plan; on each, the weights of a regression with the same penalties."""
+    obs = spark.range(4000).select(F.col("id").alias("obs_id"), F.col("id").alias("client"), (F.col("id") % 2).alias("g"), F.when(F.col("id") % 10 < 6, "aa").when(F.col("id") % 10 < 8, "bb").otherwise("dd").alias("v"))
+    coded = encoding.encode_rappor(obs, "v", "client", 16, 2, 4, 0.05, 0.95, "t")
+    names = spark.createDataFrame([("aa",), ("bb",), ("cc",), ("dd",)], "candidate string")
+    counts = estimate.bit_counts(coded, 16, ["g", "cohort"])
+    ratios = estimate.basic_rappor_estimate(counts, 0.05, 0.95).select("g", "cohort", "bit", F.lit(16).alias("k"), F.lit(4).alias("m"), (F.col("count_estimate") / F.col("n")).alias("ratio"), F.lit(2000).alias("n_all"))
+    matrix = rows.candidate_matrix(names, 16, 2, 4).select(F.explode(F.expr("array(0L, 1L)")).alias("g"), "candidate", "cohort", "bit")
+    got = {(r.g, r.candidate): r for r in estimate.grouped_rappor_estimate(ratios, matrix, ["g"]).collect()}
+    assert len(got) == 8 and all(r.converged and r.epochs < 1000 for r in got.values())
+    for g in (0, 1):
+        want = estimate.rappor_estimate(coded.where(F.col("g") == g), names, 16, 2, 4, 0.05, 0.95).collect()
+        assert all(abs(got[g, r.candidate].count_estimate - r.count_estimate) < 1 for r in want)
+    short = estimate.grouped_rappor_estimate(ratios, matrix, ["g"], epochs=1).collect()
+    assert not any(r.converged for r in short)
+
+
+def test_candidates_apart_are_exact(spark):
+    """No noise, no shared bits: each estimate is its count, less what the penalty takes; unlisted strings get nothing."""
+    data = [("a" * n, c) for n, times in ((1, 50), (2, 30), (3, 20)) for c in range(1000 * n, 1000 * n + times)]
+    obs = spark.createDataFrame(data, "v string, client long").withColumn("obs_id", F.col("client"))
+    coded = encoding.encode_rappor(obs, "v", "client", 512, 2, 2, 0.0, 1.0, "t")
+    names = spark.createDataFrame([("a",), ("aa",), ("zz",)], "candidate string")
+    got = {r.candidate: r.count_estimate for r in estimate.rappor_estimate(coded, names, 512, 2, 2, 0.0, 1.0).collect()}
+    assert abs(got["a"] - 50) < 16 and abs(got["aa"] - 30) < 16 and abs(got["zz"]) < 1e-6
+
+
+def test_forged_ciphertexts_count_as_failures(spark):
+    obs = spark.createDataFrame([(v, c, 5, 1) for v in ("good", "forged", "few") for c in range(3 if v == "few" else 6)], "v string, client long, day_index int, metric_id int")
+    coded = encoding.encode_threshold(obs, "v", "client", 5, S.DAY, "k")
+    forged = coded.withColumn("ciphertext", F.when(F.col("v") == "forged", F.expr("concat(left(ciphertext, length(ciphertext) - 2), CASE WHEN right(ciphertext, 2) = '00' THEN '11' ELSE '00' END)")).otherwise(F.col("ciphertext")))
+    clash = coded.where("v = 'few'").limit(1).withColumn("point_y", F.lit("00"))
+    got = {(r.outcome, r.plaintext) for r in encoding.threshold_outcomes(forged.unionByName(clash), 5).collect()}
+    assert got == {("ok", "good"), ("unauthentic", None), ("conflict", None)}
+    per_row = encoding.threshold_outcomes(coded.withColumn("t", F.when(F.col("v") == "few", 3).otherwise(7)).withColumn("g", F.lit(None).cast("string")), "t", ("g", "t")).collect()
+    assert sorted(r.outcome for r in per_row) == ["below", "below", "unauthentic"]  # three points of a polynomial of degree four
+
+
+def test_exponential_buckets_by_columns(spark):
+    df = spark.createDataFrame([(v, "exponential", 10, 3, 2, 3) for v in (9, 10, 11, 12, 15, 16, 27, 28, 99)], "i long, bucket_kind string, floor long, n_buckets int, step int, multiplier int")
+    got = [r.b for r in df.select(compiled.bucket_of("i").alias("b")).collect()]
+    want = [r.b for r in df.select(S.exponential_bucket("i", 10, 3, 2, 3).alias("b")).collect()]
+    assert got == want and min(got) == 0 and max(got) == 4
