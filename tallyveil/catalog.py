@@ -240,12 +240,7 @@ def f13_limit_size(t):
 
 @query("SELECT CASE WHEN s IN ('click', 'view') THEN s ELSE 'unknown' END AS route, count(*) AS n FROM {obs} GROUP BY 1")
 def f14_route_backend(t):
-    routes = rows.route_backend(t("obs").withColumn("backend", F.col("s")), ["click", "view"])
-    out = None
-    for name, df in routes.items():
-        part = df.groupBy().agg(F.count("*").alias("n")).select(F.lit(name).alias("route"), "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return rows.route_backend(t("obs").withColumn("backend", F.col("s")), ["click", "view"]).groupBy("route").agg(F.count("*").alias("n"))
 
 
 @query("SELECT obs_id FROM {obs} WHERE obs_id % 6 <> 0 AND obs_id % 5 <> 0")
@@ -736,6 +731,14 @@ def w3_pack_batches(t):
     return rows.pack_batches(t("obs"), ["client_id"], "obs_id", F.length("s") + 10, 100).select("obs_id", "envelope")
 
 
+@query("SELECT k, count(*) AS n, sum(bytes) AS bytes, max(full_bytes) <= 400 AS within FROM (SELECT CASE WHEN obs_id % 3 = 0 THEN NULL ELSE board END AS k, length(s) + 10 AS bytes, 400 AS full_bytes FROM {obs}) GROUP BY k")
+def w3_pack_batches_null_keys(t):
+    """Rows without a key are packed as a key of their own, each envelope within its cap."""
+    keyed = t("obs").withColumn("k", F.when(F.col("obs_id") % 3 != 0, F.col("board")))
+    full = rows.pack_batches(keyed, ["k"], "obs_id", F.length("s") + 10, 400).groupBy("k", "envelope").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    return full.groupBy("k").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), (F.max("bytes") <= 400).alias("within"))
+
+
 @query("SELECT s, day_index, obs_id FROM {obs} QUALIFY row_number() OVER (PARTITION BY s, day_index ORDER BY obs_id) <= 3")
 def w4_first_points(t):
     return rows.first_points(t("obs").select("s", "day_index", "obs_id"), ["s", "day_index"], "obs_id", 3)
@@ -1067,19 +1070,50 @@ def st1_stream_dedupe(t):
     return streams.drain(streams.stream_dedupe(streams.as_stream(twice, "st1"))).select("random_id", "s")
 
 
-RELEASE_SQL = f"""SELECT obs_id, CASE WHEN count(*) OVER (PARTITION BY metric_id, board, day_index) >= 30 THEN 'release' WHEN {TODAY} - day_index > 15 THEN 'dispose' ELSE 'hold' END AS action FROM {{obs}}"""
+RELEASE_SQL = f"""SELECT obs_id, CASE WHEN count(*) OVER (PARTITION BY metric_id, k, day_index) >= 30 THEN 'release' WHEN {TODAY} - day_index > 15 THEN 'dispose' ELSE 'hold' END AS action
+ FROM (SELECT *, CASE WHEN client_id % 5 <> 0 THEN board END AS k FROM {{obs}})"""
 
 
 @query(RELEASE_SQL)
 def st2_threshold_release(t):
-    buffer = t("obs").withColumn("arrival_day", F.col("day_index"))
-    return rows.threshold_release(buffer, ["metric_id", "board", "day_index"], 30, 15, TODAY).select("obs_id", "action")
+    """Some rows have no board: null is a key like any other."""
+    buffer = t("obs").withColumn("arrival_day", F.col("day_index")).withColumn("k", F.when(F.col("client_id") % 5 != 0, F.col("board")))
+    return rows.threshold_release(buffer, ["metric_id", "k", "day_index"], 30, 15, TODAY).select("obs_id", "action")
+
+
+RELEASE_DAYS = (19732, 19745)  # the last days of the first and second batch
+_LEAST = "(SELECT greatest(3, count(*) // 400) FROM b)"
+
+
+def _batch_sql(n: int) -> str:
+    """Batch n: what is left of the batches before, by their latest arrival less five days, and the new rows that are not too late."""
+    if n == 1:
+        return "buf1 AS (SELECT k, obs_id, ts FROM b WHERE n = 1)"
+    mark = f"(SELECT max(ts) - INTERVAL 5 DAY FROM b WHERE n < {n})"
+    held = f"SELECT k, obs_id, ts FROM (SELECT *, count(*) OVER (PARTITION BY k) AS c FROM buf{n - 1}) WHERE c < {_LEAST} AND CAST(ts AS DATE) >= CAST({mark} AS DATE)"
+    return f"buf{n} AS ({held} UNION ALL SELECT k, obs_id, ts FROM b WHERE n = {n} AND ts >= {mark})"
 
 
-@query("SELECT k, obs_id FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM (SELECT board || s AS k, obs_id FROM {obs})) WHERE n >= 2")
+RELEASE_STREAM_SQL = f"""WITH b AS (SELECT CASE WHEN client_id % 37 <> 0 THEN board || client_id % 37 END AS k, obs_id, ts, CASE WHEN day_index <= {RELEASE_DAYS[0]} THEN 1 WHEN day_index <= {RELEASE_DAYS[1]} THEN 2 ELSE 3 END AS n FROM {{obs}}),
+ {', '.join(map(_batch_sql, (1, 2, 3)))}
+SELECT k, obs_id FROM ({' UNION ALL '.join(f'SELECT *, {n} AS n, count(*) OVER (PARTITION BY k) AS c FROM buf{n}' for n in (1, 2, 3))}) WHERE c >= {_LEAST}"""
+
+
+@query(RELEASE_STREAM_SQL)
 def st2_threshold_release_stream(t):
-    obs = t("obs").select(F.concat("board", "s").alias("k"), "obs_id", "day_index")
-    return streams.drain(streams.threshold_release_stream(streams.as_stream(obs.repartition(6), "st2", 2), "k", "obs_id", "day_index", 2, 1000, TODAY))
+    """Three batches; rows older than five days before the latest arrival go, also those of keys that get nothing new."""
+    k = F.when(F.col("client_id") % 37 != 0, F.concat("board", (F.col("client_id") % 37).cast("string")))
+    obs = t("obs").select(k.alias("k"), "obs_id", "ts", "day_index")
+    first, second = RELEASE_DAYS
+    days = [F.col("day_index") <= first, F.col("day_index").between(first + 1, second), F.col("day_index") > second]
+    stream = streams.as_batches([obs.where(d).drop("day_index") for d in days], "st2")
+    return streams.drain(streams.threshold_release_stream(stream, "k", "obs_id", "ts", max(3, obs.count() // 400), 5))
+
+
+@query("SELECT obs_id, s FROM {obs}")
+def st3_dispatch_trigger(t):
+    """Dispatched at an interval of a second until all is out."""
+    return streams.drain(streams.as_stream(t("obs").select("obs_id", "s").repartition(4), "st3", 2), hours=1 / 3600)
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS period, s, count(*) AS n FROM {obs} GROUP BY ALL")
@@ -1092,15 +1126,41 @@ def st5_reservoir_sample(t):
     return streams.reservoir(t("obs"), 20, ["metric_id"], "obs_id", "res").select("metric_id", "obs_id")
 
 
-@query("SELECT metric_id, obs_id FROM {obs} QUALIFY row_number() OVER (PARTITION BY metric_id ORDER BY " + _uniform_sql("res", "obs_id") + ", obs_id) <= 20")
+PERIODS = "time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01')"
+_DRAW_PERIOD = f"row_number() OVER (PARTITION BY metric_id, period ORDER BY {_uniform_sql('res', 'obs_id')}, obs_id) <= 20"
+
+
+def _week_batches(t):
+    """Three batches by day, and a last row that ends all periods."""
+    obs = t("obs").select("metric_id", "obs_id", "ts", "s", "d", "day_index")
+    parts = [obs.where(F.pmod(F.col("obs_id"), F.lit(3)) == n).drop("day_index") for n in range(3)]
+    end = t("region").limit(1).select(F.lit(-1).cast("long").alias("metric_id"), F.lit(-1).cast("long").alias("obs_id"), F.expr("timestamp'2030-01-01 00:00:00'").alias("ts"), F.lit("end").alias("s"), F.lit(0.0).alias("d"))
+    return streams.as_batches([*parts, end.select(*parts[0].columns)], "weeks")
+
+
+@query(f"SELECT metric_id, period, obs_id FROM (SELECT *, {PERIODS} AS period FROM {{obs}}) QUALIFY {_DRAW_PERIOD}")
 def st5_reservoir_stream(t):
-    return streams.drain(streams.reservoir_stream(streams.as_stream(t("obs").select("metric_id", "obs_id").repartition(6), "st5", 2), 20, "metric_id", "obs_id", "res"), "update", ["metric_id"], several=True)
+    return streams.drain(streams.reservoir_stream(_week_batches(t), 20, "metric_id", "7 days", "obs_id", "res", late="60 days")).select("metric_id", "period", "obs_id")
+
 
+LOG_SQL = f"""SELECT metric_id, period, (SELECT string_agg(s || '=' || c, ',' ORDER BY s) FROM (SELECT s, count(*) AS c FROM {{obs}} x WHERE x.metric_id = w.metric_id AND time_bucket(INTERVAL 7 DAY, x.ts, TIMESTAMP '1970-01-01') = w.period GROUP BY s)) AS statuses,
+ count(*) AS n, round(sum(d), 4) AS total, round(avg(d) FILTER (WHERE drawn), 6) AS mean FROM (SELECT *, {_DRAW_PERIOD} AS drawn FROM (SELECT *, {PERIODS} AS period FROM {{obs}})) w GROUP BY ALL"""
 
-@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS period, s, count(*) AS n, round(sum(d), 4) AS total, round(avg(d), 6) AS mean FROM {obs} GROUP BY ALL")
+
+def _log_rows(df):
+    statuses = F.array_join(F.transform(F.array_sort(F.map_entries("statuses")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return df.select("metric_id", "period", statuses.alias("statuses"), "n", F.round("total", 4).alias("total"), *r6("mean"))
+
+
+@query(LOG_SQL)
 def st6_event_log(t):
-    out = streams.drain(streams.event_log(streams.as_stream(t("obs").select("ts", "s", "d"), "st6"), "1 day", "s", "d", late="60 days"), "update", ["period", "s"])
-    return out.select("period", "s", "n", F.round("total", 4).alias("total"), *r6("mean"))
+    """Statuses, total and the mean of a sample, by week."""
+    return _log_rows(streams.event_log(t("obs"), 20, "metric_id", "7 days", "s", "d", "obs_id", "res"))
+
+
+@query(LOG_SQL)
+def st6_event_log_stream(t):
+    return _log_rows(streams.drain(streams.event_log_stream(_week_batches(t), 20, "metric_id", "7 days", "s", "d", "obs_id", "res", late="60 days")))
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, s, count(*) AS n FROM {obs} GROUP BY ALL")

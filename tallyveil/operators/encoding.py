@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.scalars import epoch_index, next_pow2
+from .rows import null_safe_join
 
 PRIME = 2**127 - 1
 MOST_POINTS = 2000
@@ -177,15 +178,6 @@ def threshold_groups(obs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return points.groupBy(*group).agg(F.sum("n").alias("n"), F.count("*").alias("points"), F.sum(F.when(F.col("point_y") != F.col("_y"), 1).otherwise(0)).alias("conflicts"))
 
 
-def _same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join on keys of which nulls are equal; b's other columns are kept in an inner join."""
-    names = {k: f"_b{i}" for i, k in enumerate(keys)}
-    b, on = b.withColumnsRenamed(names), F.lit(True)
-    for k, other in names.items():
-        on &= F.col(k).eqNullSafe(F.col(other))
-    return a.join(b, on, how).drop(*names.values())
-
-
 def threshold_outcomes(obs: DataFrame, threshold: int | str, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, epoch, ciphertext, n, points, outcome, plaintext) of every group of equal ciphertexts.
 
@@ -201,12 +193,12 @@ def threshold_outcomes(obs: DataFrame, threshold: int | str, by: tuple[str, ...]
     first = F.when(F.col("conflicts") > 0, "conflict").when(F.col("points") < least, "below")
     groups = groups.withColumn("outcome", first)
     ready = groups.where("outcome IS NULL").select(*group)
-    points = _same(obs, ready, group, "left_semi").groupBy(*group, "point_x").agg(F.min("point_y").alias("point_y"))
+    points = null_safe_join(obs, ready, group, "left_semi").groupBy(*group, "point_x").agg(F.min("point_y").alias("point_y"))
     few = points.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy("point_x"))).where(F.col("_n") <= F.least(least, F.lit(MOST_POINTS)))
     gathered = few.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("point_x", "point_y"))).alias("p"))
     opened = gathered.select(*group, _secret("p.point_x", "p.point_y").alias("_secret"))
     opened = opened.withColumn("plaintext", F.expr("decode(try_aes_decrypt(unhex(ciphertext), unhex(sha2(concat('key|', _secret), 256)), 'GCM', 'DEFAULT'), 'UTF-8')")).drop("_secret")
-    tried = _same(groups.where("outcome IS NULL"), opened, group).withColumn("outcome", F.when(F.col("plaintext").isNotNull(), "ok").otherwise("unauthentic"))
+    tried = null_safe_join(groups.where("outcome IS NULL"), opened, group).withColumn("outcome", F.when(F.col("plaintext").isNotNull(), "ok").otherwise("unauthentic"))
     columns = [*group, "n", "points", "outcome", "plaintext"]
     return tried.select(*columns).unionByName(groups.where("outcome IS NOT NULL").withColumn("plaintext", F.lit(None).cast("string")).select(*columns))
 

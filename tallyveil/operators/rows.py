@@ -83,10 +83,14 @@ def limit_observation_size(df: DataFrame, payload: str, fingerprint_bytes: int,
     return df.where(F.octet_length(payload) + fingerprint_bytes + 1 <= most)
 
 
-def route_backend(df: DataFrame, known: list[str]) -> dict[str, DataFrame]:
-    """One DataFrame a backend, and 'unknown' for tags that are none of them."""
-    routes = {b: df.where(F.col("backend") == b) for b in known}
-    return routes | {"unknown": df.where(~F.coalesce(F.col("backend").isin(known), F.lit(False)))}
+def route_backend(df: DataFrame, known: list[str]) -> DataFrame:
+    """Adds route: the backend, or 'unknown' for tags that are none of those known; one scan serves all routes."""
+    return df.withColumn("route", F.when(F.col("backend").isin(known), F.col("backend")).otherwise("unknown"))
+
+
+def write_routes(df: DataFrame, known: list[str], path: str) -> None:
+    """Every backend's rows in a folder of its own, by one job."""
+    route_backend(df, known).write.mode("append").partitionBy("route").parquet(path)
 
 
 def drop_blank_reports(df: DataFrame, v1: str, v2: str, strict: bool = False) -> DataFrame:
@@ -142,6 +146,14 @@ def associated_reports(meta: DataFrame) -> DataFrame:
     return joint.join(parts, "request_id")
 
 
+def null_safe_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which nulls are equal; an inner join keeps b's other columns."""
+    names, on = {k: f"_b{i}" for i, k in enumerate(keys)}, F.lit(True)
+    for k, other in names.items():
+        on &= F.col(k).eqNullSafe(F.col(other))
+    return a.join(b.withColumnsRenamed(names), on, how).drop(*names.values())
+
+
 # sets, order, samples
 
 
@@ -214,7 +226,7 @@ def pack_batches(df: DataFrame, keys: list[str], order: str, size: Column, most:
     """
     rows = df.withColumn("bytes", size.cast("long")).where(F.col("bytes") <= most)
     sizes = rows.groupBy(*keys).agg(F.greatest(F.ceil(F.sum("bytes") / (most * slice_envelopes)), F.lit(1)).alias("_slices"))
-    dealt = rows.join(sizes, keys).withColumn("_slice", F.pmod(F.xxhash64(order), F.col("_slices"))).drop("_slices")
+    dealt = null_safe_join(rows, sizes, keys).withColumn("_slice", F.pmod(F.xxhash64(order), F.col("_slices"))).drop("_slices")
     group = [*keys, "_slice"]
 
     def task(batches):
@@ -245,7 +257,7 @@ def threshold_release(buffer: DataFrame, keys: list[str], threshold: int, dispos
     """
     sizes = buffer.groupBy(*keys).agg(F.count("*").alias("buffered"))
     action = F.when(F.col("buffered") >= threshold, "release").when(F.lit(today) - F.col("arrival_day") > disposal_days, "dispose").otherwise("hold")
-    return buffer.join(sizes, keys).withColumn("action", action)
+    return null_safe_join(buffer, sizes, keys).withColumn("action", action)
 
 
 def receive(envelopes: DataFrame, arrival_day: int) -> DataFrame:

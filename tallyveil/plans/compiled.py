@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import encoding, estimate
 from ..operators.registry import TAG, VALUES, n_categories
-from ..operators.rows import METRIC, PROFILE
+from ..operators.rows import METRIC, PROFILE, null_safe_join
 
 MOST_VALUES = 10_000  # different values of an unencoded histogram; the first in order stay
 VALUE = ("kind", *VALUES)
@@ -95,7 +95,7 @@ def _rappor(of: Inputs, candidates: DataFrame) -> DataFrame:
     by = [*of.by, "k", "h", "m", "p", "q"]
     counts = estimate.bit_counts(rows, "k", [*by, "cohort"])
     sizes = counts.where("bit = 0").groupBy(*by).agg(F.sum("n").alias("n_all"))
-    ratios = encoding._same(estimate.basic_rappor_estimate(counts, F.col("p"), F.col("q")), sizes, by).withColumn("ratio", F.col("count_estimate") / F.col("n"))
+    ratios = null_safe_join(estimate.basic_rappor_estimate(counts, F.col("p"), F.col("q")), sizes, by).withColumn("ratio", F.col("count_estimate") / F.col("n"))
     matrix = sizes.select(*by).join(candidates, "report_id").select(*by, "candidate", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("cohort"))
     matrix = matrix.select(*by, "candidate", "cohort", F.explode(encoding.bloom_bits("candidate", F.col("cohort"), F.col("k"), F.col("h"))).alias("bit"))
     key = [*of.group, "encoding_config_id"]

@@ -122,13 +122,6 @@ def test_elastic_net_finds_the_frequent_candidate(spark):
     assert got["aa"] > got["bb"] > got["cc"] - 1e-9 and abs(got["aa"] - 2400) < 600
 
 
-def test_stream_release_equals_batch(spark):
-    obs = spark.range(100).select(F.when(F.col("id") < 70, "a").otherwise("b").alias("k"), F.col("id").alias("obs_id"), F.lit(3).alias("day"))
-    got = streams.drain(streams.threshold_release_stream(streams.as_stream(obs, "t"), "k", "obs_id", "day", 50, 4))
-    assert got.where("k = 'b'").count() == 0
-    assert {r.obs_id for r in got.collect()} <= set(range(70))
-
-
 def test_envelopes_keep_their_cap(spark):
     sizes = [60, 60, 30, 10, 101, 100, 1]
     df = spark.createDataFrame([(k, i, n) for k in ("a", "b") for i, n in enumerate(sizes)], "k string, i long, n long")
@@ -151,20 +144,49 @@ def test_metrics_are_found_by_customer_and_project(spark):
     assert {r.obs_id: r.reason for r in checks.invalid_variables(variables, parts).collect()} == {1: "no such part", 2: "candidates on a part that is no string"}
 
 
-def test_reservoir_over_several_batches(spark):
-    events = spark.range(300).select((F.col("id") % 2).alias("g"), F.col("id").alias("e")).repartition(6)
-    got = streams.drain(streams.reservoir_stream(streams.as_stream(events, "t", 2), 5, "g", "e", "salt"), "update", ["g"], several=True).collect()
-    want = streams.reservoir(events, 5, ["g"], "e", "salt").collect()
-    assert sorted((r.g, r.e) for r in got) == sorted((r.g, r.e) for r in want) and len(got) == 10
-
-
-def test_release_over_several_batches(spark):
-    obs = spark.range(100).select(F.when(F.col("id") < 70, "a").otherwise("b").alias("k"), F.col("id").alias("obs_id"), F.lit(3).alias("day")).repartition(6)
-    stream = streams.as_stream(obs, "t", 1)
-    old = streams.drain(streams.threshold_release_stream(stream, "k", "obs_id", "day", 71, 4, today=8))
-    assert old.count() == 0
-    kept = streams.drain(streams.threshold_release_stream(stream, "k", "obs_id", "day", 60, 4, today=7)).collect()
-    assert {r.k for r in kept} == {"a"} and len({r.obs_id for r in kept}) == len(kept) >= 60
+def _arrivals(spark, batches, columns="k string, v long, day int"):
+    return streams.as_batches([spark.createDataFrame(b, columns).withColumn("at", F.timestamp_seconds(F.col("day").cast("long") * 86_400 + 60)) for b in batches], "t")
+
+
+def test_release_over_three_batches(spark):
+    """Null keys are kept, thresholds are met over batches, what is too old goes, and an idle key's state ends."""
+    batches = [
+        [("a", 1, 10), ("a", 2, 10), (None, 3, 10), ("idle", 4, 10), ("old", 5, 10), ("b", 6, 10)],
+        [("a", 11, 12), (None, 12, 12), (None, 13, 12), ("b", 14, 20)],
+        [("old", 21, 20), ("old", 22, 20), ("b", 23, 20), ("b", 24, 21), ("b", 25, 21), ("b", 26, 21)],
+    ]
+    for hours in (None, 1 / 3600):
+        progress = []
+        stream = streams.threshold_release_stream(_arrivals(spark, batches), "k", "v", "at", 3, 4)
+        got = streams.drain(stream, progress=progress, hours=hours).collect()
+        # "old" has two rows left of three, since the first went with the watermark of day 16; "b" loses its first too
+        assert sorted((r.k or "", r.v) for r in got) == [("", 3), ("", 12), ("", 13), ("a", 1), ("a", 2), ("a", 11), ("b", 14), ("b", 23), ("b", 24), ("b", 25), ("b", 26)]
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
+    assert max(states) > states[-1]
+
+
+def test_release_sends_large_keys_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(streams, "CHUNK", 7)
+    batches = [[("k", i, 10) for i in range(90)], [("k", i, 11) for i in range(90, 130)]]
+    got = streams.drain(streams.threshold_release_stream(_arrivals(spark, batches), "k", "v", "at", 100, 4)).collect()
+    assert sorted(r.v for r in got) == list(range(130))
+
+
+def test_periods_end_with_their_state(spark):
+    """Three periods: stream equals batch, and only the last row's period is left in the state."""
+    events = spark.range(600).select(F.when(F.col("id") % 4 > 0, (F.col("id") % 2).cast("string")).alias("g"), F.col("id").alias("e"), F.timestamp_seconds(F.col("id") * 500 + 1).alias("ts"), F.when(F.col("id") % 3 > 0, "ok").otherwise("bad").alias("s"), (F.col("id") % 17).cast("double").alias("d"))
+    end = spark.createDataFrame([("end", -1, 10**9, "ok", 0.0)], "g string, e long, t long, s string, d double").select("g", "e", F.timestamp_seconds("t").alias("ts"), "s", "d")
+    parts = [events.where(F.col("e") % 3 == n) for n in range(3)] + [end]
+    progress = []
+    sample = streams.drain(streams.reservoir_stream(streams.as_batches(parts, "t"), 5, "g", "100000 seconds", "e", "salt", late="10 days"), progress=progress).collect()
+    want = streams.reservoir(events.withColumn("period", F.window("ts", "100000 seconds")["start"]), 5, ["g", "period"], "e", "salt").collect()
+    assert sorted((r.g or "", r.period, r.e) for r in sample) == sorted((r.g or "", r.period, r.e) for r in want) and len({r.period for r in want}) == 3 and len(want) == 45
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
+    assert states[-1] < 10 and max(states) < 9 * (5 + 12)
+    log = streams.drain(streams.event_log_stream(streams.as_batches(parts, "t"), 5, "g", "100000 seconds", "s", "d", "e", "salt", late="10 days")).collect()
+    batch = streams.event_log(events, 5, "g", "100000 seconds", "s", "d", "e", "salt").collect()
+    key = lambda r: (r.g or "", r.period, sorted(r.statuses.items()), r.n, round(r.total, 6), round(r.mean, 6))
+    assert sorted(map(key, log)) == sorted(map(key, batch)) and len(log) == 9
 
 
 def test_bad_rows_are_errors(spark):
