@@ -92,12 +92,14 @@ def s5_candidates(t):
     return tables.read_candidates(names.sparkSession, path)
 
 
-@query("SELECT stamp, report_id FROM {report_events} WHERE report_id % 2 = 0 AND report_id % 3 = 0")
+@query("""SELECT stamp, report_id FROM (SELECT *, bool_or(stamp % 97 = 0) OVER (PARTITION BY report_id) AS mixed FROM {report_events}) WHERE report_id % 2 = 0 AND report_id % 3 = 0 AND report_id % 5 <> 0 AND NOT mixed""")
 def s8_store_report(t):
-    events = t("report_events").select("report_id", "stamp")
-    meta = events.select("report_id").distinct().selectExpr("report_id", "report_id % 2 = 0 AS in_store", "CASE WHEN report_id % 3 = 0 THEN 'IN_PROGRESS' ELSE 'COMPLETED' END AS state", "'HISTOGRAM' AS report_type")
+    """Reports in progress and in store; raw dumps and reports with a row of another type are refused."""
+    events = t("report_events").selectExpr("report_id", "stamp", "CASE WHEN stamp % 97 = 0 THEN 'JOINT' ELSE 'HISTOGRAM' END AS row_type")
+    kinds = "CASE WHEN report_id % 5 = 0 THEN 'RAW_DUMP' ELSE 'HISTOGRAM' END AS report_type"
+    meta = events.select("report_id").distinct().selectExpr("report_id", "report_id % 2 = 0 AS in_store", "CASE WHEN report_id % 3 = 0 THEN 'IN_PROGRESS' ELSE 'COMPLETED' END AS state", kinds)
     path = streams.shared_path(events.sparkSession, "reports")
-    tables.store_report(events.withColumn("report_id", F.col("report_id")), meta, path)
+    tables.store_report(events, meta, path)
     return events.sparkSession.read.schema("stamp long, report_id long").parquet(path)
 
 
@@ -112,9 +114,9 @@ def s7_merge_registries(t):
     return tables.merge_registries([m.where("project_id = 1"), m.where("project_id != 1")])
 
 
-@query("SELECT report_id, stamp, state FROM {report_events} WHERE report_id = 7")
+@query("SELECT report_id, stamp, state, config_id, created FROM {report_events} LEFT JOIN (SELECT report_id, config_id, created FROM {meta}) USING (report_id) WHERE report_id = 7")
 def s9_read_report(t):
-    return tables.read_report(t("report_events").select("report_id", "stamp", "state"), 7)
+    return tables.read_report(t("report_events").select("report_id", "stamp", "state"), t("meta").select("report_id", "config_id", "created"), 7)
 
 
 @query("SELECT report_id, config_id, created FROM {meta} WHERE config_id = 3 AND created >= 0 AND created < 5000")
@@ -128,9 +130,26 @@ def s11_export_lines(t):
     return tables.export_lines(rows_, "type,count", reports.csv_line([S.csv_string("s"), F.col("n").cast("string")]))
 
 
-@query("SELECT metric_id, count(*) AS n FROM {obs} WHERE metric_id <> 2 GROUP BY metric_id")
+@query("""SELECT 0 AS place, 'type,day,count' AS value UNION ALL SELECT row_number() OVER (ORDER BY day_index, s), '"' || s || '",' || day_index || ',' || n FROM (SELECT s, day_index, count(*) AS n FROM {obs} GROUP BY ALL)""")
+def s11_export_csv(t):
+    """A report written in parts, and its lines in their order."""
+    spark = t("region").sparkSession
+    path = streams.shared_path(spark, "export")
+    body = t("obs").groupBy("s", "day_index").agg(F.count("*").alias("n")).withColumn("_order", F.struct("day_index", "s"))
+    tables.export_csv(body, "type,day,count", reports.csv_line([S.csv_string("s"), F.col("day_index").cast("string"), F.col("n").cast("string")]), [path])
+    return tables.read_export(spark, path)
+
+
+@query("SELECT metric_id, day_index, count(*) AS n, count(DISTINCT random_id) AS ids FROM {obs} WHERE metric_id <> 2 AND obs_id % 10 <> 3 GROUP BY ALL")
 def s12_delete_observations(t):
-    return tables.delete_where(t("obs"), metric_id=2).groupBy("metric_id").agg(F.count("*").alias("n"))
+    """Stored in two batches that overlap; then a metric's folders go, and some rows of other partitions."""
+    spark = t("region").sparkSession
+    path, obs = streams.shared_path(spark, "store"), t("obs").select(*tables.OBSERVATION_KEY, "s", "obs_id")
+    tables.write_observations(obs.where("obs_id % 3 > 0"), path)
+    tables.write_observations(obs.where("obs_id % 3 < 2"), path)
+    tables.drop_partitions(spark, path, customer_id=1, project_id=1, metric_id=2)
+    tables.delete_rows(spark, path, F.col("obs_id") % 10 == 3, tables.PARTITIONS, streams.shared_path(spark, "rest"))
+    return spark.read.parquet(path).groupBy(F.col("metric_id").cast("long").alias("metric_id"), F.col("day_index").cast("long").alias("day_index")).agg(F.count("*").alias("n"), F.count_distinct("random_id").alias("ids"))
 
 
 @query("SELECT obs_id, s, (SELECT count(*) FROM {obs} WHERE obs_id > 100) > 50 AS has_more FROM {obs} WHERE obs_id > 100 ORDER BY obs_id LIMIT 50")
@@ -851,7 +870,8 @@ def joined_column(c):
     return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
 
 
-@query()
+@query("""SELECT doc_id, '"' || array_to_string(list_transform(range(least(256, octet_length(encode(text)))), lambda n: CASE WHEN substr(h, CAST(2 * n + 1 AS INT), 2) BETWEEN '20' AND '7E' AND substr(h, CAST(2 * n + 1 AS INT), 2) NOT IN ('22', '25')
+ THEN chr(CAST('0x' || substr(h, CAST(2 * n + 1 AS INT), 2) AS INT)) ELSE '%' || substr(h, CAST(2 * n + 1 AS INT), 2) END), '') || '"' AS field FROM (SELECT *, hex(text) AS h FROM documents)""")
 def c10_csv_string(t):
     return t("documents").select("doc_id", S.csv_string("text").alias("field"))
 
@@ -1028,6 +1048,16 @@ def r5_finished_report(t):
     return reports.finished_report(report, t("labels_dim"))
 
 
+@query("""SELECT year(f) || '-' || month(f) || '-' || day(f) AS start_date, year(l) || '-' || month(l) || '-' || day(l) AS end_date, '"' || s || '"' AS value, '"' || coalesce(os, '') || '"' AS os, '"' || board || '"' AS board_name, printf('%.3f', n) AS count, '0' AS err
+ FROM (SELECT s, CASE WHEN client_id % 3 > 0 THEN 'os' || client_id % 2 END AS os, board, min(CAST(ts AS DATE)) AS f, max(CAST(ts AS DATE)) AS l, count(*)::DOUBLE AS n FROM {obs} GROUP BY ALL)""")
+def r5_finished_report_by_profile(t):
+    """Start and end dates, and profile columns of which some are unset."""
+    os = F.when(F.col("client_id") % 3 > 0, F.concat(F.lit("os"), (F.col("client_id") % 2).cast("string")))
+    report = t("obs").groupBy("s", os.alias("os"), F.col("board").alias("board_name")).agg(F.min("day_index").alias("first"), F.max("day_index").alias("last"), F.count("*").cast("double").alias("count_estimate"))
+    report = report.withColumns({"kind": F.lit("string"), "std_error": F.lit(0.0), "idx": F.lit(None).cast("long"), "i": F.lit(None).cast("long"), "d": F.lit(None).cast("double"), "b": F.lit(None).cast("binary"), "label": F.lit(None).cast("string")})
+    return reports.finished_report(report, None, ("os", "board_name"), "first", "last")
+
+
 @query(DUE_SQL)
 def r6_due_daily_reports(t):
     return reports.due_daily_reports(t("configs"), t("history"), TODAY)
@@ -1039,10 +1069,26 @@ def r7_due_weekly_reports(t):
     return reports.due_epoch_reports(t("configs"), t("history"), TODAY, S.WEEK, 8)
 
 
-@query("""SELECT a.obs_id, '"' || a.value || '",' || b.value AS line FROM {tall} a JOIN {tall} b USING (obs_id) WHERE a.part_name = 'type' AND a.kind = 'string' AND b.part_name = 'amount' AND b.encoding = 'noop'""")
+_MONTH = "((year({0}) - 1970) * 12 + month({0}) - 1)"
+_TODAY_SQL = f"(DATE '1970-01-01' + INTERVAL {TODAY} DAY)"
+
+
+@query(f"""SELECT config_id, e AS epoch FROM {{configs}}, (SELECT unnest(range({_MONTH.format(_TODAY_SQL)} - 3, {_MONTH.format(_TODAY_SQL)})) AS e)
+ WHERE (config_id, e) NOT IN (SELECT (config_id, {_MONTH.format("(DATE '1970-01-01' + INTERVAL (day) DAY)")}) FROM {{history}} WHERE NOT one_off AND state IN ('COMPLETED', 'IN_PROGRESS'))""")
+def r7_due_monthly_reports(t):
+    return reports.due_epoch_reports(t("configs"), t("history"), TODAY, S.MONTH, 3)
+
+
+@query("""SELECT obs_id, year(ts) || '-' || month(ts) || '-' || day(ts) || ',"' || s || '",' || i || ',' || coalesce('"' || label || '"', '"<index ' || idx || '>"') || ',' || CASE WHEN printf('%.3f', d) IN ('0.000', '-0.000') THEN '0' ELSE printf('%.3f', d) END || ',"' || board || '","' || CASE WHEN obs_id % 2 = 0 THEN 'x64' ELSE '' END || '"' AS line
+ FROM {obs} LEFT JOIN {labels_dim} USING (idx) WHERE obs_id % 9 <> 0""")
 def r8_raw_dump_rendered(t):
-    dump = rows.raw_dump(t("tall"), {"type": "string", "amount": "int"})
-    return dump.select("obs_id", reports.csv_line([S.csv_string("type"), F.col("amount")]).alias("line"))
+    """Dates, labels and profile of observations that have all parts."""
+    obs = t("obs")
+    part = lambda name, kind, value: obs.select("obs_id", F.lit(name).alias("part_name"), F.lit(kind).alias("kind"), F.lit("noop").alias("encoding"), F.col(value).cast("string").alias("value"))
+    parts = {"type": "string", "amount": "int", "slot": "index", "share": "double"}
+    tall = part("type", "string", "s").unionByName(part("amount", "int", "i").where("obs_id % 9 <> 0")).unionByName(part("slot", "index", "idx")).unionByName(part("share", "double", "d"))
+    dump = rows.raw_dump(tall, parts).join(obs.select("obs_id", "day_index", F.col("board").alias("board_name"), F.when(F.col("obs_id") % 2 == 0, "x64").alias("arch")), "obs_id")
+    return reports.dump_lines(dump, parts, {"slot": t("labels_dim")}, ("board_name", "arch")).select("obs_id", "line")
 
 
 @query("SELECT report_id, min(stamp) AS created, arg_max(state, stamp) AS state, max(stamp) AS updated FROM {report_events} GROUP BY report_id")

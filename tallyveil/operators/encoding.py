@@ -171,11 +171,19 @@ def encode_threshold(df: DataFrame, value: str, client: str, threshold: int, epo
     return rows.withColumn("ciphertext", F.hex(sealed)).withColumn("point_y", point_y("_secret", "point_x")).drop("_secret")
 
 
+def _points(obs: DataFrame, group: list[str]) -> DataFrame:
+    """Different points of each group: their rows, and the least and largest y."""
+    return obs.groupBy(*group, "point_x").agg(F.count("*").alias("n"), F.min("point_y").alias("point_y"), F.max("point_y").alias("_y"))
+
+
+def _groups(points: DataFrame, group: list[str]) -> DataFrame:
+    return points.groupBy(*group).agg(F.sum("n").alias("n"), F.count("*").alias("points"), F.sum(F.when(F.col("point_y") != F.col("_y"), 1).otherwise(0)).alias("conflicts"))
+
+
 def threshold_groups(obs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, epoch, ciphertext): rows, different points, and conflicting points (one x with several y)."""
     group = [*by, "epoch", "ciphertext"]
-    points = obs.groupBy(*group, "point_x").agg(F.count("*").alias("n"), F.min("point_y").alias("point_y"), F.max("point_y").alias("_y"))
-    return points.groupBy(*group).agg(F.sum("n").alias("n"), F.count("*").alias("points"), F.sum(F.when(F.col("point_y") != F.col("_y"), 1).otherwise(0)).alias("conflicts"))
+    return _groups(_points(obs, group), group)
 
 
 def threshold_outcomes(obs: DataFrame, threshold: int | str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -189,12 +197,12 @@ def threshold_outcomes(obs: DataFrame, threshold: int | str, by: tuple[str, ...]
     if isinstance(threshold, int) and threshold > MOST_POINTS:
         raise ValueError(f"interpolation is quadratic in the threshold; {MOST_POINTS} is the most")
     group = [*by, "epoch", "ciphertext"]
-    groups = threshold_groups(obs, by)
+    points = _points(obs, group)  # both uses below share its shuffle, so that observations are read and encoded once
+    groups = _groups(points, group)
     first = F.when(F.col("conflicts") > 0, "conflict").when(F.col("points") < least, "below")
     groups = groups.withColumn("outcome", first)
     ready = groups.where("outcome IS NULL").select(*group)
-    points = null_safe_join(obs, ready, group, "left_semi").groupBy(*group, "point_x").agg(F.min("point_y").alias("point_y"))
-    few = points.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy("point_x"))).where(F.col("_n") <= F.least(least, F.lit(MOST_POINTS)))
+    few = null_safe_join(points, ready, group, "left_semi").withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy("point_x"))).where(F.col("_n") <= F.least(least, F.lit(MOST_POINTS)))
     gathered = few.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("point_x", "point_y"))).alias("p"))
     opened = gathered.select(*group, _secret("p.point_x", "p.point_y").alias("_secret"))
     opened = opened.withColumn("plaintext", F.expr("decode(try_aes_decrypt(unhex(ciphertext), unhex(sha2(concat('key|', _secret), 256)), 'GCM', 'DEFAULT'), 'UTF-8')")).drop("_secret")

@@ -47,12 +47,47 @@ def marginal_reports(joint: DataFrame) -> DataFrame:
     return joint.select(pair, "n").groupBy("m.variable", "m.value").agg(F.sum("n").alias("n"))
 
 
-def finished_report(rows: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """Rows (kind, values, count_estimate, std_error, day_index) rendered: date, value, count, err; empty rows go."""
+def _dates(first: str, last: str) -> list[Column]:
+    """A report of one day has a date, another a start and an end."""
+    return [S.date_string(first).alias("date")] if first == last else [S.date_string(first).alias("start_date"), S.date_string(last).alias("end_date")]
+
+
+def _profile(fields: tuple[str, ...]) -> list[Column]:
+    """Quoted profile fields; an unset one is an empty string."""
+    return [S.csv_string(F.coalesce(f, F.lit(""))).alias(f) for f in fields]
+
+
+def finished_report(rows: DataFrame, labels: DataFrame | None = None, fields: tuple[str, ...] = (), first: str = "day_index", last: str = "day_index") -> DataFrame:
+    """Rows (kind, values, profile, count_estimate, std_error, days) rendered: date or dates, value, profile, count, err; empty rows go."""
     if labels is not None:
         rows = with_labels(rows, labels)
     rows = suppress_empty(rows)
-    return rows.select(S.date_string("day_index").alias("date"), S.value_to_string().alias("value"), S.format_float(S.clip_count("count_estimate")).alias("count"), S.format_float(F.greatest(F.lit(0.0), F.col("std_error"))).alias("err"))
+    return rows.select(*_dates(first, last), S.value_to_string().alias("value"), *_profile(fields), S.format_float(S.clip_count("count_estimate")).alias("count"), S.format_float(F.greatest(F.lit(0.0), F.col("std_error"))).alias("err"))
+
+
+def report_header(variables: list[str], fields: tuple[str, ...] = (), days: int = 1, counts: bool = True) -> str:
+    """The header row: dates, variables, profile fields and, but for raw dumps, count and err."""
+    names = {"os": "OS", "arch": "Arch", "board_name": "Board_Name", "product_name": "Product_Name"}
+    clean = ["".join(c if c.isascii() and c.isalnum() else "_" for c in v[:128]) for v in variables]
+    return ",".join([*(["date"] if days == 1 else ["start_date", "end_date"]), *clean, *[names[f] for f in fields], *(["count", "err"] if counts else [])])
+
+
+def dump_lines(dump: DataFrame, parts: dict[str, str], labels: dict[str, DataFrame], fields: tuple[str, ...] = (), first: str = "day_index", last: str = "day_index") -> DataFrame:
+    """Adds line to a raw dump: dates, each part by its type (labels for indices), and the profile.
+
+    labels: for a part of indices, a table (idx, label).
+    """
+    cells = []
+    for part, kind in parts.items():
+        text = F.col(part).cast("string")
+        if kind == "index":
+            if part in labels:
+                dump = dump.join(labels[part].select(F.col("idx").cast("string").alias(part), F.col("label").alias(f"label_{part}")), part, "left")
+            label = S.csv_string(f"label_{part}") if part in labels else F.lit(None).cast("string")
+            cells.append(F.coalesce(label, F.concat(F.lit('"<index '), text, F.lit('>"'))))
+        else:
+            cells.append(S.csv_string(part) if kind == "string" else S.format_float(F.col(part).cast("double")) if kind == "double" else text)
+    return dump.withColumn("line", csv_line([*_dates(first, last), *cells, *_profile(fields)]))
 
 
 def csv_line(columns: list[Column]) -> Column:

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 OBSERVATION_KEY = ["customer_id", "project_id", "metric_id", "day_index", "random_id"]
 ENTRIES = "user_id int, name string, city string, hour int, rating int, help_query string, url string"
 RAPPOR_PARAMS = "k int, h int, m int, p double, q double, f double"
+PARTITIONS = OBSERVATION_KEY[:4]  # of stored observations
+MANIFEST_METRICS = 10_000
 REPORT_ROW_LIMIT = 5000
+ROW_TYPES = ("HISTOGRAM", "JOINT")  # of reports that are stored
 
 
 def events_as_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +50,71 @@ def append_observations(new: DataFrame, stored: DataFrame | None) -> DataFrame:
     return fresh.drop("content_hash")
 
 
-def write_observations(new: DataFrame, path: str, stored: DataFrame | None = None) -> None:
-    append_observations(new, stored).write.mode("append").partitionBy("customer_id", "project_id", "metric_id", "day_index").parquet(path)
+def touched(new: DataFrame) -> Column:
+    """A predicate on partition columns that holds for every stored partition that new has rows for.
+
+    The manifest has a row a metric, with its days; a batch of more than MANIFEST_METRICS metrics is told by its range of
+    days alone. Either way the predicate reaches the scan as a partition filter.
+    """
+    metrics = PARTITIONS[:3]
+    manifest = new.groupBy(*metrics).agg(F.sort_array(F.collect_set("day_index")).alias("days"))
+    rows = manifest.limit(MANIFEST_METRICS + 1).collect()
+    if len(rows) > MANIFEST_METRICS:
+        low, high = new.agg(F.min("day_index"), F.max("day_index")).first()
+        return F.col("day_index").between(low, high)
+    # metrics with equal days share a term
+    by_days: dict = {}
+    for r in rows:
+        by_days.setdefault(tuple(r.days), []).append([r[m] for m in metrics])
+    terms = []
+    for days, of in by_days.items():
+        own = reduce(lambda x, y: x | y, [reduce(lambda x, y: x & y, [F.col(m).eqNullSafe(v) for m, v in zip(metrics, key)]) for key in of])
+        terms.append(own & F.col("day_index").isin(*days))
+    return reduce(lambda x, y: x | y, terms, F.lit(False))
+
+
+def stored_observations(spark: SparkSession, path: str) -> DataFrame | None:
+    """What is stored; None where nothing is."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def write_observations(new: DataFrame, path: str) -> None:
+    """Append the rows that are not stored yet; only partitions that the batch touches are read or written."""
+    stored = stored_observations(new.sparkSession, path)
+    if stored is not None:
+        stored = stored.select(*new.columns).where(touched(new))
+    fresh = append_observations(new, stored)
+    fresh.repartition(*PARTITIONS, F.pmod(F.xxhash64("random_id"), F.lit(8))).write.mode("append").partitionBy(*PARTITIONS).parquet(path)
+
+
+def drop_partitions(spark: SparkSession, path: str, **key) -> bool:
+    """Delete the folders of one value of leading partition columns, such as a metric's; no file of another is touched."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path("/".join([path.rstrip("/"), *[f"{k}={v}" for k, v in key.items()]]))
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def delete_rows(spark: SparkSession, path: str, gone: Column, partitions: list[str], scratch: str) -> None:
+    """Delete the rows of a partitioned table for which gone holds: partitions without any such row stay as they are.
+
+    What remains of the others is written to scratch, then put in their place; emptied partitions are dropped.
+    """
+    table = spark.read.parquet(path)
+    gone = F.coalesce(gone, F.lit(False))
+    hit = table.where(gone).groupBy(*partitions).agg(F.count("*").alias("_n"))
+    whole = table.join(hit.select(*partitions), partitions, "left_semi")
+    sizes = whole.groupBy(*partitions).agg(F.sum(F.when(gone, 0).otherwise(1)).alias("kept")).collect()  # a row a partition
+    whole.where(~gone).write.parquet(scratch)
+    rest = spark.read.schema(table.schema).parquet(scratch)
+    if any(r.kept for r in sizes):
+        rest.repartition(*partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+    for r in sizes:
+        if not r.kept:
+            drop_partitions(spark, path, **{c: r[c] for c in partitions})
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
@@ -77,16 +145,24 @@ def load_registry(table: DataFrame) -> DataFrame:
 
 
 def store_report(rows: DataFrame, meta: DataFrame, path: str) -> DataFrame:
-    """Rows of reports that are in progress, kept in store and no raw dumps, written by report; returns what was written."""
-    allowed = meta.where("in_store AND state = 'IN_PROGRESS' AND report_type != 'RAW_DUMP'").select("report_id")
-    kept = rows.join(allowed, "report_id", "left_semi").repartition("report_id")
+    """Rows of reports that are in progress and kept in store, written by report; returns what was written.
+
+    A report with a row of another type than its own is refused whole, as is every raw dump.
+    """
+    allowed = meta.where(F.col("in_store") & (F.col("state") == "IN_PROGRESS") & F.col("report_type").isin(*ROW_TYPES)).select("report_id", "report_type")
+    typed = rows.join(allowed, "report_id")
+    refused = typed.where(~F.col("row_type").eqNullSafe(F.col("report_type"))).select("report_id").distinct()
+    kept = typed.join(refused, "report_id", "left_anti").select(*rows.columns).repartition("report_id")
     kept.write.mode("append").partitionBy("report_id").parquet(path)
     return kept
 
 
-def read_report(rows: DataFrame, report_id, limit: int = REPORT_ROW_LIMIT) -> DataFrame:
-    """Rows of one report; one more than the limit is returned when there are too many, so that a caller can tell."""
-    return rows.where(F.col("report_id") == report_id).limit(limit + 1)
+def read_report(rows: DataFrame, meta: DataFrame, report_id, limit: int = REPORT_ROW_LIMIT) -> DataFrame:
+    """Rows of one report with its metadata; a report of more rows than the limit fails when it is read."""
+    of = rows.where(F.col("report_id") == report_id).limit(limit + 1)
+    counted = of.withColumn("_n", F.count("*").over(W.partitionBy()))  # limit + 1 rows at most
+    error = F.raise_error(F.format_string("report %s has more than %d rows", F.lit(str(report_id)), F.lit(limit))).cast("boolean")
+    return counted.where(F.when(F.col("_n") <= limit, True).otherwise(error)).drop("_n").join(meta, "report_id", "left")
 
 
 def query_reports(meta: DataFrame, config: int, since, until) -> DataFrame:
@@ -100,11 +176,32 @@ def export_lines(rows: DataFrame, header: str, line) -> DataFrame:
     return head.unionByName(body).orderBy("_part", "_order").select("value")
 
 
-def export_csv(rows: DataFrame, header: str, line, paths: list[str]) -> None:
+def export_csv(rows: DataFrame, header: str, line: Column, paths: list[str], parts: int | None = None) -> None:
+    """Write a report as text for each path: header, body in numbered parts, and a manifest (part, file, n).
+
+    Parts hold consecutive ranges of the order column, so the header and the parts in the order of their names are the
+    report. parts: how many; None: as many as the rows ask for by Spark's settings. An empty report is not exported.
+    """
     if rows.isEmpty():
         return
+    spark = rows.sparkSession
+    lines = rows.select("_order", line.alias("value"))
+    body = (lines.repartitionByRange("_order") if parts is None else lines.repartitionByRange(parts, "_order")).sortWithinPartitions("_order").select("value")
     for path in paths:
-        export_lines(rows, header, line).coalesce(1).write.text(path)
+        spark.createDataFrame([(header,)], "value string").write.text(f"{path}/header")
+        body.write.text(f"{path}/body")
+        sizes = spark.read.text(f"{path}/body").groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")).agg(F.count("*").alias("n"))
+        sizes.withColumn("part", F.regexp_extract("file", "part-([0-9]+)", 1).cast("int")).write.json(f"{path}/manifest")
+
+
+def read_export(spark: SparkSession, path: str) -> DataFrame:
+    """(place, value): the lines of an export and their places, the header's 0, by the manifest's counts of the parts before."""
+    parts = spark.read.schema("file string, n long, part int").json(f"{path}/manifest")
+    before = parts.withColumn("before", F.sum("n").over(W.orderBy("part")) - F.col("n")).select("file", "before")  # a row a part
+    lines = spark.read.text(f"{path}/body").select("value", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.monotonically_increasing_id().alias("at"))
+    inside = F.row_number().over(W.partitionBy("file").orderBy("at"))
+    body = lines.join(before, "file").select((F.col("before") + inside).alias("place"), "value")
+    return spark.read.text(f"{path}/header").select(F.lit(0).cast("long").alias("place"), "value").unionByName(body)
 
 
 def delete_where(df: DataFrame, **key) -> DataFrame:

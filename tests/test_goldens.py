@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tallyveil.functions import scalars as S
 from tallyveil.operators import checks, encoding, estimate, joint, rows
-from tallyveil.plans import compiled, joint_report
+from tallyveil.plans import compiled, joint_report, reports
+from tallyveil.sources import tables
 from tallyveil.streaming import streams
 
 
@@ -250,3 +251,65 @@ def test_exponential_buckets_by_columns(spark):
     got = [r.b for r in df.select(compiled.bucket_of("i").alias("b")).collect()]
     want = [r.b for r in df.select(S.exponential_bucket("i", 10, 3, 2, 3).alias("b")).collect()]
     assert got == want and min(got) == 0 and max(got) == 4
+
+
+def _store(spark, n=60):
+    rows_ = [(1, 1, i % 3, 100 + i % 5, i, f"v{i}") for i in range(n)]
+    return spark.createDataFrame(rows_, "customer_id long, project_id long, metric_id long, day_index int, random_id long, s string")
+
+
+def test_append_reads_touched_partitions_only(spark, tmp_path):
+    """A file of another partition may even be broken: it is neither read nor changed."""
+    obs, path = _store(spark), str(tmp_path / "store")
+    tables.write_observations(obs, path)
+    broken = next((tmp_path / "store" / "customer_id=1" / "project_id=1" / "metric_id=2" / "day_index=104").glob("part-*.parquet"))
+    broken.write_bytes(b"no parquet")
+    spark.catalog.clearCache()
+    again = obs.where("metric_id = 0").unionByName(spark.createDataFrame([(1, 1, 0, 101, 999, "new"), (1, 1, 7, 100, 1, "new")], obs.schema))
+    tables.write_observations(again, path)
+    tables.write_observations(again, path)
+    assert broken.read_bytes() == b"no parquet"
+    read = spark.read.parquet(path)
+    assert read.where("metric_id = 0").count() == 21 and read.where("metric_id = 7").count() == 1 and read.where("metric_id = 1").count() == 20
+    plan = read.where(tables.touched(again))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
+
+
+def test_deletion_leaves_other_partitions(spark, tmp_path):
+    obs, path = _store(spark), str(tmp_path / "store")
+    tables.write_observations(obs, path)
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "store").rglob("part-*.parquet")}
+    before = files()
+    assert tables.drop_partitions(spark, path, customer_id=1, project_id=1, metric_id=2)
+    tables.delete_rows(spark, path, (F.col("s") == "v0") | ((F.col("metric_id") == 1) & (F.col("day_index") == 101)), tables.PARTITIONS, str(tmp_path / "rest"))
+    left = {r.s for r in spark.read.parquet(path).collect()}
+    assert left == {f"v{i}" for i in range(60) if i % 3 != 2 and i and not (i % 3 == 1 and i % 5 == 1)}
+    after = files()
+    kept = [p for p in before if "metric_id=2" not in str(p) and "metric_id=0/day_index=100" not in str(p) and "metric_id=1/day_index=101" not in str(p)]
+    assert len(kept) >= 8 and all(after.get(p) == before[p] for p in kept)
+    assert not any("metric_id=1/day_index=101" in str(p) for p in after)
+
+
+def test_export_in_parts_keeps_the_order(spark, tmp_path):
+    rows_ = spark.range(5000).select((F.lit(4999) - F.col("id")).alias("_order"), F.col("id").cast("string").alias("v")).repartition(7)
+    tables.export_csv(rows_, "v", F.col("v"), [str(tmp_path / "a"), str(tmp_path / "b")], parts=6)
+    parts = sorted((tmp_path / "a" / "body").glob("part-*"))
+    lines = [x for p in parts for x in p.read_text().splitlines()]
+    assert lines == [str(i) for i in range(4999, -1, -1)] and len(parts) > 1
+    got = [(r.place, r.value) for r in tables.read_export(spark, str(tmp_path / "b")).orderBy("place").collect()]
+    assert got == list(enumerate(["v", *lines]))
+    tables.export_csv(rows_.where("false"), "v", F.col("v"), [str(tmp_path / "c")])
+    assert not (tmp_path / "c").exists()
+
+
+def test_long_reports_are_errors(spark):
+    meta = spark.createDataFrame([(1, "m"), (2, "n")], "report_id long, name string")
+    rows_ = spark.range(15).select(F.when(F.col("id") < 5, 1).otherwise(2).cast("long").alias("report_id"), "id")
+    assert {r.name for r in tables.read_report(rows_, meta, 1, 5).collect()} == {"m"} and tables.read_report(rows_, meta, 3).count() == 0
+    with pytest.raises(Exception, match="more than 9 rows"):
+        tables.read_report(rows_, meta, 2, 9).collect()
+
+
+def test_header_rows():
+    assert reports.report_header(["New York", "x"], ("os", "board_name")) == "date,New_York,x,OS,Board_Name,count,err"
+    assert reports.report_header(["v"], days=3, counts=False) == "start_date,end_date,v"
