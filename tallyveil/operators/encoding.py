@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-from functools import lru_cache
 from math import ceil
 
 import pandas as pd
@@ -13,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.scalars import epoch_index, next_pow2
+from . import field
 from .rows import null_safe_join
 
-PRIME = 2**127 - 1
 MOST_POINTS = 2000
 
 
@@ -121,32 +119,18 @@ def _digit(bits: Column):
 # threshold encryption
 
 
-@lru_cache(4096)
-def _coefficients(secret: str, threshold: int) -> list[int]:
-    return [int(secret, 16)] + [int(hashlib.sha256(f"{secret}|{j}".encode()).hexdigest()[:30], 16) for j in range(1, threshold)]
-
-
-def evaluate(secret: str, x: str, threshold: int) -> str:
-    y, at = 0, int(x, 16)
-    for c in reversed(_coefficients(secret, threshold)):
-        y = (y * at + c) % PRIME
-    return f"{y:032x}"
-
-
-def interpolate_at_zero(points: list[tuple[int, int]]) -> int:
-    total = 0
-    for i, (xi, yi) in enumerate(points):
-        top, bottom = 1, 1
-        for j, (xj, _) in enumerate(points):
-            if i != j:
-                top, bottom = top * -xj % PRIME, bottom * (xi - xj) % PRIME
-        total = (total + yi * top * pow(bottom, -1, PRIME)) % PRIME
-    return total
+@F.pandas_udf(StringType())
+def point_y(secret: pd.Series, x: pd.Series, threshold: pd.Series) -> pd.Series:
+    """The y of each client's point; null where there is no secret. Rows of one threshold are computed together."""
+    out = pd.Series([None] * len(secret), dtype=object)
+    for t, rows in threshold[secret.notna()].groupby(threshold):
+        out.iloc[rows.index] = field.evaluate(secret.iloc[rows.index].tolist(), x.iloc[rows.index].tolist(), int(t))
+    return out
 
 
 @F.pandas_udf(StringType())
 def _secret(xs: pd.Series, ys: pd.Series) -> pd.Series:
-    return pd.Series([f"{interpolate_at_zero([(int(a, 16), int(b, 16)) for a, b in zip(x, y)]):030x}" for x, y in zip(xs, ys)], dtype=object)
+    return pd.Series(field.at_zero([list(x) for x in xs], [list(y) for y in ys]), dtype=object)
 
 
 def cipher_key(secret: Column) -> Column:
@@ -160,15 +144,11 @@ def encode_threshold(df: DataFrame, value: str, client: str, threshold: int, epo
     `threshold` different points give the key.
     """
 
-    @F.pandas_udf("string")
-    def point_y(secret: pd.Series, x: pd.Series) -> pd.Series:
-        return pd.Series([evaluate(s, a, threshold) for s, a in zip(secret, x)])
-
     rows = df.withColumn("epoch", epoch_index("day_index", epoch))
     secret = F.substring(F.sha2(F.concat_ws("|", F.lit(master_salt), F.col("metric_id").cast("string"), F.col("epoch").cast("string"), F.lit(str(threshold)), F.col(value)), 256), 1, 30)
     rows = rows.withColumn("_secret", secret).withColumn("point_x", F.substring(F.sha2(F.concat_ws("|", F.lit("client"), F.col(client).cast("string"), F.col("_secret")), 256), 1, 30))
     sealed = F.expr(f"aes_encrypt(encode({value}, 'UTF-8'), unhex(sha2(concat('key|', _secret), 256)), 'GCM', 'DEFAULT', unhex('000000000000000000000000'))")
-    return rows.withColumn("ciphertext", F.hex(sealed)).withColumn("point_y", point_y("_secret", "point_x")).drop("_secret")
+    return rows.withColumn("ciphertext", F.hex(sealed)).withColumn("point_y", point_y("_secret", "point_x", F.lit(threshold))).drop("_secret")
 
 
 def _points(obs: DataFrame, group: list[str]) -> DataFrame:
@@ -186,6 +166,24 @@ def threshold_groups(obs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return _groups(_points(obs, group), group)
 
 
+def _judged(obs: DataFrame, threshold: int | str, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Groups (by, epoch, ciphertext, n, points, outcome, plaintext): those whose points were interpolated, and the others."""
+    least = F.col(threshold) if isinstance(threshold, str) else F.lit(threshold)
+    if isinstance(threshold, int) and threshold > MOST_POINTS:
+        raise ValueError(f"interpolation is quadratic in the threshold; {MOST_POINTS} is the most")
+    group = [*by, "epoch", "ciphertext"]
+    points = _points(obs, group)  # used twice with all its columns, so that Spark shuffles it (and encodes observations) once
+    groups = _groups(points, group).withColumn("outcome", F.when(F.col("conflicts") > 0, "conflict").when(F.col("points") < least, "below"))
+    ready = groups.where("outcome IS NULL").select(*group, F.col("n").alias("n_all"), "points")
+    few = null_safe_join(points, ready, group).where("n > 0 AND point_y = _y")
+    few = few.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy("point_x"))).where(F.col("_n") <= F.least(least, F.lit(MOST_POINTS)))
+    gathered = few.groupBy(*group, "n_all", "points").agg(F.sort_array(F.collect_list(F.struct("point_x", "point_y"))).alias("p"))
+    opened = gathered.withColumn("_secret", _secret("p.point_x", "p.point_y"))
+    opened = opened.withColumn("plaintext", F.expr("decode(try_aes_decrypt(unhex(ciphertext), unhex(sha2(concat('key|', _secret), 256)), 'GCM', 'DEFAULT'), 'UTF-8')"))
+    tried = opened.select(*group, F.col("n_all").alias("n"), "points", F.when(F.col("plaintext").isNotNull(), "ok").otherwise("unauthentic").alias("outcome"), "plaintext")
+    return tried, groups.where("outcome IS NOT NULL").select(*group, "n", "points", "outcome", F.lit(None).cast("string").alias("plaintext"))
+
+
 def threshold_outcomes(obs: DataFrame, threshold: int | str, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, epoch, ciphertext, n, points, outcome, plaintext) of every group of equal ciphertexts.
 
@@ -193,22 +191,8 @@ def threshold_outcomes(obs: DataFrame, threshold: int | str, by: tuple[str, ...]
     points give doesn't open the ciphertext), ok. threshold may name a column of by. Groups are counted first; then at
     most `threshold` points of each group that qualifies are interpolated.
     """
-    least = F.col(threshold) if isinstance(threshold, str) else F.lit(threshold)
-    if isinstance(threshold, int) and threshold > MOST_POINTS:
-        raise ValueError(f"interpolation is quadratic in the threshold; {MOST_POINTS} is the most")
-    group = [*by, "epoch", "ciphertext"]
-    points = _points(obs, group)  # both uses below share its shuffle, so that observations are read and encoded once
-    groups = _groups(points, group)
-    first = F.when(F.col("conflicts") > 0, "conflict").when(F.col("points") < least, "below")
-    groups = groups.withColumn("outcome", first)
-    ready = groups.where("outcome IS NULL").select(*group)
-    few = null_safe_join(points, ready, group, "left_semi").withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy("point_x"))).where(F.col("_n") <= F.least(least, F.lit(MOST_POINTS)))
-    gathered = few.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("point_x", "point_y"))).alias("p"))
-    opened = gathered.select(*group, _secret("p.point_x", "p.point_y").alias("_secret"))
-    opened = opened.withColumn("plaintext", F.expr("decode(try_aes_decrypt(unhex(ciphertext), unhex(sha2(concat('key|', _secret), 256)), 'GCM', 'DEFAULT'), 'UTF-8')")).drop("_secret")
-    tried = null_safe_join(groups.where("outcome IS NULL"), opened, group).withColumn("outcome", F.when(F.col("plaintext").isNotNull(), "ok").otherwise("unauthentic"))
-    columns = [*group, "n", "points", "outcome", "plaintext"]
-    return tried.select(*columns).unionByName(groups.where("outcome IS NOT NULL").withColumn("plaintext", F.lit(None).cast("string")).select(*columns))
+    tried, others = _judged(obs, threshold, by)
+    return tried.unionByName(others)
 
 
 def threshold_errors(obs: DataFrame) -> DataFrame:
@@ -218,5 +202,5 @@ def threshold_errors(obs: DataFrame) -> DataFrame:
 
 def threshold_decrypt(obs: DataFrame, threshold: int | str, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, plaintext, total, epochs) of values that at least `threshold` clients sent in an epoch."""
-    plain = threshold_outcomes(obs, threshold, by).where("outcome = 'ok'")
+    plain = _judged(obs, threshold, by)[0].where("outcome = 'ok'")
     return plain.groupBy(*by, "plaintext").agg(F.sum("n").alias("total"), F.count("*").alias("epochs"))

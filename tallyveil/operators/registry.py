@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions import scalars as S
 from .checks import ENCODABLE, METRIC
-from .encoding import _drawn, assign_cohort, bloom_bits, evaluate, let
+from .encoding import _drawn, assign_cohort, bloom_bits, let, point_y
 from .rows import PROFILE
 
 BACKENDS = ("LEGACY", "V1")
@@ -64,11 +62,6 @@ def _reason() -> Column:
     )
 
 
-@F.pandas_udf(StringType())
-def _point_y(secret: pd.Series, x: pd.Series, threshold: pd.Series) -> pd.Series:
-    return pd.Series([None if s is None else evaluate(s, a, int(t)) for s, a, t in zip(secret, x, threshold)], dtype=object)
-
-
 def encode(values: DataFrame, metrics: DataFrame, parts: DataFrame, encodings: DataFrame, salt: str) -> DataFrame:
     """One row per value: what a client sends for it, or the reason why its whole observation is rejected.
 
@@ -102,7 +95,7 @@ def encode(values: DataFrame, metrics: DataFrame, parts: DataFrame, encodings: D
     rows = rows.withColumn("epoch", epoch).withColumn("_plain", plain).withColumn("_secret", secret)
     rows = rows.withColumn("point_x", F.when(F.col("_secret").isNotNull(), F.substring(F.sha2(F.concat_ws("|", F.lit("client"), F.col("client_id").cast("string"), F.col("_secret")), 256), 1, 30)))
     sealed = F.expr("CASE WHEN _secret IS NOT NULL THEN hex(aes_encrypt(encode(_plain, 'UTF-8'), unhex(sha2(concat('key|', _secret), 256)), 'GCM', 'DEFAULT', unhex('000000000000000000000000'))) END")
-    rows = rows.withColumn("ciphertext", sealed).withColumn("point_y", _point_y("_secret", "point_x", "threshold"))
+    rows = rows.withColumn("ciphertext", sealed).withColumn("point_y", point_y("_secret", "point_x", "threshold"))
     rows = rows.withColumns({c: F.when(kind == "noop", F.col(c)) for c in VALUES})
     profile = [f for f in PROFILE if f in rows.columns]
     return rows.select("obs_id", "client_id", *METRIC, "part_name", "encoding_config_id", "random_id", "day_index", "backend", *profile, kind.alias("payload_kind"), "kind", *VALUES, "cohort", "set_bits", "epoch", "ciphertext", "point_x", "point_y", "reason")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyveil.functions import scalars as S
-from tallyveil.operators import checks, encoding, estimate, joint, rows
+from tallyveil.operators import checks, encoding, estimate, field, joint, rows
 from tallyveil.plans import compiled, joint_report, reports
 from tallyveil.sources import tables
 from tallyveil.streaming import streams
@@ -313,3 +313,26 @@ def test_long_reports_are_errors(spark):
 def test_header_rows():
     assert reports.report_header(["New York", "x"], ("os", "board_name")) == "date,New_York,x,OS,Board_Name,count,err"
     assert reports.report_header(["v"], days=3, counts=False) == "start_date,end_date,v"
+
+
+def test_field_arithmetic_equals_whole_numbers():
+    rng = np.random.default_rng(5)
+    edge = [0, 1, 2, field.PRIME - 1, field.PRIME - 2, 2**126, 2**104 - 1, 2**26, 2**64]
+    a = [int.from_bytes(rng.bytes(16), "big") % field.PRIME for _ in range(200)] + edge
+    b = edge + [int.from_bytes(rng.bytes(16), "big") % field.PRIME for _ in range(200)]
+    x, y = (field.pack([f"{v:x}" for v in side]) for side in (a, b))
+    whole = lambda z: [int(h, 16) for h in field.unpack(z)]
+    assert whole(x) == a and whole(field.add(x, y)) == [(i + j) % field.PRIME for i, j in zip(a, b)]
+    assert whole(field.sub(x, y)) == [(i - j) % field.PRIME for i, j in zip(a, b)] and whole(field.mul(x, y)) == [i * j % field.PRIME for i, j in zip(a, b)]
+    assert whole(field.inverse(x)) == [pow(i, field.PRIME - 2, field.PRIME) for i in a]
+
+
+def test_interpolation_gives_the_secret():
+    for t in (1, 2, 20, 150):
+        secrets = [f"{(7919 * i + t) ** 7 % 2**120:030x}" for i in range(5)]
+        xs = [[f"{(31 * j + 17 * i + 1) ** 5 % 2**120:x}" for j in range(t)] for i in range(5)]
+        ys = [field.evaluate([s] * t, x, t) for s, x in zip(secrets, xs)]
+        of = [int(c, 16) for c in field.unpack(field.coefficients(secrets[0], t))]
+        assert int(ys[0][0], 16) == sum(c * pow(int(xs[0][0], 16), n, field.PRIME) for n, c in enumerate(of)) % field.PRIME
+        assert field.at_zero(xs, ys) == secrets
+    assert field.at_zero(xs[:1] + [xs[1][:2]], ys[:1] + [ys[1][:2]])[0] == secrets[0] and field.at_zero([], []) == []
