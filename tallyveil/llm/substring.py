@@ -232,7 +232,7 @@ def removed_windows(docs: DataFrame) -> DataFrame:
 
 def _covered(runs, n: int) -> np.ndarray:
     step = np.zeros(n + 1, np.int32)
-    np.add.at(step, runs.field("pos").to_numpy(), 1)
+    np.add.at(step, np.minimum(runs.field("pos").to_numpy(), n), 1)  # a shorter row of the same doc_id may end before
     np.add.at(step, np.minimum(runs.field("upto").to_numpy() + LENGTH - 1, n), -1)
     return np.cumsum(step[:-1]) > 0
 
@@ -241,7 +241,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) for every row; kept words are joined by one space.
 
     Null text: no words. Rows with a null doc_id lose nothing and precede nothing. Rows that share a doc_id are taken
-    as one place: what is removed at a position of one of them is removed at that position of all.
+    as one place: what is removed at a position of one of them is removed at that position of all that reach it.
     """
 
     def task(batches):
