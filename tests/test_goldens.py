@@ -336,3 +336,13 @@ def test_interpolation_gives_the_secret():
         assert int(ys[0][0], 16) == sum(c * pow(int(xs[0][0], 16), n, field.PRIME) for n, c in enumerate(of)) % field.PRIME
         assert field.at_zero(xs, ys) == secrets
     assert field.at_zero(xs[:1] + [xs[1][:2]], ys[:1] + [ys[1][:2]])[0] == secrets[0] and field.at_zero([], []) == []
+
+
+def test_order_of_reports(spark):
+    """Null, string, int, index, blob; values in order inside a kind; profiles last. Displays: counts down, then names."""
+    data = [("blob", None, None, None, "a"), ("index", None, None, 2, "a"), ("int", None, 5, None, "b"), ("int", None, -1, None, "a"), ("string", "b", None, None, "a"), ("string", "a", None, None, "b"), ("string", "a", None, None, "a"), (None, None, None, None, "a"), ("index", None, None, 1, "a")]
+    df = spark.createDataFrame(data, "kind string, s string, i long, idx long, os string").repartition(4)
+    got = [(r.kind, r.s, r.i, r.idx, r.os) for r in rows.sort_report(df).collect()]
+    assert got == [data[7], data[6], data[5], data[4], data[3], data[2], data[8], data[1], data[0]]
+    shown = spark.createDataFrame([("b", 2), ("a", 2), ("c", 9), ("d", 0)], "item string, n long").repartition(3)
+    assert [r.item for r in rows.order_for_display(shown, "n", "item").collect()] == ["c", "a", "b", "d"]
