@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -104,19 +105,24 @@ def _rappor(of: Inputs, candidates: DataFrame) -> DataFrame:
     return solved.select(*of.group, "candidate", "count_estimate", "converged").unionByName(none)
 
 
-def histogram_reports(obs: DataFrame, reports: DataFrame, parts: DataFrame, encodings: DataFrame, labels: DataFrame, candidates: DataFrame) -> DataFrame:
+#: The extension seam: from the observations of one kind to (group, value columns, count_estimate, std_error).
+ESTIMATORS: dict[str, Callable[[Inputs], DataFrame]] = {"noop": _noop, "buckets": _buckets, "basic_rappor": _basic_rappor, "threshold": _threshold}
+
+
+def histogram_reports(obs: DataFrame, reports: DataFrame, parts: DataFrame, encodings: DataFrame, labels: DataFrame, candidates: DataFrame, estimators: dict[str, Callable[[Inputs], DataFrame]] = ESTIMATORS) -> DataFrame:
     """(report_id, profile, kind, s, i, idx, d, label, count_estimate, std_error, status, message) of all reports.
 
     reports(report_id, customer_id, project_id, metric_id, part_name, first_day, last_day, report_fields): one variable
     and a range of days each; profile fields that it doesn't ask for are null. Each group of a report has an estimator by
     the kind of its encoding: exact counts, integer buckets, basic and string RAPPOR, thresholds. A report that fails
     has one row with its status: several encodings in a group (UNIMPLEMENTED), string RAPPOR without candidates
-    (INVALID_ARGUMENT) or without convergence (INTERNAL). Strings have no standard error under string RAPPOR.
+    (INVALID_ARGUMENT) or without convergence (INTERNAL). Strings have no standard error under string RAPPOR. A new kind
+    of encoding takes an estimator more.
     """
     of = Inputs(obs, reports, parts, encodings)
     strings = _rappor(of, candidates)
     of_strings = strings.select(*of.group, F.lit("string").alias("kind"), F.col("candidate").alias("s"), *_null("kind", "s"), "count_estimate", F.lit(0.0).alias("std_error"))
-    good = reduce(DataFrame.unionByName, [_noop(of), _buckets(of), _basic_rappor(of), _threshold(of), of_strings])
+    good = reduce(DataFrame.unionByName, [estimator(of) for estimator in estimators.values()], of_strings)
     mixed = of.mixed.select("report_id", F.lit("UNIMPLEMENTED").alias("status"), F.format_string("encodings %d and %d in one group", "ids.lo", "ids.hi").alias("message"))
     unsettled = strings.where("converged IS NULL OR NOT converged").select("report_id", F.when(F.col("converged").isNull(), "INVALID_ARGUMENT").otherwise("INTERNAL").alias("status"), F.when(F.col("converged").isNull(), "no candidates").otherwise("no convergence").alias("message"))
     failed = mixed.unionByName(unsettled).groupBy("report_id").agg(F.max(F.struct("status", "message")).alias("f")).select("report_id", "f.status", "f.message")

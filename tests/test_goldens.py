@@ -346,3 +346,24 @@ def test_order_of_reports(spark):
     assert got == [data[7], data[6], data[5], data[4], data[3], data[2], data[8], data[1], data[0]]
     shown = spark.createDataFrame([("b", 2), ("a", 2), ("c", 9), ("d", 0)], "item string, n long").repartition(3)
     assert [r.item for r in rows.order_for_display(shown, "n", "item").collect()] == ["c", "a", "b", "d"]
+
+
+def test_compiled_reports_take_further_estimators(spark):
+    """Reports by profile and day, a kind of encoding of one's own, inconsistent payloads, and more values than are kept."""
+    columns = "customer_id long, project_id long, metric_id long, part_name string, day_index int, encoding_config_id long, payload_kind string, kind string, s string, i long, idx long, d double, cohort int, set_bits array<int>, epoch int, ciphertext string, point_x string, point_y string, os string"
+    row = lambda metric, day, enc, kind, s, os="a": (1, 1, metric, "p", day, enc, kind, "string", s, None, None, None, None, None, None, None, None, None, os)
+    obs = [row(1, 10, 1, "noop", "x"), row(1, 10, 1, "noop", "x", "b"), row(1, 11, 1, "noop", "y"), row(1, 99, 1, "noop", "late"), row(1, 10, 1, "rappor", "wrong"), row(1, 10, 7, "noop", "unknown"), row(2, 10, 2, "length", "four"), row(2, 10, 2, "length", "sixsix")]
+    obs += [row(3, 10, 1, "noop", f"v{n:05d}") for n in range(30)]
+    reports_ = spark.createDataFrame([(n, 1, 1, n, "p", 10, 20, ["os"] if n == 1 else []) for n in (1, 2, 3)], "report_id long, customer_id long, project_id long, metric_id long, part_name string, first_day int, last_day int, report_fields array<string>")
+    parts = spark.createDataFrame([(1, 1, n, "p") for n in (1, 2, 3)], "customer_id long, project_id long, metric_id long, part_name string").selectExpr("*", "CAST(NULL AS STRING) AS bucket_kind", "0L AS floor", "1 AS n_buckets", "1 AS step", "1 AS multiplier")
+    encodings = spark.createDataFrame([(1, 1, 1, "noop"), (1, 1, 2, "length")], "customer_id long, project_id long, id long, kind string").selectExpr("*", "1 AS k", "1 AS h", "1 AS m", "0D AS p", "1D AS q", "1 AS threshold", "'DAY' AS epoch_type", "CAST(NULL AS ARRAY<STRING>) AS categories", "CAST(NULL AS BIGINT) AS first", "CAST(NULL AS BIGINT) AS last", "CAST(NULL AS INT) AS num_categories")
+    none = spark.createDataFrame([], "report_id long, idx long, label string"), spark.createDataFrame([], "report_id long, candidate string")
+
+    def lengths(of):
+        counts = of.of("length").groupBy(*of.group, F.length("s").cast("long").alias("i")).agg(F.count("*").cast("double").alias("count_estimate"))
+        return counts.select(*of.group, F.lit("int").alias("kind"), *compiled._null("kind", "i"), "i", "count_estimate", F.lit(0.0).alias("std_error"))
+
+    got = compiled.histogram_reports(spark.createDataFrame(obs, columns), reports_, parts, encodings, *none, compiled.ESTIMATORS | {"length": lengths}).collect()
+    assert sorted((r.os, r.s, r.count_estimate) for r in got if r.report_id == 1) == [("a", "x", 1), ("a", "y", 1), ("b", "x", 1)]
+    assert sorted((r.i, r.count_estimate) for r in got if r.report_id == 2) == [(4, 1), (6, 1)]
+    assert len([r for r in got if r.report_id == 3]) == 30 and {r.status for r in got} == {"OK"}
