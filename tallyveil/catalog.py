@@ -565,6 +565,27 @@ def a9_rappor_estimate(t):
     return estimate.rappor_estimate(_bloom(t), candidates, 16, 2, 8, 0.1, 0.9)
 
 
+_FOUR = ["click", "error", "purchase", "signup"]  # under 80 bits and 4 cohorts no two of them share a bit, so the solution has a closed form
+
+
+@query(f"""WITH b AS (SELECT board, cohort, list_filter(range(80), lambda j: {_draw_sql('nine')} < CASE WHEN list_contains(bloom, j) THEN 0.9 ELSE 0.1 END) AS bits FROM (SELECT *, {_bloom_sql('s', 'cohort', 80, 2)} AS bloom FROM (SELECT *, {_cohort_sql(4, 4, 'nine')} AS cohort FROM {{obs}}))),
+ c AS (SELECT board, cohort, count(*) AS n, sum(count(*)) OVER (PARTITION BY board) AS n_all, 80 * count(*) OVER (PARTITION BY board) AS rws FROM b GROUP BY board, cohort),
+ y AS (SELECT board, cohort, bit, count(*) AS y FROM (SELECT board, cohort, unnest(bits) AS bit FROM b) GROUP BY ALL),
+ mat AS (SELECT DISTINCT candidate, cohort, CAST('0x' || substr(sha256(candidate || cohort), CAST(4 * x + 1 AS INT), 4) AS BIGINT) % 80 AS bit FROM (SELECT unnest({_FOUR!r}) AS candidate), (SELECT unnest(range(4)) AS cohort), (SELECT unnest(range(2)) AS x)),
+ s AS (SELECT board, candidate, any_value(n_all) AS n_all, any_value(rws) AS rws, count(*) AS ones, sum((coalesce(y, 0) - 0.1 * n) / 0.8 / n) AS pull FROM c JOIN mat USING (cohort) LEFT JOIN y USING (board, cohort, bit) GROUP BY board, candidate)
+SELECT board, candidate, round(sign(pull) * greatest(0, abs(pull) - rws * 0.5 / 320) / (ones + rws * 1e-3 / 320) * n_all + 0.0, 4) AS count_estimate, true AS converged FROM s""")
+def a9_grouped_rappor_estimate(t):
+    """String RAPPOR of each board, all in one plan."""
+    coded = encoding.encode_rappor(t("obs"), "s", "client_id", 80, 2, 4, 0.1, 0.9, "nine")
+    ratios = estimate.basic_rappor_estimate(estimate.bit_counts(coded, 80, ["board", "cohort"]), 0.1, 0.9)
+    sizes = ratios.where("bit = 0").groupBy("board").agg(F.sum("n").alias("n_all"))
+    ratios = ratios.join(sizes, "board").select("board", "cohort", "bit", F.lit(80).alias("k"), F.lit(4).alias("m"), (F.col("count_estimate") / F.col("n")).alias("ratio"), "n_all")
+    names = sizes.select("board", F.explode(F.array(*map(F.lit, _FOUR))).alias("candidate"))
+    bits = rows.candidate_matrix(names.select("candidate").distinct(), 80, 2, 4)
+    found = estimate.grouped_rappor_estimate(ratios, names.join(bits, "candidate").select("board", "candidate", "cohort", "bit"), ["board"])
+    return found.select("board", "candidate", F.round("count_estimate", 4).alias("count_estimate"), "converged")
+
+
 THRESHOLD_SQL = "SELECT s AS plaintext, sum(n) AS total, count(*) AS epochs FROM (SELECT s, day_index, count(*) AS n FROM {obs} GROUP BY ALL HAVING count(DISTINCT client_id) >= 20) GROUP BY s"
 
 
