@@ -883,7 +883,7 @@ def c8_next_pow2(t):
 
 @query("SELECT p_partkey, array_to_string(list_filter(range(16), lambda j: (p_partkey >> j) & 1 = 1), ',') AS bits FROM part")
 def c9_bits_of(t):
-    data = t("part").select("p_partkey", F.unhex(F.lpad(F.hex("p_partkey"), 4, "0")).alias("data"))
+    data = t("part").select("p_partkey", F.unhex(F.lpad(F.hex("p_partkey"), 16, "0")).alias("data"))
     return data.select("p_partkey", joined_column(S.bits_of("data", 16)).alias("bits"))
 
 

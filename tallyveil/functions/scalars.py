@@ -93,8 +93,8 @@ def next_pow2(x) -> Column:
 
 
 def bits_of(data: str, k: int) -> Column:
-    """Places of set bits of binary data of k bits; place 0 is the lowest bit of the last byte."""
-    byte = lambda i: F.conv(F.hex(F.substring(F.col(data), (F.lit(k // 8) - F.floor(i / 8)).cast("int"), F.lit(1))), 16, 10).cast("int")
+    """Places below k of set bits of binary data of any length; place 0 is the lowest bit of the last byte."""
+    byte = lambda i: F.conv(F.hex(F.substring(F.col(data), (F.lit(-1) - F.floor(i / 8)).cast("int"), F.lit(1))), 16, 10).cast("int")
     return F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.call_function("getbit", byte(i), F.pmod(i, F.lit(8))) == 1)
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyveil import catalog
 from tallyveil.functions import scalars as S
 from tallyveil.operators import checks, encoding, estimate, field, joint, rows
 from tallyveil.plans import compiled, joint_report, reports
@@ -367,3 +368,12 @@ def test_compiled_reports_take_further_estimators(spark):
     assert sorted((r.os, r.s, r.count_estimate) for r in got if r.report_id == 1) == [("a", "x", 1), ("a", "y", 1), ("b", "x", 1)]
     assert sorted((r.i, r.count_estimate) for r in got if r.report_id == 2) == [(4, 1), (6, 1)]
     assert len([r for r in got if r.report_id == 3]) == 30 and {r.status for r in got} == {"OK"}
+
+
+def test_bits_of_keys_beyond_two_bytes(spark, tmp_path):
+    keys = [0, 1, 65535, 65536, 65537, 1_200_000, 2**40 + 5, -2]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.p_partkey: r.bits for r in catalog.QUERIES["c9_bits_of"](spark, str(tmp_path)).collect()}
+    assert got == {k: ",".join(str(j) for j in range(16) if k >> j & 1) for k in keys}
+    short = spark.createDataFrame([(bytearray(b"\x81"),), (bytearray(b"\x01\x02\x03"),)], "data binary")
+    assert [r.b for r in short.select(S.bits_of("data", 12).alias("b")).collect()] == [[0, 7], [0, 1, 9]]
