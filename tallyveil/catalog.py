@@ -100,7 +100,7 @@ def s8_store_report(t):
     meta = events.select("report_id").distinct().selectExpr("report_id", "report_id % 2 = 0 AS in_store", "CASE WHEN report_id % 3 = 0 THEN 'IN_PROGRESS' ELSE 'COMPLETED' END AS state", kinds)
     path = streams.shared_path(events.sparkSession, "reports")
     tables.store_report(events, meta, path)
-    return events.sparkSession.read.schema("stamp long, report_id long").parquet(path)
+    return tables.stored_rows(events.sparkSession, path, "stamp long, report_id long")
 
 
 @query("SELECT *, count(*) OVER (PARTITION BY customer_id, project_id, id) > 1 OR id = 0 AS bad_key FROM {metrics}")

@@ -15,6 +15,7 @@ RAPPOR_PARAMS = "k int, h int, m int, p double, q double, f double"
 PARTITIONS = OBSERVATION_KEY[:4]  # of stored observations
 MANIFEST_METRICS = 10_000
 REPORT_ROW_LIMIT = 5000
+REPORT_BUCKETS = 64  # folders of a report store
 ROW_TYPES = ("HISTOGRAM", "JOINT")  # of reports that are stored
 
 
@@ -144,19 +145,34 @@ def load_registry(table: DataFrame) -> DataFrame:
     return table.join(repeated, ["customer_id", "project_id", "id"]).withColumn("bad_key", (F.col("_n") > 1) | (F.col("id") == 0)).drop("_n")
 
 
+def report_bucket(report_id: str | Column) -> Column:
+    return F.pmod(F.xxhash64(report_id), F.lit(REPORT_BUCKETS)).cast("int")
+
+
 def store_report(rows: DataFrame, meta: DataFrame, path: str) -> DataFrame:
-    """Rows of reports that are in progress and kept in store, written by report; returns what was written.
+    """Rows of reports that are in progress and kept in store, written by buckets of reports; returns what was written.
 
+    Folders don't grow with the reports: a report's rows lie next to each other in its bucket.
     A report with a row of another type than its own is refused whole, as is every raw dump.
     """
     allowed = meta.where(F.col("in_store") & (F.col("state") == "IN_PROGRESS") & F.col("report_type").isin(*ROW_TYPES)).select("report_id", "report_type")
     typed = rows.join(allowed, "report_id")
     refused = typed.where(~F.col("row_type").eqNullSafe(F.col("report_type"))).select("report_id").distinct()
-    kept = typed.join(refused, "report_id", "left_anti").select(*rows.columns).repartition("report_id")
-    kept.write.mode("append").partitionBy("report_id").parquet(path)
+    kept = typed.join(refused, "report_id", "left_anti").select(*rows.columns)
+    dealt = kept.withColumn("bucket", report_bucket("report_id")).repartition("bucket").sortWithinPartitions("bucket", "report_id")
+    dealt.write.mode("append").partitionBy("bucket").parquet(path)
     return kept
 
 
+def stored_rows(spark: SparkSession, path: str, schema: str, report_id=None) -> DataFrame:
+    """The stored rows, of one report or of all; one report is read from its bucket's folder alone."""
+    rows = spark.read.schema(f"{schema}, bucket int").parquet(path)
+    if report_id is not None:
+        key = F.lit(report_id).cast(rows.schema["report_id"].dataType)
+        rows = rows.where((F.col("bucket") == report_bucket(key)) & (F.col("report_id") == key))
+    return rows.drop("bucket")
+
+
 def read_report(rows: DataFrame, meta: DataFrame, report_id, limit: int = REPORT_ROW_LIMIT) -> DataFrame:
     """Rows of one report with its metadata; a report of more rows than the limit fails when it is read."""
     of = rows.where(F.col("report_id") == report_id).limit(limit + 1)

@@ -377,3 +377,12 @@ def test_bits_of_keys_beyond_two_bytes(spark, tmp_path):
     assert got == {k: ",".join(str(j) for j in range(16) if k >> j & 1) for k in keys}
     short = spark.createDataFrame([(bytearray(b"\x81"),), (bytearray(b"\x01\x02\x03"),)], "data binary")
     assert [r.b for r in short.select(S.bits_of("data", 12).alias("b")).collect()] == [[0, 7], [0, 1, 9]]
+
+
+def test_report_store_has_few_folders(spark, tmp_path):
+    rows_ = spark.range(3000).selectExpr("id DIV 3 AS report_id", "id AS stamp", "'HISTOGRAM' AS row_type")
+    meta = spark.range(1000).selectExpr("id AS report_id", "true AS in_store", "'IN_PROGRESS' AS state", "'HISTOGRAM' AS report_type")
+    tables.store_report(rows_, meta, f"{tmp_path}/reports")
+    assert len([f for f in (tmp_path / "reports").iterdir() if f.is_dir()]) <= 64
+    got = lambda *report: sorted(r.stamp for r in tables.stored_rows(spark, f"{tmp_path}/reports", "stamp long, report_id long", *report).collect())
+    assert got() == list(range(3000)) and got(7) == [21, 22, 23] and got(5000) == []
