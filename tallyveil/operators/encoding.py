@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
 from math import ceil
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from ..functions.scalars import epoch_index, next_pow2
 from . import field
@@ -36,29 +39,59 @@ def noisy_bits(index: Column, k: int, p: float, q: float, salt: str, key: str) -
     return _drawn(k, lambda j: j == index, p, q, salt, key)
 
 
-def _below(share: float | Column) -> str | Column:
+def _below(share: float) -> str:
     """Hex digits h such that 13 random ones are less with probability share."""
-    if isinstance(share, Column):
-        n = F.ceil(share * float(2**52))
-        return F.when(n <= 0, "").when(n >= 2**52, "g").otherwise(F.lpad(F.lower(F.hex(n)), 13, "0"))
     n = ceil(share * 2**52)
     return "" if n <= 0 else "g" if n >= 2**52 else f"{n:013x}"
 
 
-def _number(x: int | Column) -> Column:
-    return x if isinstance(x, Column) else F.lit(x)
+def _drawn(k: int, is_set, p: float, q: float, salt: str, key: str) -> Column:
+    """Places j in 0..k-1 whose draw is below q where is_set(j), else below p. Each digest gives four draws."""
+    begin = F.concat_ws("|", F.lit(salt), F.col(key).cast("string"))
+    digests = let(begin, lambda x: F.transform(F.sequence(F.lit(0), F.lit((k - 1) // 4)), lambda d: F.sha2(F.concat_ws("|", x, d.cast("string")), 256)))
+    quarter = lambda of, j: F.substring(F.get(of, F.shiftright(j, 2)), 13 * j.bitwiseAND(3) + 1, F.lit(13))
+    return let(digests, lambda of: F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: quarter(of, j) < F.when(is_set(j), _below(q)).otherwise(_below(p))))
 
 
-def _drawn(k: int | Column, is_set, p: float | Column, q: float | Column, salt: str, key: str | Column) -> Column:
-    """Places j in 0..k-1 whose draw is below q where is_set(j), else below p. Each digest gives four draws.
+DIGESTS = 1 << 16  # taken at a time
+_ENDS = [b"|%d" % d for d in range(4096)]
 
-    Parameters may be columns: then each row has its own.
+
+def _draws(begin: list[bytes], digests: list[int]) -> np.ndarray:
+    """Four draws of 52 bits from each digest of begin|0, begin|1, ...: the numbers of 13 hexadecimal digits each."""
+    raw = b"".join([sha256(b + e).digest() for b, n in zip(begin, digests) for e in _ENDS[:n]])
+    data, mask = np.frombuffer(raw, np.uint8).reshape(-1, 32), np.uint64((1 << 52) - 1)
+    at = lambda i, shift: np.ascontiguousarray(data[:, i : i + 8]).view(">u8")[:, 0].astype(np.uint64) >> np.uint64(shift) & mask
+    return np.stack([at(0, 12), at(6, 8), at(13, 12), at(19, 8)], 1).reshape(-1)
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def drawn_bits(begin: pa.Array, own: pa.Array, k: pa.Array, p: pa.Array, q: pa.Array) -> pa.Array:
+    """As `_drawn`, with the row's own bits, number of bits and probabilities as columns; null where begin is null.
+
+    begin is the salt and the row's key, joined by |.
     """
-    of_row, last = F.col(key) if isinstance(key, str) else key, _number(k) - 1
-    digest = lambda d: F.sha2(F.concat_ws("|", F.lit(salt), of_row.cast("string"), d.cast("string")), 256)
-    digests = F.transform(F.sequence(F.lit(0), F.floor(last / 4).cast("int")), digest)
-    quarter = lambda of, j: F.substring(F.get(of, F.floor(j / 4).cast("int")), 13 * (j % 4) + 1, F.lit(13))
-    return let(digests, lambda of: F.filter(F.sequence(F.lit(0), last), lambda j: quarter(of, j) < F.when(is_set(j), _below(q)).otherwise(_below(p))))
+    here = np.flatnonzero(np.asarray(begin.is_valid()))
+    begins, own = [x.encode() for x in begin.take(here).to_pylist()], own.take(here)
+    bits = k.take(here).to_numpy(zero_copy_only=False).astype(np.int64)
+    top = lambda share: np.clip(np.ceil(share.take(here).to_numpy(zero_copy_only=False) * 2.0**52), 0, 2.0**52).astype(np.uint64)
+    low, high, digests = top(p), top(q), (bits + 3) // 4
+    owned, values = own.offsets.to_numpy(), own.values.to_numpy(zero_copy_only=False)
+    sizes, found = np.zeros(len(begin), np.int64), []
+    slices = np.searchsorted(np.cumsum(digests), np.arange(0, digests.sum() + DIGESTS, DIGESTS), "left")
+    for a, b in zip(slices, slices[1:]):
+        if a < b:
+            base = np.cumsum(digests[a:b]) * 4 - digests[a:b] * 4
+            row = np.repeat(np.arange(a, b), 4 * digests[a:b])
+            place = np.arange(len(row)) - base[row - a]
+            bound = low[row]
+            mine = base[np.repeat(np.arange(b - a), np.diff(owned[a : b + 1]))] + values[owned[a] : owned[b]]
+            bound[mine] = high[row[mine]]
+            hit = np.flatnonzero((_draws(begins[a:b], digests[a:b].tolist()) < bound) & (place < bits[row]))
+            sizes[here[a:b]] = np.bincount(row[hit] - a, minlength=b - a)
+            found.append(place[hit].astype(np.int32))
+    offsets = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found) if found else [], pa.int32()), mask=begin.is_null())
 
 
 def encode_basic_rappor(df: DataFrame, value: str, categories: list[str], p: float, q: float, salt: str, key: str = "obs_id") -> DataFrame:
@@ -119,13 +152,15 @@ def _digit(bits: Column):
 # threshold encryption
 
 
-@F.pandas_udf(StringType())
-def point_y(secret: pd.Series, x: pd.Series, threshold: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def point_y(secret: pa.Array, x: pa.Array, threshold: pa.Array) -> pa.Array:
     """The y of each client's point; null where there is no secret. Rows of one threshold are computed together."""
-    out = pd.Series([None] * len(secret), dtype=object)
-    for t, rows in threshold[secret.notna()].groupby(threshold):
-        out.iloc[rows.index] = field.evaluate(secret.iloc[rows.index].tolist(), x.iloc[rows.index].tolist(), int(t))
-    return out
+    here = np.flatnonzero(np.asarray(secret.is_valid()))
+    of, out = threshold.take(here).to_numpy(zero_copy_only=False).astype(np.int64), np.full(len(secret), None, object)
+    for t in np.unique(of).tolist():
+        rows = here[of == t]
+        out[rows] = field.evaluate(secret.take(rows).to_pylist(), x.take(rows).to_pylist(), t)
+    return pa.array(out, pa.string())
 
 
 @F.pandas_udf(StringType())

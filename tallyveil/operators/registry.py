@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .checks import ENCODABLE, METRIC
-from .encoding import _drawn, assign_cohort, bloom_bits, let, point_y
+from .encoding import assign_cohort, bloom_bits, drawn_bits, let, point_y
 from .rows import PROFILE
 
 BACKENDS = ("LEGACY", "V1")
@@ -44,14 +44,13 @@ def category() -> Column:
 
 
 def _reason() -> Column:
+    """What is wrong with a row by itself, in an observation of a known metric with all its parts."""
     encodable = F.lit(False)
     for encoding, kinds in ENCODABLE.items():
         encodable |= (F.col("payload_kind") == encoding) & F.col("kind").isin(*kinds)
     value = F.coalesce(*[F.when(F.col("kind") == k, F.col(c).isNotNull()) for k, c in zip(("string", "int", "index", "double"), VALUES)])
     return (
-        F.when(F.col("known").isNull(), "unknown metric")
-        .when(F.coalesce("n_sent", F.lit(0)) != F.coalesce("n_parts", F.lit(0)), "wrong number of parts")
-        .when(F.col("day_index").isNull(), "no day by the time zone policy")
+        F.when(F.col("day_index").isNull(), "no day by the time zone policy")
         .when(~F.coalesce(F.col("backend").isin(*BACKENDS), F.lit(False)), "unknown backend")
         .when(F.col("data_type").isNull(), "unknown part")
         .when(~F.coalesce(value, F.lit(False)), "unset value")
@@ -74,8 +73,9 @@ def encode(values: DataFrame, metrics: DataFrame, parts: DataFrame, encodings: D
     """
     rows = _registered(values, metrics, parts, encodings).withColumn("day_index", local_day("ts", "time_zone_policy", "zone")).withColumn("category", category())
     whole = W.partitionBy(*METRIC, "obs_id")
-    rows = rows.withColumn("n_sent", F.count("*").over(whole)).withColumn("reason", _reason())
-    rows = rows.withColumn("reason", F.min("reason").over(whole))
+    rows = rows.withColumn("reason", _reason()).withColumns({"n_sent": F.count("*").over(whole), "reason": F.min("reason").over(whole)})
+    complete = F.coalesce("n_sent", F.lit(0)) == F.coalesce("n_parts", F.lit(0))  # all rows of an observation have one n_parts
+    rows = rows.withColumn("reason", F.when(F.col("known").isNull(), "unknown metric").when(~complete, "wrong number of parts").otherwise(F.col("reason")))
     good = F.col("reason").isNull()
     kind = F.when(good, F.col("payload_kind"))
     rows = rows.withColumns({f: F.when(F.array_contains("profile_fields", f), F.col(f)) for f in PROFILE if f in rows.columns})
@@ -83,11 +83,11 @@ def encode(values: DataFrame, metrics: DataFrame, parts: DataFrame, encodings: D
     key = F.concat_ws("|", F.col("obs_id").cast("string"), "part_name")
     # RAPPOR: the bits of the value, each drawn anew; both kinds share one draw of k bits
     cohort = F.when(kind == "rappor", assign_cohort("client_id", F.col("m"), salt))
-    bloom = lambda c: F.when(kind == "rappor", bloom_bits("s", c, F.col("k"), F.col("h")))
+    own = lambda c: F.when(kind == "basic_rappor", F.array("category")).when(kind == "rappor", bloom_bits("s", c, F.col("k"), F.col("h")))
+    rows = rows.select("*", F.inline(F.array(let(cohort, lambda c: F.struct(c.alias("cohort"), own(c).alias("_own"))))))
     bits = F.when(kind == "basic_rappor", n_categories()).when(kind == "rappor", F.col("k").cast("int"))
-    drawn = lambda b: F.when(kind.isin("basic_rappor", "rappor"), _drawn(bits, lambda j: F.when(kind == "basic_rappor", j == F.col("category")).otherwise(F.array_contains(b, j)), F.col("p"), F.col("q"), salt, key))
-    coded = let(cohort, lambda c: F.struct(c.alias("cohort"), let(bloom(c), drawn).alias("set_bits")))
-    rows = rows.select("*", F.inline(F.array(coded)))
+    begin = F.when(kind.isin("basic_rappor", "rappor"), F.concat_ws("|", F.lit(salt), key))
+    rows = rows.withColumn("set_bits", drawn_bits(begin, "_own", bits, F.col("p").cast("double"), F.col("q").cast("double")))
     # threshold: one secret a value and epoch, one point a client
     epoch = F.when(kind == "threshold", F.coalesce(*[F.when(F.col("epoch_type") == e, S.epoch_index("day_index", e)) for e in (S.DAY, S.WEEK, S.MONTH)]))
     plain = F.coalesce(*[F.when(F.col("kind") == k, F.concat(F.lit(f"{TAG[k]}:"), F.col(c).cast("string"))) for k, c in zip(TAG, VALUES)])

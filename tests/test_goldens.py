@@ -1,5 +1,6 @@
 """Closed-form expectations of single operators."""
 
+import hashlib
 from math import isclose, sqrt
 
 import numpy as np
@@ -386,3 +387,12 @@ def test_report_store_has_few_folders(spark, tmp_path):
     assert len([f for f in (tmp_path / "reports").iterdir() if f.is_dir()]) <= 64
     got = lambda *report: sorted(r.stamp for r in tables.stored_rows(spark, f"{tmp_path}/reports", "stamp long, report_id long", *report).collect())
     assert got() == list(range(3000)) and got(7) == [21, 22, 23] and got(5000) == []
+
+
+def test_drawn_bits_follow_their_digests(spark):
+    data = [(f"s|{i}", sorted({i % k, (i * 7) % k}), k, p, q) for i, (k, p, q) in enumerate([(5, 0.25, 0.75), (512, 0.125, 1.0), (1, 0.0, 0.5), (24, 0.0, 1.0), (11, 1.0, 0.0)] * 40)] + [(None, None, None, None, None)]
+    def bits(begin, own, k, p, q):
+        draw = lambda j: int(hashlib.sha256(f"{begin}|{j // 4}".encode()).hexdigest()[13 * (j % 4) :][:13], 16)
+        return [j for j in range(k) if draw(j) < (q if j in own else p) * 2**52]
+    got = spark.createDataFrame(data, "begin string, own array<int>, k int, p double, q double").repartition(1).select("begin", encoding.drawn_bits("begin", "own", "k", "p", "q").alias("b")).collect()
+    assert {r.begin: r.b for r in got} == {d[0]: d[0] and bits(*d) for d in data}
