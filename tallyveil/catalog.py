@@ -486,8 +486,8 @@ SELECT obs_id, part_name, encoding_config_id, date_diff('day', DATE '1970-01-01'
  ELSE ep || ':' || substr(sha256('client|' || client_id || '|' || secret), 1, 30) END END AS payload FROM z"""
 
 
-def _coded(t):
-    return registry.encode(t("reg_values"), t("reg_metrics"), t("reg_parts"), t("reg_encodings"), "reg")
+def _coded(t, values=None):
+    return registry.encode(t("reg_values") if values is None else values, t("reg_metrics"), t("reg_parts"), t("reg_encodings"), "reg")
 
 
 @query(REG_SQL)
@@ -1007,13 +1007,14 @@ UNION ALL SELECT DISTINCT report_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, N
 
 
 def _compiled(t, which: str):
-    """The observations are stored by kind of payload first, as clients' observations are; a report's estimators read their own."""
+    """The observations of the reports' metrics are stored by kind of payload first, as clients' are; a report's estimators read their own."""
     spark = t("region").sparkSession
     stored = streams.shared_path(spark, "observations")
-    coded = _coded(t)
+    asked = t("reg_reports").where(which)
+    coded = _coded(t, t("reg_values").join(asked.select(*registry.METRIC).distinct(), registry.METRIC, "left_semi"))
     coded.where("reason IS NULL").write.partitionBy("payload_kind").parquet(stored)
     obs = spark.read.schema(coded.schema).parquet(stored)
-    out = compiled.histogram_reports(obs, t("reg_reports").where(which), t("reg_buckets"), t("reg_encodings"), t("reg_labels"), t("reg_candidates"))
+    out = compiled.histogram_reports(obs, asked, t("reg_buckets"), t("reg_encodings"), t("reg_labels"), t("reg_candidates"))
     return out.select("report_id", "os", "board_name", "s", "i", "idx", "label", *r6("count_estimate", "std_error"), "status", "message")
 
 
