@@ -7,11 +7,10 @@ difference of the sets has members, so a segment-wise or bit-wise distance above
 Size bands: band i holds sets of l(i) to l(i+1)-1 members, l(i+2) > (l(i+1)-1)/t, so two sets of similarity t lie in
 the same or in adjacent bands. Joins run once per band, over it and the next; there the symmetric difference is at most
 k = (l(i+1)-1)(1-t)/t. With s = k + m segments at least m agree (pigeonhole), so a set may leave out up to m - 1 of
-its segments: those without members, then those whose key more than HOT sets have (as a passage shared by many
-documents makes them). A set with too many of the former leaves none out; one with too many of both leaves out the
-former only. Each choice goes by what the segment holds and the three are nested, so of the m segments in which a
-linked pair agrees, one that the set with more choices keeps is kept by both. m - 1 is a quarter of k. Sets of a band
-with k = 0 must be equal.
+its segments: those without members, then those whose keys most sets have (as a passage shared by many documents makes
+them). A set with too many of the former leaves none out. All keys have one order, by the number of their sets and then
+by key, and a set leaves out its last ones: so of the m keys that a linked pair has in common, neither leaves out the
+first. m - 1 is a quarter of k. Sets of a band with k = 0 must be equal.
 
 Rows (segment key, set) that share a key are candidates. Map tasks merge rows of the same key first, so a key that a
 third of all documents share sends one row a task. Inside a key no pairs are listed: every set is verified against the
@@ -27,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .arrowtext import BYTES_A, LOWER_A, U64, Texts, grams, mix, text_slices
@@ -36,7 +36,7 @@ from .shared import discard, settle
 SKETCH_LONGS = 8
 SKETCH = [f"x{j}" for j in range(SKETCH_LONGS)]
 BROADCAST_ROWS = 100_000
-HOT = 32
+HOT = 1  # keys of no more sets are never left out
 FLUSH_ROWS = 500_000
 BLOCK = 256
 SLICE = 1 << 19
@@ -201,12 +201,11 @@ def _several(key, node, info) -> pa.RecordBatch:
 
 
 def _without_hot(shared: DataFrame) -> DataFrame:
-    """(key, node) rows but for those of hot keys that their set may leave out."""
-    hot = settle(shared.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key", F.lit(True).alias("hot")), "pj-hot")
-    marked = shared.join(hot, "key", "left")
-    light = marked.where("hot").groupBy("node", "down").agg(F.count("*").alias("h"), F.max("spare").alias("spare")).where("h <= spare").select("node", "down", F.lit(True).alias("light"))
-    light = settle(light, "pj-light")
-    return marked.join(light, ["node", "down"], "left").where("hot IS NULL OR light IS NULL").select("key", "node")
+    """(key, node) rows but for the keys of most sets, as many as their set may leave out, in one order of all keys."""
+    counts = shared.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+    place = F.row_number().over(W.partitionBy("node", "down").orderBy(F.desc_nulls_last("n"), "key"))
+    marked = shared.join(counts, "key", "left").withColumn("_n", place)
+    return marked.where("n IS NULL OR _n > spare").select("key", "node")
 
 
 def _sketches(texts: Texts, g: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:

@@ -465,3 +465,10 @@ def test_masked_email_of_any_length(spark):
     text = "write to " + "a" * 100 + " (at) " + "b" * 80 + " (dot) " + "c" * 40 + " please"
     masked = pii.mask(spark.createDataFrame([(1, text)] + [(i, f"ask user{i} (at) mail{i} (dot) com now") for i in range(2, 30)], "doc_id long, text string")).where("doc_id = 1").first().text
     assert "aaa" not in masked and "bbb" not in masked and "ccc" not in masked and "write to " in masked and " please" in masked
+
+
+def test_parity_join_leaves_out_the_keys_of_most_sets(spark):
+    # key 7 of 12 sets, 8 of five, 9 of two: a set that may leave out two keys lists no pair by a passage that few share
+    rows = [(7, n, 0, 2) for n in range(12)] + [(8, n, 0, 2) for n in range(5)] + [(9, n, 0, 2) for n in range(2)] + [(7, 50, 0, 0), (8, 51, 0, -1)]
+    got = parityjoin._without_hot(spark.createDataFrame(rows, "key long, node long, down int, spare int"))
+    assert sorted(map(tuple, got.collect())) == [(7, 50), (8, 51), (9, 0), (9, 1)]
