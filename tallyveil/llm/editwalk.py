@@ -1,4 +1,4 @@
-"""Document fingerprints by a randomised edit embedding, near copies by bit-sampled bands.
+"""Document fingerprints by a randomised edit embedding, near copies by parts of them.
 
 Embedding: a pointer walks over a text's characters. At step j it emits the character under it, and moves on if a bit
 shared by all texts, drawn for (j mod PERIOD, character), is set. Two texts' walks take the same steps until an edit, and
@@ -11,14 +11,15 @@ those of all higher levels, and texts of different levels compare at the higher
 hash of the step and the character emitted. The fingerprint is ``level:hex``, the likeness of two is the part of cells
 that agree, less what chance gives.
 
-Bands: each band samples bits of some cells; texts that agree on a band become candidates, and the likeness of their
-whole fingerprints decides.
+Classes: parts of the cells with one cell left out are keys by the pigeonhole, so texts as alike as LIKE always share
+one; the likeness of their whole fingerprints decides. ``band_keys`` samples cells for a quick look-up of near copies.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,10 @@ SLICE_CHARS = 4 << 20
 FEW = 64  # fewer walks than this go one by one
 BANDS, SAMPLED = 12, 8
 LIKE = 0.8
+# cells of the shorter fingerprint (from, below), cells of a part, cells of it that a key leaves out
+TIERS = ((0, 12, 3, 0), (12, 29, 6, 1), (29, 52, 8, 1), (52, 2 * CELLS + 1, 9, 1))
+TURNS = 3
+TILE = 1024
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -283,36 +288,195 @@ def band_keys(print_: tuple[int, np.ndarray], pick: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node) of the bands of each different fingerprint."""
-    pick = np.random.Generator(np.random.PCG64(43)).random((BANDS, SAMPLED))
-    for batch in batches:
-        for i in range(0, batch.num_rows, 4096):
-            part = batch.slice(i, 4096)
-            keys = [band_keys(parsed(x), pick) for x in part.column("fingerprint").to_pylist()]
-            node = np.repeat(part.column("node").to_numpy(), [len(k) for k in keys])
-            yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys).view(np.int64)), "node": pa.array(node)})
+@dataclass(frozen=True)
+class Prints:
+    """Fingerprints as rows of symbols, at their own level and the next one; 16 stands after the last cell."""
+
+    level: np.ndarray
+    own: np.ndarray
+    above: np.ndarray
+
+    @staticmethod
+    def of(texts: list[str]) -> Prints:
+        parts = [t.partition(":") for t in texts]
+        level = np.fromiter((int(p[0]) for p in parts), np.int64, len(parts))
+        raw = np.frombuffer("".join(p[2] for p in parts).encode(), np.uint8)
+        own = np.full((len(parts), 2 * CELLS), 16, np.uint8)
+        own[np.arange(2 * CELLS) < np.array([len(p[2]) for p in parts], int)[:, None]] = np.where(raw > 57, raw - 87, raw - 48)
+        above = np.full((len(parts), CELLS), 16, np.uint8)
+        for k in np.unique(level).tolist():
+            above[level == k] = own[level == k][:, descend(k + 1, k, CELLS)]
+        return Prints(level, own, above)
+
+    def alike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the rows i have a likeness of LIKE at least to the rows j.
+
+        Where levels differ by two or more, the shorter text has half as many cells as the longer one at most.
+        """
+        out = np.zeros(len(i), bool)
+        for up in (-1, 0, 1):
+            at = np.flatnonzero(self.level[j] - self.level[i] == up)
+            for part in np.array_split(at, len(at) // TILE + 1):
+                x = (self.above if up > 0 else self.own)[i[part]]
+                y = (self.above if up < 0 else self.own)[j[part]]
+                most = np.maximum((x < 16).sum(1), (y < 16).sum(1))
+                least = min(x.shape[1], y.shape[1])
+                agree = ((x[:, :least] == y[:, :least]) & (x[:, :least] < 16)).sum(1)
+                out[part] = 16 * agree >= 13 * most  # a likeness of 0.8
+        return out
+
+
+def apart(cells: np.ndarray) -> np.ndarray:
+    """The most cells that differ within the shorter of two alike fingerprints, which has this many cells."""
+    return 3 * cells // 16
+
+
+def part_keys(prints: Prints, turn: int = 0, turns: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, and the rows they are of: any two alike fingerprints have a key in common. Turns deal the parts out.
+
+    The first cells are cut into parts of `width` cells, more parts than half the cells that may differ. So in one part
+    of an alike pair one cell at most differs, and the keys of a part are its cells but one. Of fewer than twelve cells:
+    more parts than cells that may differ, and keys of whole parts. The range of the shorter one's number of cells
+    decides the width, so one near the end of a range has the parts of both. Of different levels, those of 104 cells or
+    more at the next level can be alike to one of that level.
+    """
+    keys, rows = [], []
+    for level, cells, fewest in ((prints.level, prints.own, 0), (prints.level + 1, prints.above, 13 * CELLS // 16)):
+        n = (cells < 16).sum(1)
+        for tier, (low, high, width, but) in enumerate(TIERS):
+            least = np.minimum(n, high - 1)
+            parts = np.minimum(apart(least) // (1 + but) + 1, least // width)
+            parts[(n < max(low, fewest)) | (-(-13 * n // 16) >= high)] = 0
+            for i in range(turn, int(parts.max(initial=0)), turns):
+                of = np.flatnonzero(parts > i)
+                held = (cells[of, i * width : (i + 1) * width].astype(U64) << (4 * np.arange(width, dtype=U64))).sum(1, dtype=U64)
+                for out in range(width) if but else (width,):
+                    tag = mix((level[of].astype(U64) << U64(32)) + U64(tier << 24 | i << 8 | out))
+                    keys.append(mix((held & ~(U64(15) << U64(4 * out))) ^ tag))
+                    rows.append(of)
+    if not keys:
+        return np.zeros(0, U64), np.zeros(0, np.int64)
+    return np.concatenate(keys), np.concatenate(rows)
+
+
+def _keys_task(turn: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                keys, rows = part_keys(Prints.of(part.column("fingerprint").to_pylist()), turn, TURNS)
+                node = part.column("node").to_numpy()
+                for k in range(0, len(keys), 1 << 17):
+                    yield pa.RecordBatch.from_pydict({"key": keys[k : k + (1 << 17)].view(np.int64), "node": node[rows[k : k + (1 << 17)]]})
+
+    return task
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _met(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    """(met, node) of whole keys with several nodes; keys with the same nodes have the same name `met`."""
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    runs = np.diff(np.append(first, len(key)))
+    name = np.add.reduceat(mix(node.view(U64)), first) if len(key) else np.zeros(0, U64)
+    several = np.repeat(runs > 1, runs)
+    return pa.RecordBatch.from_pydict({"met": np.repeat(mix(name).view(np.int64), runs)[several], "node": node[several]})
+
+
+def _met_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key; a node has a key once."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, node = (batch.column(c).to_numpy() for c in ("key", "node"))
+        held.append((key, node))
+        if key[-1] != held[0][0][0]:
+            key, node = map(np.concatenate, zip(*held))
+            last = int(np.searchsorted(key, key[-1]))
+            yield _met(key[:last], node[:last])
+            held = [(key[last:], node[last:])]
+    if held:
+        yield _met(*map(np.concatenate, zip(*held)))
+
+
+def _alike_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = batch.num_rows
+        prints = Prints.of(batch.column("fa").to_pylist() + batch.column("fb").to_pylist())
+        yield batch.filter(pa.array(prints.alike(np.arange(n), np.arange(n, 2 * n)), pa.bool_())).select(["a", "b"])
+
+
+def _tile_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between different roots of each tile. Rows come sorted by tile; a tile has 2 * TILE rows or so."""
+    held: list[pa.RecordBatch] = []
+    names = ["met", "low", "high"]
+
+    def links(table: pa.Table) -> pa.RecordBatch:
+        tile = np.stack([table[c].to_numpy() for c in names], 1)
+        node, root, side, low, high = (table[c].to_numpy() for c in ("node", "root", "side", "low", "high"))
+        prints = Prints.of(table["fingerprint"].to_pylist())
+        a, b = [], []
+        new = np.append(True, (tile[1:] != tile[:-1]).any(1)) if len(tile) else np.zeros(0, bool)
+        left = np.append(np.flatnonzero(new)[1:], len(tile))[np.cumsum(new) - 1] - np.arange(len(tile)) - 1 if len(tile) else np.zeros(0, int)
+        i, step = np.arange(len(tile)), 1
+        while len(i := i[left[i] >= step]):
+            j = i + step
+            use = (root[i] != root[j]) & ((low[i] == high[i]) | (side[i] != side[j]))
+            x, y = i[use], j[use]
+            good = prints.alike(x, y)
+            a.append(node[x[good]])
+            b.append(node[y[good]])
+            step += 1
+        empty = np.zeros(0, np.int64)
+        return pa.RecordBatch.from_pydict({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
+
     for batch in batches:
-        keep = [likeness(parsed(x), parsed(y)) >= LIKE for x, y in zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist())]
-        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        same = np.logical_and.reduce([table[c].to_numpy() == batch.column(c)[-1].as_py() for c in names])
+        last = int(same.argmax())
+        if last:
+            yield links(table.slice(0, last))
+        held = table.slice(last).combine_chunks().to_batches()
+    if held:
+        yield links(pa.Table.from_batches(held))
 
 
 def near_classes(prints: DataFrame) -> DataFrame:
-    """prints(doc_id, fingerprint, ...) with class_id: the smallest doc_id linked to the row's fingerprint.
+    """prints(doc_id, fingerprint, ...) with class_id: the smallest doc_id reachable by links from the row's fingerprint.
 
-    Different fingerprints that share a band are linked to the smallest of that band where their likeness is at least
-    LIKE. Bands are samples: a pair at that likeness is found with a probability of 0.91, one at 0.9 of over 0.99. Work
-    doesn't grow with the square of a group, since each member is compared with one other a band. A row without doc_id
-    has no part in this.
+    Fingerprints are linked where their likeness is at least LIKE; no link is left out, since any two such fingerprints
+    share a key (``part_keys``). Keys are made and met in TURNS, so that they never lie on disk all at once. Each member
+    of a key is compared with its smallest, then, where a key holds several components, across components in tiles of
+    bounded size. So copies don't cost the square of their number; fingerprints that share a key and are not linked do.
+    A row without doc_id has no part in this.
     """
-    groups = settle(prints.where("doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("node")), "walk-groups")
-    bands = settle(groups.select("fingerprint", "node").mapInArrow(_bands, "key long, node long"), "walk-bands")
-    least = bands.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    pairs = bands.join(least, "key").where("node != a").select("a", F.col("node").alias("b")).distinct()
+    groups = prints.where("doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
+    groups = settle(groups.withColumn("node", F.xxhash64("fingerprint")), "walk-groups")
+    met = None
+    for turn in range(TURNS):
+        keys = groups.select("fingerprint", "node").mapInArrow(_keys_task(turn), "key long, node long")
+        rows = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_met_task, "met long, node long").distinct()
+        rows = settle(rows, "walk-met")
+        met = rows if met is None else met.unionByName(rows)
+    met = settle(met.distinct(), "walk-met")
+    hubs = met.groupBy("met").agg(F.min("node").alias("a"))
+    pairs = met.join(hubs, "met").where("node != a").select("a", F.col("node").alias("b")).distinct()
     of = lambda node, fp: groups.select(F.col("node").alias(node), F.col("fingerprint").alias(fp))
-    links = settle(pairs.join(of("a", "fa"), "a").join(of("b", "fb"), "b").select("a", "b", "fa", "fb").mapInArrow(_alike, "a long, b long"), "walk-links")
-    roots = groups.join(connected(links).withColumnRenamed("node", "n_"), F.col("node") == F.col("n_"), "left")
-    return prints.join(roots.select("fingerprint", F.coalesce("root", "node").alias("class_id")), "fingerprint", "left").select(*prints.columns, "class_id")
+    links = settle(pairs.join(of("a", "fa"), "a").join(of("b", "fb"), "b").select("a", "b", "fa", "fb").mapInArrow(_alike_task, "a long, b long"), "walk-links")
+    comp = settle(connected(links), "walk-comp")
+
+    rooted = settle(met.join(comp, "node", "left").select("met", "node", F.coalesce("root", "node").alias("root")), "walk-rooted")
+    several = rooted.groupBy("met").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi AND n > 2").selectExpr("met", "cast(ceil(n / {t}) AS int) AS tiles".format(t=TILE))
+    rest = rooted.join(several, "met").withColumn("side", F.pmod(F.xxhash64("node", "met"), F.col("tiles")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)"))).selectExpr("met", "node", "root", "side", "least(side, other) AS low", "greatest(side, other) AS high")
+    rest = rest.join(groups.select("node", "fingerprint"), "node").repartition("met", "low", "high").sortWithinPartitions("met", "low", "high")
+    more = settle(rest.mapInArrow(_tile_task, "a long, b long").distinct(), "walk-links")
+    if not more.isEmpty():
+        comp = settle(connected(links.unionByName(more)), "walk-comp")
+
+    of_node = groups.join(comp, "node", "left").select("fingerprint", "least", F.coalesce("root", "node").alias("root"))
+    classes_ = of_node.groupBy("root").agg(F.min("least").alias("class_id"))
+    named = of_node.join(classes_, "root").select("fingerprint", "class_id")
+    return prints.join(named, "fingerprint", "left").select(*prints.columns, "class_id")

@@ -126,3 +126,59 @@ def test_near_classes(spark):
     got = {r.doc_id: r.class_id for r in E.near_classes(prints).collect()}
     assert got.pop(None) is None and got == classes
     assert E.near_classes(prints.where("false")).count() == 0
+
+
+def shaken(dice, print_, differing, cells):
+    level, _, symbols = print_.partition(":")
+    out = list(symbols[:cells])
+    for at in dice.sample(range(len(out)), differing):
+        out[at] = dice.choice([c for c in "0123456789abcdef" if c != out[at]])
+    return f"{level}:" + "".join(out)
+
+
+def test_pairs_at_the_threshold_share_a_key():
+    dice = random.Random(12)
+    for most in range(1, 2 * E.CELLS + 1):
+        for least in {most, most - 1, (13 * most + 15) // 16, dice.randint((13 * most + 15) // 16, most)}:
+            differing = least - (13 * most + 15) // 16
+            if differing < 0 or least == most and not differing:
+                continue
+            a = "3:" + "".join(dice.choice("0123456789abcdef") for _ in range(most))
+            b = shaken(dice, a, differing, least)
+            both = E.Prints.of([a, b])
+            assert E.likeness(E.parsed(a), E.parsed(b)) >= E.LIKE and both.alike(np.array([0]), np.array([1])).all()
+            keys, rows = E.part_keys(both)
+            assert set(keys[rows == 0].tolist()) & set(keys[rows == 1].tolist()), (most, least)
+            turns = [E.part_keys(both, t, E.TURNS)[0] for t in range(E.TURNS)]
+            assert sorted(np.concatenate(turns).tolist()) == sorted(keys.tolist())
+
+
+@pytest.mark.parametrize("tile", [4, 1024])
+def test_near_classes_hold_every_link(spark, monkeypatch, tile):
+    monkeypatch.setattr(E, "TILE", tile)
+    dice, prints = random.Random(13), []
+    for _ in range(30):  # chains of texts, each at the threshold to the one before; some at the next level
+        n = dice.choice([8, 14, 30, 51, 52, 60, 128, 150, 200, 255])
+        prints.append(f"{dice.choice([0, 2])}:" + "".join(dice.choice("0123456789abcdef") for _ in range(n)))
+        for _ in range(dice.randint(1, 9)):
+            prints.append(shaken(dice, dice.choice(prints[-3:]), 0, 256))
+            n = len(prints[-1].partition(":")[2])
+            prints[-1] = shaken(dice, prints[-1], n - (13 * n + 15) // 16, n)
+    for n in (210, 230, 256):
+        a = "1:" + "".join(dice.choice("0123456789abcdef") for _ in range(n))
+        up = "".join("%x" % x for x in E.at_level(E.parsed(a), 2).tolist())
+        up += "0" * max(0, E.CELLS - len(up))
+        prints += [a, shaken(dice, "2:" + up, len(E.at_level(E.parsed(a), 2)) - 104, 256) if n > 210 else "2:" + up]
+    prints = list(dict.fromkeys(prints))
+    dice.shuffle(prints)
+    parsed = [E.parsed(p) for p in prints]
+    find = list(range(len(prints)))
+    for i in range(len(prints)):
+        for j in range(i):
+            if E.likeness(parsed[i], parsed[j]) >= E.LIKE and find[i] != find[j]:
+                low, high = sorted((find[i], find[j]))
+                find = [low if f == high else f for f in find]
+    assert len(set(find)) < len(prints) / 2
+    rows = [(1000 + i, p) for i, p in enumerate(prints)] + [(1000, prints[0]), (None, prints[1])]
+    got = E.near_classes(spark.createDataFrame(rows, "doc_id long, fingerprint string").repartition(3)).collect()
+    assert {r.doc_id: r.class_id for r in got if r.doc_id is not None} == {1000 + i: 1000 + f for i, f in enumerate(find)}
