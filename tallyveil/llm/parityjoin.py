@@ -16,7 +16,9 @@ Rows (segment key, set) that share a key are candidates. Map tasks merge rows of
 third of all documents share sends one row a task. Inside a key no pairs are listed: every set is verified against the
 key's most central set (the one most of whose segments are shared), links are joined to components, and only keys that
 still hold more than one component are compared across components, in blocks, with sizes and bit sketches ruling pairs
-out before sets are verified exactly. Equal sets are one node from the start.
+out before sets are verified exactly. Of keys with the same sets only one is compared, and without its most central set,
+whose pairs are known. A pair is compared in the lowest key that the lowest keys of both have; if these have none in
+common, in each key that it shares. Equal sets are one node from the start.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ BROADCAST_ROWS = 100_000
 HOT = 1  # keys of no more sets are never left out
 FLUSH_ROWS = 500_000
 BLOCK = 256
+LOWEST = 32
+FIRST_MET = "coalesce(array_min(array_intersect(l_low, low)) >= key, true)"
 SLICE = 1 << 19
 
 
@@ -318,12 +322,16 @@ def _linked(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
     comp = settle(connected(links), "pj-comp")
 
     rooted = settle(shared.join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "pj-rooted")
-    open_keys = settle(rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "pj-open")
-    rest = settle(rooted.join(open_keys, "key").join(first.select("node", "size", *SKETCH), "node"), "pj-rest")
-    left = rest.select("key", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), *[F.col(c).alias(f"l_{c}") for c in ("node", "root", "size", *SKETCH)])
+    held = rooted.groupBy("key").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(node))").alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    held = held.where("lo != hi AND n > 2").groupBy("members", "n", "lo", "hi").agg(F.min("key").alias("key"))
+    open_keys = settle(held.join(hubs, "key").select("key", "hub", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "pj-open")
+    rest = rooted.join(open_keys, "key").where("node != hub").drop("hub")
+    lowest = rest.groupBy("node").agg(F.expr(f"slice(array_sort(collect_list(key)), 1, {LOWEST})").alias("low"))
+    rest = settle(rest.join(lowest, "node").join(first.select("node", "size", *SKETCH), "node"), "pj-rest")
+    left = rest.select("key", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), *[F.col(c).alias(f"l_{c}") for c in ("node", "root", "low", "size", *SKETCH)])
     right = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks")
-    more = left.join(right, ["key", "block"]).where(f"l_root < root AND {_possible(spec, 'l_', '')}").select(F.col("l_node").alias("a"), F.col("node").alias("b")).distinct()
-    more = settle(more.join(pairs, ["a", "b"], "left_anti"), "pj-possible")
+    more = left.join(right, ["key", "block"]).where(f"l_root < root AND {_possible(spec, 'l_', '')} AND {FIRST_MET}").select(F.col("l_node").alias("a"), F.col("node").alias("b")).distinct()
+    more = settle(more, "pj-possible")
     more = settle(_near(more, first, spec), "pj-near")
     if not more.isEmpty():
         more = settle(_verify(more, _sets(docs, more, first, spec), spec), "pj-links")

@@ -472,3 +472,20 @@ def test_parity_join_leaves_out_the_keys_of_most_sets(spark):
     rows = [(7, n, 0, 2) for n in range(12)] + [(8, n, 0, 2) for n in range(5)] + [(9, n, 0, 2) for n in range(2)] + [(7, 50, 0, 0), (8, 51, 0, -1)]
     got = parityjoin._without_hot(spark.createDataFrame(rows, "key long, node long, down int, spare int"))
     assert sorted(map(tuple, got.collect())) == [(7, 50), (8, 51), (9, 0), (9, 1)]
+
+
+def test_parity_join_compares_the_sets_of_many_keys_once(spark, monkeypatch):
+    tables, settle = {}, parityjoin.settle
+    monkeypatch.setattr(parityjoin, "settle", lambda df, name, **kw: tables.setdefault(name, []).append(settle(df, name, **kw)) or tables[name][-1])
+    monkeypatch.setattr(parityjoin, "discard", lambda *tables: None)
+    words = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    rows = [(3 * g + c, " ".join(words(f"g{g}x", 900) + words(f"g{g}c{c}x", 150))) for g in range(4) for c in range(3)]
+    rows += [(100 + c, " ".join(words("pair", 900) + words(f"pair{c}x", 150))) for c in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = parityjoin.link_documents(docs, parityjoin.Spec(words=5, percent=80)).collect()
+    assert all(r.component_id == r.doc_id for r in got) and len(got) == len(rows)
+    assert tables["pj-shared"][0].groupBy("key").count().where("count = 3").count() > 40
+    assert tables["pj-rest"][0].groupBy("key").count().count() <= 4 * 4  # the four sets of three or two members, not of each key
+    rest = tables["pj-rest"][0]
+    pairs = rest.alias("l").join(rest.alias("r"), "key").where("l.root < r.root").select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), "key", F.col("l.low").alias("l_low"), F.col("r.low").alias("low"))
+    assert pairs.where(parityjoin.FIRST_MET).count() <= 1.5 * pairs.select("a", "b").distinct().count()
