@@ -36,7 +36,8 @@ def _seed(lang: str | None, order: int) -> int:
 
 def _padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the padded words one after another, and the places of those to be predicted."""
-    text = "".join(BEGIN * (ORDER - 1) + w.decode("utf-8", "replace") + END for w in words)
+    begin = BEGIN * (ORDER - 1)
+    text = begin + (END + begin).encode().join(words).decode("utf-8", "replace") + END if words else ""
     cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     return cp, np.flatnonzero(cp != ord(BEGIN))
 

@@ -489,3 +489,10 @@ def test_parity_join_compares_the_sets_of_many_keys_once(spark, monkeypatch):
     rest = tables["pj-rest"][0]
     pairs = rest.alias("l").join(rest.alias("r"), "key").where("l.root < r.root").select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), "key", F.col("l.low").alias("l_low"), F.col("r.low").alias("low"))
     assert pairs.where(parityjoin.FIRST_MET).count() <= 1.5 * pairs.select("a", "b").distinct().count()
+
+
+def test_perplexity_pads_every_word():
+    for words in ([], ["a"], ["a", "bc", "é", "\x00", "\u2028x", "\U0001f600"]):
+        cp, at = perplexity._padded([w.encode() for w in words])
+        assert "".join(map(chr, cp)) == "".join("\t\t\t\t" + w + " " for w in words)
+        assert "".join(chr(c) for c in cp[at]) == "".join(w + " " for w in words)
