@@ -167,9 +167,10 @@ class Shard:
         out = np.zeros(self.n, np.float32)
         for r in rows[rows >= 0].tolist():
             out += self.rows[r]
-        for t in terms[rows < 0].tolist():
-            s = slice(self.of_term[t], self.of_term[t + 1])
-            out[self.post_doc[s]] += self.post_weight[s]
+        first = self.of_term[terms[rows < 0]]
+        size = self.of_term[terms[rows < 0].astype(np.int64) + 1] - first
+        at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        np.add.at(out, self.post_doc[at], self.post_weight[at])
         return out
 
 

@@ -254,6 +254,30 @@ def test_packing_covers_every_token_once(docs, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_chunk_cache_holds_large_vocabularies_and_shrinks():
+    from tallyveil.llm.tokens import ChunkCache
+
+    asked = []
+
+    def encode_many(chunks, _words):
+        asked.extend(chunks)
+        return [np.frombuffer(c, np.uint8).astype("<u2").tobytes() for c in chunks]
+
+    texts = [" ".join(f"word{i}q{i * 7}" for i in range(at, at + 60_000)) for at in range(0, 300_000, 60_000)]
+    cache = ChunkCache(encode_many, "<u2")
+    for t in texts + texts:  # in slices, as the operators do
+        assert bytes(cache.encode_texts([t])[0].astype(np.uint8)) == t.encode()
+    assert len(asked) == len(set(asked)) == 300_000
+    few = ChunkCache(encode_many, "<u2", limit=50)
+    rng, words = np.random.default_rng(8), [f"{'x' * (i % 70)}{i}é" for i in range(400)]
+    for _ in range(60):
+        some = ["", " ".join(rng.choice(words, 30)), " ".join(rng.choice(words, 5)), "\n"]
+        assert [bytes(x.astype(np.uint8)).decode() for x in few.encode_texts(some)] == some
+        assert len(few.keys) <= 50 + 80 and len(few.flat) < 40_000
+    empty = ChunkCache(encode_many, "<u2", limit=1)
+    assert [len(x) for x in empty.encode_texts(["", ""])] == [0, 0] and [len(x) for _ in range(3) for x in empty.encode_texts(["a b c"])] == [5] * 3
+
+
 def test_bm25_prefers_the_like_document():
     docs = [np.array(x, "<u2") for x in ([1, 2, 3, 4], [9, 9, 9, 9], [1, 2, 3, 8])]
     scores = packing.Shard(docs, np.ones(packing.TERMS, np.float32), 4.0).scores(0)
