@@ -41,6 +41,8 @@ LIKE = 0.8
 TIERS = ((0, 12, 3, 0), (12, 29, 6, 1), (29, 52, 8, 1), (52, 2 * CELLS + 1, 9, 1))
 TURNS = 3
 TILE = 1024
+SMALL = 32  # rows of a tile whose pairs are listed
+MANY = 256  # members of a key that may be told apart by a second one
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -331,9 +333,12 @@ def apart(cells: np.ndarray) -> np.ndarray:
     return 3 * cells // 16
 
 
-def part_keys(prints: Prints, turn: int = 0, turns: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def part_keys(prints: Prints, turn: int = 0, turns: int = 1, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Keys, and the rows they are of: any two alike fingerprints have a key in common. Turns deal the parts out.
 
+    The low five bits of a key are its part. every: keys of all parts that have room, not just as many as needed; any
+    two alike fingerprints that are not ``weak`` then have keys in common in two parts.
+
     The first cells are cut into parts of `width` cells, more parts than half the cells that may differ. So in one part
     of an alike pair one cell at most differs, and the keys of a part are its cells but one. Of fewer than twelve cells:
     more parts than cells that may differ, and keys of whole parts. The range of the shorter one's number of cells
@@ -345,20 +350,51 @@ def part_keys(prints: Prints, turn: int = 0, turns: int = 1) -> tuple[np.ndarray
         n = (cells < 16).sum(1)
         for tier, (low, high, width, but) in enumerate(TIERS):
             least = np.minimum(n, high - 1)
-            parts = np.minimum(apart(least) // (1 + but) + 1, least // width)
+            parts = least // width if every else np.minimum(apart(least) // (1 + but) + 1, least // width)
             parts[(n < max(low, fewest)) | (-(-13 * n // 16) >= high)] = 0
             for i in range(turn, int(parts.max(initial=0)), turns):
                 of = np.flatnonzero(parts > i)
                 held = (cells[of, i * width : (i + 1) * width].astype(U64) << (4 * np.arange(width, dtype=U64))).sum(1, dtype=U64)
                 for out in range(width) if but else (width,):
                     tag = mix((level[of].astype(U64) << U64(32)) + U64(tier << 24 | i << 8 | out))
-                    keys.append(mix((held & ~(U64(15) << U64(4 * out))) ^ tag))
+                    keys.append(mix((held & ~(U64(15) << U64(4 * out))) ^ tag) & ~U64(31) | U64(i))
                     rows.append(of)
     if not keys:
         return np.zeros(0, U64), np.zeros(0, np.int64)
     return np.concatenate(keys), np.concatenate(rows)
 
 
+def weak(prints: Prints) -> np.ndarray:
+    """Whether a longer fingerprint can be alike to this one with a key of one part only in common."""
+    out = np.zeros(len(prints.level), bool)
+    for cells, fewest in ((prints.own, 0), (prints.above, 13 * CELLS // 16)):
+        n = (cells < 16).sum(1)
+        for low, high, width, but in TIERS:
+            out |= (n >= max(low, fewest)) & (n < high) & (n // width - apart(n) // (1 + but) < 2)
+    return out
+
+
+def _graded_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2048):
+            part = batch.slice(at, 2048)
+            yield part.append_column("weak", pa.array(weak(Prints.of(part.column("fingerprint").to_pylist())), pa.bool_()))
+
+
+def _finer_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of the members of a key in all of its other parts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            keys, rows = part_keys(Prints.of(part.column("fingerprint").to_pylist()), every=True)
+            met, node, own = (part.column(c).to_numpy() for c in ("met", "node", "part"))
+            other = (keys & U64(31)) != own[rows].astype(U64)
+            keys, rows = keys[other], rows[other]
+            keys = (mix(keys ^ mix(met.view(U64))[rows]) & ~U64(31)) | (keys & U64(31))
+            for k in range(0, len(keys), 1 << 17):
+                yield pa.RecordBatch.from_pydict({"key": keys[k : k + (1 << 17)].view(np.int64), "node": node[rows[k : k + (1 << 17)]]})
+
+
 def _keys_task(turn: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -373,12 +409,12 @@ def _keys_task(turn: int):
 
 
 def _met(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-    """(met, node) of whole keys with several nodes; keys with the same nodes have the same name `met`."""
+    """(met, node, part) of whole keys with several nodes; keys with the same nodes have the same name `met`."""
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     runs = np.diff(np.append(first, len(key)))
     name = np.add.reduceat(mix(node.view(U64)), first) if len(key) else np.zeros(0, U64)
     several = np.repeat(runs > 1, runs)
-    return pa.RecordBatch.from_pydict({"met": np.repeat(mix(name).view(np.int64), runs)[several], "node": node[several]})
+    return pa.RecordBatch.from_pydict({"met": np.repeat(mix(name).view(np.int64), runs)[several], "node": node[several], "part": (key[several] & 31).astype(np.int32)})
 
 
 def _met_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,6 +441,77 @@ def _alike_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(prints.alike(np.arange(n), np.arange(n, 2 * n)), pa.bool_())).select(["a", "b"])
 
 
+def planes(cells: np.ndarray) -> np.ndarray:
+    """[bit, word, row]: the symbols' five bits, each of 2 * CELLS cells in 64-bit words."""
+    full = np.full((len(cells), 2 * CELLS), 16, np.uint8)
+    full[:, : cells.shape[1]] = cells
+    return np.stack([np.ascontiguousarray(np.packbits(full >> b & 1, axis=1).view(U64).T) for b in range(5)])
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """[row of x, row of y]: in how many cells they differ, those of the longer one alone included."""
+    out = np.zeros((x.shape[2], y.shape[2]), np.int16)
+    for word in range(x.shape[1]):
+        some = x[0, word][:, None] ^ y[0, word]
+        for bit in range(1, 5):
+            some |= x[bit, word][:, None] ^ y[bit, word]
+        out += np.bitwise_count(some)
+    return out
+
+
+def tile_links(prints: Prints, root: np.ndarray, side: np.ndarray, first: np.ndarray, halves: bool) -> list[tuple[int, int]]:
+    """Links that join the roots of a tile as all of its links do, fewer than rows.
+
+    Compared are pairs of different roots, of which a row at least is `first`, and in halves, of different sides.
+    """
+    label, out = np.unique(root, return_inverse=True)[1], []
+    views = [(planes(c), (c < 16).sum(1)) for c in (prints.own, prints.above)]
+    for level in np.unique(prints.level).tolist():
+        rows = np.flatnonzero(prints.level == level)
+        below = np.flatnonzero(prints.level == level - 1)
+        for other, (bits, n) in ((rows, views[0]), (below, views[1])):
+            for mine, theirs in ((rows[first[rows]], other), (rows[~first[rows]], other[first[other]])):
+                for part in np.array_split(mine, len(mine) // 64 + 1):
+                    if not len(part) or not len(theirs):
+                        continue
+                    most = np.maximum(views[0][1][part][:, None], n[theirs])
+                    good = 16 * differing(views[0][0][:, :, part], bits[:, :, theirs]) <= 3 * most  # a likeness of 0.8
+                    good &= label[part][:, None] != label[theirs]
+                    if halves:
+                        good &= side[part][:, None] != side[theirs]
+                    for k in np.flatnonzero(good.any(1)).tolist():
+                        near = theirs[good[k]]
+                        labels, at = np.unique(label[near], return_index=True)
+                        new = labels != label[part[k]]
+                        out += [(int(part[k]), j) for j in near[at[new]].tolist()]
+                        label[np.isin(label, labels)] = label[part[k]]
+    return out
+
+
+def small_links(prints: Prints, root: np.ndarray, side: np.ndarray, first: np.ndarray, halves: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
+    """As tile_links, of all tiles of SMALL rows at most at once."""
+    tile = np.repeat(np.arange(len(begin)), end - begin)
+    i, step, out, found = np.flatnonzero((end - begin <= SMALL)[tile]), 1, [], {}
+
+    def top(x: tuple[int, int]) -> tuple[int, int]:
+        while x in found:
+            x = found[x]
+        return x
+
+    while len(i := i[i + step < end[tile[i]]]):
+        j = i + step
+        use = (root[i] != root[j]) & (first[i] | first[j]) & (~halves[i] | (side[i] != side[j]))
+        x, y = i[use], j[use]
+        good = prints.alike(x, y)
+        for a, b in zip(x[good].tolist(), y[good].tolist()):
+            u, v = top((int(tile[a]), int(root[a]))), top((int(tile[b]), int(root[b])))
+            if u != v:
+                found[v] = u
+                out.append((a, b))
+        step += 1
+    return out
+
+
 def _tile_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between different roots of each tile. Rows come sorted by tile; a tile has 2 * TILE rows or so."""
     held: list[pa.RecordBatch] = []
@@ -412,27 +519,24 @@ def _tile_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def links(table: pa.Table) -> pa.RecordBatch:
         tile = np.stack([table[c].to_numpy() for c in names], 1)
-        node, root, side, low, high = (table[c].to_numpy() for c in ("node", "root", "side", "low", "high"))
+        node, root, side, first = (table[c].to_numpy() for c in ("node", "root", "side", "first"))
         prints = Prints.of(table["fingerprint"].to_pylist())
-        a, b = [], []
-        new = np.append(True, (tile[1:] != tile[:-1]).any(1)) if len(tile) else np.zeros(0, bool)
-        left = np.append(np.flatnonzero(new)[1:], len(tile))[np.cumsum(new) - 1] - np.arange(len(tile)) - 1 if len(tile) else np.zeros(0, int)
-        i, step = np.arange(len(tile)), 1
-        while len(i := i[left[i] >= step]):
-            j = i + step
-            use = (root[i] != root[j]) & ((low[i] == high[i]) | (side[i] != side[j]))
-            x, y = i[use], j[use]
-            good = prints.alike(x, y)
-            a.append(node[x[good]])
-            b.append(node[y[good]])
-            step += 1
-        empty = np.zeros(0, np.int64)
-        return pa.RecordBatch.from_pydict({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
+        begin = np.flatnonzero(np.append(True, (tile[1:] != tile[:-1]).any(1)))
+        end = np.append(begin[1:], len(tile))
+        pairs = small_links(prints, root, side, first, tile[:, 1] != tile[:, 2], begin, end)
+        for a, b in zip(begin.tolist(), end.tolist()):
+            if b - a > SMALL and (root[a:b] != root[a]).any():
+                some = Prints(prints.level[a:b], prints.own[a:b], prints.above[a:b])
+                pairs += [(a + i, a + j) for i, j in tile_links(some, root[a:b], side[a:b], first[a:b], tile[a, 1] != tile[a, 2])]
+        at = np.array(pairs, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_pydict({"a": node[at[:, 0]], "b": node[at[:, 1]]})
 
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
+        if sum(b.num_rows for b in held) < TILE:
+            continue
         table = pa.Table.from_batches(held)
         same = np.logical_and.reduce([table[c].to_numpy() == batch.column(c)[-1].as_py() for c in names])
         last = int(same.argmax())
@@ -448,29 +552,42 @@ def near_classes(prints: DataFrame) -> DataFrame:
 
     Fingerprints are linked where their likeness is at least LIKE; no link is left out, since any two such fingerprints
     share a key (``part_keys``). Keys are made and met in TURNS, so that they never lie on disk all at once. Each member
-    of a key is compared with its smallest, then, where a key holds several components, across components in tiles of
-    bounded size. So copies don't cost the square of their number; fingerprints that share a key and are not linked do.
+    of a key is compared with its smallest. Then, where a key holds several components, all are compared across
+    components in tiles of bounded size, of which only links that join components leave. A key of MANY members, most of
+    them apart, is told apart by a second key first, of another of its parts: alike fingerprints share two parts, except
+    to short texts and a few lengths (``weak``), whose rows are compared with all of the key. So texts that have one
+    passage in common cost no square of their number; texts with most parts in common that are not linked do.
     A row without doc_id has no part in this.
     """
     groups = prints.where("doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    groups = settle(groups.withColumn("node", F.xxhash64("fingerprint")), "walk-groups")
+    groups = groups.withColumn("node", F.xxhash64("fingerprint"))
+    groups = settle(groups.mapInArrow(_graded_task, "fingerprint string, least long, node long, weak boolean"), "walk-groups")
+    met_task = lambda keys: keys.repartition("key").sortWithinPartitions("key").mapInArrow(_met_task, "met long, node long, part int")
+    once = lambda met: met.groupBy("met", "node").agg(F.min("part").alias("part"))
     met = None
     for turn in range(TURNS):
         keys = groups.select("fingerprint", "node").mapInArrow(_keys_task(turn), "key long, node long")
-        rows = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_met_task, "met long, node long").distinct()
-        rows = settle(rows, "walk-met")
+        rows = settle(once(met_task(keys)), "walk-met")
         met = rows if met is None else met.unionByName(rows)
-    met = settle(met.distinct(), "walk-met")
+    met = settle(once(met), "walk-met")
     hubs = met.groupBy("met").agg(F.min("node").alias("a"))
     pairs = met.join(hubs, "met").where("node != a").select("a", F.col("node").alias("b")).distinct()
     of = lambda node, fp: groups.select(F.col("node").alias(node), F.col("fingerprint").alias(fp))
     links = settle(pairs.join(of("a", "fa"), "a").join(of("b", "fb"), "b").select("a", "b", "fa", "fb").mapInArrow(_alike_task, "a long, b long"), "walk-links")
     comp = settle(connected(links), "walk-comp")
 
-    rooted = settle(met.join(comp, "node", "left").select("met", "node", F.coalesce("root", "node").alias("root")), "walk-rooted")
-    several = rooted.groupBy("met").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi AND n > 2").selectExpr("met", "cast(ceil(n / {t}) AS int) AS tiles".format(t=TILE))
-    rest = rooted.join(several, "met").withColumn("side", F.pmod(F.xxhash64("node", "met"), F.col("tiles")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)"))).selectExpr("met", "node", "root", "side", "least(side, other) AS low", "greatest(side, other) AS high")
+    root_of = lambda met, *more: met.join(comp, "node", "left").select("met", "node", F.coalesce("root", "node").alias("root"), *more)
+    rooted = settle(root_of(met, "part"), "walk-rooted")
+    sizes = rooted.groupBy("met", "root").agg(F.count("*").alias("c")).groupBy("met").agg(F.sum("c").alias("n"), F.count("*").alias("roots"))
+    sizes = settle(sizes.where("roots > 1 AND n > 2").select("met", F.expr(f"n > {MANY} AND 8 * roots >= 7 * n").alias("finer")), "walk-sizes")
+    rows = rooted.join(sizes, "met")
+    many = settle(rows.where("finer").join(groups.select("node", "fingerprint", "weak"), "node"), "walk-many")
+    fine = settle(once(met_task(many.where("NOT weak").mapInArrow(_finer_task, "key long, node long"))), "walk-met")
+    parts = [rows.where("NOT finer").select("met", "node", "root", F.lit(True).alias("first")), many.select("met", "node", "root", F.col("weak").alias("first")), root_of(fine, F.lit(True).alias("first"))]
+    rest = settle(parts[0].unionByName(parts[1]).unionByName(parts[2]), "walk-rest")
+    several = rest.groupBy("met").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("first").alias("some")).where("lo != hi AND some").selectExpr("met", "cast(ceil(n / {t}) AS int) AS tiles".format(t=TILE))
+    rest = rest.join(several, "met").withColumn("side", F.pmod(F.xxhash64("node", "met"), F.col("tiles")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)"))).selectExpr("met", "node", "root", "first", "side", "least(side, other) AS low", "greatest(side, other) AS high")
     rest = rest.join(groups.select("node", "fingerprint"), "node").repartition("met", "low", "high").sortWithinPartitions("met", "low", "high")
     more = settle(rest.mapInArrow(_tile_task, "a long, b long").distinct(), "walk-links")
     if not more.isEmpty():

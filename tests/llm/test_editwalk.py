@@ -182,3 +182,63 @@ def test_near_classes_hold_every_link(spark, monkeypatch, tile):
     rows = [(1000 + i, p) for i, p in enumerate(prints)] + [(1000, prints[0]), (None, prints[1])]
     got = E.near_classes(spark.createDataFrame(rows, "doc_id long, fingerprint string").repartition(3)).collect()
     assert {r.doc_id: r.class_id for r in got if r.doc_id is not None} == {1000 + i: 1000 + f for i, f in enumerate(find)}
+
+
+def test_a_tile_makes_fewer_links_than_rows():
+    import pyarrow as pa
+
+    dice, prints = random.Random(14), []
+    for n in (150, 200, 255):  # the same cells at a level and the one above
+        a = "1:" + "".join(dice.choice("0123456789abcdef") for _ in range(n))
+        up = "".join("%x" % x for x in E.at_level(E.parsed(a), 2).tolist()).ljust(E.CELLS, "0")
+        prints += [shaken(dice, x, dice.randint(0, 14), 256) for x in [a] * 40 + ["2:" + up] * 20]
+    prints += [f"1:{dice.choice('0123456789abcdef') * 140}" for _ in range(9)] + ["0:", "0:a", "0:ab"]
+    parsed, n = [E.parsed(p) for p in prints], len(prints)
+    side = [i % 2 for i in range(n)]
+    for tile, halves, some in ((0, False, n), (1, True, n), (2, False, 30), (3, False, 0)):
+        first = [i < some for i in range(n)]
+        columns = {"met": [tile] * n, "low": [0] * n, "high": [int(halves)] * n, "node": list(range(n)), "root": [i - i % 3 for i in range(n)], "side": side, "first": first, "fingerprint": prints}
+        for size in (n, 25):  # in one tile, and in small ones
+            rows = pa.RecordBatch.from_pydict(columns | {"met": [100 * tile + i // size for i in range(n)]})
+            links = [(r["a"], r["b"]) for b in E._tile_task(iter([rows.slice(0, 40), rows.slice(40)])) for r in b.to_pylist()]
+            want = [i - i % 3 for i in range(n)]
+            got = list(want)
+            alike = [(i, j) for i in range(n) for j in range(i) if i // size == j // size and (first[i] or first[j]) and not (halves and side[i] == side[j]) and E.likeness(parsed[i], parsed[j]) >= E.LIKE]
+            for find, pairs in ((want, alike), (got, links)):
+                for i, j in pairs:
+                    low, high = sorted((find[i], find[j]))
+                    find[:] = [low if f == high else f for f in find]
+            assert got == want and len(links) < n and set(map(frozenset, links)) <= set(map(frozenset, alike)), (tile, size)
+            assert len(alike) > 5 * n or not some or halves or size < n or some < n
+
+
+def test_pairs_at_the_threshold_share_two_parts():
+    dice = random.Random(15)
+    for most in range(8, 2 * E.CELLS + 1):
+        for least in {most, most - 1, (13 * most + 15) // 16}:
+            a = "3:" + "".join(dice.choice("0123456789abcdef") for _ in range(most))
+            both = E.Prints.of([a, shaken(dice, a, least - (13 * most + 15) // 16, least)])
+            keys, rows = E.part_keys(both, every=True)
+            shared = set(keys[rows == 0].tolist()) & set(keys[rows == 1].tolist())
+            assert E.weak(both).any() or len({k & 31 for k in shared}) > 1, (most, least)
+
+
+def test_a_common_passage_is_told_apart(spark, monkeypatch):
+    """Many texts share a part; those alike are found by another one, short ones by comparing."""
+    monkeypatch.setattr(E, "MANY", 20)
+    dice, prints, handed = random.Random(16), [], []
+    for n in [130] * 150 + [250] * 150 + [70] * 40:
+        prints.append(f"{0 if n == 70 else 3}:" + "123456789" * 2 + "".join(dice.choice("0123456789abcdef") for _ in range(n - 18)))
+        for _ in range(dice.choice([0] * 40 + [1, 2])):
+            tail = shaken(dice, "3:" + prints[-1].partition(":")[2][18:], n - (13 * n + 15) // 16, n)
+            prints.append(prints[-1][: prints[-1].index(":") + 19] + tail[2:])
+    find, parsed = list(range(len(prints))), [E.parsed(p) for p in prints]
+    for i in range(len(prints)):
+        for j in range(max(0, i - 3), i):
+            if E.likeness(parsed[i], parsed[j]) >= E.LIKE:
+                find = [min(find[i], find[j]) if f in (find[i], find[j]) else f for f in find]
+    whole, rows = E.settle, [(i, p) for i, p in enumerate(prints)]
+    monkeypatch.setattr(E, "settle", lambda df, name, *more: handed.append((name, out := whole(df, name, *more))) or out)
+    got = E.near_classes(spark.createDataFrame(rows, "doc_id long, fingerprint string").repartition(3)).collect()
+    assert {r.doc_id: r.class_id for r in got} == dict(enumerate(find))
+    assert next(df for name, df in handed if name == "walk-many").count() > len(prints) / 2
