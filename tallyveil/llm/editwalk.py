@@ -578,9 +578,8 @@ def near_classes(prints: DataFrame) -> DataFrame:
 
     root_of = lambda met, *more: met.join(comp, "node", "left").select("met", "node", F.coalesce("root", "node").alias("root"), *more)
     rooted = settle(root_of(met, "part"), "walk-rooted")
-    sizes = rooted.groupBy("met", "root").agg(F.count("*").alias("c")).groupBy("met").agg(F.sum("c").alias("n"), F.count("*").alias("roots"))
-    sizes = settle(sizes.where("roots > 1 AND n > 2").select("met", F.expr(f"n > {MANY} AND 8 * roots >= 7 * n").alias("finer")), "walk-sizes")
-    rows = rooted.join(sizes, "met")
+    sizes = rooted.groupBy("met").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.expr("count_if(node = root)").alias("alone")).where("lo != hi AND n > 2")
+    rows = settle(rooted.join(sizes.select("met", F.expr(f"n > {MANY} AND 8 * alone >= 7 * n").alias("finer")), "met"), "walk-rows")
     many = settle(rows.where("finer").join(groups.select("node", "fingerprint", "weak"), "node"), "walk-many")
     fine = settle(once(met_task(many.where("NOT weak").mapInArrow(_finer_task, "key long, node long"))), "walk-met")
     parts = [rows.where("NOT finer").select("met", "node", "root", F.lit(True).alias("first")), many.select("met", "node", "root", F.col("weak").alias("first")), root_of(fine, F.lit(True).alias("first"))]
