@@ -17,8 +17,6 @@ from ..functions.scalars import epoch_index, next_pow2
 from . import field
 from .rows import null_safe_join
 
-MOST_POINTS = 2000
-
 
 def let(value: Column, body) -> Column:
     """body(value) with value computed once: an expression inlined into a lambda would be computed at each call."""
@@ -204,14 +202,12 @@ def threshold_groups(obs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def _judged(obs: DataFrame, threshold: int | str, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """Groups (by, epoch, ciphertext, n, points, outcome, plaintext): those whose points were interpolated, and the others."""
     least = F.col(threshold) if isinstance(threshold, str) else F.lit(threshold)
-    if isinstance(threshold, int) and threshold > MOST_POINTS:
-        raise ValueError(f"interpolation is quadratic in the threshold; {MOST_POINTS} is the most")
     group = [*by, "epoch", "ciphertext"]
     points = _points(obs, group)  # used twice with all its columns, so that Spark shuffles it (and encodes observations) once
     groups = _groups(points, group).withColumn("outcome", F.when(F.col("conflicts") > 0, "conflict").when(F.col("points") < least, "below"))
     ready = groups.where("outcome IS NULL").select(*group, F.col("n").alias("n_all"), "points")
     few = null_safe_join(points, ready, group).where("n > 0 AND point_y = _y")
-    few = few.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy("point_x"))).where(F.col("_n") <= F.least(least, F.lit(MOST_POINTS)))
+    few = few.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy("point_x"))).where(F.col("_n") <= least)
     gathered = few.groupBy(*group, "n_all", "points").agg(F.sort_array(F.collect_list(F.struct("point_x", "point_y"))).alias("p"))
     opened = gathered.withColumn("_secret", _secret("p.point_x", "p.point_y"))
     opened = opened.withColumn("plaintext", F.expr("decode(try_aes_decrypt(unhex(ciphertext), unhex(sha2(concat('key|', _secret), 256)), 'GCM', 'DEFAULT'), 'UTF-8')"))
@@ -224,7 +220,7 @@ def threshold_outcomes(obs: DataFrame, threshold: int | str, by: tuple[str, ...]
 
     outcome: below (fewer than `threshold` points), conflict (one x with several y), unauthentic (the key that the
     points give doesn't open the ciphertext), ok. threshold may name a column of by. Groups are counted first; then at
-    most `threshold` points of each group that qualifies are interpolated.
+    most `threshold` points of each group that qualifies are interpolated, in time quadratic in the threshold.
     """
     tried, others = _judged(obs, threshold, by)
     return tried.unionByName(others)

@@ -371,6 +371,21 @@ def test_compiled_reports_take_further_estimators(spark):
     assert len([r for r in got if r.report_id == 3]) == 30 and {r.status for r in got} == {"OK"}
 
 
+def test_compiled_reports_open_large_thresholds(spark):
+    """Thresholds above 2000 take all the points that they ask for."""
+    obs = spark.range(2003 + 2002).selectExpr("CASE WHEN id < 2003 THEN 's:enough' ELSE 's:few' END AS v", "id AS client", "10 AS day_index", "1L AS metric_id")
+    coded = encoding.encode_threshold(obs, "v", "client", 2003, S.DAY, "k").selectExpr("1L AS customer_id", "1L AS project_id", "metric_id", "'p' AS part_name", "day_index", "1L AS encoding_config_id", "'threshold' AS payload_kind", "epoch", "ciphertext", "point_x", "point_y")
+    rest = {"kind": "string", "s": "string", "i": "long", "idx": "long", "d": "double", "cohort": "int", "set_bits": "array<int>"}
+    coded = coded.withColumns({c: F.lit(None).cast(t) for c, t in rest.items()})
+    reports_ = spark.sql("SELECT 1L AS report_id, 1L AS customer_id, 1L AS project_id, 1L AS metric_id, 'p' AS part_name, 10 AS first_day, 20 AS last_day, CAST(array() AS ARRAY<STRING>) AS report_fields")
+    parts = spark.sql("SELECT 1L AS customer_id, 1L AS project_id, 1L AS metric_id, 'p' AS part_name, CAST(NULL AS STRING) AS bucket_kind, 0L AS floor, 1 AS n_buckets, 1 AS step, 1 AS multiplier")
+    encodings = spark.sql("SELECT 1L AS customer_id, 1L AS project_id, 1L AS id, 'threshold' AS kind, 1 AS k, 1 AS h, 1 AS m, 0D AS p, 1D AS q, 2003 AS threshold, 'DAY' AS epoch_type, CAST(NULL AS ARRAY<STRING>) AS categories, CAST(NULL AS BIGINT) AS first, CAST(NULL AS BIGINT) AS last, CAST(NULL AS INT) AS num_categories")
+    none = spark.createDataFrame([], "report_id long, idx long, label string"), spark.createDataFrame([], "report_id long, candidate string")
+    got = compiled.histogram_reports(coded, reports_, parts, encodings, *none).collect()
+    assert [(r.kind, r.s, r.count_estimate, r.status) for r in got] == [("string", "enough", 2003, "OK")]
+    assert [r.total for r in encoding.threshold_decrypt(coded, 2003).collect()] == [2003]
+
+
 def test_bits_of_keys_beyond_two_bytes(spark, tmp_path):
     keys = [0, 1, 65535, 65536, 65537, 1_200_000, 2**40 + 5, -2]
     spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
