@@ -33,7 +33,7 @@ def test_query_equals_oracle(spark, db, name):
     assert normal(got) == normal(want)
 
 
-@pytest.mark.parametrize("name", ["r1_compiled_mixed"])
+@pytest.mark.parametrize("name", ["r1_compiled_mixed", "r1_compiled_noop"])
 def test_reports_of_many_values_equal_oracle(spark, tmp_path, name):
     """More than 10,000 values in one group of an unencoded histogram."""
     c = duckdb.connect()
